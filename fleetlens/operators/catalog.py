@@ -50,3 +50,208 @@ def statement_capabilities(columns: DataFrame, keys: Sequence[str] = ("server_id
     error = error.when(timing.isNull(), "no timing column")
     return found.select(*keys, timing.alias("timing_column"), F.col("_rows").alias("has_rows"),
                         F.col("_toplevel").alias("has_toplevel"), error.alias("error"))
+
+
+def _short(catalog: DataFrame, namespaces: DataFrame, keys: Sequence[str], name: str, namespace: str, *more: str) -> DataFrame:
+    """A small catalogue with the name of its schema."""
+    schemas = namespaces.select(*keys, F.col("oid").alias(namespace), F.col("nspname").alias("schema"))
+    return catalog.join(schemas, [*keys, namespace], "left").select(*keys, "oid", name, "schema", *more)
+
+
+def index_keys(indexes: DataFrame, attributes: DataFrame, collations: DataFrame, opclasses: DataFrame, namespaces: DataFrame,
+               keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Per index its ordered key columns and its included columns, in one pass.
+
+    An index has at most 32 columns, so the collected arrays are short.
+    """
+    keys = list(keys)
+    parts = (indexes.select(*keys, "indexrelid", "indrelid", "key_count", F.posexplode_outer(
+        F.arrays_zip("indkey", "indcollation", "indclass", "indoption", "definitions")).alias("place", "part"))
+        .select(*keys, "indexrelid", "indrelid", "key_count", (F.col("place") + 1).alias("position"), "part.*"))
+    columns = attributes.select(*keys, F.col("attrelid").alias("indrelid"), F.col("attnum").alias("indkey"), "attname", "attcollation")
+    sorting = _short(collations, namespaces, keys, "collname", "collnamespace")
+    sorting = sorting.select(*keys, F.col("oid").alias("indcollation"), "collname", F.col("schema").alias("collschema"))
+    classes = _short(opclasses, namespaces, keys, "opcname", "opcnamespace", "opcdefault")
+    classes = classes.select(*keys, F.col("oid").alias("indclass"), "opcname", F.col("schema").alias("opcschema"), "opcdefault")
+    joined = lookup(lookup(parts.join(columns, [*keys, "indrelid", "indkey"], "left"), sorting, [*keys, "indcollation"]),
+                    classes, [*keys, "indclass"])
+    expression = F.col("indkey") == 0
+    option = F.coalesce("indoption", F.lit(0))
+    default_collation = (F.when(F.coalesce("indcollation", F.lit(0)) == 0, True)
+                         .when(F.col("indkey") != 0, F.col("indcollation") == F.col("attcollation")).otherwise(False))
+    key = F.struct(
+        "position", F.when(~expression, F.col("attname")).alias("column_name"),
+        F.when(expression, F.col("definitions")).alias("expression"), F.col("collname").alias("collation"),
+        F.col("opcname").alias("opclass"), F.col("collschema").alias("collation_schema"), F.col("opcschema").alias("opclass_schema"),
+        default_collation.alias("collation_is_default"), F.coalesce("opcdefault", F.lit(False)).alias("opclass_is_default"),
+        (option.bitwiseAND(1) == 1).alias("descending"), (option.bitwiseAND(2) == 2).alias("nulls_first"),
+        F.col("definitions").alias("definition"))
+    included = F.when((F.col("position") > F.col("key_count")) & F.col("attname").isNotNull(), F.struct("position", "attname"))
+    grouped = joined.groupBy(*keys, "indexrelid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("position") <= F.col("key_count"), key))).alias("keys"),
+        F.array_sort(F.collect_list(included)).alias("_included"))
+    return grouped.withColumn("include_columns", F.transform("_included", lambda x: x["attname"])).drop("_included")
+
+
+def index_usage_attach(indexes: DataFrame, usage: DataFrame, resets: DataFrame, inherits: DataFrame,
+                       keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Scan count, last scan and statistics reset of each index, and whether it hangs under a partitioned one."""
+    keys = list(keys)
+    attached = inherits.select(*keys, F.col("inhrelid").alias("indexrelid"), F.lit(True).alias("_attached")).distinct()
+    scans = usage.select(*keys, "indexrelid", "idx_scan", "last_idx_scan")
+    joined = indexes.join(scans, [*keys, "indexrelid"], "left").join(attached, [*keys, "indexrelid"], "left")
+    return (lookup(joined, resets.select(*keys, "stats_reset"), keys)
+            .withColumn("idx_scan", F.coalesce("idx_scan", F.lit(0)))
+            .withColumn("is_attached_partition", F.coalesce("_attached", F.lit(False))).drop("_attached"))
+
+
+def _relations(classes: DataFrame, namespaces: DataFrame, keys: list[str], oid: str, relation: str, schema: str) -> DataFrame:
+    names = namespaces.select(*keys, F.col("oid").alias("relnamespace"), F.col("nspname").alias(schema))
+    return classes.join(names, [*keys, "relnamespace"]).select(*keys, F.col("oid").alias(oid), F.col("relname").alias(relation), schema)
+
+
+def _unique_constraints(constraints: DataFrame, keys: list[str]) -> DataFrame:
+    """The constraint behind each index; an index backs at most one, the smallest id decides."""
+    unique = constraints.filter(F.col("contype").isin("p", "u"))
+    return unique.groupBy(*keys, "conindid", F.col("conrelid").alias("confrelid")).agg(
+        F.min_by("conname", "oid").alias("unique_name"), F.min_by("conkey", "oid").alias("unique_key"))
+
+
+def referential_constraints(constraints: DataFrame, classes: DataFrame, namespaces: DataFrame,
+                            keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Foreign keys with both tables, the name of the referenced key and the rules in words."""
+    keys = list(keys)
+    child = _relations(classes, namespaces, keys, "conrelid", "table_name", "constraint_schema")
+    parent = _relations(classes, namespaces, keys, "confrelid", "referenced_table_name", "unique_constraint_schema")
+    index_names = classes.select(*keys, F.col("oid").alias("conindid"), F.col("relname").alias("_index"))
+    foreign = constraints.filter(F.col("contype") == "f")
+    joined = lookup(lookup(foreign, child, [*keys, "conrelid"], "inner"), parent, [*keys, "confrelid"], "inner")
+    joined = lookup(lookup(joined, index_names, [*keys, "conindid"]), _unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"])
+    return joined.filter(user_schema(F.col("constraint_schema"))).select(
+        *keys, "constraint_schema", F.col("conname").alias("constraint_name"), "unique_constraint_schema",
+        F.coalesce("unique_name", "_index", F.lit("NULL")).alias("unique_constraint_name"),
+        code_word(F.col("confmatchtype"), MATCH_WORDS, "NONE").alias("match_option"),
+        code_word(F.col("confupdtype"), ACTION_WORDS).alias("update_rule"),
+        code_word(F.col("confdeltype"), ACTION_WORDS).alias("delete_rule"), "table_name", "referenced_table_name")
+
+
+def key_column_usage(constraints: DataFrame, classes: DataFrame, namespaces: DataFrame, attributes: DataFrame,
+                     keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """One row per foreign key column with its place in the referenced key, else its own place."""
+    keys = list(keys)
+    child = _relations(classes, namespaces, keys, "conrelid", "table_name", "constraint_schema")
+    parent = _relations(classes, namespaces, keys, "confrelid", "referenced_table_name", "referenced_table_schema")
+    foreign = constraints.filter(F.col("contype") == "f")
+    joined = lookup(lookup(foreign, child, [*keys, "conrelid"], "inner"), parent, [*keys, "confrelid"], "inner")
+    joined = lookup(joined, _unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"])
+    parts = (joined.filter(user_schema(F.col("constraint_schema")))
+             .withColumn("_parts", F.arrays_zip("conkey", "confkey"))
+             .select("*", F.posexplode("_parts").alias("_place", "_part"))
+             .withColumn("ordinal_position", F.col("_place") + 1)
+             .withColumn("_child", F.col("_part.conkey")).withColumn("_parent", F.col("_part.confkey")))
+    own = attributes.select(*keys, F.col("attrelid").alias("conrelid"), F.col("attnum").alias("_child"), F.col("attname").alias("column_name"))
+    other = attributes.select(*keys, F.col("attrelid").alias("confrelid"), F.col("attnum").alias("_parent"), F.col("attname").alias("referenced_column_name"))
+    place = F.nullif(F.expr("array_position(unique_key, _parent)"), F.lit(0))
+    return (lookup(lookup(parts, own, [*keys, "conrelid", "_child"], "inner"), other, [*keys, "confrelid", "_parent"], "inner")
+            .select(*keys, "constraint_schema", F.col("conname").alias("constraint_name"), "table_name", "column_name",
+                    F.col("ordinal_position").cast("string").alias("ordinal_position"),
+                    F.coalesce(place, F.col("ordinal_position")).cast("string").alias("position_in_unique_constraint"),
+                    "referenced_table_schema", "referenced_table_name", "referenced_column_name"))
+
+
+def sequence_ownership(sequences: DataFrame, namespaces: DataFrame, classes: DataFrame, dependencies: DataFrame,
+                       attributes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Sequences with the column that owns them; unknown parts are missing values."""
+    keys = list(keys)
+    schemas = namespaces.groupBy(*keys, F.col("nspname").alias("schemaname")).agg(F.min("oid").alias("_namespace"))
+    own = classes.filter(F.col("relkind") == "S").select(
+        *keys, F.col("relnamespace").alias("_namespace"), F.col("relname").alias("sequencename"), F.col("oid").alias("_sequence"))
+    owners = dependencies.filter((F.col("objsubid") == 0) & F.col("deptype").isin("a", "i")).select(
+        *keys, F.col("objid").alias("_sequence"), F.col("refobjid").alias("_table"), F.col("refobjsubid").alias("_column"))
+    tables = classes.join(namespaces.select(*keys, F.col("oid").alias("relnamespace"), F.col("nspname").alias("owned_table_schema")),
+                          [*keys, "relnamespace"], "left").select(
+        *keys, F.col("oid").alias("_table"), F.col("relname").alias("owned_table_name"), "owned_table_schema")
+    columns = attributes.select(*keys, F.col("attrelid").alias("_table"), F.col("attnum").alias("_column"), F.col("attname").alias("owned_column_name"))
+    joined = lookup(sequences.filter(user_schema(F.col("schemaname"))), schemas, [*keys, "schemaname"])
+    joined = joined.join(own, [*keys, "_namespace", "sequencename"], "left").join(owners, [*keys, "_sequence"], "left")
+    joined = lookup(lookup(joined, tables, [*keys, "_table"]), columns, [*keys, "_table", "_column"])
+    values = ("cache_size", "last_value", "owned_table_schema", "owned_table_name", "owned_column_name")
+    return joined.select(*keys, "schemaname", "sequencename", *[from_null_marker(F.col(v)).alias(v) for v in values])
+
+
+def tables_section(tables: DataFrame, namespaces: DataFrame, classes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Tables with sizes and a row estimate that is never negative; analyse stamps only for kinds that have them."""
+    keys = list(keys)
+    schemas = namespaces.select(*keys, F.col("nspname").alias("table_schema"), F.col("oid").alias("relnamespace"))
+    relations = classes.filter(relkind_filter(F.col("relkind"))).withColumnRenamed("relname", "table_name").drop("oid")
+    joined = lookup(tables.filter(user_schema(F.col("table_schema"))), schemas, [*keys, "table_schema"], "inner")
+    joined = joined.join(relations, [*keys, "relnamespace", "table_name"])
+    analysed = F.col("relkind").isin("r", "m", "p")
+
+    def size(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)).alias(name)
+    return joined.select(
+        *keys, "table_schema", "table_name", "table_type", "relkind",
+        F.greatest(F.coalesce("reltuples", F.lit(0.0)), F.lit(0.0)).cast("bigint").alias("estimated_rows"),
+        size("table_size"), size("index_size"), size("total_size"),
+        F.coalesce(F.when(analysed, F.col("mod_since_analyze")), F.lit(0)).alias("mod_since_analyze"),
+        F.when(analysed, F.col("last_analyze")).alias("last_analyze"))
+
+
+def columns_section(columns: DataFrame) -> DataFrame:
+    """Columns of user schemas with flags by server version; empty expressions are missing values."""
+    version = F.col("version")
+    return columns.filter(user_schema(F.col("table_schema"))).select(
+        "server_id", "table_schema", "table_name", "column_name", "ordinal_position",
+        F.coalesce("column_default", F.lit("")).alias("column_default"), (F.col("is_nullable") == "YES").alias("is_nullable"), "data_type",
+        since(version, IDENTITY, F.col("is_identity") == "YES", F.lit(False)).alias("is_identity"),
+        since(version, GENERATED, F.col("is_generated") != "NEVER", F.lit(False)).alias("is_generated"),
+        F.nullif(since(version, GENERATED, F.coalesce("generation_expression", F.lit("")), F.lit("")), F.lit("")).alias("generation_expression"))
+
+
+def table_statistics(classes: DataFrame, namespaces: DataFrame, index_scans: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Table statistics with the scans of all indexes of the table; null when it has none."""
+    keys = list(keys)
+    scans = index_scans.groupBy(*keys, F.col("indrelid").alias("oid")).agg(F.sum("numscans").alias("idx_scan"))
+    schemas = namespaces.select(*keys, F.col("oid").alias("relnamespace"), F.col("nspname").alias("schemaname"))
+    kept = ~F.col("schemaname").isin("pg_catalog", "information_schema") & ~F.startswith("schemaname", F.lit("pg_toast"))
+    return (lookup(classes.filter(relkind_filter(F.col("relkind"), statistics=True)), schemas, [*keys, "relnamespace"], "inner")
+            .filter(kept).join(scans, [*keys, "oid"], "left")
+            .select(*keys, F.col("oid").alias("relid"), "schemaname", "relname", "seq_scan", "idx_scan"))
+
+
+def engine_merge(support: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Supported engines with their sizes; engines without tables have zeros, unsupported ones are left out."""
+    values = ("tables", "total_size", "data_size", "index_size")
+    return support.join(sizes, [*keys, "engine"], "left").fillna(0, subset=["tables"]).withColumns(
+        {v: F.coalesce(F.col(v), F.lit(0).cast(sizes.schema[v].dataType)) for v in values})
+
+
+def myisam_index_size(engines: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Index size of one engine per server, 0 when the server has none."""
+    value = F.max(F.when(F.col("engine") == "MyISAM", F.col("index_size")))
+    return engines.groupBy(*keys).agg(F.coalesce(value, F.lit(0).cast(engines.schema["index_size"].dataType)).alias("myisam_index_size"))
+
+
+def role_membership(roles: DataFrame, grants: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """Roles with the sorted list of roles granted to them, '' if none.
+
+    Grants are counted per pair first, so repeated grants do not reach the list's task one by one.
+    """
+    keys = list(keys)
+    pairs = grants.groupBy(*keys, "member", "roleid").agg(F.count(F.lit(1)).alias("_times"))
+    names = roles.select(*keys, F.col("oid").alias("roleid"), F.col("rolname").alias("granted"))
+    listed = lookup(pairs, names, [*keys, "roleid"], "inner").groupBy(*keys, F.col("member").alias("oid")).agg(
+        F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(granted, int(_times))")))).alias("_granted"))
+    return (roles.join(listed, [*keys, "oid"], "left")
+            .withColumn("member_of", F.coalesce(F.array_join("_granted", ","), F.lit(""))).drop("_granted"))
+
+
+def open_sections(rows: DataFrame, failures: DataFrame, collected: DataFrame, sections: Sequence[str],
+                  keys: Sequence[str] = ("server_id", "database")) -> DataFrame:
+    """Number of published rows per section; sections that failed are left out, good empty ones stay with 0."""
+    keys = list(keys)
+    expected = collected.select(*keys).distinct().withColumn("section", F.explode(F.array(*[F.lit(s) for s in sections])))
+    good = expected.join(failures.select(*keys, "section").distinct(), [*keys, "section"], "left_anti")
+    counts = rows.groupBy(*keys, "section").agg(F.count(F.lit(1)).alias("_rows"))
+    return good.join(counts, [*keys, "section"], "left").withColumn("rows", F.coalesce("_rows", F.lit(0))).drop("_rows")

@@ -163,7 +163,7 @@ def overlay_maps(t: Tables):
 @query("merge_json", """WITH j AS (SELECT event_id, event_id % 7 AS kind, CAST(user_id AS VARCHAR) AS u, json_extract_string(props, '$.k') AS k FROM events)
 SELECT event_id,
   CASE kind WHEN 0 THEN '{"a":' || u || ',"b":"y","k":' || k || '}' WHEN 1 THEN '[' || k || ',{"b":1},' || u || ']'
-    WHEN 2 THEN '[{"b":"y","k":' || k || '},7,{"a":' || u || ',"b":"y"}]' WHEN 3 THEN '[{"k":' || k || '},"x"]'
+    WHEN 2 THEN '[{"a":' || u || ',"b":"y","k":' || k || '},7,{"a":' || u || ',"b":"y"}]' WHEN 3 THEN '[{"k":' || k || '},"x"]'
     WHEN 4 THEN '{"k": ' || k || '}' WHEN 5 THEN '{"a": ' || u || ', "b": "y"}' ELSE NULL END AS merged,
   CASE kind WHEN 0 THEN '{"k":' || k || ',"r":{"a":' || u || ',"b":"y"}}' END AS nested FROM j""")
 def merge_json(t: Tables):
