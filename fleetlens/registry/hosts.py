@@ -32,20 +32,20 @@ AZURE_NAMES = [*hosts.AZURE_METRICS.values(), "unknown_metric"]
 def points_sql(names, table):
     keys = b.sql_list([*table.keys(), None])
     return f"""
-points AS (SELECT user_id AS server_id, event_id AS point_id, ({keys})[CAST(event_id % {len(names)} AS INTEGER) + 1] AS key, CAST(floor(epoch(ts)) AS BIGINT) AS at,
+points AS (SELECT user_id AS server_id, event_id AS point_id, ({keys})[CAST(event_id % {len(names)} AS INTEGER) + 1] AS key, CAST(floor(epoch(ts)) AS BIGINT) AS seen,
   (CAST(floor(epoch(ts)) AS BIGINT) // {DAY} + 1) * {DAY} AS collected_at,
   CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE WHEN event_id % 29 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 3 <> 0 THEN value END AS double_value, CASE WHEN event_id % 10 <> 0 THEN event_id % 4 END AS int_value,
   coalesce(CASE WHEN event_id % 4 = 0 THEN value END, CASE WHEN event_id % 4 = 1 THEN value + 1 END, CASE WHEN event_id % 3 = 0 THEN value + 2 END, CASE WHEN event_id % 7 = 0 THEN value + 3 END) AS point
   FROM events),
-known AS (SELECT * FROM points WHERE key IS NOT NULL AND at <= collected_at - 60 AND at >= collected_at - 60 - 43200)"""
+known AS (SELECT * FROM points WHERE key IS NOT NULL AND seen <= collected_at - 60 AND seen >= collected_at - 60 - 43200)"""
 
 
 GCP = points_sql(GCP_NAMES, hosts.GCP_METRICS) + """,
-newest AS (SELECT server_id, collected_at, key, arg_max(struct_pack(d := double_value, i := int_value), (at, point_id)) AS p FROM known GROUP BY ALL),
+newest AS (SELECT server_id, collected_at, key, arg_max(struct_pack(d := double_value, i := int_value), (seen, point_id)) AS p FROM known GROUP BY ALL),
 latest AS (SELECT server_id, collected_at, key, CASE WHEN coalesce(p.d, 0) <> 0 THEN p.d WHEN coalesce(p.i, 0) <> 0 THEN CAST(p.i AS DOUBLE) END AS value FROM newest
   WHERE coalesce(p.d, 0) <> 0 OR coalesce(p.i, 0) <> 0)"""
 AZURE = points_sql(AZURE_NAMES, hosts.AZURE_METRICS) + """,
-latest AS (SELECT server_id, collected_at, key, arg_max(point, (at, point_id)) AS value FROM known WHERE point IS NOT NULL GROUP BY ALL)"""
+latest AS (SELECT server_id, collected_at, key, arg_max(point, (seen, point_id)) AS value FROM known WHERE point IS NOT NULL GROUP BY ALL)"""
 
 
 def latest_gcp(t: Tables):
