@@ -89,16 +89,20 @@ def batches(planned: DataFrame, keys: Sequence[str] = ("server_id",), size: int
 
 
 def batch_outcomes(batched: DataFrame, failed: Column, keys: Sequence[str] = ("server_id",)) -> DataFrame:
-    """Applied, failed or not-run per parameter; a failed batch stops its scope, a failed instance the cluster."""
-    marked = batched.withColumn("_failed", failed)
-    scopes = marked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_failed") & (F.col("scope") == "instance"), F.col("batch"))).alias("_instance"),
-        F.min(F.when(F.col("_failed") & (F.col("scope") == "cluster"), F.col("batch"))).alias("_cluster"))
-    stop = F.when(F.col("scope") == "instance", F.col("_instance")).otherwise(F.col("_cluster"))
+    """Applied, failed or not-run per parameter; a failed batch stops its scope, a failed instance the cluster.
+
+    The window is bounded in the same way.
+    """
+    server = Window.partitionBy(*keys)
+
+    def stop(scope: str) -> Column:
+        return F.min(F.when(F.col("_failed") & (F.col("scope") == scope), F.col("batch"))).over(server)
+    marked = batched.withColumn("_failed", failed).withColumn("_instance", stop("instance")).withColumn("_cluster", stop("cluster"))
+    limit = F.when(F.col("scope") == "instance", F.col("_instance")).otherwise(F.col("_cluster"))
     blocked = (F.col("scope") == "cluster") & F.col("_instance").isNotNull()
-    outcome = (F.when(blocked, "not-run").when(stop.isNull() | (F.col("batch") < stop), "applied")
-               .when(F.col("batch") == stop, "failed").otherwise("not-run"))
-    return lookup(marked, scopes, keys).withColumn("outcome", outcome).drop("_failed", "_instance", "_cluster")
+    outcome = (F.when(blocked, "not-run").when(limit.isNull() | (F.col("batch") < limit), "applied")
+               .when(F.col("batch") == limit, "failed").otherwise("not-run"))
+    return marked.withColumn("outcome", outcome).drop("_failed", "_instance", "_cluster")
 
 
 def first_failure_stops(steps: DataFrame, order: str, failed: Column, keys: Sequence[str]) -> DataFrame:

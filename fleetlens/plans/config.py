@@ -24,10 +24,10 @@ def apply_plan_rds(recommendations: DataFrame, parameters: DataFrame, current: D
     """CP1 and CP2: scope and outcome of each recommendation, decided by the first rule that applies."""
     keys = ["server_id", "name"]
 
-    def scoped(scope: str) -> DataFrame:
+    def entry(scope: str) -> Column:
         fields = F.struct("apply_type", "is_modifiable", "engine_modes", "value")
-        return parameters.filter(F.col("scope") == scope).groupBy(*keys).agg(F.max(fields).alias(f"_{scope}"))
-    joined = recommendations.join(scoped("instance"), keys, "left").join(scoped("cluster"), keys, "left")
+        return F.max(F.when(F.col("scope") == scope, fields)).alias(f"_{scope}")
+    joined = recommendations.join(parameters.groupBy(*keys).agg(entry("instance"), entry("cluster")), keys, "left")
     joined = joined.join(current.select(*keys, F.col("value").alias("_live"), F.lit(True).alias("_has_live")), keys, "left")
     joined = lookup(joined, metadata.select("server_id", "engine", "engine_mode", "is_cluster_writer"), ["server_id"])
     scope = F.when(F.col("_instance").isNotNull(), "instance").when(F.col("_cluster").isNotNull(), "cluster").otherwise("instance")

@@ -28,3 +28,83 @@ def top_k_statements(t: Tables):
     return ranking.top_k_statements(statements(t), "total_exec_time_us").select(
         "server_id", "datname", "queryid", "pg_queryid", "toplevel", "query", "calls", "rows", "total_exec_time_us",
         "mean_exec_time_us", F.col("rank").cast("bigint").alias("rank"))
+
+
+SUCCESS = "CAST(right(queryid, 1) AS INTEGER) % 3 = 0"
+
+
+def success():
+    return F.right("queryid", F.lit(1)).cast("int") % 3 == 0
+
+
+def slim(t: Tables):
+    return rollups.statement_rollup(b.statement_stats(t), b.databases(t)).select(
+        "server_id", "queryid", "total_exec_time_us", "mean_exec_time_us")
+
+
+def quota_sql(source: str, field: str) -> str:
+    return f"""SELECT * EXCLUDE (before) FROM (SELECT *, coalesce(sum(CASE WHEN {SUCCESS} THEN 1 ELSE 0 END) OVER (PARTITION BY server_id ORDER BY {field} DESC, queryid
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source}) WHERE before < 100"""
+
+
+@query("plan_quota", f"""WITH {b.STATEMENT_STATS}, slim AS (SELECT server_id, queryid, total_exec_time_us, mean_exec_time_us FROM statements)
+{quota_sql('slim', 'total_exec_time_us')}""")
+def plan_quota(t: Tables):
+    return ranking.plan_quota(slim(t), "total_exec_time_us", success())
+
+
+@query("two_rankings", f"""WITH {b.STATEMENT_STATS}, slim AS (SELECT server_id, queryid, total_exec_time_us, mean_exec_time_us FROM statements),
+one AS ({quota_sql('slim', 'total_exec_time_us')}),
+rest AS (SELECT * FROM slim s WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.server_id = s.server_id AND o.queryid = s.queryid)),
+two AS ({quota_sql('rest', 'mean_exec_time_us')})
+SELECT *, 'total_exec_time_us' AS ranking FROM one UNION ALL SELECT *, 'mean_exec_time_us' AS ranking FROM two""")
+def two_rankings(t: Tables):
+    return ranking.two_rankings(slim(t), "total_exec_time_us", "mean_exec_time_us", success())
+
+
+@query("plan_sharing", f"""WITH {b.STATEMENT_STATS}, keyed AS (SELECT server_id, datname, unsigned_id AS native_id, query, max(total_exec_time_us) AS total_exec_time_us,
+  concat_ws('|', datname, unsigned_id, query) AS queryid FROM statements GROUP BY ALL),
+ranked AS (SELECT *, coalesce(sum(CASE WHEN length(queryid) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY server_id ORDER BY total_exec_time_us DESC, queryid
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed),
+attempted AS (SELECT *, CASE WHEN length(queryid) % 3 = 0 THEN 'plan ' || native_id END AS plan FROM ranked WHERE before < 100)
+SELECT s.server_id, s.queryid, a.plan, a.queryid IS NOT NULL AS resolved FROM statements s LEFT JOIN attempted a
+  ON a.server_id = s.server_id AND a.datname = s.datname AND a.native_id = s.unsigned_id AND a.query = s.query""")
+def plan_sharing(t: Tables):
+    keys = ["server_id", "datname", "native_id", "query"]
+    rows = statements(t).select("server_id", "queryid", "total_exec_time_us", ranking.plan_key(F.col("datname"), F.col("pg_queryid"), F.col("query")).alias("k")).select(
+        "server_id", "queryid", "total_exec_time_us", "k.*")
+    keyed = rows.groupBy(*keys).agg(F.max("total_exec_time_us").alias("total_exec_time_us")).withColumn(
+        "plan_id", F.concat_ws("|", "datname", "native_id", "query"))
+    good = F.length("plan_id") % 3 == 0
+    attempted = ranking.plan_quota(keyed, "total_exec_time_us", good, tie="plan_id")
+    outcomes = attempted.select(*keys, F.when(good, F.concat(F.lit("plan "), "native_id")).alias("plan"), F.lit(True).alias("resolved"))
+    return ranking.plan_sharing(rows, outcomes, keys).select("server_id", "queryid", "plan", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+@query("attempt_dedupe", f"""WITH {b.STATEMENT_EVENTS} SELECT server_id, schema_name, digest, arg_min(event_id, (timer_start, event_id)) AS event_id,
+  min(timer_start) AS timer_start FROM statement_events WHERE schema_name IS NOT NULL AND digest IS NOT NULL GROUP BY ALL""")
+def attempt_dedupe(t: Tables):
+    events = b.statement_events(t).filter("schema_name IS NOT NULL AND digest IS NOT NULL").select("server_id", "schema_name", "digest", "timer_start", "event_id")
+    return ranking.attempt_dedupe(events, ["server_id", "schema_name", "digest"], ["timer_start", "event_id"])
+
+
+@query("failed_database_skip", """WITH a AS (SELECT o_custkey % 50 AS server_id, 'db' || CAST(o_custkey % 7 AS VARCHAR) AS datname, o_orderkey AS attempt,
+  o_orderstatus = 'F' AND o_orderkey % 20 = 0 AS failed, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS reason FROM orders),
+f AS (SELECT server_id, datname, min(attempt) AS first, arg_min('connection_failed: ' || coalesce(nullif(reason, ''), 'connection failed'), attempt) AS text FROM a WHERE failed GROUP BY ALL)
+SELECT a.server_id, a.datname, a.attempt, coalesce(a.attempt > f.first, false) AS skipped, CASE WHEN a.attempt >= f.first THEN f.text END AS explain_error
+FROM a LEFT JOIN f ON f.server_id = a.server_id AND f.datname = a.datname""")
+def failed_database_skip(t: Tables):
+    attempts = t.orders.select(
+        (F.col("o_custkey") % 50).alias("server_id"), F.concat(F.lit("db"), (F.col("o_custkey") % 7).cast("string")).alias("datname"), F.col("o_orderkey").alias("attempt"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 20 == 0)).alias("failed"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority")).alias("reason"))
+    marked = ranking.failed_database_skip(attempts, "attempt", F.col("failed"), "reason", ["server_id", "datname"])
+    return marked.select("server_id", "datname", "attempt", "skipped", "explain_error")
+
+
+@query("first_failure_stops", """WITH s AS (SELECT l_orderkey AS task_id, l_linenumber AS statement_index, bool_or(l_returnflag = 'R') AS failed FROM lineitem GROUP BY ALL),
+f AS (SELECT task_id, min(statement_index) AS stop FROM s WHERE failed GROUP BY 1)
+SELECT s.*, f.stop IS NULL OR s.statement_index <= f.stop AS run FROM s LEFT JOIN f ON f.task_id = s.task_id""")
+def first_failure_stops(t: Tables):
+    steps = t.lineitem.groupBy(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("statement_index")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("failed"))
+    return ranking.first_failure_stops(steps, "statement_index", F.col("failed"), ["task_id"])
