@@ -255,3 +255,13 @@ def open_sections(rows: DataFrame, failures: DataFrame, collected: DataFrame, se
     good = expected.join(failures.select(*keys, "section").distinct(), [*keys, "section"], "left_anti")
     counts = rows.groupBy(*keys, "section").agg(F.count(F.lit(1)).alias("_rows"))
     return good.join(counts, [*keys, "section"], "left").withColumn("rows", F.coalesce("_rows", F.lit(0))).drop("_rows")
+
+
+def ordered_catalogue(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in catalogue order for the sink: ranges of the order go to one file each, sorted inside."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def sorted_names(names: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """The distinct parameter names of a server in byte order; at most one entry per known parameter."""
+    return names.select(*keys, "name").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("name")).alias("names"))

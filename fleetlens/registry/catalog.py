@@ -294,3 +294,16 @@ def open_sections(t: Tables):
         (F.col("c_custkey") % 50).alias("server_id"), F.concat(F.lit("db"), (F.col("c_nationkey") % 4).cast("string")).alias("database"),
         sections[(F.col("c_custkey") % 6).cast("int")].alias("section"))
     return catalog.open_sections(rows, failures, rows, catalog.POSTGRES_SECTIONS)
+
+
+@query("ordered_catalogues", f"WITH {b.TABLE_CATALOG} SELECT server_id, table_schema, table_name, table_type FROM catalog ORDER BY ALL")
+def ordered_catalogues(t: Tables):
+    return catalog.ordered_catalogue(b.table_catalog(t).select("server_id", "table_schema", "table_name", "table_type"),
+                                     ["server_id", "table_schema", "table_name"])
+
+
+@query("sorted_names", """WITH names AS (SELECT DISTINCT l_suppkey AS server_id, CASE WHEN l_partkey % 3 = 0 THEN 'P_' ELSE 'p_' END || CAST(l_partkey % 50 AS VARCHAR) AS name FROM lineitem)
+SELECT server_id, string_agg(name, ',' ORDER BY name) AS names FROM names GROUP BY server_id""")
+def sorted_names(t: Tables):
+    name = F.concat(F.when(F.col("l_partkey") % 3 == 0, "P_").otherwise("p_"), (F.col("l_partkey") % 50).cast("string"))
+    return catalog.sorted_names(t.lineitem.select(F.col("l_suppkey").alias("server_id"), name.alias("name"))).withColumn("names", F.array_join("names", ","))
