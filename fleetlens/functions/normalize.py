@@ -10,7 +10,6 @@ from pyspark.sql.types import DecimalType
 UNSIGNED = DecimalType(20, 0)
 WIDE = DecimalType(38, 0)
 MAX_UNSIGNED = "18446744073709551615"
-TWO_64 = "18446744073709551616"
 NULL_MARKER = "NULL"
 RDS = "aws/rds"
 IDENTITY_PREFIX = "pgss:v1:"
@@ -97,18 +96,18 @@ def effective_ram(instance_type: Column, total: Column) -> Column:
 
 
 def timer_to_us(picoseconds: Column) -> Column:
-    """Picoseconds to whole microseconds, half away from zero."""
-    return F.round(picoseconds.cast(DecimalType(28, 0)) / F.lit(1000000).cast(DecimalType(7, 0)), 0).cast(UNSIGNED)
+    """Picoseconds to whole microseconds, half up; timers are never negative."""
+    return F.call_function("div", picoseconds + F.lit(500000), F.lit(1000000))
 
 
 def normalize_query_id(text: Column) -> Column:
     """A signed 64-bit id as its unsigned text; any other text unchanged."""
+    signed = text.try_cast("bigint")
     clean = trimmed(text)
-    number = F.when(clean.rlike("^[+-]?[0-9]{1,30}$"), clean.try_cast(WIDE))
-    signed = number.between(F.lit("-9223372036854775808").cast(WIDE), F.lit("9223372036854775807").cast(WIDE))
-    unsigned = clean.rlike("^[0-9]+$") & number.between(F.lit(0).cast(WIDE), F.lit(MAX_UNSIGNED).cast(WIDE))
-    wrapped = F.when(number < 0, number + F.lit(TWO_64).cast(DecimalType(21, 0))).otherwise(number).cast(UNSIGNED)
-    return F.when(signed | unsigned, wrapped.cast("string")).otherwise(text)
+    number = F.when(clean.rlike("^[0-9]{1,30}$"), clean.try_cast(WIDE))
+    return (F.when(signed.isNotNull(), F.conv(signed.cast("string"), 10, 10))
+            .when(number <= F.lit(MAX_UNSIGNED).cast(WIDE), number.cast("string"))
+            .otherwise(text))
 
 
 def statement_identity(database_id: Column, query_id: Column, top_level: Column) -> Column:

@@ -15,10 +15,10 @@ COMMENT_TEXT = r"[^*/]++|\*(?!/)|/(?!\*)"
 NESTED_1 = rf"/\*(?:{COMMENT_TEXT})*+\*/"
 NESTED_2 = rf"/\*(?:{COMMENT_TEXT}|{NESTED_1})*+\*/"
 NESTED_3 = rf"/\*(?:{COMMENT_TEXT}|{NESTED_2})*+\*/"
-ESCAPE_STRING = r"(?:[eE]|[uU]&)'(?:[^'\\]++|\\.|'')*+(?:'|\z)"
+ESCAPE_STRING = rf"(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'(?:[^'\\]++|\\.|'')*+(?:'|\z)"
 PLAIN_STRING = r"'[^']*+(?:'|\z)"
 WORD = rf"[A-Za-z_{HIGH}][A-Za-z0-9_${HIGH}]*+"
-NUMBER = rf"[0-9][A-Za-z0-9_${HIGH}]*+"
+WORD_END = rf"(?![A-Za-z0-9_${HIGH}])"
 TAG = rf"[A-Za-z_{HIGH}][A-Za-z0-9_{HIGH}]*+"
 BACKTICK_NAME = r"`(?:[^`]++|``)*+(?:`|\z)"
 BACKSLASH_STRING = r"'(?:[^'\\]++|\\.|'')*+(?:'|\z)"
@@ -68,10 +68,10 @@ def postgres_masked(text: Column) -> Column:
     stays in the result as a slash and star or a bare dollar sign at the end.
     """
     tokens = "|".join([
-        LINE_COMMENT, NESTED_3, r"(/\*).*+", ESCAPE_STRING, PLAIN_STRING, rf"({WORD}|{NUMBER})",
-        r'(")(?:[^"]++|"")*+(?:"|\z)', r"\$\$.*?\$\$", rf"(\${TAG}\$).*?\4", rf"(\$)(?:{TAG})?\$.*+",
+        LINE_COMMENT, NESTED_3, r"(/\*).*+", ESCAPE_STRING, PLAIN_STRING, r'(")(?:[^"]|"")*+(?:"|\z)',
+        rf"(?<![A-Za-z0-9_${HIGH}])(?:\$\$.*?\$\$|(\${TAG}\$).*?\3|(\$)(?:{TAG})?\$.*+)",
     ])
-    return F.regexp_replace(text, f"(?s){tokens}", "$1$2$3$5 ")
+    return F.regexp_replace(text, rf"(?s)(?=[-/eEuU'\"$])(?:{tokens})", "$1$2$4 ")
 
 
 def unread_tail(masked: Column) -> Column:
@@ -87,12 +87,14 @@ def has_parameter(masked: Column) -> Column:
 def is_data_modifying(masked: Column) -> Column:
     """Whether an insert, update, delete or merge command stands in the text."""
     name = rf'(?:"|{WORD})'
-    only = rf"(?:only\s*(?:\(\s*{name}\s*\)|{name})|(?!only\s){name})"
+    only = rf"(?:only{WORD_END}\s*(?:\(\s*{name}\s*\)|{name})|(?!only{WORD_END}){name})"
     place = rf"{only}\s*(?:\.\s*{name}\s*)?"
-    insert = (rf"insert\s+(?!as\s)(?:into\s+)?{place}"
-              rf"(?:\(|(?:{INSERT_REST})\s|(?:as\s+)?{name}\s*(?:\(|(?:{INSERT_REST})\s))")
-    update = rf"update\s+(?!as\s){place}\*?\s*(?:as\s+{name}\s*set\s|set\s|{name}\s*set\s)"
-    return masked.rlike(rf"(?i)(?<![A-Za-z0-9_$])(?:{insert}|merge\s+into\s|delete\s+from\s|{update})")
+    rest = rf"(?:{INSERT_REST}){WORD_END}"
+    set_word = rf"set{WORD_END}"
+    insert = rf"insert{WORD_END}\s*(?!as{WORD_END})(?:into{WORD_END}\s*)?{place}(?:\(|{rest}|(?:as{WORD_END}\s*)?{name}\s*(?:\(|{rest}))"
+    update = rf"update{WORD_END}\s*(?!as{WORD_END}){place}\*?\s*(?:as{WORD_END}\s*{name}\s*{set_word}|{set_word}|{name}\s*{set_word})"
+    merge, delete = rf"merge{WORD_END}\s*into{WORD_END}", rf"delete{WORD_END}\s*from{WORD_END}"
+    return masked.rlike(rf"(?i)(?=[iumd])(?<![A-Za-z0-9_${HIGH}])(?:{insert}|{update}|{merge}|{delete})")
 
 
 def statement_profile(corpus: DataFrame, text: str = "text") -> DataFrame:

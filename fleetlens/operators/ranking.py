@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_query_id
+from ..session import pinned
 from .skew import lookup, rank_within, top_k
 
 # Successful plans per ranking, and parameters per batch.
@@ -44,11 +45,16 @@ def plan_quota(candidates: DataFrame, field: str, success: Column, quota: int =
 
 def two_rankings(candidates: DataFrame, first: str, second: str, success: Column, quota: int = PLAN_QUOTA,
                  keys: Sequence[str] = ("server_id",), tie: str = "queryid") -> DataFrame:
-    """A quota pass by ``first``, then one by ``second`` over what the first pass did not attempt."""
+    """A quota pass by ``first``, then one by ``second`` over what the first pass did not attempt.
+
+    The candidates are read several times, so their key, the two fields and the outcome are written once.
+    """
+    candidates = pinned(candidates.select(*keys, tie, first, second, success.alias("_success")))
+    success = F.col("_success")
     one = plan_quota(candidates, first, success, quota, keys, tie).withColumn("ranking", F.lit(first))
     rest = candidates.join(one.select(*keys, tie), [*keys, tie], "left_anti")
     two = plan_quota(rest, second, success, quota, keys, tie).withColumn("ranking", F.lit(second))
-    return one.unionByName(two)
+    return one.unionByName(two).drop("_success")
 
 
 def plan_key(database: Column, query_id: Column, text: Column) -> Column:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from ..functions.normalize import (UNSIGNED, WIDE, null_marker, saturated, statement_identity,
+from ..functions.normalize import (UNSIGNED, null_marker, saturated, statement_identity,
                                    timer_to_us)
 from ..session import pinned
 from .skew import lookup
@@ -21,6 +22,7 @@ SAMPLE_PERIODS = {"two_or_more": 10, "one": 1, "none": 600}
 # Size factors of the two backup kinds and the size in MiB assumed for an empty table.
 LOGICAL_FACTOR, PHYSICAL_FACTOR, EMPTY_MIB = 2.0, 1.2, 0.1
 MIB = 1024 * 1024
+EXACT_TIME = DecimalType(28, 6)
 
 
 def statement_rollup(stats: DataFrame, databases: DataFrame, timing: str = "total_exec_time",
@@ -33,18 +35,21 @@ def statement_rollup_full(stats: DataFrame, databases: DataFrame, timing: str =
                           has_toplevel: bool = True, has_rows: bool = True,
                           keys: Sequence[str] = ("server_id",)) -> DataFrame:
     """A2: the rollup with the statement text and the number of rows; 0 rows where the server has no such counter."""
-    rows = F.sum("rows").cast(WIDE) if has_rows else F.lit(0).cast(WIDE)
+    rows = F.sum("rows") if has_rows else F.lit(0).cast("bigint")
     return _rollup(stats, databases, timing, has_toplevel, keys, [F.min("query").alias("query"), rows.alias("rows")])
 
 
 def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: bool, keys: Sequence[str],
             extra: list[Column]) -> DataFrame:
     level = F.col("toplevel") if has_toplevel else F.lit(None).cast("boolean")
+    time = F.col(timing)
+    if isinstance(stats.schema[timing].dataType, (DoubleType, FloatType)):
+        time = time.cast(EXACT_TIME)  # a sum of doubles would depend on the order of the rows
     total, calls = F.col("_time").cast("double"), F.col("calls").cast("double")
     sums = (stats.filter(F.col("queryid").isNotNull())
             .withColumn("toplevel", level)
             .groupBy(*keys, "dbid", "queryid", "toplevel")
-            .agg(F.sum("calls").cast(WIDE).alias("calls"), F.sum(timing).alias("_time"), *extra))
+            .agg(F.sum("calls").alias("calls"), F.sum(time).alias("_time"), *extra))
     named = database_names(sums, databases, keys)
     return (named.withColumn("total_exec_time_us", total * 1000.0)
             .withColumn("mean_exec_time_us", F.coalesce(total / F.when(calls != 0, calls), F.lit(0.0)) * 1000.0)

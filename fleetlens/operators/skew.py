@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import pinned
 
@@ -17,12 +16,14 @@ SPLIT_ROWS = 1_000_000
 """Groups up to this many rows are ranked in one task; larger ones are cut into value ranges."""
 
 
-def salt_column(df: DataFrame, keys: Sequence[str], salts: int = SALTS) -> Column:
-    """A slice number from the row's own content and its input partition, the same on every retry."""
-    fields = [f.name for f in df.schema.fields
-              if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    content = F.xxhash64(*fields) if fields else F.lit(0)
-    return F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
+def salt_column(salts: int = SALTS) -> Column:
+    """A slice number from the partition a row is read from.
+
+    It is the same on every retry and needs no column, so unused columns are still pruned. Rows of a hot key come
+    from many splits or from a finer shuffle, so they get all slices; where they come from one partition already, the
+    slice changes nothing.
+    """
+    return F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int")
 
 
 def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
@@ -33,7 +34,7 @@ def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "le
     the measured size allows it.
     """
     on = list(on)
-    salted = facts.withColumn("_slice", salt_column(facts, on, salts))
+    salted = facts.withColumn("_slice", salt_column(salts))
     copies = keyed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_slice"], how).drop("_slice")
 
@@ -41,7 +42,7 @@ def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "le
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of every group with their rank, cut per slice before the groups meet in one task."""
     group = list(group)
-    sliced = df.withColumn("_slice", salt_column(df, group))
+    sliced = df.withColumn("_slice", salt_column())
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)
     return (sliced.withColumn(rank, F.row_number().over(local)).filter(F.col(rank) <= k).drop("_slice", rank)
@@ -68,16 +69,18 @@ def rank_within(df: DataFrame, group: Sequence[str], value: str, tie: str, rank:
     equal = F.coalesce(F.array_contains("_cuts", F.col(value)), F.lit(False))
     cut = (lookup(df, cuts, group)
            .withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(-(2 * below + equal.cast("int"))))
-           .withColumn("_prefix", F.when(equal, F.substring(tie, 1, 3)).otherwise(F.lit("")))
+           .withColumn("_prefix", F.coalesce(F.when(equal, F.substring(tie, 1, 3)), F.lit("")))
            .drop("_cuts"))
+    piece = [*group, "_range", "_prefix"]
+    place = Window.partitionBy(*piece).orderBy(F.col(value).desc(), F.col(tie).asc())
+    placed = (cut.withColumn("_place", F.row_number().over(place))
+              .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*piece))))
+    # Both sides of the join read the same shuffle, so the rows are computed once.
     before = Window.partitionBy(*group).orderBy("_range", "_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (cut.groupBy(*group, "_range", "_prefix").count()
-               .withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"))
-    place = Window.partitionBy(*group, "_range", "_prefix").orderBy(F.col(value).desc(), F.col(tie).asc())
-    return (cut.withColumn("_place", F.row_number().over(place))
-            .join(offsets, [*group, "_range", "_prefix"])
+    offsets = placed.filter(F.col("_place") == 1).select(*piece, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return (placed.join(offsets, piece)
             .withColumn(rank, F.col("_place") + F.col("_before"))
-            .drop("_range", "_prefix", "_place", "_before"))
+            .drop("_range", "_prefix", "_place", "_size", "_before"))
 
 
 def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, bucket: Column,

@@ -31,17 +31,20 @@ def change_gate(statements: DataFrame, tasks: DataFrame, keys: Sequence[str] = (
     s = statements
     bad = (_blank(F.col("schema_name")) | _blank(F.col("ddl_statement"))
            | (F.col("syntax_valid") & (_blank(F.col("target_schema")) | _blank(F.col("target_table")))))
-    spoiled = s.groupBy(*keys).agg(F.bool_or(bad).alias("_spoiled"), F.count(F.lit(1)).alias("_statements"))
-    per_task = tasks.join(spoiled, keys, "left").select(*keys, F.coalesce("_spoiled", F.lit(False)).alias("_spoiled"), "enabled")
-    joined = lookup(s, per_task, keys)
     wanted = F.col("backup_wanted")
-    code = (F.when(~F.col("enabled"), DISABLED).when(F.col("_spoiled"), BAD_INPUT)
-            .when(~F.col("syntax_valid"), SYNTAX).when(_blank(F.col("engine")), NOT_POSSIBLE)
-            .when(~F.col("ok_online") & ~F.col("ok_copy_tool"), NOT_POSSIBLE)
-            .when(wanted & ~F.col("ok_recovery"), NO_RECOVERY).otherwise(0))
+    own = (F.when(~F.col("syntax_valid"), SYNTAX).when(_blank(F.col("engine")), NOT_POSSIBLE)
+           .when(~F.col("ok_online") & ~F.col("ok_copy_tool"), NOT_POSSIBLE)
+           .when(wanted & ~F.col("ok_recovery"), NO_RECOVERY).otherwise(0))
+    # One pass per task: what spoils all of it, and where its own statements stop it.
+    facts = s.groupBy(*keys).agg(F.bool_or(bad).alias("_spoiled"), F.min("statement_index").alias("_first"),
+                                 F.min(F.when(own != 0, F.col("statement_index"))).alias("_own_stop"))
+    whole = F.when(~F.col("enabled"), DISABLED).when(F.col("_spoiled"), BAD_INPUT)
+    per_task = facts.join(tasks.select(*keys, "enabled"), keys, "left").select(
+        *keys, whole.alias("_whole"), F.when(whole.isNotNull(), F.col("_first")).otherwise(F.col("_own_stop")).alias("_stop"))
     backup = F.when(wanted, F.when(F.col("ok_physical"), "physical").otherwise("logical")).otherwise("none")
-    gated = joined.withColumn("exit_code", code).withColumn("backup", F.when(F.col("exit_code") == 0, backup))
-    return first_failure_stops(gated, "statement_index", F.col("exit_code") != 0, keys).drop("_spoiled", "enabled")
+    return (lookup(s, per_task, keys).withColumn("exit_code", F.coalesce("_whole", own))
+            .withColumn("backup", F.when(F.col("exit_code") == 0, backup))
+            .withColumn("run", F.col("_stop").isNull() | (F.col("statement_index") <= F.col("_stop"))).drop("_whole", "_stop"))
 
 
 def task_gate(statements: DataFrame, gated: DataFrame, tasks: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:

@@ -32,7 +32,7 @@ def sql_list(values) -> str:
 
 
 def statement_stats(t: Tables) -> DataFrame:
-    """Statement statistics; some rows have no query id."""
+    """Statement statistics with times in whole milliseconds; some rows have no query id."""
     part = F.col("l_partkey")
     return t.lineitem.select(
         (F.col("l_suppkey") % 10).alias("server_id"),
@@ -42,9 +42,9 @@ def statement_stats(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") != "A", F.col("l_linestatus") == "O").alias("toplevel"),
         F.concat(F.when(F.col("l_linenumber") == 3, "update t set a = $1 -- ").otherwise("select * from t"),
                  (part % 64).cast("string"), F.lit(" "), F.col("l_returnflag")).alias("query"),
-        F.col("l_quantity").cast("decimal(20,0)").alias("calls"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("total_exec_time"),
-        (F.col("l_orderkey") % 1000).cast("decimal(20,0)").alias("rows"),
+        F.col("l_quantity").cast("bigint").alias("calls"),
+        F.floor("l_extendedprice").alias("total_exec_time"),
+        (F.col("l_orderkey") % 1000).alias("rows"),
     )
 
 
@@ -56,7 +56,7 @@ stats AS (
     CASE WHEN l_returnflag <> 'A' THEN l_linestatus = 'O' END AS toplevel,
     (CASE WHEN l_linenumber = 3 THEN 'update t set a = $1 -- ' ELSE 'select * from t' END)
       || CAST(l_partkey % 64 AS VARCHAR) || ' ' || l_returnflag AS query,
-    CAST(l_quantity AS BIGINT) AS calls, CAST(l_extendedprice AS DECIMAL(18,2)) AS total_exec_time,
+    CAST(l_quantity AS BIGINT) AS calls, CAST(floor(l_extendedprice) AS BIGINT) AS total_exec_time,
     l_orderkey % 1000 AS rows
   FROM lineitem),
 databases AS (
@@ -93,7 +93,7 @@ def databases(t: Tables) -> DataFrame:
 def digest_summary(t: Tables) -> DataFrame:
     """Statement digests, one row per source row; some names are missing."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
-    counters = {name: ((F.col("l_orderkey") + i) % (i + 11)).cast("decimal(20,0)") for i, name in enumerate(COUNTERS)}
+    counters = {name: (F.col("l_orderkey") + i) % (i + 11) for i, name in enumerate(COUNTERS)}
     return t.lineitem.select(
         (F.col("l_suppkey") % 10).alias("server_id"),
         F.when(line != 7, F.concat(F.lit("db"), F.year("l_shipdate").cast("string"))).alias("schema_name"),
@@ -104,8 +104,8 @@ def digest_summary(t: Tables) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("count_star"),
         F.col("l_orderkey").alias("snapshot_id"),
         line.cast("bigint").alias("line"),
-        (F.floor("l_extendedprice") * 123456789).cast("decimal(28,0)").alias("sum_timer_wait"),
-        (F.floor("l_extendedprice") * 12345).cast("decimal(28,0)").alias("avg_timer_wait"),
+        (F.floor("l_extendedprice") * 123456789).alias("sum_timer_wait"),
+        (F.floor("l_extendedprice") * 12345).alias("avg_timer_wait"),
         *[c.alias(n) for n, c in counters.items()],
         F.col("l_shipdate").alias("first_seen"),
         (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("last_seen"),

@@ -5,18 +5,14 @@ from __future__ import annotations
 # Bronze: one report per line. The document stays JSON text.
 REPORT = "server_id BIGINT, collected_at TIMESTAMP, report_type STRING, document STRING, _corrupt STRING"
 
-# The parts of a report document that are exploded to rows.
-DOCUMENT = """STRUCT<
-  System: STRUCT<Info: MAP<STRING, STRING>, Metrics: MAP<STRING, STRING>>,
-  DB: STRUCT<
-    Metrics: STRUCT<Status: MAP<STRING, STRING>, TotalTables: DECIMAL(20,0), Databases: ARRAY<STRING>>,
-    Conf: STRUCT<Variables: MAP<STRING, STRING>>,
-    Info: STRUCT<
-      Version: STRING, Type: STRING, Grants: ARRAY<STRING>,
-      Extensions: ARRAY<STRUCT<name: STRING, version: STRING, schema: STRING>>,
-      PgHba: ARRAY<STRUCT<type: STRING, database: STRING, user_name: STRING, address: STRING, auth_method: STRING, error: STRING>>>,
-    DatabaseSchema: MAP<STRING, ARRAY<MAP<STRING, STRING>>>,
-    FailedDatabaseSchema: ARRAY<STRING>>>"""
+# The parts of a report document that are exploded to rows; each reader parses its own part only.
+STATUS = "STRUCT<DB: STRUCT<Metrics: STRUCT<Status: MAP<STRING, STRING>>, Conf: STRUCT<Variables: MAP<STRING, STRING>>>>"
+SECTIONS = "STRUCT<DB: STRUCT<DatabaseSchema: MAP<STRING, ARRAY<MAP<STRING, STRING>>>>>"
+FAILED_SECTIONS = "STRUCT<DB: STRUCT<FailedDatabaseSchema: ARRAY<STRING>>>"
+GRANTS = "STRUCT<DB: STRUCT<Info: STRUCT<Grants: ARRAY<STRING>>>>"
+EXTENSIONS = "STRUCT<DB: STRUCT<Info: STRUCT<Extensions: ARRAY<STRUCT<name: STRING, version: STRING, schema: STRING>>>>>"
+RULES = """STRUCT<DB: STRUCT<Info: STRUCT<PgHba: ARRAY<STRUCT<
+  type: STRING, database: STRING, user_name: STRING, address: STRING, auth_method: STRING, error: STRING>>>>>"""
 
 _DISK = """STRUCT<device: STRING, readIOsPS: DOUBLE, writeIOsPS: DOUBLE, avgQueueLen: DOUBLE, avgReqSz: DOUBLE, await: DOUBLE,
   readKb: BIGINT, readKbPS: DOUBLE, rrqmPS: DOUBLE, tps: DOUBLE, util: DOUBLE, writeKb: BIGINT, writeKbPS: DOUBLE, wrqmPS: DOUBLE,

@@ -35,25 +35,31 @@ def read_snapshot_stream(spark: SparkSession, path: str, files_per_trigger: int
     return _bronze(reader.json(path))
 
 
-def _document(reports: DataFrame) -> DataFrame:
-    return reports.withColumn("_d", F.from_json("document", schemas.DOCUMENT))
+def _document(reports: DataFrame, schema: str) -> DataFrame:
+    return reports.withColumn("_d", F.from_json("document", schema))
 
 
 def explode_status(reports: DataFrame) -> DataFrame:
     """SRC3: status and variables as (server, time, scope, name, value) rows."""
     both = F.array(F.struct(F.lit("status").alias("scope"), F.col("_d.DB.Metrics.Status").alias("values")),
                    F.struct(F.lit("variables").alias("scope"), F.col("_d.DB.Conf.Variables").alias("values")))
-    return (_document(reports).select("server_id", "collected_at", F.explode(both).alias("_s"))
+    return (_document(reports, schemas.STATUS).select("server_id", "collected_at", F.explode(both).alias("_s"))
             .select("server_id", "collected_at", "_s.scope", F.explode("_s.values").alias("name", "value")))
 
 
 def explode_sections(reports: DataFrame) -> DataFrame:
     """SRC4: catalogue rows with the name of their section; the row stays a map."""
     sections = F.explode("_d.DB.DatabaseSchema").alias("section", "_rows")
-    return (_document(reports).select("server_id", "collected_at", sections)
+    return (_document(reports, schemas.SECTIONS).select("server_id", "collected_at", sections)
             .select("server_id", "collected_at", "section", F.explode("_rows").alias("row")))
 
 
+def failed_sections(reports: DataFrame) -> DataFrame:
+    """SRC4: failed sections of a report in the order it lists them."""
+    return _document(reports, schemas.FAILED_SECTIONS).select(
+        "server_id", "collected_at", F.posexplode("_d.DB.FailedDatabaseSchema").alias("ordinal", "section"))
+
+
 def mysql_section(sections: DataFrame, section: str) -> DataFrame:
     """SRC4a: one section as a table; a column that the server's layout lacks is the marker text."""
     values = [F.coalesce(F.col("row")[c], F.lit(NULL_MARKER)).alias(c) for c in schemas.SECTION_COLUMNS[section]]
@@ -115,19 +121,19 @@ def parse_event_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def info_grants(reports: DataFrame) -> DataFrame:
     """SRC10: grants of the collecting account."""
-    return _document(reports).select("server_id", "collected_at", F.explode("_d.DB.Info.Grants").alias("grant"))
+    return _document(reports, schemas.GRANTS).select("server_id", "collected_at", F.explode("_d.DB.Info.Grants").alias("grant"))
 
 
 def info_extensions(reports: DataFrame) -> DataFrame:
     """SRC10: extensions with version and schema."""
-    rows = _document(reports).select("server_id", "collected_at", F.explode("_d.DB.Info.Extensions").alias("_e"))
+    rows = _document(reports, schemas.EXTENSIONS).select("server_id", "collected_at", F.explode("_d.DB.Info.Extensions").alias("_e"))
     return rows.select("server_id", "collected_at", "_e.name", F.coalesce("_e.version", F.lit(NULL_MARKER)).alias("version"),
                        F.coalesce("_e.schema", F.lit(NULL_MARKER)).alias("schema"))
 
 
 def info_rules(reports: DataFrame) -> DataFrame:
     """SRC10: access rules; missing parts are empty text."""
-    rows = _document(reports).select("server_id", "collected_at", F.explode("_d.DB.Info.PgHba").alias("_r"))
+    rows = _document(reports, schemas.RULES).select("server_id", "collected_at", F.explode("_d.DB.Info.PgHba").alias("_r"))
     fields = ("type", "database", "user_name", "address", "auth_method", "error")
     return rows.select("server_id", "collected_at", *[F.coalesce(F.col(f"_r.{f}"), F.lit("")).alias(f) for f in fields])
 
