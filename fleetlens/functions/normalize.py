@@ -105,7 +105,7 @@ def normalize_query_id(text: Column) -> Column:
     signed = text.try_cast("bigint")
     clean = trimmed(text)
     number = F.when(clean.rlike("^[0-9]{1,30}$"), clean.try_cast(WIDE))
-    return (F.when(signed.isNotNull(), F.conv(signed.cast("string"), 10, 10))
+    return (F.when(signed.isNotNull(), F.conv(F.hex(signed), 16, 10))
             .when(number <= F.lit(MAX_UNSIGNED).cast(WIDE), number.cast("string"))
             .otherwise(text))
 

@@ -1,4 +1,8 @@
-"""Schema catalogues: versioned columns, indexes, constraints, sequences, sections."""
+"""Schema catalogues: versioned columns, indexes, constraints, sequences, sections.
+
+Joins by relation, column or index meet large tables on fine keys: they are plain joins, whose skewed partitions Spark
+splits at run time. Joins by schema, collation or server meet small tables on coarse keys: they are salted lookups.
+"""
 
 from __future__ import annotations
 
@@ -125,8 +129,8 @@ def referential_constraints(constraints: DataFrame, classes: DataFrame, namespac
     parent = _relations(classes, namespaces, keys, "confrelid", "referenced_table_name", "unique_constraint_schema")
     index_names = classes.select(*keys, F.col("oid").alias("conindid"), F.col("relname").alias("_index"))
     foreign = constraints.filter(F.col("contype") == "f")
-    joined = lookup(lookup(foreign, child, [*keys, "conrelid"], "inner"), parent, [*keys, "confrelid"], "inner")
-    joined = lookup(lookup(joined, index_names, [*keys, "conindid"]), _unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"])
+    joined = foreign.join(child, [*keys, "conrelid"]).join(parent, [*keys, "confrelid"])
+    joined = joined.join(index_names, [*keys, "conindid"], "left").join(_unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"], "left")
     return joined.filter(user_schema(F.col("constraint_schema"))).select(
         *keys, "constraint_schema", F.col("conname").alias("constraint_name"), "unique_constraint_schema",
         F.coalesce("unique_name", "_index", F.lit("NULL")).alias("unique_constraint_name"),
@@ -142,8 +146,8 @@ def key_column_usage(constraints: DataFrame, classes: DataFrame, namespaces: Dat
     child = _relations(classes, namespaces, keys, "conrelid", "table_name", "constraint_schema")
     parent = _relations(classes, namespaces, keys, "confrelid", "referenced_table_name", "referenced_table_schema")
     foreign = constraints.filter(F.col("contype") == "f")
-    joined = lookup(lookup(foreign, child, [*keys, "conrelid"], "inner"), parent, [*keys, "confrelid"], "inner")
-    joined = lookup(joined, _unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"])
+    joined = foreign.join(child, [*keys, "conrelid"]).join(parent, [*keys, "confrelid"])
+    joined = joined.join(_unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"], "left")
     parts = (joined.filter(user_schema(F.col("constraint_schema")))
              .withColumn("_parts", F.arrays_zip("conkey", "confkey"))
              .select("*", F.posexplode("_parts").alias("_place", "_part"))
@@ -152,7 +156,7 @@ def key_column_usage(constraints: DataFrame, classes: DataFrame, namespaces: Dat
     own = attributes.select(*keys, F.col("attrelid").alias("conrelid"), F.col("attnum").alias("_child"), F.col("attname").alias("column_name"))
     other = attributes.select(*keys, F.col("attrelid").alias("confrelid"), F.col("attnum").alias("_parent"), F.col("attname").alias("referenced_column_name"))
     place = F.nullif(F.expr("array_position(unique_key, _parent)"), F.lit(0))
-    return (lookup(lookup(parts, own, [*keys, "conrelid", "_child"], "inner"), other, [*keys, "confrelid", "_parent"], "inner")
+    return (parts.join(own, [*keys, "conrelid", "_child"]).join(other, [*keys, "confrelid", "_parent"])
             .select(*keys, "constraint_schema", F.col("conname").alias("constraint_name"), "table_name", "column_name",
                     F.col("ordinal_position").cast("string").alias("ordinal_position"),
                     F.coalesce(place, F.col("ordinal_position")).cast("string").alias("position_in_unique_constraint"),
@@ -174,7 +178,7 @@ def sequence_ownership(sequences: DataFrame, namespaces: DataFrame, classes: Dat
     columns = attributes.select(*keys, F.col("attrelid").alias("_table"), F.col("attnum").alias("_column"), F.col("attname").alias("owned_column_name"))
     joined = lookup(sequences.filter(user_schema(F.col("schemaname"))), schemas, [*keys, "schemaname"])
     joined = joined.join(own, [*keys, "_namespace", "sequencename"], "left").join(owners, [*keys, "_sequence"], "left")
-    joined = lookup(lookup(joined, tables, [*keys, "_table"]), columns, [*keys, "_table", "_column"])
+    joined = joined.join(tables, [*keys, "_table"], "left").join(columns, [*keys, "_table", "_column"], "left")
     values = ("cache_size", "last_value", "owned_table_schema", "owned_table_name", "owned_column_name")
     return joined.select(*keys, "schemaname", "sequencename", *[from_null_marker(F.col(v)).alias(v) for v in values])
 

@@ -150,7 +150,7 @@ def route_reports(t: Tables):
     reports = t.orders.select(F.col("o_custkey").alias("server_id"), F.date_trunc("YEAR", "o_orderdate").alias("collected_at"), pick(MODES, "o_orderkey").alias("mode"),
                               pick(KINDS, "o_custkey").alias("report_type"))
     path = landing.fresh_dir(t, "routed")
-    write.write_routed(reports, path, files=1)
+    write.write_routed(reports, path)
     return (t.spark.read.parquet(path).groupBy("route", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("reports")))
 
 

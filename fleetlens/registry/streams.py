@@ -14,22 +14,23 @@ DAY = 86400
 PARTS = 3
 
 
-def landed_parts(t: Tables, rows, at: str, name: str) -> tuple[str, str]:
-    """Write rows as a few files in the order of time, as they would land, and name the folder and the schema."""
-    path = landing.fresh_dir(t, name)
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    step = (high - low) // PARTS + 1
-    for part in range(PARTS):
-        rows.filter(F.floor((F.col(at) - F.lit(low)) / F.lit(step)) == part).coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
-
-
 def run(t: Tables, stream, mode: str = "append"):
     path = landing.fresh_dir(t, "out")
     state.run_to_end(stream, path, landing.fresh_dir(t, "checkpoint"), mode)
     return t.spark.read.parquet(path)
 
 
+def run_landing(t: Tables, rows, at: str, build):
+    """Land the rows in a few parts in the order of time and run the stream after each; the running results."""
+    source, path, checkpoint = (landing.fresh_dir(t, name) for name in ("landed", "out", "checkpoint"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    step = (high - low) // PARTS + 1
+    for part in range(PARTS):
+        rows.filter(F.floor((F.col(at) - F.lit(low)) / F.lit(step)) == part).write.mode("append").parquet(source)
+        state.run_to_end(build(t.spark.readStream.schema(rows.schema).parquet(source)), path, checkpoint, "update")
+    return t.spark.read.parquet(path)
+
+
 REPORTS = """SELECT o_custkey AS server_id, CASE o_orderstatus WHEN 'F' THEN 'Metrics' WHEN 'O' THEN 'Queries' ELSE 'Configurations' END AS report_type,
   CAST(epoch(o_orderdate) AS BIGINT) AS collected_at FROM orders"""
 
@@ -53,10 +54,8 @@ def read_snapshot_stream(t: Tables):
 @query("sample_text_state", f"""WITH {b.STATEMENT_EVENTS} SELECT server_id, schema_name, digest, arg_max(sql_text, (timer_start, event_id)) AS sql_text
 FROM statement_events WHERE schema_name IS NOT NULL AND digest IS NOT NULL AND sql_text IS NOT NULL GROUP BY ALL""")
 def sample_text_state(t: Tables):
-    path, schema = landed_parts(t, b.statement_events(t), "timer_start", "events")
-    texts = state.sample_text_state(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
     keys = ["server_id", "schema_name", "digest"]
-    return state.newest(run(t, texts, "update"), keys).select(*keys, "sql_text")
+    return state.newest(run_landing(t, b.statement_events(t), "timer_start", state.sample_text_state), keys).select(*keys, "sql_text")
 
 
 def task_reports(t: Tables):
@@ -78,9 +77,7 @@ def task_state(t: Tables):
 
 @query("task_state_stream", TASKS)
 def task_state_stream(t: Tables):
-    path, schema = landed_parts(t, task_reports(t), "reported_at", "tasks")
-    states = state.task_state(t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
-    return state.newest(run(t, states, "update"), ["task_id"])
+    return state.newest(run_landing(t, task_reports(t), "reported_at", state.task_state), ["task_id"])
 
 
 def snapshot_log(t: Tables):
@@ -113,9 +110,7 @@ walk AS (SELECT server_id, n, seen, id, CASE WHEN ok THEN 'refreshed' ELSE 'erro
 SELECT server_id, seen AS "at", id, state, taken_at, large FROM walk""")
 def snapshot_state(t: Tables):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path, schema = landed_parts(t, snapshot_log(t), "at", "log")
-    log = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return run(t, state.snapshot_state(log), "update").drop("batch", "part")
+    return run_landing(t, snapshot_log(t), "at", state.snapshot_state).drop("batch", "part")
 
 
 @query("topology_state", """WITH d AS (SELECT user_id AS server_id, epoch_us(ts) AS seen, event_id, event_type NOT IN ('error', 'view') AS ok, event_type || CAST(event_id AS VARCHAR) AS topology FROM events),

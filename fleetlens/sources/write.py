@@ -33,11 +33,13 @@ def route_reports(reports: DataFrame) -> DataFrame:
         "day", F.to_date("collected_at"))
 
 
-def write_routed(reports: DataFrame, path: str, mode: str = "append", files: int = 8) -> None:
-    """SNK1: write every report below its route and day; the rows of a route and day go to at most ``files`` files."""
-    routed = route_reports(reports)
-    spread = F.pmod(F.xxhash64("server_id"), F.lit(files))
-    routed.repartition("route", "day", spread).write.mode(mode).partitionBy("route", "day").parquet(path)
+def write_routed(reports: DataFrame, path: str, mode: str = "append") -> None:
+    """SNK1: write every report below its route and day.
+
+    Rebalancing puts small routes into one file each and splits a route or day that holds most reports by its size.
+    """
+    routed = route_reports(reports).hint("rebalance", F.col("route"), F.col("day"))
+    routed.write.mode(mode).partitionBy("route", "day").parquet(path)
 
 
 def write_routed_stream(reports: DataFrame, path: str, checkpoint: str):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.hosts import LARGE_RAM_FACTOR, LARGE_TABLES, LARGE_TTL, ORDINARY_TTL
 from ..operators.skew import carry_last
 
+# The state rules travel with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Seconds between two reports of a kind, and the state of a started task.
 REPORT_PERIODS = {"Metrics": 60, "Queries": 3600, "Configurations": 43200}
 STARTED = 3
