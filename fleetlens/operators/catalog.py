@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import ACTION_WORDS, MATCH_WORDS, code_word, from_null_marker, since
 from .filters import relkind_filter, user_schema
-from .skew import lookup
+from .skew import FINE, lookup
 
 # Server versions from which a column exists, required columns, sections in their order.
 IDENTITY, KEY_COUNT, GENERATED, NULLS_NOT_DISTINCT, LAST_SCAN = 100000, 110000, 120000, 150000, 160000
@@ -245,7 +245,7 @@ def role_membership(roles: DataFrame, grants: DataFrame, keys: Sequence[str] = (
     keys = list(keys)
     pairs = grants.groupBy(*keys, "member", "roleid").agg(F.count(F.lit(1)).alias("_times"))
     names = roles.select(*keys, F.col("oid").alias("roleid"), F.col("rolname").alias("granted"))
-    listed = lookup(pairs, names, [*keys, "roleid"], "inner").groupBy(*keys, F.col("member").alias("oid")).agg(
+    listed = lookup(pairs, names, [*keys, "roleid"], "inner", FINE).groupBy(*keys, F.col("member").alias("oid")).agg(
         F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(granted, int(_times))")))).alias("_granted"))
     return (roles.join(listed, [*keys, "oid"], "left")
             .withColumn("member_of", F.coalesce(F.array_join("_granted", ","), F.lit(""))).drop("_granted"))

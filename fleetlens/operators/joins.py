@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import is_aurora
-from .skew import lookup
+from .skew import FINE, lookup
 
 SERVERLESS_CLASS = "db.serverless"
 
@@ -23,7 +23,7 @@ def latest_statement_text(events: DataFrame, keys: Sequence[str] = ("server_id",
 def attach_sample_text(statements: DataFrame, texts: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
     """Statements with their newest text, '' when there is none."""
     samples = texts.select(*keys, "schema_name", F.col("digest").alias("query_id"), F.col("sql_text").alias("query_text"))
-    return lookup(statements, samples, [*keys, "schema_name", "query_id"]).withColumn("query_text", F.coalesce("query_text", F.lit("")))
+    return lookup(statements, samples, [*keys, "schema_name", "query_id"], salts=FINE).withColumn("query_text", F.coalesce("query_text", F.lit("")))
 
 
 def cluster_topology(requested: DataFrame, instances: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_query_id
 from ..session import pinned
-from .skew import lookup, rank_within, top_k
+from .skew import FINE, lookup, rank_within, top_k
 
 # Successful plans per ranking, and parameters per batch.
 PLAN_QUOTA = 100
@@ -64,7 +64,7 @@ def plan_key(database: Column, query_id: Column, text: Column) -> Column:
 
 def plan_sharing(statements: DataFrame, outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The outcome of a key copied to all of its statements, also to those never attempted."""
-    return lookup(statements, outcomes, keys)
+    return lookup(statements, outcomes, keys, salts=FINE)
 
 
 def attempt_dedupe(attempts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -114,5 +114,5 @@ def batch_outcomes(batched: DataFrame, failed: Column, keys: Sequence[str] = ("s
 def first_failure_stops(steps: DataFrame, order: str, failed: Column, keys: Sequence[str]) -> DataFrame:
     """Statements of a task in order; after the first failure none is run."""
     first = steps.filter(failed).groupBy(*keys).agg(F.min(order).alias("_stop"))
-    return (lookup(steps, first, keys)
+    return (lookup(steps, first, keys, salts=FINE)
             .withColumn("run", F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop"))

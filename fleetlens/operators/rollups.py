@@ -10,8 +10,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions.normalize import (UNSIGNED, null_marker, saturated, statement_identity,
                                    timer_to_us)
-from ..session import pinned
-from .skew import lookup
+from .skew import FINE, SPLIT_ROWS, cuts_below, group_sizes, lookup, value_cuts
 
 # Byte limits tried one after the other, and the total that one process list may take.
 TEXT_LIMITS = [65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64]
@@ -155,7 +154,7 @@ def text_budget(processes: DataFrame, keys: Sequence[str], info: str = "info", b
         choice = choice.when(F.col(f"_at_{n}") <= budget, F.lit(n))
     chosen = totals.select(*keys, choice.otherwise(F.lit(limits[-1])).alias("byte_limit"))
     cut = F.when(F.col("byte_limit").isNull(), text).otherwise(F.substring(text, F.lit(1), F.col("byte_limit")))
-    return lookup(marked.drop("_size"), chosen, keys).withColumn("info_bytes", cut).drop(info)
+    return lookup(marked.drop("_size"), chosen, keys, salts=FINE).withColumn("info_bytes", cut).drop(info)
 
 
 def section_failures(failures: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
@@ -223,25 +222,28 @@ def bytes_required(catalog: DataFrame, keys: Sequence[str] = ("server_id",)) ->
             .drop("_schema"))
 
 
-def latency_share(statements: DataFrame, value: str, share: float = 0.95, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def latency_share(statements: DataFrame, value: str, share: float = 0.95, keys: Sequence[str] = ("server_id",),
+                  split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Scanning distinct times downwards, the last time whose share of statements at or below it exceeds ``share``.
 
-    Approximate quantiles around the share cut a server's times into narrow ranges. The ranges are counted, and only
-    the times of the range that crosses the share are walked. The cuts balance the work and do not change the result.
+    Times are counted first, so only distinct ones are walked. Those of a large server are cut into ranges; the ranges
+    are counted, and only the range that crosses the share is walked. The cuts do not change the result.
     """
     keys = list(keys)
-    around = [x / 1000 for x in range(max(1, round(share * 1000) - 30), min(1000, round(share * 1000) + 30))]
-    cuts = pinned(statements.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, around, 10000)).alias("_cuts"), F.count(F.lit(1)).alias("_all")))
-    place = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    counted = (lookup(statements.select(*keys, value), cuts, keys).withColumn("_range", place)
-               .groupBy(*keys, "_range", "_all", value).agg(F.count(F.lit(1)).alias("_n")))
-    ranges = counted.groupBy(*keys, "_range", "_all").agg(F.sum("_n").alias("_in"))
-    running = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_range"))
-    crossing = (ranges.withColumn("_upto", running).filter(F.col("_upto") / F.col("_all") > share)
-                .groupBy(*keys).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_in")).alias("_before"))).alias("_c"))
+    times = statements.select(*keys, value)
+    sizes = group_sizes(times, keys)
+    large = sizes.filter(F.col("_rows") > split_rows)
+    ranged = times.withColumn("_range", F.lit(0))
+    if not large.isEmpty():
+        cuts = value_cuts(times, large, keys, value, split_rows, 1024)
+        ranged = lookup(times, cuts, keys).withColumn("_range", cuts_below("_cuts", F.col(value))).drop("_cuts")
+    counted = ranged.groupBy(*keys, "_range", value).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in")).join(sizes, keys)
+    upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_range"))
+    crossing = (ranges.withColumn("_upto", upto).filter(F.col("_upto") / F.col("_rows") > share)
+                .groupBy(*keys).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_in")).alias("_before"), "_rows")).alias("_c"))
                 .select(*keys, "_c.*"))
     inside = counted.join(crossing, [*keys, "_range"])
     below = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
-    return inside.withColumn("_below", below).filter(F.col("_below") / F.col("_all") > share).groupBy(*keys).agg(
+    return inside.withColumn("_below", below).filter(F.col("_below") / F.col("_rows") > share).groupBy(*keys).agg(
         F.min(value).alias("latency"))

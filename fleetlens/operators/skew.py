@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from ..session import pinned
 
-SALTS = 8
-"""Slices that the rows of one key are spread over in a salted step."""
+COARSE = 64
+"""Slices per key where keys are few beside the facts: servers, databases, schemas."""
+
+FINE = 8
+"""Slices per key where keys are many: tasks, snapshots, statements. Beyond them Spark splits skewed partitions."""
 
 SPLIT_ROWS = 1_000_000
-"""Groups up to this many rows are ranked in one task; larger ones are cut into value ranges."""
+"""Groups up to this many rows are ranked in one task; larger ones are cut into ranges of about this size."""
+
+BLOCK = 32
+"""Cuts are searched in blocks of this size, so a row is compared with few of them."""
 
 
-def salt_column(salts: int = SALTS) -> Column:
+def salt_column(salts: int = COARSE) -> Column:
     """A slice number from the partition a row is read from.
 
     It is the same on every retry and needs no column, so unused columns are still pruned. Rows of a hot key come
@@ -26,7 +32,7 @@ def salt_column(salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int")
 
 
-def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "left", salts: int = COARSE) -> DataFrame:
     """Join facts to a table with at most one row per key.
 
     The facts of a key are spread over ``salts`` slices and the keyed row is repeated once per slice, so a key that
@@ -49,30 +55,55 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
             .withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k))
 
 
+def cuts_below(cuts: str, value: Column) -> Column:
+    """How many of the ascending cuts are smaller than ``value``: whole blocks first, then inside one block."""
+    blocks = F.size(F.filter(cuts, lambda c, i: (F.pmod(i, F.lit(BLOCK)) == BLOCK - 1) & (c < value)))
+    inside = F.filter(F.slice(cuts, blocks * BLOCK + 1, F.lit(BLOCK)), lambda c: c < value)
+    return F.when(F.col(cuts).isNull(), 0).otherwise(blocks * BLOCK + F.size(inside))
+
+
+def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Number of rows per group, written once."""
+    return pinned(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")))
+
+
+def value_cuts(df: DataFrame, large: DataFrame, group: Sequence[str], value: str, split_rows: int, ranges: int) -> DataFrame:
+    """Per large group ascending cut values, so many that a range has about ``split_rows`` rows.
+
+    The cuts come from an approximate sketch, so they are written once and every use sees the same ones.
+    """
+    steps = [i / ranges for i in range(1, ranges)]
+    rows = lookup(df.select(*group, value), large, group, "inner")
+    sketch = rows.groupBy(*group).agg(F.percentile_approx(value, steps, 10 * ranges).alias("_all"), F.first("_rows").alias("_rows"))
+    keep = F.greatest(F.floor(F.lit(ranges) * split_rows / F.col("_rows")), F.lit(1))
+    thinned = F.filter("_all", lambda c, i: F.pmod(i + 1, F.col("_keep")) == 0)
+    return pinned(sketch.withColumn("_keep", keep).select(*group, F.array_distinct(thinned).alias("_cuts")))
+
+
 def rank_within(df: DataFrame, group: Sequence[str], value: str, tie: str, rank: str = "rank",
-                split_rows: int = SPLIT_ROWS, ranges: int = 64) -> DataFrame:
+                split_rows: int = SPLIT_ROWS, ranges: int = 1024) -> DataFrame:
     """Exact position of each row in its group by ``value`` descending, then by the text column ``tie``.
 
-    A group beyond ``split_rows`` rows is cut at value quantiles; rows equal to a cut value form ranges of their own,
-    which are cut again by the leading characters of ``tie``. Each range is numbered on its own and shifted by the
-    size of the ranges before it, so no task sorts a whole group. The cuts only balance the work: the result does not
-    depend on how good they are.
+    Groups of up to ``split_rows`` rows are ranked by a window. When there is a larger one, it is cut at value
+    quantiles; rows equal to a cut value form ranges of their own, which are cut again by the leading characters of
+    ``tie``. Each range is numbered on its own and shifted by the size of the ranges before it, so no task sorts a whole
+    large group. The cuts only balance the work: the result does not depend on how good they are. Pass narrow rows and
+    join the rest by key.
     """
     group = list(group)
-    steps = [float(i) / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.percentile_approx(value, steps, 1000).alias("_cuts"),
-    ).select(*group, F.when(F.col("_rows") > split_rows, F.array_distinct("_cuts")).alias("_cuts"))
-    cuts = pinned(cuts)
-    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
-    equal = F.coalesce(F.array_contains("_cuts", F.col(value)), F.lit(False))
-    cut = (lookup(df, cuts, group)
-           .withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(-(2 * below + equal.cast("int"))))
-           .withColumn("_prefix", F.coalesce(F.when(equal, F.substring(tie, 1, 3)), F.lit("")))
-           .drop("_cuts"))
+    order = [F.col(value).desc(), F.col(tie).asc()]
+    large = group_sizes(df, group).filter(F.col("_rows") > split_rows)
+    if large.isEmpty():
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+    cuts = value_cuts(df, large, group, value, split_rows, ranges)
+    equal = F.coalesce(F.element_at(F.col("_cuts"), F.least(F.col("_below") + 1, F.size("_cuts"))) == F.col(value), F.lit(False))
+    cut = (lookup(df, cuts, group).withColumn("_below", F.coalesce(cuts_below("_cuts", F.col(value)), F.lit(0)))
+           .withColumn("_equal", F.when(F.size("_cuts") > 0, equal).otherwise(False))
+           .withColumn("_range", -(2 * F.col("_below") + F.col("_equal").cast("int")))
+           .withColumn("_prefix", F.coalesce(F.when(F.col("_equal"), F.substring(tie, 1, 3)), F.lit("")))
+           .drop("_cuts", "_below", "_equal"))
     piece = [*group, "_range", "_prefix"]
-    place = Window.partitionBy(*piece).orderBy(F.col(value).desc(), F.col(tie).asc())
+    place = Window.partitionBy(*piece).orderBy(*order)
     placed = (cut.withColumn("_place", F.row_number().over(place))
               .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*piece))))
     # Both sides of the join read the same shuffle, so the rows are computed once.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import trimmed
 from ..operators.ranking import first_failure_stops
-from ..operators.skew import lookup
+from ..operators.skew import FINE, lookup
 
 # Exit codes, ratios and defaults.
 BAD_INPUT, EMPTY, SYNTAX, NOT_POSSIBLE, NO_RECOVERY, FAILED, DISABLED = 2, 3, 4, 5, 6, 7, 10
@@ -42,7 +42,7 @@ def change_gate(statements: DataFrame, tasks: DataFrame, keys: Sequence[str] = (
     per_task = facts.join(tasks.select(*keys, "enabled"), keys, "left").select(
         *keys, whole.alias("_whole"), F.when(whole.isNotNull(), F.col("_first")).otherwise(F.col("_own_stop")).alias("_stop"))
     backup = F.when(wanted, F.when(F.col("ok_physical"), "physical").otherwise("logical")).otherwise("none")
-    return (lookup(s, per_task, keys).withColumn("exit_code", F.coalesce("_whole", own))
+    return (lookup(s, per_task, keys, salts=FINE).withColumn("exit_code", F.coalesce("_whole", own))
             .withColumn("backup", F.when(F.col("exit_code") == 0, backup))
             .withColumn("run", F.col("_stop").isNull() | (F.col("statement_index") <= F.col("_stop"))).drop("_whole", "_stop"))
 

@@ -307,3 +307,13 @@ SELECT server_id, string_agg(name, ',' ORDER BY name) AS names FROM names GROUP
 def sorted_names(t: Tables):
     name = F.concat(F.when(F.col("l_partkey") % 3 == 0, "P_").otherwise("p_"), (F.col("l_partkey") % 50).cast("string"))
     return catalog.sorted_names(t.lineitem.select(F.col("l_suppkey").alias("server_id"), name.alias("name"))).withColumn("names", F.array_join("names", ","))
+
+
+@query("index_include_columns", f"""WITH {CATALOG}, parts AS (SELECT o_custkey % 10 AS server_id, o_orderkey AS indexrelid, o_custkey AS indrelid, p,
+  ([o_custkey % 5 + 1, o_orderkey % 4, o_orderkey % 9 + 1, o_orderkey % 7 + 2])[p] AS attnum FROM orders, (SELECT unnest([1, 2, 3, 4]) AS p)
+  WHERE p <= 1 + o_orderkey % 4 AND p > least(1 + o_orderkey % 3, 1 + o_orderkey % 4))
+SELECT p.server_id, p.indexrelid, string_agg(a.attname, ',' ORDER BY p.p) AS include_columns FROM parts p
+JOIN attributes a ON a.server_id = p.server_id AND a.attrelid = p.indrelid AND a.attnum = p.attnum GROUP BY ALL""")
+def index_include_columns(t: Tables):
+    result = catalog.index_keys(indexes(t), attributes(t), *sorting(t), namespaces(t))
+    return result.filter(F.size("include_columns") > 0).select("server_id", "indexrelid", F.array_join("include_columns", ",").alias("include_columns"))

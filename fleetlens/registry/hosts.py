@@ -136,8 +136,7 @@ def unify_hosts(t: Tables):
     local = t.customer.select(key.alias("server_id"), F.lit(0).cast("bigint").alias("collected_at"), (F.col("c_nationkey") + 1).cast("double").alias("cpu_total"),
                               key.cast("double").alias("iop_read"), (key * 2).cast("double").alias("iop_write"),
                               (F.col("c_nationkey").cast("bigint") * 1073741824).alias("memory_total"), F.lit(0.0).alias("swap_total"))
-    documents = host_documents(t).drop("collected_at").join(t.events.select("event_id", b.seconds("ts").alias("collected_at")), "event_id")
-    rds = hosts.host_shape_rds(read.parse_host_json(documents).filter("error IS NULL"), ["server_id"])
+    rds = hosts.host_shape_rds(read.parse_host_json(host_documents(t)).filter("error IS NULL"), ["server_id"])
     return hosts.unify_hosts({"local": local, "aws/rds": rds, "gcp/cloudsql": gcp_hosts(t), "azure/mysql": azure_hosts(t)}, UNIFIED)
 
 

@@ -371,3 +371,9 @@ def versioned_columns(t: Tables):
         F.when(size % 3 == 0, F.col("p_name")).otherwise("").alias("generation_expression"), (size % 5).alias("indnkeyatts"), (size % 5 + 2).alias("indnatts"),
         (size % 4 == 0).alias("indnullsnotdistinct"), F.col("p_brand").alias("last_idx_scan"))
     return catalog.versioned_columns(rows)
+
+
+@query("session_reset", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'r' || CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS setting FROM orders""")
+def session_reset(t: Tables):
+    source = F.when(F.col("o_orderstatus") == "F", "session").otherwise("configuration file")
+    return t.orders.select("o_orderkey", n.session_reset(source, F.col("o_orderpriority"), F.concat(F.lit("r"), F.col("o_custkey").cast("string"))).alias("setting"))

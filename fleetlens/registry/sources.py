@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog
 from ..sources import read, write
 from . import bindings as b
 from . import landing
@@ -95,7 +96,7 @@ def host_documents(t: Tables):
         F.lit("aurora").alias("engine"), (F.col("user_id") % 8 + 1).alias("numVCPUs"), F.lit("1 day").alias("uptime"), disks.alias("diskIO"),
         F.struct((event * 1024).alias("total")).alias("memory"), F.struct((event * 10).cast("double").alias("total")).alias("swap"), F.lit("x").alias("unknownField")))
     message = F.when(event % 10 == 3, F.concat(F.substring(document, 1, 40), F.lit("{"))).otherwise(document)
-    return t.events.select("event_id", F.col("user_id").alias("server_id"), F.unix_timestamp("ts").alias("collected_at"), message.alias("message"))
+    return t.events.select("event_id", F.col("user_id").alias("server_id"), b.seconds("ts").alias("collected_at"), message.alias("message"))
 
 
 @query("parse_recommendations", """WITH k AS (SELECT event_id, event_id % 5 AS kind, user_id FROM events)
@@ -161,3 +162,11 @@ def redact(t: Tables):
     reason = F.concat(F.lit(" "), F.col("event_type"), F.lit(" \n pass="), secret, F.lit("\t end "))
     conf = F.concat(F.lit('{"MysqlPassword":"s","Host":"h'), F.col("user_id").cast("string"), F.lit('","PgPassword":"t"}'))
     return t.events.select("event_id", write.log_reason(reason, F.when(F.col("event_id") % 4 != 0, secret)).alias("reason"), write.without_secrets(conf).alias("conf"))
+
+
+@query("pg_sections", f"""SELECT o_custkey AS server_id, section, CAST(list_position({b.sql_list(catalog.POSTGRES_SECTIONS)}, section) AS INTEGER) AS position, count(*) AS rows FROM (
+  SELECT o_custkey, 'information_schema_tables' AS section FROM orders UNION ALL SELECT o_custkey, 'information_schema_tables' FROM orders
+  UNION ALL SELECT o_custkey, 'information_schema_columns' FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
+  UNION ALL SELECT o_custkey, 'information_schema_columns' FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0) GROUP BY ALL""")
+def pg_sections(t: Tables):
+    return read.postgres_sections(read.explode_sections(landing.bronze(t)), catalog.POSTGRES_SECTIONS)

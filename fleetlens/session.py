@@ -7,7 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "fleetlens", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_BYTES = 128 * 1024 * 1024
+"""Size that a shuffle partition should have before adaptive execution merges the small ones."""
+
+
+def shuffle_partitions(input_bytes: int) -> str:
+    """Number of shuffle partitions for an input of this size: 100 TB give about 800,000, capped at what a driver tracks well."""
+    return str(min(100_000, max(200, input_bytes // SHUFFLE_BYTES)))
+
+
+def build_session(app: str = "fleetlens", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; ``conf`` overrides any of them."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
@@ -20,6 +29,8 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
     }
+    if input_bytes:
+        settings["spark.sql.shuffle.partitions"] = shuffle_partitions(input_bytes)
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
     if master:

@@ -66,8 +66,14 @@ def mysql_section(sections: DataFrame, section: str) -> DataFrame:
     return sections.filter(F.col("section") == section).select("server_id", "collected_at", *values)
 
 
+def postgres_sections(sections: DataFrame, order: Sequence[str]) -> DataFrame:
+    """SRC4b: rows per known section of a server, with the fixed place of the section."""
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(order, 1) for x in (name, i)])
+    return section_counts(sections).withColumn("position", place[F.col("section")]).filter(F.col("position").isNotNull())
+
+
 def section_counts(sections: DataFrame) -> DataFrame:
-    """SRC4b: rows per section of a report."""
+    """SRC4: rows per section of a server."""
     return sections.groupBy("server_id", "section").agg(F.count(F.lit(1)).alias("rows"))
 
 

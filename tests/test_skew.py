@@ -19,16 +19,24 @@ def hot(spark):
 
 @pytest.mark.parametrize("split", [1, 200, 10**6])
 def test_rank_within_equals_window(hot, split):
-    got = skew.rank_within(hot, ["server_id"], "value", "tie", split_rows=split, ranges=16)
+    got = skew.rank_within(hot, ["server_id"], "value", "tie", split_rows=split, ranges=64)
     window = Window.partitionBy("server_id").orderBy(F.col("value").desc(), "tie")
     both = got.select("id", "rank").join(hot.select("id", F.row_number().over(window).alias("want")), "id")
     assert both.count() == hot.count()
     assert both.filter("rank <> want").count() == 0
 
 
-def test_rank_within_splits_the_hot_group(spark, hot):
-    cuts = hot.groupBy("server_id").agg(F.percentile_approx("value", [i / 16 for i in range(1, 16)], 1000).alias("c"))
-    assert len(set(cuts.filter("server_id = 1").first()["c"])) > 4
+def test_cuts_follow_the_size_of_the_group(hot):
+    large = skew.group_sizes(hot, ["server_id"]).filter("_rows > 500")
+    cuts = {r["server_id"]: r["_cuts"] for r in skew.value_cuts(hot, large, ["server_id"], "value", 500, 64).collect()}
+    assert list(cuts) == [1] and cuts[1] == sorted(set(cuts[1])) and 3 <= len(cuts[1]) <= 12
+
+
+def test_cuts_below_counts_smaller_cuts(spark):
+    for size in (0, 1, 31, 32, 33, 64, 100):
+        cuts = [2 * i for i in range(size)]
+        df = spark.createDataFrame([(cuts, v) for v in range(-1, 2 * size + 2)], "cuts array<int>, v int")
+        assert all(r["n"] == sum(c < r["v"] for c in cuts) for r in df.withColumn("n", skew.cuts_below("cuts", F.col("v"))).collect())
 
 
 def test_rank_within_keeps_missing_values(spark):
@@ -68,8 +76,9 @@ def test_carry_last_equals_window(hot, current):
     assert both.filter("NOT (last <=> want)").count() == 0
 
 
-def test_latency_share_equals_cume_dist(hot):
-    got = {r[0]: r[1] for r in rollups.latency_share(hot, "value").collect()}
+@pytest.mark.parametrize("split", [50, 10**6])
+def test_latency_share_equals_cume_dist(hot, split):
+    got = {r[0]: r[1] for r in rollups.latency_share(hot, "value", split_rows=split).collect()}
     window = Window.partitionBy("server_id").orderBy("value")
     want = hot.withColumn("share", F.cume_dist().over(window)).filter("share > 0.95").groupBy("server_id").agg(F.min("value"))
     assert got == {r[0]: r[1] for r in want.collect()}
