@@ -171,11 +171,22 @@ def newest(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over everything that has landed. Running results are kept per batch, rows are appended."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        running = writer.format("parquet").option("path", path).outputMode("append").start()
-    else:
-        running = writer.outputMode(mode).foreachBatch(upsert_sink(path)).start()
-    running.awaitTermination()
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Run a stream over everything that has landed. Running results are kept per batch, rows are appended.
+
+    ``partitions`` is the number of state partitions; it is fixed by the first run of a checkpoint, so it should fit
+    the cluster and not the size of a batch. Without it the cluster's number of cores is used.
+    """
+    spark = stream.sparkSession
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(partitions or spark.sparkContext.defaultParallelism))
+    try:
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        if mode == "append":
+            running = writer.format("parquet").option("path", path).outputMode("append").start()
+        else:
+            running = writer.outputMode(mode).foreachBatch(upsert_sink(path)).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
