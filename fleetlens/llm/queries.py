@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfiles
+from . import counts, packing, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,9 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     manifest = tokenfiles.write_token_files(table(spark, folder, "documents"), public_tokenizers.path(WORDS), end_id=2)
     return tokenfiles.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = counts.prefix_table(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+    return counts.within_budget(counted, 4096)
