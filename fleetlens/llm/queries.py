@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, packing, tokenfiles
+from . import bpe, counts, packing, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,9 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = counts.prefix_table(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
     return counts.within_budget(counted, 4096)
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

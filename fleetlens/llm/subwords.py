@@ -31,6 +31,17 @@ CACHED_WORDS = 300_000
 """Encoded words that a task keeps between batches; it only saves work."""
 
 
+WHOLE = " "
+"""Put before a part that is a whole word for the tokenizers library; no other part holds a space."""
+
+
+def parts(word: str) -> list[str]:
+    """The parts of a word that are encoded on their own: lower-cased runs of one kind, or the word itself behind ``WHOLE``."""
+    if PLAIN.fullmatch(word) and "<|" not in word:
+        return PIECES.findall(word.lower())
+    return [WHOLE + word]
+
+
 def byte_of_character() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -64,12 +75,19 @@ class WordVocabulary:
 
     def ids(self, word: str) -> list[int]:
         """The ids of a word, which must hold no ASCII white space."""
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            found: list[int] = []
-            for piece in PIECES.findall(word.lower()):
-                found += self.core.encode_single_piece(piece.encode() + b"\xff")
-            return found
-        return self.library.encode(word, add_special_tokens=False).ids
+        found: list[int] = []
+        for part in parts(word):
+            found += self.part_ids(part)
+        return found
+
+    def part_ids(self, part: str) -> list[int]:
+        if part[0] == WHOLE:
+            return self.library.encode(part[1:], add_special_tokens=False).ids
+        return self.core.encode_single_piece(part.encode() + b"\xff")
+
+    def pieces(self) -> list[tuple[int, str]]:
+        """All ids with the piece that decoding writes for each."""
+        return sorted((number, piece) for piece, number in self.library.get_vocab(with_added_tokens=True).items())
 
     def packed(self, words: list[str]) -> list[bytes]:
         """The ids of each word as bytes."""
