@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, packing, tokenfiles
+from . import bpe, counts, jaccard, packing, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_ngram_jaccard")
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
