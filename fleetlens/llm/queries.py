@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, jaccard, packing, tokenfiles
+from . import ann, bpe, counts, jaccard, packing, tokenfiles, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,14 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_nearest")
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@query("op9_near_vectors")
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectordup.near_duplicate_vectors(table(spark, folder, "embeddings"))
