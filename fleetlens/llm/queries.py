@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, jaccard, packing, tokenfiles, vectordup
+from . import ann, bpe, counts, jaccard, packing, suffixes, tokenfiles, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,11 @@ def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_vectors")
 def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectordup.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, folder, "documents"))
+    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["high"] - s["low"])
+    return found.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
