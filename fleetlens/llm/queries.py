@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, jaccard, packing, suffixes, tokenfiles, vectordup
+from . import ann, bpe, counts, jaccard, langid, packing, suffixes, tokenfiles, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+LANGUAGES = ["en", "fr", "de", "es"]
 
 
 def query(name: str, sql: str | None = None):
@@ -76,3 +77,8 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["high"] - s["low"])
     return found.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.page_languages(table(spark, folder, "pages"), table(spark, folder, "documents"), LANGUAGES)
