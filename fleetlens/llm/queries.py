@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, jaccard, langid, packing, suffixes, tokenfiles, vectordup
+from . import ann, bpe, counts, jaccard, langid, lm, packing, suffixes, tokenfiles, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_language")
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.page_languages(table(spark, folder, "pages"), table(spark, folder, "documents"), LANGUAGES)
+
+
+@query("op1_lm_score")
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
