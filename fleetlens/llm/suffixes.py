@@ -9,7 +9,7 @@ batches: a batch gets the sorted array of its suffixes, is merge-scanned against
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -327,21 +327,23 @@ def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(name) for name in part.schema.names if name not in ("text", "runs", "copies")),
-             pc.binary_length(texts(part.column("text"))).cast(pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-            [*(name for name in part.schema.names if name not in ("text", "runs", "copies")), "n_bytes", "spans", "kept"])
+            [part.column("doc_id"), part.column("carried"), pc.binary_length(texts(part.column("text"))).cast(pa.int64()),
+             pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "carried", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row: ``doc_id``, ``n_bytes``, the removed ``spans`` (maximal runs ``low`` to ``high``) and the ``kept`` bytes.
 
+    The columns of ``carry`` come along as the fields of ``carried``.
+
     Removed is every byte covered by a string of ``LENGTH`` bytes that also starts at another place of any text, its own
     included. Equal texts, repeated rows among them, remove each other wholly if long enough. A null text is empty; a null
     ``doc_id`` stays null; shorter texts stay whole; other columns are not read; an empty table gives no row. Texts are told
     apart by 64-bit hashes; strings are compared byte by byte.
     """
     shared_dir(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = F.struct(F.lit(0).alias("none"), *carry).alias("carried")
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried)
     docs = docs.withColumn("mark", F.xxhash64("text"))
     rows = gram_rows(docs).repartition("gram")
     several = rows.groupBy("gram").agg(
@@ -352,8 +354,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kinds = docs.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(0))).alias("first_id"))
     # Of equal texts one is looked at. Both joins with the texts read the same shuffle.
     chosen = docs.join(grams.join(kinds, "mark"), "mark").filter(F.coalesce("doc_id", F.lit(0)) == F.col("first_id"))
-    met = segment_rows(chosen.select("mark", "text", "grams", "hot")).repartition("key")
+    met = segment_rows(chosen.select("doc_id", "carried", "mark", "text", "grams", "hot")).repartition("key")
     runs = met.mapInArrow(repeated_runs, "mark bigint, low bigint, high bigint").groupBy("mark").agg(
         F.collect_list(F.struct("low", "high")).alias("runs"))
-    known = docs.join(kinds.select("mark", "copies").join(runs, "mark", "left"), "mark").select("doc_id", "text", "runs", "copies")
-    return known.mapInArrow(without_runs, "doc_id bigint, n_bytes bigint, spans array<struct<low:bigint,high:bigint>>, kept binary")
+    known = docs.join(kinds.select("mark", "copies").join(runs, "mark", "left"), "mark").select("doc_id", "carried", "text", "runs", "copies")
+    schema = f"doc_id bigint, carried {docs.schema['carried'].dataType.simpleString()}, n_bytes bigint, spans array<struct<low:bigint,high:bigint>>, kept binary"
+    return known.mapInArrow(without_runs, schema)
