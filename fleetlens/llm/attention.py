@@ -28,7 +28,7 @@ def neighbour_classes(ids: np.ndarray, size: int, rng: np.random.Generator) -> n
     common = np.argsort(-counts, kind="stable")[:512]
     seen = np.flatnonzero(counts)
     place = np.full(size, 512)
-    place[common] = np.arange(512)
+    place[common] = np.arange(len(common))
     row = np.full(size, len(seen))
     row[seen] = np.arange(len(seen))
     around = np.zeros((len(seen), 2 * 513), np.float32)
