@@ -210,5 +210,6 @@ def fitted(ids: np.ndarray, size: int, steps: int = STEPS, seed: int = 7) -> Mod
     weight = 8.0
     inside = np.log((pairs + weight * general[None, :]) / (held[:, classes] + weight)).astype(np.float32)
     model = Model(size, classes, inside, rng)
+    model.weights["out_bias"][members == 0] = -50  # a class without ids takes no probability
     model.train(ids, steps, rng)
     return model
