@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,14 @@ COPY_ALGORITHMS = ("COPY", "DEFAULT")
 SHARED_LOCKS = ("DEFAULT", "SHARED", "EXCLUSIVE")
 COPY_ONLY_OPERATIONS = ("ADD FULLTEXT", "ADD SPATIAL", "DROP PRIMARY KEY", "MODIFY COLUMN", "MODIFY ", "CHANGE COLUMN", "CHANGE ")
 
-# The two kinds of DDL with a target table.
-DDL_NAME = rf"(?:`(?:``|[^`])+`|\"(?:\"\"|[^\"])+\"|[A-Za-z0-9_$\x{{0080}}-\x{{FFFF}}]+)"
-DDL_TABLE = rf"{DDL_NAME}(?:\s*\.\s*{DDL_NAME})?"
-ALTER_TABLE = rf"(?i)^\s*ALTER\s+(?:(?:ONLINE|IGNORE)\s+){{0,2}}TABLE\s+(?:IF\s+EXISTS\s+)?({DDL_TABLE})(?=\s|\z)"
-CREATE_INDEX = (rf"(?i)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:UNIQUE|FULLTEXT|SPATIAL)\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?"
-                rf"{DDL_NAME}(?:\s+USING\s+(?:BTREE|HASH|RTREE))?\s+ON\s+({DDL_TABLE})(?=\s|\(|\z)")
-NESTING = 8
+# Words between the command and the name of its target, as the server's grammar has them.
+ALTER_OPTIONS = ("ONLINE", "IGNORE")
+INDEX_KINDS = ("UNIQUE", "FULLTEXT", "SPATIAL")
+ALGORITHM_WORDS = ("DEFAULT", "INPLACE", "COPY", "INSTANT", "NOCOPY")
+LOCK_WORDS = ("DEFAULT", "NONE", "SHARED", "EXCLUSIVE")
+RENAMED_PARTS = ("COLUMN", "INDEX", "KEY")
+DDL_WORD = rf"[A-Za-z0-9_${HIGH}]++"
+DDL_TOKEN = rf"(?s){DDL_WORD}|`(?:[^`]|``)*+`|\"(?:[^\"]|\"\")*+\"|\S"
 
 
 def mysql_leading_word(text: Column) -> Column:
@@ -56,6 +59,11 @@ def postgres_leading_word(text: Column) -> Column:
     return F.lower(F.regexp_extract(text, rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED_3})*+([A-Za-z]*)", 1))
 
 
+def leading_unread(text: Column) -> Column:
+    """Whether a comment stands before the first word that is never closed or nests deeper than three."""
+    return F.coalesce(text.rlike(rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED_3})*+/\*"), F.lit(False))
+
+
 def is_explainable(leading_word: Column) -> Column:
     """Whether a plan can be asked for."""
     return leading_word.isin(*EXPLAINABLE)
@@ -118,84 +126,129 @@ def corpus_profile(corpus: DataFrame, keys: list[str], text: str = "text") -> Da
         F.count_if("unread_tail").alias("unread_tail"))
 
 
-def _unquoted(name: Column) -> Column:
-    body = F.regexp_replace(name, r"""^[`"]|[`"]\z""", "")
-    return (F.when(F.startswith(name, F.lit("`")), F.replace(body, F.lit("``"), F.lit("`")))
-            .when(F.startswith(name, F.lit('"')), F.replace(body, F.lit('""'), F.lit('"')))
-            .otherwise(name))
+def _bare_name(name: Column) -> Column:
+    """A name as the server stores it: without its quotes, a doubled quote inside being one."""
+    inside = F.substring(name, F.lit(2), F.length(name) - 2)
+    plain = name
+    for mark in ("`", '"'):
+        plain = F.when(F.substring(name, 1, 1) == mark, F.replace(inside, F.lit(mark * 2), F.lit(mark))).otherwise(plain)
+    return plain
+
+
+def _outer(tokens: Column) -> Column:
+    """The tokens outside of parentheses, however deep those nest, the depth at the end, and whether one closes too much."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("broken"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes = token == "(", token == ")"
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        inside = opens | closes | (state["depth"] > 0)
+        return F.struct(depth.alias("depth"), (state["broken"] | (depth < 0)).alias("broken"),
+                        F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(token))).alias("kept"))
+    return F.aggregate(tokens, start, step)
+
 
+def _target(tokens: str) -> Column:
+    """Where the target's name stands: behind ALTER TABLE or the ON of CREATE INDEX with their options; null for other commands."""
+    def word(place) -> Column:
+        return F.coalesce(F.upper(F.try_element_at(tokens, place if isinstance(place, Column) else F.lit(place))), F.lit(""))
 
-def _clause(tail: Column, clause: str, values: str) -> tuple[Column, Column]:
-    """The value of an ALGORITHM or LOCK clause and whether it is malformed or repeated."""
-    assigned = rf"(?i)\b{clause}\s*=\s*([A-Z_]+)"
-    spaced = rf"(?i)\b{clause}\s+({values})\b"
-    starts = F.regexp_count(tail, F.lit(rf"(?i)\b{clause}\s*="))
-    found = F.regexp_count(tail, F.lit(assigned))
-    count = found + F.regexp_count(tail, F.lit(spaced))
-    value = F.coalesce(F.nullif(F.regexp_extract(tail, assigned, 1), F.lit("")), F.regexp_extract(tail, spaced, 1))
-    return F.upper(value), (starts != found) | (count > 1)
+    def past(place: Column, *words: str) -> Column:
+        """Behind these words if all of them stand here, else here."""
+        there = word(place) == words[0]
+        for more, one in enumerate(words[1:], 1):
+            there = there & (word(place + more) == one)
+        return place + F.when(there, len(words)).otherwise(0)
+
+    option = lambda place: place + word(place).isin(*ALTER_OPTIONS).cast("int")
+    table = option(option(F.lit(2)))
+    alter = F.when((word(1) == "ALTER") & (word(table) == "TABLE"), past(table + 1, "IF", "EXISTS"))
+    kind = past(F.lit(2), "OR", "REPLACE")
+    index = kind + word(kind).isin(*INDEX_KINDS).cast("int")
+    named = past(index + 1, "IF", "NOT", "EXISTS") + 1
+    on = named + F.when(word(named) == "USING", 2).otherwise(0)
+    create = F.when((word(1) == "CREATE") & (word(index) == "INDEX") & (word(on) == "ON"), on + 1)
+    return F.coalesce(alter, create)
+
+
+def _clause(rest: Column, clause: str, words: Sequence[str]) -> tuple[Column, Column]:
+    """The value of a clause among upper-cased tokens, and whether it is malformed or repeated.
+
+    An equals sign always begins a value; without one only a word that the clause knows does.
+    """
+    two = F.transform(rest, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(rest, i + 1), F.lit("")).alias("one"),
+                                                  F.coalesce(F.get(rest, i + 2), F.lit("")).alias("two")))
+    found = F.filter(two, lambda x: (x["t"] == clause) & ((x["one"] == "=") | x["one"].isin(*words)))
+    values = F.transform(found, lambda x: F.when(x["one"] == "=", x["two"]).otherwise(x["one"]))
+    wrong = F.exists(values, lambda v: ~v.rlike("^[A-Z_]+$"))
+    return F.coalesce(F.get(values, F.lit(0)), F.lit("")), wrong | (F.size(values) > 1)
 
 
 def ddl_audit(statements: DataFrame, ddl: str = "ddl_statement", schema: str = "schema_name",
               expected_schema: str = "target_schema", expected_table: str = "target_table",
               lower_case_names: Column | None = None) -> DataFrame:
-    """Target, online clauses and the first reason to reject each DDL text."""
-    sql = F.btrim(F.col(ddl))
+    """Target, online clauses and the first reason to reject each DDL text.
+
+    The text is masked, cut into tokens and read in order; what stands in parentheses is left out at any depth. A text whose
+    parentheses do not match is refused as ``not-read``.
+    """
+    sql = F.btrim(F.coalesce(F.col(ddl), F.lit("")))
     masked = F.regexp_replace(
         sql, rf"(?s){BACKSLASH_STRING}|({BACKSLASH_NAME}|{BACKTICK_NAME})|{HASH_COMMENT}|{BLOCK_COMMENT}|{DASH_COMMENT}", "$1 ")
     df = statements.withColumn("_masked", F.regexp_replace(masked, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "))
-    m = F.col("_masked")
-    reference = F.coalesce(F.nullif(F.regexp_extract(m, ALTER_TABLE, 1), F.lit("")), F.regexp_extract(m, CREATE_INDEX, 1))
-    df = df.withColumn("_reference", reference)
-    part = rf"^\s*({DDL_NAME})(?:\s*\.\s*({DDL_NAME}))?\s*\z"
-    first = F.regexp_extract("_reference", part, 1)
-    second = F.regexp_extract("_reference", part, 2)
-    df = (df.withColumn("qualified", second != "")
-          .withColumn("ddl_schema", F.when(second != "", _unquoted(first)).otherwise(F.col(schema)))
-          .withColumn("ddl_table", F.when(second != "", _unquoted(second)).otherwise(_unquoted(first))))
-    names = rf"(?s){BACKSLASH_NAME}|{BACKTICK_NAME}"
-    tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, ALTER_TABLE, ""), CREATE_INDEX, ""), names, " ")
-    for _ in range(NESTING):
-        tail = F.regexp_replace(tail, r"\([^()]*+\)", " ")
-    df = df.withColumn("_tail", F.replace(F.regexp_replace(tail, r"(?s)\(.*+", " "), F.lit(")"), F.lit(" ")))
-    algorithm, bad_algorithm = _clause(F.col("_tail"), "ALGORITHM", "DEFAULT|INPLACE|COPY|INSTANT|NOCOPY")
-    lock, bad_lock = _clause(F.col("_tail"), "LOCK", "DEFAULT|NONE|SHARED|EXCLUSIVE")
+    df = df.withColumn("_tokens", F.regexp_extract_all(F.col("_masked"), F.lit(DDL_TOKEN), F.lit(0)))
+    df = df.withColumn("_all", _outer(F.col("_tokens"))).withColumn("_out", F.col("_all.kept")).withColumn("_at", _target("_out"))
+    name = lambda place: F.coalesce(F.try_element_at("_out", place), F.lit(""))
+    is_name = lambda token: token.rlike(rf"^(?:{DDL_WORD}|[`\"].*[`\"])$")
+    at = F.coalesce("_at", F.lit(1_000_000))
+    dotted = name(at + 1) == "."
+    valid = F.col("_at").isNotNull() & is_name(name(at)) & (~dotted | is_name(name(at + 2)))
+    df = (df.withColumn("_valid", valid).withColumn("qualified", valid & dotted)
+          .withColumn("ddl_schema", F.when(valid & dotted, _bare_name(name(at))).otherwise(F.col(schema)))
+          .withColumn("ddl_table", F.when(valid & dotted, _bare_name(name(at + 2))).when(valid, _bare_name(name(at))).otherwise("")))
+    rest = F.when(valid, F.slice("_out", at + F.when(dotted, 3).otherwise(1), F.greatest(F.size("_out"), F.lit(1))))
+    df = df.withColumn("_rest", F.transform(F.coalesce(rest, F.array().cast("array<string>")), F.upper))
+    algorithm, bad_algorithm = _clause(F.col("_rest"), "ALGORITHM", ALGORITHM_WORDS)
+    lock, bad_lock = _clause(F.col("_rest"), "LOCK", LOCK_WORDS)
     comments = F.regexp_replace(
         sql, rf"(?s){BACKSLASH_STRING}|{BACKSLASH_NAME}|{BACKTICK_NAME}|{HASH_COMMENT}|{DASH_COMMENT}|(/\*)[mM]?!.*?(?:\*/|\z)|{BLOCK_COMMENT}",
         "$1 ")
     quotes = F.regexp_replace(
         sql, r"(?s)(')(?:[^'\\]++|\\[^']|'')*+\\'(?:[^'\\]++|\\.|'')*+(?:'|\z)|(\")(?:[^\"\\]++|\\[^\"]|\"\")*+\\\"(?:[^\"\\]++|\\.|\"\")*+(?:\"|\z)"
              rf"|{BACKSLASH_STRING}|{BACKSLASH_NAME}|{BACKTICK_NAME}|{HASH_COMMENT}|{BLOCK_COMMENT}|{DASH_COMMENT}", "$1$2 ")
-    bare = F.regexp_replace(F.rtrim(F.regexp_replace(m, names, "x")), r"\s*;\s*\z", "")
+    inner = F.slice("_tokens", 1, F.greatest(F.size("_tokens") - 1, F.lit(0)))
     same = ((F.col("ddl_schema") == F.col(expected_schema)) & (F.col("ddl_table") == F.col(expected_table)))
     if lower_case_names is not None:
         same = same | (lower_case_names & (F.lower("ddl_schema") == F.lower(expected_schema))
                        & (F.lower("ddl_table") == F.lower(expected_table)))
-    upper = F.upper(F.col(ddl))
+    upper = F.upper(sql)
     copy_only = F.lit(False)
     for operation in COPY_ONLY_OPERATIONS:
         copy_only = copy_only | upper.contains(operation)
-    is_alter = m.rlike(ALTER_TABLE)
+    is_alter = F.upper(F.try_element_at("_out", F.lit(1))) == "ALTER"
+    follows = lambda first, test: F.exists(F.transform(F.col("_rest"), lambda t, i: F.struct(
+        t.alias("t"), F.coalesce(F.get("_rest", i + 1), F.lit("")).alias("n"))), lambda x: (x["t"] == first) & test(x["n"]))
+    unread = (F.col("_all.depth") != 0) | F.col("_all.broken")
     df = (df.withColumn("algorithm", algorithm).withColumn("lock", lock)
           .withColumn("executable_comment", comments.contains("/*"))
           .withColumn("backslash_quote", quotes.contains("'") | quotes.contains('"'))
-          .withColumn("several_statements", bare.contains(";"))
+          .withColumn("several_statements", F.array_contains(inner, ";"))
           .withColumn("static_online", ~copy_only))
-    t = F.col("_tail")
-    reason = (F.when(F.col("_reference") == "", "no-target")
+    reason = (F.when(~F.col("_valid"), "no-target")
               .when(~same, "target-mismatch")
-              .when(is_alter & t.rlike(r"(?i)\bRENAME\b(?!\s+(?:COLUMN|INDEX|KEY)\b)"), "table-rename")
-              .when(is_alter & t.rlike(r"(?i)\bEXCHANGE\s+PARTITION\b"), "exchange-partition")
+              .when(is_alter & follows("RENAME", lambda n: ~n.isin(*RENAMED_PARTS)), "table-rename")
+              .when(is_alter & follows("EXCHANGE", lambda n: n == "PARTITION"), "exchange-partition")
               .when(F.col("executable_comment"), "executable-comment")
               .when(F.col("backslash_quote"), "backslash-quote")
               .when(F.col("several_statements"), "several-statements")
+              .when(unread, "not-read")
               .when(bad_algorithm, "invalid-algorithm-clause")
               .when(bad_lock, "invalid-lock-clause")
               .when((F.col("algorithm") != "") & ~F.col("algorithm").isin(*ONLINE_ALGORITHMS),
                     F.when(F.col("algorithm").isin(*COPY_ALGORITHMS), "copy-algorithm").otherwise("unknown-algorithm"))
               .when((F.col("lock") != "") & (F.col("lock") != "NONE"),
                     F.when(F.col("lock").isin(*SHARED_LOCKS), "blocking-lock").otherwise("unknown-lock")))
-    return df.withColumn("reason", reason).drop("_masked", "_reference", "_tail")
+    return df.withColumn("reason", reason).drop("_masked", "_tokens", "_all", "_out", "_at", "_valid", "_rest")
 
 
 def ddl_reason_counts(audited: DataFrame, keys: list[str]) -> DataFrame:

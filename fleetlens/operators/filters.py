@@ -70,6 +70,7 @@ def mysql_candidate_reason(digests: DataFrame, allowed: Column, now_seconds: Col
 def postgres_candidate_reason(database: Column, text: Column, allowed: Column, failed: Column) -> Column:
     """the first reason why no plan is asked for; null for a candidate."""
     return (F.when(database.isin(*tx.POSTGRES_SKIPPED_DATABASES), "system-database")
+            .when(tx.leading_unread(text), "not-read")
             .when(~tx.is_explainable(tx.postgres_leading_word(text)), "not-explainable")
             .when(~schema_allowed(database, allowed), "schema-not-allowed")
             .when(failed, "database-failed"))

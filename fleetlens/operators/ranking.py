@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_query_id
 from ..session import pinned
-from .skew import FINE, lookup, rank_within, top_k
+from .skew import lookup, rank_within, top_k
 
 # Successful plans per ranking, and parameters per batch.
 PLAN_QUOTA = 100
@@ -24,7 +24,7 @@ def rank_statements(statements: DataFrame, field: str, keys: Sequence[str] = ("s
 def top_k_statements(statements: DataFrame, field: str, k: int = PLAN_QUOTA, keys: Sequence[str] = ("server_id",),
                      tie: str = "queryid") -> DataFrame:
     """The first ``k`` statements of each server."""
-    return top_k(statements, keys, [F.col(field).desc(), F.col(tie).asc()], k)
+    return top_k(statements, keys, [F.col(field).desc(), F.col(tie).asc()], k, spread=[tie])
 
 
 def plan_quota(candidates: DataFrame, field: str, success: Column, quota: int = PLAN_QUOTA,
@@ -35,7 +35,7 @@ def plan_quota(candidates: DataFrame, field: str, success: Column, quota: int =
     success is found by a top-k over successes only, so no running sum walks a whole server.
     """
     order = [F.col(field).desc(), F.col(tie).asc()]
-    last = (top_k(candidates.filter(success).select(*keys, field, tie), keys, order, quota, "_rank")
+    last = (top_k(candidates.filter(success).select(*keys, field, tie), keys, order, quota, "_rank", [tie])
             .filter(F.col("_rank") == quota)
             .select(*keys, F.col(field).alias("_field"), F.col(tie).alias("_tie")))
     within = (F.col("_field").isNull() | (F.col(field) > F.col("_field"))
@@ -64,7 +64,7 @@ def plan_key(database: Column, query_id: Column, text: Column) -> Column:
 
 def plan_sharing(statements: DataFrame, outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The outcome of a key copied to all of its statements, also to those never attempted."""
-    return lookup(statements, outcomes, keys, salts=FINE)
+    return lookup(statements, outcomes, keys)
 
 
 def attempt_dedupe(attempts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -114,5 +114,5 @@ def batch_outcomes(batched: DataFrame, failed: Column, keys: Sequence[str] = ("s
 def first_failure_stops(steps: DataFrame, order: str, failed: Column, keys: Sequence[str]) -> DataFrame:
     """Statements of a task in order; after the first failure none is run."""
     first = steps.filter(failed).groupBy(*keys).agg(F.min(order).alias("_stop"))
-    return (lookup(steps, first, keys, salts=FINE)
+    return (lookup(steps, first, keys)
             .withColumn("run", F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop"))

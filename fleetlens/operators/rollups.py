@@ -10,7 +10,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions.normalize import (UNSIGNED, null_marker, saturated, statement_identity,
                                    timer_to_us)
-from .skew import FINE, SPLIT_ROWS, cuts_below, group_sizes, lookup, value_cuts
+from .skew import lookup, running_total
 
 # Byte limits tried one after the other, and the total that one process list may take.
 TEXT_LIMITS = [65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64]
@@ -59,7 +59,7 @@ def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: b
 
 def database_names(statements: DataFrame, databases: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
     """The database name of each statement, the marker when it is unknown."""
-    names = databases.select(*keys, F.col("oid").alias("dbid"), "datname").dropDuplicates([*keys, "dbid"])
+    names = databases.groupBy(*keys, F.col("oid").alias("dbid")).agg(F.min("datname").alias("datname"))
     return (lookup(statements, names, [*keys, "dbid"])
             .withColumn("datname", F.coalesce("datname", F.lit("NULL"))))
 
@@ -134,9 +134,11 @@ def row_count(rows: DataFrame, name: str, keys: Sequence[str] = ("server_id",))
 
 
 def iops_total(devices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Reads and writes over all devices; a local device mounted several times counts once."""
-    once = devices.groupBy(*keys, "provider", "device", F.when(F.col("provider") != "local", F.col("mount")).alias("_mount")).agg(
-        F.min("reads").alias("reads"), F.min("writes").alias("writes"))
+    """Reads and writes over all devices; a local device mounted several times counts once, every cloud row counts."""
+    local = F.coalesce(F.col("provider") == "local", F.lit(False))
+    # One group per local device and one per server for the rest, so the least is of copies of one local device only.
+    once = devices.groupBy(*keys, local.alias("_local"), F.when(local, F.col("device")).alias("_device")).agg(
+        *[F.when(F.col("_local"), F.min(c)).otherwise(F.sum(c)).alias(c) for c in ("reads", "writes")])
     return once.groupBy(*keys).agg(F.sum("reads").alias("iop_read"), F.sum("writes").alias("iop_write"))
 
 
@@ -154,7 +156,7 @@ def text_budget(processes: DataFrame, keys: Sequence[str], info: str = "info", b
         choice = choice.when(F.col(f"_at_{n}") <= budget, F.lit(n))
     chosen = totals.select(*keys, choice.otherwise(F.lit(limits[-1])).alias("byte_limit"))
     cut = F.when(F.col("byte_limit").isNull(), text).otherwise(F.substring(text, F.lit(1), F.col("byte_limit")))
-    return lookup(marked.drop("_size"), chosen, keys, salts=FINE).withColumn("info_bytes", cut).drop(info)
+    return lookup(marked.drop("_size"), chosen, keys).withColumn("info_bytes", cut).drop(info)
 
 
 def section_failures(failures: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
@@ -222,28 +224,13 @@ def bytes_required(catalog: DataFrame, keys: Sequence[str] = ("server_id",)) ->
             .drop("_schema"))
 
 
-def latency_share(statements: DataFrame, value: str, share: float = 0.95, keys: Sequence[str] = ("server_id",),
-                  split_rows: int = SPLIT_ROWS) -> DataFrame:
+def latency_share(statements: DataFrame, value: str, share: float = 0.95, keys: Sequence[str] = ("server_id",)) -> DataFrame:
     """Scanning distinct times downwards, the last time whose share of statements at or below it exceeds ``share``.
 
-    Times are counted first, so only distinct ones are walked. Those of a large server are cut into ranges; the ranges
-    are counted, and only the range that crosses the share is walked. The cuts do not change the result.
+    Times are counted first, so only distinct ones are summed up, and those of a large server in several partitions.
     """
     keys = list(keys)
-    times = statements.select(*keys, value)
-    sizes = group_sizes(times, keys)
-    large = sizes.filter(F.col("_rows") > split_rows)
-    ranged = times.withColumn("_range", F.lit(0))
-    if not large.isEmpty():
-        cuts = value_cuts(times, large, keys, value, split_rows, 1024)
-        ranged = lookup(times, cuts, keys).withColumn("_range", cuts_below("_cuts", F.col(value))).drop("_cuts")
-    counted = ranged.groupBy(*keys, "_range", value).agg(F.count(F.lit(1)).alias("_n"))
-    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in")).join(sizes, keys)
-    upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_range"))
-    crossing = (ranges.withColumn("_upto", upto).filter(F.col("_upto") / F.col("_rows") > share)
-                .groupBy(*keys).agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_in")).alias("_before"), "_rows")).alias("_c"))
-                .select(*keys, "_c.*"))
-    inside = counted.join(crossing, [*keys, "_range"])
-    below = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))
-    return inside.withColumn("_below", below).filter(F.col("_below") / F.col("_rows") > share).groupBy(*keys).agg(
-        F.min(value).alias("latency"))
+    counted = statements.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    totals = statements.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    below = running_total(counted, keys, [F.col(value).asc()], F.col("_n"), "_below")
+    return below.join(totals, keys).filter(F.col("_below") / F.col("_all") > share).groupBy(*keys).agg(F.min(value).alias("latency"))

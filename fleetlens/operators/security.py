@@ -17,19 +17,28 @@ REMOTE_RULE_TYPES = ("host", "hostssl", "hostnossl")
 LOCAL_ADDRESSES = ("", "127.0.0.1/32", "::1/128", "samehost")
 
 
+# Versions from which the account table tells plugins, and locks and expiry.
+PLUGINS_FROM, LOCKS_FROM = 50501, 80000
+
+
 def native_hash(name: Column) -> Column:
     """The stored form of a password equal to ``name``."""
     return F.concat(F.lit("*"), F.upper(F.sha1(F.unhex(F.sha1(name)))))
 
 
 def mysql_user_findings(accounts: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
-    """SEC1: findings per account, without the names of user and host."""
+    """SEC1: findings per account, without the names of user and host.
+
+    Where the server has the table of global privileges, an account is blank if its native password is empty text. Elsewhere
+    a missing secret is blank too, the plugin counts from version 5.5.1 on, where a missing one rules the account out, and
+    locked or expired accounts are left out from 8.0 on. ``version_number`` is 50501 for 5.5.1.
+    """
     user, secret = F.col("user"), F.coalesce("secret", F.lit(""))
-    instance = F.col("instance_type")
-    unlocked = ~F.coalesce("account_locked", F.lit(False))
-    forked = (F.col("plugin") == NATIVE_PLUGIN)
-    original = ~F.coalesce("plugin", F.lit("")).isin(*SOCKET_PLUGINS) & ~F.coalesce("password_expired", F.lit(False))
-    blank = (user != "") & (secret == "") & unlocked & F.when(F.col("is_mariadb"), forked).otherwise(original)
+    instance, version = F.col("instance_type"), F.col("version_number")
+    forked = (F.col("plugin") == NATIVE_PLUGIN) & (F.col("secret") == "") & ~F.coalesce("account_locked", F.lit(False))
+    plugin = (version < PLUGINS_FROM) | ~F.col("plugin").isin(*SOCKET_PLUGINS)
+    active = (version < LOCKS_FROM) | (~F.col("account_locked") & ~F.col("password_expired"))
+    blank = (user != "") & F.when(F.col("has_global_priv"), forked).otherwise((secret == "") & plugin & active)
     excepted = ((user == "mariadb.sys") | ((instance == "aws/rds") & (user == "rdsadmin"))
                 | ((instance == "gcp/cloudsql") & (user.contains("cloudsql") | (user == "root"))))
     remote_root = (instance == "local") & (user == "root") & ~F.col("host").isin(*LOCAL_HOSTS)

@@ -6,112 +6,70 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..session import pinned
 
-COARSE = 64
-"""Slices per key where keys are few beside the facts: servers, databases, schemas."""
+SLICES = 64
+"""Slices that a group's rows are cut into before they meet."""
 
-FINE = 8
-"""Slices per key where keys are many: tasks, snapshots, statements. Beyond them Spark splits skewed partitions."""
 
-SPLIT_ROWS = 1_000_000
-"""Groups up to this many rows are ranked in one task; larger ones are cut into ranges of about this size."""
+def slice_of(columns: Sequence[str], slices: int = SLICES) -> Column:
+    """A slice number from the row's own columns: the same on every retry, and filters pass below it."""
+    return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
 
-BLOCK = 32
-"""Cuts are searched in blocks of this size, so a row is compared with few of them."""
 
+def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join facts to a table with at most one row per key.
 
-def salt_column(salts: int = COARSE) -> Column:
-    """A slice number from the partition a row is read from.
-
-    It is the same on every retry and needs no column, so unused columns are still pruned. Rows of a hot key come
-    from many splits or from a finer shuffle, so they get all slices; where they come from one partition already, the
-    slice changes nothing.
+    A plain join: Spark broadcasts the keyed side by its measured size, filters on the key reach both scans, and adaptive
+    execution splits the partition of a hot key, for which ``build_session`` has the settings.
     """
-    return F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts)).cast("int")
+    return facts.join(keyed, list(on), how)
 
 
-def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "left", salts: int = COARSE) -> DataFrame:
-    """Join facts to a table with at most one row per key.
+def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", spread: Sequence[str] = ()) -> DataFrame:
+    """The first ``k`` rows of every group with their rank, cut per slice before the groups meet in one task.
 
-    The facts of a key are spread over ``salts`` slices and the keyed row is repeated once per slice, so a key that
-    holds most of the facts is joined by several tasks. No side is forced to broadcast: Spark does so by itself when
-    the measured size allows it.
+    ``spread`` names the columns that deal rows to slices, the id of a row at best; by default all others that can be hashed.
     """
-    on = list(on)
-    salted = facts.withColumn("_slice", salt_column(salts))
-    copies = keyed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_slice"], how).drop("_slice")
-
-
-def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every group with their rank, cut per slice before the groups meet in one task."""
     group = list(group)
-    sliced = df.withColumn("_slice", salt_column())
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    spread = list(spread) or [c for c in df.columns if c not in group and not isinstance(kinds[c], (MapType, VariantType))]
+    sliced = df.withColumn("_slice", slice_of(spread or group))
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)
     return (sliced.withColumn(rank, F.row_number().over(local)).filter(F.col(rank) <= k).drop("_slice", rank)
             .withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k))
 
 
-def cuts_below(cuts: str, value: Column) -> Column:
-    """How many of the ascending cuts are smaller than ``value``: whole blocks first, then inside one block."""
-    blocks = F.size(F.filter(cuts, lambda c, i: (F.pmod(i, F.lit(BLOCK)) == BLOCK - 1) & (c < value)))
-    inside = F.filter(F.slice(cuts, blocks * BLOCK + 1, F.lit(BLOCK)), lambda c: c < value)
-    return F.when(F.col(cuts).isNull(), 0).otherwise(blocks * BLOCK + F.size(inside))
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column], amount: Column, out: str) -> DataFrame:
+    """The sum of ``amount`` over the rows of the group up to each row, in ``order``, which must tell all rows apart.
 
-
-def group_sizes(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Number of rows per group, written once."""
-    return pinned(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")))
-
-
-def value_cuts(df: DataFrame, large: DataFrame, group: Sequence[str], value: str, split_rows: int, ranges: int) -> DataFrame:
-    """Per large group ascending cut values, so many that a range has about ``split_rows`` rows.
-
-    The cuts come from an approximate sketch, so they are written once and every use sees the same ones.
-    """
-    steps = [i / ranges for i in range(1, ranges)]
-    rows = lookup(df.select(*group, value), large, group, "inner")
-    sketch = rows.groupBy(*group).agg(F.percentile_approx(value, steps, 10 * ranges).alias("_all"), F.first("_rows").alias("_rows"))
-    keep = F.greatest(F.floor(F.lit(ranges) * split_rows / F.col("_rows")), F.lit(1))
-    thinned = F.filter("_all", lambda c, i: F.pmod(i + 1, F.col("_keep")) == 0)
-    return pinned(sketch.withColumn("_keep", keep).select(*group, F.array_distinct(thinned).alias("_cuts")))
-
-
-def rank_within(df: DataFrame, group: Sequence[str], value: str, tie: str, rank: str = "rank",
-                split_rows: int = SPLIT_ROWS, ranges: int = 1024) -> DataFrame:
-    """Exact position of each row in its group by ``value`` descending, then by the text column ``tie``.
-
-    Groups of up to ``split_rows`` rows are ranked by a window. When there is a larger one, it is cut at value
-    quantiles; rows equal to a cut value form ranges of their own, which are cut again by the leading characters of
-    ``tie``. Each range is numbered on its own and shifted by the size of the ranges before it, so no task sorts a whole
-    large group. The cuts only balance the work: the result does not depend on how good they are. Pass narrow rows and
-    join the rest by key.
+    Rows are dealt by ranges of group and order, so a large group lies in many partitions, whatever the types of the order;
+    each partition is summed on its own and shifted by the sums of those before it. The ranges are written once, since both
+    must see the same ones. Pass narrow rows and join the rest by key.
     """
     group = list(group)
-    order = [F.col(value).desc(), F.col(tie).asc()]
-    large = group_sizes(df, group).filter(F.col("_rows") > split_rows)
-    if large.isEmpty():
-        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    cuts = value_cuts(df, large, group, value, split_rows, ranges)
-    equal = F.coalesce(F.element_at(F.col("_cuts"), F.least(F.col("_below") + 1, F.size("_cuts"))) == F.col(value), F.lit(False))
-    cut = (lookup(df, cuts, group).withColumn("_below", F.coalesce(cuts_below("_cuts", F.col(value)), F.lit(0)))
-           .withColumn("_equal", F.when(F.size("_cuts") > 0, equal).otherwise(False))
-           .withColumn("_range", -(2 * F.col("_below") + F.col("_equal").cast("int")))
-           .withColumn("_prefix", F.coalesce(F.when(F.col("_equal"), F.substring(tie, 1, 3)), F.lit("")))
-           .drop("_cuts", "_below", "_equal"))
-    piece = [*group, "_range", "_prefix"]
-    place = Window.partitionBy(*piece).orderBy(*order)
-    placed = (cut.withColumn("_place", F.row_number().over(place))
-              .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*piece))))
-    # Both sides of the join read the same shuffle, so the rows are computed once.
-    before = Window.partitionBy(*group).orderBy("_range", "_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.filter(F.col("_place") == 1).select(*piece, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return (placed.join(offsets, piece)
-            .withColumn(rank, F.col("_place") + F.col("_before"))
-            .drop("_range", "_prefix", "_place", "_size", "_before"))
+    ranged = pinned(df.withColumn("_amount", amount).repartitionByRange(*[F.col(g) for g in group], *order)
+                    .withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per group and partition.
+    sums = ranged.groupBy(*group, "_part").agg(F.sum("_amount").alias("_in"))
+    offsets = sums.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*group, "_part")], "_before")
+    same = F.lit(True)
+    for c in (*group, "_part"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return (ranged.withColumn("_inside", F.sum("_amount").over(inside)).join(offsets, same)
+            .withColumn(out, (F.col("_inside") + F.col("_before")).cast("bigint"))
+            .drop("_amount", "_part", "_inside", "_before", *[f"_of_{c}" for c in (*group, "_part")]))
+
+
+def rank_within(df: DataFrame, group: Sequence[str], value: str, tie: str, rank: str = "rank") -> DataFrame:
+    """Exact position of each row in its group by ``value`` descending, then by ``tie`` in the order of its type."""
+    return running_total(df, group, [F.col(value).desc(), F.col(tie).asc()], F.lit(1), rank)
 
 
 def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, bucket: Column,

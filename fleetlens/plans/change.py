@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import trimmed
 from ..operators.ranking import first_failure_stops
-from ..operators.skew import FINE, lookup
+from ..operators.skew import lookup
 
 # Exit codes, ratios and defaults.
 BAD_INPUT, EMPTY, SYNTAX, NOT_POSSIBLE, NO_RECOVERY, FAILED, DISABLED = 2, 3, 4, 5, 6, 7, 10
@@ -42,7 +42,7 @@ def change_gate(statements: DataFrame, tasks: DataFrame, keys: Sequence[str] = (
     per_task = facts.join(tasks.select(*keys, "enabled"), keys, "left").select(
         *keys, whole.alias("_whole"), F.when(whole.isNotNull(), F.col("_first")).otherwise(F.col("_own_stop")).alias("_stop"))
     backup = F.when(wanted, F.when(F.col("ok_physical"), "physical").otherwise("logical")).otherwise("none")
-    return (lookup(s, per_task, keys, salts=FINE).withColumn("exit_code", F.coalesce("_whole", own))
+    return (lookup(s, per_task, keys).withColumn("exit_code", F.coalesce("_whole", own))
             .withColumn("backup", F.when(F.col("exit_code") == 0, backup))
             .withColumn("run", F.col("_stop").isNull() | (F.col("statement_index") <= F.col("_stop"))).drop("_whole", "_stop"))
 
@@ -57,13 +57,13 @@ def task_gate(statements: DataFrame, gated: DataFrame, tasks: DataFrame, keys: S
 
 
 def datadir_headroom(targets: DataFrame, sizes: DataFrame, filesystems: DataFrame) -> DataFrame:
-    """CR2: whether the data file system has room for a second copy of the table."""
+    """CR2: whether the data file system has room for a second copy of the table; one without a size row is refused."""
     keys = ["server_id", "table_schema", "table_name"]
     size = F.coalesce("data_length", F.lit(0)) + F.coalesce("index_length", F.lit(0))
-    joined = lookup(targets.join(sizes, keys, "left"), filesystems, ["server_id"])
+    joined = lookup(targets.join(sizes.withColumn("_sized", F.lit(True)), keys, "left"), filesystems, ["server_id"])
     free = F.col("free_bytes") / F.col("total_bytes")
     used = (F.col("total_bytes") - F.col("free_bytes") + size) / F.col("total_bytes")
-    reason = (F.when(F.coalesce("total_bytes", F.lit(0)) <= 0, "invalid-filesystem").when(free <= MINIMUM_FREE, "low-free-space")
+    reason = (F.when(F.col("_sized").isNull(), "unknown-table").when(F.coalesce("total_bytes", F.lit(0)) <= 0, "invalid-filesystem").when(free <= MINIMUM_FREE, "low-free-space")
               .when(used > MAXIMUM_USED, "no-room-for-copy"))
     return joined.select(*keys, reason.alias("reason"))
 

@@ -44,8 +44,8 @@ def apply_plan_rds(recommendations: DataFrame, parameters: DataFrame, current: D
     kind = F.lower(F.coalesce(p["apply_type"], F.lit("")))
     cluster = F.col("scope") == "cluster"
     reason = (F.when(p.isNull(), "absent")
-              .when(cluster & ~is_aurora(F.col("engine")), "cluster-not-supported")
-              .when(cluster & ~F.col("is_cluster_writer"), "not-cluster-writer")
+              .when(cluster & ~F.coalesce(is_aurora(F.col("engine")), F.lit(False)), "cluster-not-supported")
+              .when(cluster & ~F.coalesce("is_cluster_writer", F.lit(False)), "not-cluster-writer")
               .when(~F.coalesce(p["is_modifiable"], F.lit(False)), "unmodifiable")
               .when(~supported, "unsupported-engine-mode")
               .when(F.col("planned").isNull(), "invalid-value")

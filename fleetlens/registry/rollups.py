@@ -125,8 +125,8 @@ devices AS (
 
 
 @query("iops_total", f"""WITH {DEVICES}, once AS (
-  SELECT server_id, snapshot_id, provider, device, CASE WHEN provider <> 'local' THEN mount END AS mount,
-    min(reads) AS reads, min(writes) AS writes FROM devices GROUP BY ALL)
+  SELECT server_id, snapshot_id, min(reads) AS reads, min(writes) AS writes FROM devices WHERE provider = 'local' GROUP BY server_id, snapshot_id, device
+  UNION ALL SELECT server_id, snapshot_id, reads, writes FROM devices WHERE provider <> 'local')
 SELECT server_id, snapshot_id, CAST(sum(reads) AS BIGINT) AS iop_read, CAST(sum(writes) AS BIGINT) AS iop_write
 FROM once GROUP BY server_id, snapshot_id""")
 def iops_total(t: Tables):

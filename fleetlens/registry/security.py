@@ -18,11 +18,12 @@ TYPES = ("local", "aws/rds", "gcp/cloudsql", "azure/mysql")
 ACCOUNTS = f"""
 accounts AS (SELECT c_nationkey AS server_id, CASE WHEN c_custkey % 10 < 6 THEN ({b.sql_list(USERS)})[CAST(c_custkey % 10 AS INTEGER) + 1] ELSE c_name END AS u,
   ({b.sql_list(HOSTS)})[CAST((c_custkey // 10) % 5 AS INTEGER) + 1] AS host, ({b.sql_list(PLUGINS)})[CAST(c_custkey % 4 AS INTEGER) + 1] AS plugin, c_custkey,
-  ({b.sql_list(TYPES)})[CAST(c_nationkey % 4 AS INTEGER) + 1] AS instance_type, c_nationkey % 3 = 0 AS mariadb, c_custkey % 13 = 0 AS locked, c_custkey % 11 = 0 AS expired FROM customer),
+  ({b.sql_list(TYPES)})[CAST(c_nationkey % 4 AS INTEGER) + 1] AS instance_type, c_nationkey % 6 = 0 AS privileges, ([50100, 50700, 80000, 80400])[CAST(c_nationkey % 4 AS INTEGER) + 1] AS version, c_custkey % 13 = 0 AS locked, c_custkey % 11 = 0 AS expired FROM customer),
 secrets AS (SELECT *, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '*' || upper(sha1(unhex(sha1(u)))) WHEN 3 THEN '*' || upper(sha1(unhex(sha1(upper(u))))) ELSE '*OTHER' END AS secret FROM accounts),
 findings AS (SELECT server_id,
-  CAST(coalesce(u <> '' AND coalesce(secret, '') = '' AND NOT locked AND (CASE WHEN mariadb THEN plugin = 'mysql_native_password'
-      ELSE coalesce(plugin, '') NOT IN ('auth_socket', 'unix_socket', 'win_socket', 'auth_pam_compat') AND NOT expired END)
+  CAST(coalesce(CASE WHEN u = '' THEN false WHEN privileges THEN plugin = 'mysql_native_password' AND secret = '' AND NOT locked
+      WHEN secret <> '' THEN false WHEN version >= 50501 AND (plugin IS NULL OR plugin IN ('auth_socket', 'unix_socket', 'win_socket', 'auth_pam_compat')) THEN false
+      WHEN version >= 80000 AND (locked OR expired) THEN false ELSE true END
     AND NOT (u = 'mariadb.sys' OR (instance_type = 'aws/rds' AND u = 'rdsadmin') OR (instance_type = 'gcp/cloudsql' AND (contains(u, 'cloudsql') OR u = 'root'))), false) AS INTEGER) AS blank_password,
   CAST(coalesce(secret, '') = '*' || upper(sha1(unhex(sha1(u)))) OR coalesce(secret, '') = '*' || upper(sha1(unhex(sha1(upper(u))))) AS INTEGER) AS password_as_user,
   CAST(instance_type = 'local' AND u = 'root' AND host NOT IN ('localhost', '127.0.0.1', '::1') AS INTEGER) AS remote_conn_root, CAST(trim(u) = '' AS INTEGER) AS anonymous_user FROM secrets)"""
@@ -35,7 +36,8 @@ def accounts(t: Tables):
               .when(key % 5 == 3, security.native_hash(F.upper(user))).otherwise("*OTHER"))
     return t.customer.select(
         F.col("c_nationkey").alias("server_id"), user.alias("user"), pick(HOSTS, "c_custkey", 10).alias("host"), pick(PLUGINS, "c_custkey").alias("plugin"),
-        secret.alias("secret"), pick(TYPES, "c_nationkey").alias("instance_type"), (F.col("c_nationkey") % 3 == 0).alias("is_mariadb"),
+        secret.alias("secret"), pick(TYPES, "c_nationkey").alias("instance_type"), (F.col("c_nationkey") % 6 == 0).alias("has_global_priv"),
+        F.get(F.array(*[F.lit(v) for v in (50100, 50700, 80000, 80400)]), (F.col("c_nationkey") % 4).cast("int")).alias("version_number"),
         (key % 13 == 0).alias("account_locked"), (key % 11 == 0).alias("password_expired"))
 
 

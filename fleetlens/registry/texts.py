@@ -62,28 +62,44 @@ def statement_corpus_profile(t: Tables):
 
 # Texts with @ for the table, and the reason each one is refused for.
 DDL = [
-    ("ALTER TABLE @ ADD COLUMN last_seen_at DATETIME", None), ("ALTER TABLE app.@ ADD COLUMN a DATETIME, ALGORITHM=COPY, LOCK=EXCLUSIVE", "copy-algorithm"),
-    ("CREATE INDEX idx_email ON @(email)", None), ("ALTER TABLE app.@ RENAME TO app.other", "table-rename"),
-    ("ALTER TABLE app.@ ADD COLUMN c INT /*!80000 , ALGORITHM=COPY */", "executable-comment"), ("ALTER TABLE `app`.`@` ADD COLUMN `status` VARCHAR(16)", None),
-    ("ALTER TABLE app.@ ADD COLUMN active BOOLEAN, ALGORITHM=INPLACE, LOCK=NONE", None), ("ALTER TABLE app.@ ADD COLUMN active BOOLEAN, ALGORITHM=INPLACE, LOCK=SHARED", "blocking-lock"),
-    ("CREATE UNIQUE INDEX idx_u ON app.@(email)", None), ("CREATE INDEX idx_s /* users */ ON app.@(status)", None), ("CREATE INDEX idx_s ON app.@(status) ALGORITHM=INPLACE LOCK=NONE", None),
-    ("ALTER TABLE app.@ ADD COLUMN a INT; ALTER TABLE app.@ ADD COLUMN b INT", "several-statements"),
-    ("ALTER TABLE app.@ ADD COLUMN note VARCHAR(20) DEFAULT 'it\\'s'", "backslash-quote"), ("ALTER TABLE app.@ ADD COLUMN reviewed_at DATETIME; /* audit */", None),
-    ("ALTER TABLE", "no-target"), ("ALTER TABLE app.@ EXCHANGE PARTITION p WITH TABLE x", "exchange-partition"), ("ALTER TABLE app.@ RENAME COLUMN a TO b, LOCK=NONE, LOCK=NONE", "invalid-lock-clause"),
-    ("ALTER TABLE other.@ ADD COLUMN a INT", "target-mismatch"), ("ALTER TABLE app.@ MODIFY COLUMN a TEXT COMMENT 'x; RENAME TO y'", None),
+    ("ALTER TABLE @ DROP COLUMN note", None),
+    ("ALTER ONLINE TABLE shop.@ ALTER COLUMN price SET DEFAULT (1 + (2 * (3)))", None),
+    ("CREATE FULLTEXT INDEX ft ON `shop`.`@` (title)", None),
+    ("CREATE INDEX IF NOT EXISTS by_day USING BTREE ON @ (day) LOCK NONE", None),
+    ("ALTER TABLE `@` FORCE, ALGORITHM=INSTANT", None),
+    ("ALTER TABLE shop.@ CHANGE COLUMN a b BIGINT", None),
+    ("ALTER TABLE @ RENAME INDEX i TO j -- later", None),
+    ("ALTER TABLE @ ADD KEY k ((lower(title))), LOCK = NONE", None),
+    ("ALTER TABLE @ COMMENT 'a ; RENAME TO b' # LOCK=SHARED", None),
+    ("ALTER TABLE shop.@ RENAME AS archive", "table-rename"),
+    ("ALTER TABLE @ ADD c INT CHECK (((((((((c > 0))))))))), RENAME TO shop.x", "table-rename"),
+    ("ALTER TABLE @ ADD c INT DEFAULT (((((((((((1))))))))))), ALGORITHM = COPY", "copy-algorithm"),
+    ("ALTER TABLE @ ENGINE=InnoDB, ALGORITHM DEFAULT", "copy-algorithm"),
+    ("ALTER TABLE @ ENGINE=InnoDB, ALGORITHM=FAST", "unknown-algorithm"),
+    ("ALTER TABLE @ FORCE, LOCK EXCLUSIVE", "blocking-lock"),
+    ("ALTER TABLE @ FORCE, LOCK=SOFT", "unknown-lock"),
+    ("ALTER TABLE @ FORCE, LOCK=", "invalid-lock-clause"),
+    ("ALTER TABLE @ FORCE, ALGORITHM=NOCOPY, ALGORITHM=INSTANT", "invalid-algorithm-clause"),
+    ("ALTER TABLE @ EXCHANGE PARTITION p9 WITH TABLE cold", "exchange-partition"),
+    ("ALTER TABLE @ ADD d INT /*! COMMENT 'x' */", "executable-comment"),
+    ("ALTER TABLE @ COMMENT = 'don\\'t'", "backslash-quote"),
+    ("ALTER TABLE @ FORCE; DROP TABLE @", "several-statements"),
+    ("ALTER TABLE @ ADD e INT DEFAULT ((1)", "not-read"),
+    ("ALTER TABLE archive.@ FORCE", "target-mismatch"),
+    ("DROP TABLE @", "no-target"),
 ]
 
 AUDIT = f"""
-statements AS (SELECT p_partkey, p_size % 5 AS server_id, CAST(p_partkey % {len(DDL)} AS INTEGER) + 1 AS k, 'users' || CAST(p_partkey AS VARCHAR) AS target FROM part),
+statements AS (SELECT p_partkey, p_size % 5 AS server_id, CAST(p_partkey % {len(DDL)} AS INTEGER) + 1 AS k, 'stock' || CAST(p_partkey AS VARCHAR) AS target FROM part),
 audit AS (SELECT p_partkey, server_id, replace(({b.sql_list([d for d, _ in DDL])})[k], '@', target) AS ddl_statement, ({b.sql_list([r for _, r in DDL])})[k] AS reason,
   NOT regexp_matches(upper(replace(({b.sql_list([d for d, _ in DDL])})[k], '@', target)),
     'ADD FULLTEXT|ADD SPATIAL|DROP PRIMARY KEY|MODIFY COLUMN|MODIFY |CHANGE COLUMN|CHANGE ') AS static_online FROM statements)"""
 
 
 def audited(t: Tables):
-    target = F.concat(F.lit("users"), F.col("p_partkey").cast("string"))
+    target = F.concat(F.lit("stock"), F.col("p_partkey").cast("string"))
     statements = t.part.select("p_partkey", (F.col("p_size") % 5).alias("server_id"), F.replace(pick([d for d, _ in DDL], "p_partkey"), F.lit("@"), target).alias("ddl_statement"),
-                               F.lit("app").alias("schema_name"), F.lit("app").alias("target_schema"), target.alias("target_table"))
+                               F.lit("shop").alias("schema_name"), F.lit("shop").alias("target_schema"), target.alias("target_table"))
     return tx.ddl_audit(statements)
 
 

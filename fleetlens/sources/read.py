@@ -107,11 +107,13 @@ def parse_stage_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
     def field(name: str) -> Column:
         return F.nullif(F.regexp_extract(line, rf"\b{name}=(\S+)", 1), F.lit(""))
+    # A table's name may hold spaces: it ends where the next known field begins.
+    table = F.nullif(F.btrim(F.regexp_extract(line, r"\btable=(.*?)(?: duration_ms=| reason=|$)", 1)), F.lit(""))
     reason = F.regexp_extract(line, r'\breason="((?:[^"\\]|\\.)*)"', 1)
     return lines.filter(line.contains(STAGE_LINE)).select(
         *[c for c in lines.columns if c != column],
         field("task_id").try_cast("int").alias("task_id"), field("statement_index").try_cast("int").alias("statement_index"),
-        field("stage").alias("stage"), field("status").alias("status"), field("table").alias("table"),
+        field("stage").alias("stage"), field("status").alias("status"), table.alias("table"),
         field("duration_ms").try_cast("bigint").alias("duration_ms"),
         F.nullif(F.replace(F.replace(reason, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")), F.lit("")).alias("reason"))
 

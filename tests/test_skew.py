@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators import rollups, skew
+from fleetlens.operators import ranking, rollups, skew
 
 
 @pytest.fixture(scope="module")
@@ -17,31 +17,31 @@ def hot(spark):
     return spark.createDataFrame(data, "server_id int, value int, tie string, id int").repartition(6)
 
 
-@pytest.mark.parametrize("split", [1, 200, 10**6])
-def test_rank_within_equals_window(hot, split):
-    got = skew.rank_within(hot, ["server_id"], "value", "tie", split_rows=split, ranges=64)
-    window = Window.partitionBy("server_id").orderBy(F.col("value").desc(), "tie")
+@pytest.mark.parametrize("tie", ["tie", "id"])
+def test_rank_within_equals_window(hot, tie):
+    got = skew.rank_within(hot, ["server_id"], "value", tie)
+    window = Window.partitionBy("server_id").orderBy(F.col("value").desc(), tie)
     both = got.select("id", "rank").join(hot.select("id", F.row_number().over(window).alias("want")), "id")
     assert both.count() == hot.count()
     assert both.filter("rank <> want").count() == 0
 
 
-def test_cuts_follow_the_size_of_the_group(hot):
-    large = skew.group_sizes(hot, ["server_id"]).filter("_rows > 500")
-    cuts = {r["server_id"]: r["_cuts"] for r in skew.value_cuts(hot, large, ["server_id"], "value", 500, 64).collect()}
-    assert list(cuts) == [1] and cuts[1] == sorted(set(cuts[1])) and 3 <= len(cuts[1]) <= 12
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_cuts_below_counts_smaller_cuts(spark):
-    for size in (0, 1, 31, 32, 33, 64, 100):
-        cuts = [2 * i for i in range(size)]
-        df = spark.createDataFrame([(cuts, v) for v in range(-1, 2 * size + 2)], "cuts array<int>, v int")
-        assert all(r["n"] == sum(c < r["v"] for c in cuts) for r in df.withColumn("n", skew.cuts_below("cuts", F.col("v"))).collect())
+def test_a_large_group_is_ranked_in_several_partitions(hot, uncoalesced):
+    ranged = hot.repartitionByRange(F.col("server_id"), F.col("value").desc(), F.col("tie")).withColumn("p", F.spark_partition_id())
+    assert ranged.filter("server_id = 1").select("p").distinct().count() > 1
+    test_rank_within_equals_window(hot, "id")
 
 
 def test_rank_within_keeps_missing_values(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, None, "b"), (1, 7, "c")], "server_id int, value int, tie string")
-    got = {r["tie"]: r["rank"] for r in skew.rank_within(df, ["server_id"], "value", "tie", split_rows=1).collect()}
+    got = {r["tie"]: r["rank"] for r in skew.rank_within(df, ["server_id"], "value", "tie").collect()}
     assert got == {"c": 1, "a": 2, "b": 3}
 
 
@@ -60,8 +60,8 @@ def test_lookup_equals_join(spark, hot, how):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
-def test_lookup_spreads_the_hot_key(hot):
-    slices = hot.filter("server_id = 1").withColumn("s", skew.salt_column()).groupBy("s").count()
+def test_slices_spread_the_hot_key(hot):
+    slices = hot.filter("server_id = 1").withColumn("s", skew.slice_of(["id"])).groupBy("s").count()
     assert slices.count() > 2
 
 
@@ -76,9 +76,23 @@ def test_carry_last_equals_window(hot, current):
     assert both.filter("NOT (last <=> want)").count() == 0
 
 
-@pytest.mark.parametrize("split", [50, 10**6])
-def test_latency_share_equals_cume_dist(hot, split):
-    got = {r[0]: r[1] for r in rollups.latency_share(hot, "value", split_rows=split).collect()}
+def test_latency_share_equals_cume_dist(hot):
+    got = {r[0]: r[1] for r in rollups.latency_share(hot, "value").collect()}
     window = Window.partitionBy("server_id").orderBy("value")
     want = hot.withColumn("share", F.cume_dist().over(window)).filter("share > 0.95").groupBy("server_id").agg(F.min("value"))
     assert got == {r[0]: r[1] for r in want.collect()}
+
+
+@pytest.mark.parametrize("job", ["lookup", "top_k", "plan_quota", "rollup"])
+def test_a_filter_on_the_server_reaches_the_scan(spark, tmp_path, hot, job):
+    hot.withColumn("dbid", F.col("id") % 3).withColumn("queryid", F.col("id")).withColumn("toplevel", F.lit(True)).withColumn(
+        "calls", F.lit(1)).withColumn("total_exec_time", F.col("value").cast("double")).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    names = facts.select("server_id", F.col("dbid").alias("oid"), "tie").distinct().withColumnRenamed("tie", "datname")
+    made = {"lookup": lambda: skew.lookup(facts, names.groupBy("server_id").agg(F.min("datname").alias("n")), ["server_id"]),
+            "top_k": lambda: skew.top_k(facts, ["server_id"], [F.col("value").desc(), F.col("tie")], 5),
+            "plan_quota": lambda: ranking.plan_quota(facts, "value", F.col("id") % 2 == 0, 5, tie="tie"),
+            "rollup": lambda: rollups.statement_rollup(facts, names)}[job]()
+    plan = made.filter("server_id = 3")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert scans and all("EqualTo(server_id,3)" in line for line in scans)
