@@ -130,10 +130,19 @@ def parameter_value(name: Column, value: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A finite double as text without exponent; null when it is not finite."""
-    text = value.try_cast(DecimalType(38, 10)).cast("string")
-    cut = F.regexp_replace(F.regexp_replace(text, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), cut)
+    """A finite double as text without exponent, with all its digits; null when it is not finite."""
+    number = value.cast("double")
+    text = F.abs(number).cast("string")
+    mantissa, power = F.regexp_extract(text, r"^([0-9.]+)", 1), F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    point = F.instr(mantissa, ".") - 1
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    whole = point + power  # digits before the point; not above nought for small numbers
+    filled = F.when(whole > 0, F.rpad(digits, F.greatest(whole, F.length(digits)), "0")).otherwise(F.concat(F.repeat(F.lit("0"), 1 - whole), digits))
+    cut = F.greatest(whole, F.lit(1))
+    fraction = F.regexp_replace(F.substring(filled, cut + 1, F.length(filled)), "0+$", "")
+    plain = F.concat(F.substring(filled, F.lit(1), cut), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+    signed = F.concat(F.when((number < 0) & (plain != "0"), "-").otherwise(""), plain)
+    return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), signed)
 
 
 def native_units(database_type: Column, name: Column, value: Column) -> Column:

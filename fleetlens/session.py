@@ -12,8 +12,8 @@ SHUFFLE_BYTES = 128 * 1024 * 1024
 
 
 def shuffle_partitions(input_bytes: int) -> str:
-    """Number of shuffle partitions for an input of this size: 100 TB give about 800,000, capped at what a driver tracks well."""
-    return str(min(100_000, max(200, input_bytes // SHUFFLE_BYTES)))
+    """Number of shuffle partitions for an input of this size: 100 TB give about 800,000."""
+    return str(max(200, input_bytes // SHUFFLE_BYTES))
 
 
 def build_session(app: str = "fleetlens", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:

@@ -95,7 +95,11 @@ def parse_recommendations(documents: DataFrame, column: str = "document") -> Dat
     """SRC7: exactly one JSON object per document as name/value rows with the numbers' own text; else one error row."""
     alone = F.from_json(F.concat(F.lit("["), F.col(column), F.lit("]")), "array<variant>")
     valid = F.coalesce((F.size(alone) == 1) & F.ltrim(F.col(column)).startswith("{"), F.lit(False))
-    values = F.when(valid, F.from_json(_numbers_as_text(F.col(column)), "map<string,string>"))
+    texts = F.from_json(_numbers_as_text(F.col(column)), "map<string,string>")
+    # Inside of an object or a list numbers stay numbers.
+    plain = F.from_json(column, "map<string,string>")
+    members = F.map_zip_with(texts, plain, lambda name, text, whole: F.when(whole.rlike(r"^\s*[\[{]"), whole).otherwise(text))
+    values = F.when(valid, members)
     return documents.select(
         *[c for c in documents.columns if c != column], F.when(~valid, F.col(column)).alias("error"),
         F.explode_outer(values).alias("name", "value"))

@@ -105,7 +105,8 @@ class SnapshotState(StatefulProcessor):
     """ST3 for one server: the last complete snapshot with its expiry and class, a few numbers of state.
 
     A refresh is due when there is no snapshot, when it expired, or when the server changed its size class. A failed
-    refresh serves the old snapshot without extending it. Log entries older than the last handled one are ignored.
+    refresh serves the old snapshot without extending it. A call that is not newer than the last handled one is ``late``: it
+    is served what is held and changes nothing.
     """
 
     def __init__(self, threshold: int = LARGE_TABLES, factor: int = LARGE_RAM_FACTOR, ttl: int = LARGE_TTL):
@@ -123,6 +124,7 @@ class SnapshotState(StatefulProcessor):
         for row in log.itertuples(index=False):
             place = (int(row.at), int(row.id))
             if last_at is not None and place <= (last_at, last_id):
+                out.append((*key, *place, "late", taken, large))
                 continue
             last_at, last_id = place
             count, ram = int(row.tables), int(row.ram)

@@ -44,7 +44,7 @@ def test_snapshot_rules(spark, tmp_path):
     parts = [[(a, b, c, d, __import__("decimal").Decimal(e), __import__("decimal").Decimal(f), __import__("decimal").Decimal(g)) for a, b, c, d, e, f, g in p] for p in parts]
     got = run_log(spark, tmp_path, parts, threshold=1000, factor=4)
     assert [(at, kind, taken) for _, at, _, kind, taken in got] == [
-        (0, "error", None), (HOUR, "refreshed", HOUR), (2 * HOUR, "reused", HOUR), (HOUR + 42899, "reused", HOUR), (HOUR + 42900, "stale", HOUR), (HOUR + 42901, "refreshed", HOUR + 42901),
+        (0, "error", None), (5, "late", HOUR), (HOUR, "refreshed", HOUR), (2 * HOUR, "reused", HOUR), (HOUR + 42899, "reused", HOUR), (HOUR + 42900, "stale", HOUR), (HOUR + 42901, "refreshed", HOUR + 42901),
         (20 * HOUR, "refreshed", 20 * HOUR), (20 * HOUR + 1, "reused", 20 * HOUR)]
 
 
