@@ -67,6 +67,26 @@ def plan_sharing(statements: DataFrame, outcomes: DataFrame, keys: Sequence[str]
     return lookup(statements, outcomes, keys)
 
 
+def plan_candidates(statements: DataFrame, eligible: Column, success: Column, first: str = "total_exec_time_us",
+                    second: str = "mean_exec_time_us", quota: int = PLAN_QUOTA, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """F6/F7, W3 and W4 end to end: which statements get a plan, by which ranking, and through which attempt.
+
+    Statements that are not ``eligible`` are left out before anything is counted. Those that share a plan are one candidate with
+    their largest times and their smallest ``queryid``, of which ``success`` tells whether the attempt gives a plan; a quota pass
+    per ranking chooses the attempts, and every sharing statement, attempted or not, gets the outcome of its key. Texts are
+    compared by their SHA-256, so they stay out of rankings and joins.
+    """
+    keys = list(keys)
+    shared = plan_key(F.col("datname"), F.col("pg_queryid"), F.sha2("query", 256))
+    rows = statements.filter(eligible).select(*keys, "queryid", first, second, shared.alias("_plan"))
+    groups = rows.groupBy(*keys, "_plan").agg(F.min("queryid").alias("attempt"), F.max(first).alias(first), F.max(second).alias(second))
+    members = rows.select(*keys, "queryid", "_plan").join(groups.select(*keys, "_plan", "attempt"), [*keys, "_plan"]).drop("_plan")
+    candidates = groups.select(*keys, F.col("attempt").alias("queryid"), first, second)
+    chosen = two_rankings(candidates, first, second, success, quota, keys).select(
+        *keys, F.col("queryid").alias("attempt"), "ranking", success.alias("planned"))
+    return members.join(chosen, [*keys, "attempt"], "left")
+
+
 def attempt_dedupe(attempts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first attempt of each key."""
     rest = [c for c in attempts.columns if c not in keys]

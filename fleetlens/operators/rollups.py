@@ -24,22 +24,28 @@ MIB = 1024 * 1024
 EXACT_TIME = DecimalType(28, 6)
 
 
+def snapshot_keys(rows: DataFrame, keys: Sequence[str] | None) -> list[str]:
+    """The given keys, or the server and, where the rows carry it, the time of their snapshot, so that snapshots do not add up."""
+    return list(keys) if keys is not None else [c for c in ("server_id", "collected_at") if c in rows.columns]
+
+
 def statement_rollup(stats: DataFrame, databases: DataFrame, timing: str = "total_exec_time",
-                     has_toplevel: bool = True, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+                     has_toplevel: bool = True, keys: Sequence[str] | None = None) -> DataFrame:
     """A1: calls, total and mean time per statement identity, roles merged, times in microseconds."""
     return _rollup(stats, databases, timing, has_toplevel, keys, [])
 
 
 def statement_rollup_full(stats: DataFrame, databases: DataFrame, timing: str = "total_exec_time",
                           has_toplevel: bool = True, has_rows: bool = True,
-                          keys: Sequence[str] = ("server_id",)) -> DataFrame:
+                          keys: Sequence[str] | None = None) -> DataFrame:
     """A2: the rollup with the statement text and the number of rows; 0 rows where the server has no such counter."""
     rows = F.sum("rows") if has_rows else F.lit(0).cast("bigint")
     return _rollup(stats, databases, timing, has_toplevel, keys, [F.min("query").alias("query"), rows.alias("rows")])
 
 
-def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: bool, keys: Sequence[str],
+def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: bool, keys: Sequence[str] | None,
             extra: list[Column]) -> DataFrame:
+    keys = snapshot_keys(stats, keys)
     level = F.col("toplevel") if has_toplevel else F.lit(None).cast("boolean")
     time = F.col(timing)
     if isinstance(stats.schema[timing].dataType, (DoubleType, FloatType)):
@@ -49,7 +55,7 @@ def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: b
             .withColumn("toplevel", level)
             .groupBy(*keys, "dbid", "queryid", "toplevel")
             .agg(F.sum("calls").alias("calls"), F.sum(time).alias("_time"), *extra))
-    named = database_names(sums, databases, keys)
+    named = database_names(sums, databases, [k for k in keys if k in databases.columns])
     return (named.withColumn("total_exec_time_us", total * 1000.0)
             .withColumn("mean_exec_time_us", F.coalesce(total / F.when(calls != 0, calls), F.lit(0.0)) * 1000.0)
             .withColumn("pg_queryid", F.col("queryid"))
@@ -57,8 +63,9 @@ def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: b
             .drop("_time"))
 
 
-def database_names(statements: DataFrame, databases: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def database_names(statements: DataFrame, databases: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """The database name of each statement, the marker when it is unknown."""
+    keys = snapshot_keys(databases, keys)
     names = databases.groupBy(*keys, F.col("oid").alias("dbid")).agg(F.min("datname").alias("datname"))
     return (lookup(statements, names, [*keys, "dbid"])
             .withColumn("datname", F.coalesce("datname", F.lit("NULL"))))
@@ -94,8 +101,9 @@ def digest_summary_full(digests: DataFrame, counters: Sequence[str], seconds) ->
     )
 
 
-def engine_sizes(catalog: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def engine_sizes(catalog: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """A5: number and size of tables per engine; a table without one of its sizes counts for the other only."""
+    keys = snapshot_keys(catalog, keys)
     def total(column: Column) -> Column:
         return F.coalesce(F.sum(column.cast(UNSIGNED)), F.lit(0).cast(UNSIGNED)).cast(UNSIGNED)
     return catalog.filter(F.col("engine").isNotNull()).groupBy(*keys, "engine").agg(
@@ -106,8 +114,9 @@ def engine_sizes(catalog: DataFrame, keys: Sequence[str] = ("server_id",)) -> Da
     )
 
 
-def table_type_sizes(catalog: DataFrame, size: Column, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def table_type_sizes(catalog: DataFrame, size: Column, keys: Sequence[str] | None = None) -> DataFrame:
     """Number and size of tables per table type, without the system schemas."""
+    keys = snapshot_keys(catalog, keys)
     users = catalog.filter(~F.col("table_schema").isin("information_schema", "pg_catalog"))
     return users.groupBy(*keys, "table_type").agg(
         F.count(F.lit(1)).alias("tables"),
@@ -115,21 +124,24 @@ def table_type_sizes(catalog: DataFrame, size: Column, keys: Sequence[str] = ("s
     )
 
 
-def size_totals(sizes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def size_totals(sizes: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Table count and total size of a server; the size saturates."""
+    keys = snapshot_keys(sizes, keys)
     return sizes.groupBy(*keys).agg(
         F.sum("tables").alias("tables"),
         saturated(F.sum(F.col("total_size").cast(UNSIGNED))).alias("total_size"),
     )
 
 
-def schema_list(catalog: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def schema_list(catalog: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """The schemas of a server."""
+    keys = snapshot_keys(catalog, keys)
     return catalog.select(*keys, "table_schema").distinct()
 
 
-def row_count(rows: DataFrame, name: str, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def row_count(rows: DataFrame, name: str, keys: Sequence[str] | None = None) -> DataFrame:
     """The number of rows (tables, statements) of a server."""
+    keys = snapshot_keys(rows, keys)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
@@ -159,11 +171,12 @@ def text_budget(processes: DataFrame, keys: Sequence[str], info: str = "info", b
     return lookup(marked.drop("_size"), chosen, keys).withColumn("info_bytes", cut).drop(info)
 
 
-def section_failures(failures: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def section_failures(failures: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """The distinct failed sections of a server with their place by first failure.
 
     A failed connection is named after its database.
     """
+    keys = snapshot_keys(failures, keys)
     section = F.when(F.col("section") == CONNECTION_SECTION, F.concat(F.col("database"), F.lit(":"), F.col("section")))
     first = (failures.withColumn("section", F.coalesce(section, F.col("section")))
              .groupBy(*keys, "section").agg(F.min("ordinal").alias("first_ordinal")))
@@ -171,8 +184,9 @@ def section_failures(failures: DataFrame, keys: Sequence[str] = ("server_id",))
     return first.groupBy(*keys).agg(F.transform(ordered, lambda x: x["section"]).alias("failed_sections"))
 
 
-def consumer_strategy(consumers: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def consumer_strategy(consumers: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Enabled statement consumers and the sample period that follows."""
+    keys = snapshot_keys(consumers, keys)
     counted = (F.col("enabled") == "YES") & F.col("name").like("events_statements_%") & (F.col("name") != "events_statements_cpu")
     count = F.col("enabled_consumers")
     return consumers.groupBy(*keys).agg(F.count_if(counted).alias("enabled_consumers")).withColumn(
@@ -180,8 +194,9 @@ def consumer_strategy(consumers: DataFrame, keys: Sequence[str] = ("server_id",)
         F.when(count >= 2, SAMPLE_PERIODS["two_or_more"]).when(count > 0, SAMPLE_PERIODS["one"]).otherwise(SAMPLE_PERIODS["none"]))
 
 
-def plan_error_counts(attempts: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def plan_error_counts(attempts: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Plan attempts per outcome class."""
+    keys = snapshot_keys(attempts, keys)
     return attempts.groupBy(*keys, "outcome").agg(F.count(F.lit(1)).alias("attempts"))
 
 
@@ -198,8 +213,9 @@ def last_stage(stages: DataFrame) -> DataFrame:
         "task_id", "statement_index", F.col("_last.stage").alias("stage"), F.col("_last.status").alias("status"))
 
 
-def rls_enabled(classes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def rls_enabled(classes: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Whether any user table has row security."""
+    keys = snapshot_keys(classes, keys)
     user = F.col("relkind").isin("r", "p") & ~F.col("nspname").isin("pg_catalog", "information_schema")
     return classes.groupBy(*keys).agg(F.coalesce(F.bool_or(user & F.col("relrowsecurity")), F.lit(False)).alias("rls_enabled"))
 
@@ -209,8 +225,9 @@ def public_privileges(usage: Column, create: Column) -> Column:
     return F.concat_ws(",", F.when(usage, "USAGE"), F.when(create, "CREATE"))
 
 
-def bytes_required(catalog: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+def bytes_required(catalog: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Estimated bytes of a logical backup of each table and a physical backup of its schema."""
+    keys = snapshot_keys(catalog, keys)
     def estimate(total: Column, factor: float) -> Column:
         mib = F.when(F.coalesce(total, F.lit(0)) == 0, F.lit(EMPTY_MIB)).otherwise(total.cast("double") * factor / MIB)
         return F.floor(mib * MIB)

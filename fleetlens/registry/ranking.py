@@ -82,6 +82,18 @@ def plan_sharing(t: Tables):
     return ranking.plan_sharing(rows, outcomes, keys).select("server_id", "queryid", "plan", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 
 
+@query("plan_candidates", f"""WITH {b.STATEMENT_STATS}, allowed AS (SELECT *, min(queryid) OVER (PARTITION BY server_id, datname, unsigned_id, query) AS attempt FROM statements WHERE calls > 20),
+slim AS (SELECT server_id, attempt AS queryid, max(total_exec_time_us) AS total_exec_time_us, max(mean_exec_time_us) AS mean_exec_time_us FROM allowed GROUP BY server_id, attempt),
+one AS ({quota_sql('slim', 'total_exec_time_us')}),
+rest AS (SELECT * FROM slim s WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.server_id = s.server_id AND o.queryid = s.queryid)),
+two AS ({quota_sql('rest', 'mean_exec_time_us')}),
+chosen AS (SELECT server_id, queryid AS attempt, 'total_exec_time_us' AS ranking, {SUCCESS} AS planned FROM one
+  UNION ALL SELECT server_id, queryid, 'mean_exec_time_us', {SUCCESS} FROM two)
+SELECT a.server_id, a.queryid, a.attempt, c.ranking, c.planned FROM allowed a LEFT JOIN chosen c ON c.server_id = a.server_id AND c.attempt = a.attempt""")
+def plan_candidates(t: Tables):
+    return ranking.plan_candidates(statements(t), F.col("calls") > 20, success())
+
+
 @query("attempt_dedupe", f"""WITH {b.STATEMENT_EVENTS} SELECT server_id, schema_name, digest, arg_min(event_id, (timer_start, event_id)) AS event_id,
   min(timer_start) AS timer_start FROM statement_events WHERE schema_name IS NOT NULL AND digest IS NOT NULL GROUP BY ALL""")
 def attempt_dedupe(t: Tables):

@@ -78,6 +78,16 @@ def engine_sizes(t: Tables):
     return bigints(rollups.engine_sizes(b.table_catalog(t)), "total_size", "data_size", "index_size")
 
 
+@query("engine_sizes_by_snapshot", f"""WITH {b.TABLE_CATALOG}, taken AS (SELECT *, unnest([100, 200]) AS collected_at FROM catalog)
+SELECT server_id, collected_at, engine, count(*) AS tables, CAST(coalesce(sum(data_length + index_length), 0) AS BIGINT) AS total_size,
+  CAST(coalesce(sum(data_length), 0) AS BIGINT) AS data_size, CAST(coalesce(sum(index_length), 0) AS BIGINT) AS index_size
+FROM taken WHERE engine IS NOT NULL GROUP BY server_id, collected_at, engine""")
+def engine_sizes_by_snapshot(t: Tables):
+    catalog = b.table_catalog(t)
+    taken = catalog.withColumn("collected_at", F.lit(100)).unionByName(catalog.withColumn("collected_at", F.lit(200)))
+    return bigints(rollups.engine_sizes(taken), "total_size", "data_size", "index_size")
+
+
 @query("table_type_sizes", f"""WITH {b.TABLE_CATALOG}
 SELECT server_id, table_type, count(*) AS tables,
   CAST(coalesce(sum(coalesce(data_length, 0) + coalesce(index_length, 0)), 0) AS BIGINT) AS total_size

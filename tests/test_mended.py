@@ -61,3 +61,18 @@ def test_names_with_spaces_in_the_stage_log(spark):
     line = "x Schema change check: task_id=1 statement_index=2 stage=copy status=failed table=my db.a table duration_ms=5 reason=\"no room\""
     df = spark.createDataFrame([(line,), (line.split(" duration")[0],)], "value string").filter(F.lit(True))
     assert [r.table for r in read.parse_stage_log(df).collect()] == ["my db.a table"] * 2
+
+
+def test_snapshots_do_not_add_up(spark):
+    rows = [(1, day, "innodb", "s", "t", "BASE TABLE", 10, 5) for day in (1, 2)]
+    df = spark.createDataFrame(rows, "server_id int, collected_at int, engine string, table_schema string, table_name string, table_type string, data_length bigint, index_length bigint")
+    assert [(r.collected_at, r.tables, int(r.total_size)) for r in rollups.engine_sizes(df).orderBy("collected_at").collect()] == [(1, 1, 15), (2, 1, 15)]
+    sizes = rollups.table_type_sizes(df, F.col("data_length"))
+    assert [(r.tables, int(r.total_size)) for r in rollups.size_totals(sizes).collect()] == [(1, 10), (1, 10)]
+    assert [r.tables for r in rollups.row_count(df, "tables").collect()] == [1, 1]
+    assert rollups.schema_list(df).count() == 2 and rollups.bytes_required(df).count() == 2
+    assert [r.tables for r in rollups.engine_sizes(df, ["server_id"]).collect()] == [2]
+    stats = spark.createDataFrame([(1, day, 7, 3, True, 2, 4.0) for day in (1, 2)],
+                                  "server_id int, collected_at int, dbid int, queryid bigint, toplevel boolean, calls bigint, total_exec_time double")
+    names = spark.createDataFrame([(1, day, 7, f"d{day}") for day in (1, 2)], "server_id int, collected_at int, oid int, datname string")
+    assert sorted((r.collected_at, r.datname, r.calls) for r in rollups.statement_rollup(stats, names).collect()) == [(1, "d1", 2), (2, "d2", 2)]
