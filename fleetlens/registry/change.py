@@ -80,6 +80,15 @@ def backup_headroom(t: Tables):
         "server_id", "table_schema", "table_name", "required_bytes", "fits")
 
 
+@query("backup_headroom_physical", f"""WITH {b.TABLE_CATALOG}, {FILESYSTEMS}, needed AS (SELECT server_id, table_schema, table_name, coalesce(sum(data_length + index_length) OVER (PARTITION BY server_id, table_schema), 0) AS schema_bytes FROM catalog),
+sized AS (SELECT *, CAST(floor(CASE WHEN schema_bytes = 0 THEN 0.1::DOUBLE ELSE schema_bytes::DOUBLE * 1.2::DOUBLE / 1048576 END * 1048576) AS BIGINT) AS physical FROM needed),
+buffered AS (SELECT *, physical + CAST(floor(physical::DOUBLE * 20.0::DOUBLE / 100.0::DOUBLE) AS BIGINT) AS required_bytes FROM sized)
+SELECT b.server_id, table_schema, table_name, required_bytes, free_bytes >= required_bytes AS fits FROM buffered b JOIN filesystems f ON f.server_id = b.server_id""")
+def backup_headroom_physical(t: Tables):
+    return change.backup_headroom(rollups.bytes_required(b.table_catalog(t)), filesystems(t), "physical").select(
+        "server_id", "table_schema", "table_name", "required_bytes", "fits")
+
+
 REQUESTS = """
 requests AS (SELECT o_custkey AS task_id, o_orderkey AS request_index, o_custkey % 10 AS server_id, CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE 'db' || CAST(o_orderkey % 12 AS VARCHAR) END AS schema_name,
   CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'select ' || CAST(o_orderkey AS VARCHAR) END AS query_text, CASE o_orderkey % 5 WHEN 0 THEN 'error: need_grant_permission' WHEN 1 THEN 'other' END AS explain_error FROM orders),
