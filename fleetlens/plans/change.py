@@ -89,6 +89,15 @@ def explain_request_check(requests: DataFrame, databases: DataFrame, failed_sche
     return first_failure_stops(coded, "request_index", F.col("exit_code").between(1, 5), keys)
 
 
+def explain_task_codes(tasks: DataFrame, checked: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """CR4: exit code of each task: 2 where its document has no readable request, else that of its last failed request reached."""
+    keys = list(keys)
+    failed = F.col("run") & (F.col("exit_code") != 0)
+    codes = checked.groupBy(*keys).agg(F.max_by("exit_code", F.when(failed, F.col("request_index"))).alias("_last"), F.lit(True).alias("_read"))
+    code = F.when(F.col("_read").isNull(), BAD_INPUT).otherwise(F.coalesce("_last", F.lit(0)))
+    return tasks.select(*keys).distinct().join(codes, keys, "left").select(*keys, code.alias("exit_code"))
+
+
 def collected_schemas(checked: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """CR4: the schemas collected for a task, each once."""
     reached = checked.filter(F.col("run") & ((F.col("exit_code") == 0) | (F.col("exit_code") > 5)))

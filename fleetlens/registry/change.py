@@ -113,6 +113,12 @@ def explain_request_check(t: Tables):
     return requests(t).select("task_id", "request_index", "exit_code", "run")
 
 
+@query("explain_task_codes", f"""WITH {REQUESTS}, failed AS (SELECT task_id, arg_max(exit_code, request_index) AS code FROM reached WHERE run AND exit_code <> 0 GROUP BY task_id)
+SELECT c_custkey AS task_id, CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 2 ELSE coalesce(f.code, 0) END AS exit_code FROM customer LEFT JOIN failed f ON f.task_id = c_custkey""")
+def explain_task_codes(t: Tables):
+    return change.explain_task_codes(t.customer.select(F.col("c_custkey").alias("task_id")), requests(t))
+
+
 @query("collected_schemas", f"WITH {REQUESTS} SELECT DISTINCT task_id, schema_name FROM reached WHERE run AND (exit_code = 0 OR exit_code > 5)")
 def collected_schemas(t: Tables):
     return change.collected_schemas(requests(t))
