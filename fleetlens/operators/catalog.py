@@ -199,7 +199,19 @@ def tables_section(tables: DataFrame, namespaces: DataFrame, classes: DataFrame,
         F.greatest(F.coalesce("reltuples", F.lit(0.0)), F.lit(0.0)).cast("bigint").alias("estimated_rows"),
         size("table_size"), size("index_size"), size("total_size"),
         F.coalesce(F.when(analysed, F.col("mod_since_analyze")), F.lit(0)).alias("mod_since_analyze"),
-        F.when(analysed, F.col("last_analyze")).alias("last_analyze"))
+        F.when(analysed, F.col("last_analyze")).alias("last_analyze"),
+        *[F.when(analysed, F.col(c)).alias(c) for c in present(joined, ("last_autoanalyze",))])
+
+
+# Further columns of the servers' catalogues, delivered as they are where the input has them.
+COLUMN_DETAILS = ("character_maximum_length", "numeric_precision", "numeric_scale")
+STATISTICS_DETAILS = ("n_live_tup", "n_dead_tup", "n_mod_since_analyze", "n_tup_ins", "n_tup_upd", "n_tup_del", "last_vacuum", "last_autovacuum",
+                      "last_analyze", "last_autoanalyze", "vacuum_count", "autovacuum_count", "analyze_count", "autoanalyze_count")
+
+
+def present(rows: DataFrame, names: Sequence[str]) -> list[str]:
+    """Those of the names that the rows have."""
+    return [name for name in names if name in rows.columns]
 
 
 def columns_section(columns: DataFrame) -> DataFrame:
@@ -210,7 +222,8 @@ def columns_section(columns: DataFrame) -> DataFrame:
         F.coalesce("column_default", F.lit("")).alias("column_default"), (F.col("is_nullable") == "YES").alias("is_nullable"), "data_type",
         since(version, IDENTITY, F.col("is_identity") == "YES", F.lit(False)).alias("is_identity"),
         since(version, GENERATED, F.col("is_generated") != "NEVER", F.lit(False)).alias("is_generated"),
-        F.nullif(since(version, GENERATED, F.coalesce("generation_expression", F.lit("")), F.lit("")), F.lit("")).alias("generation_expression"))
+        F.nullif(since(version, GENERATED, F.coalesce("generation_expression", F.lit("")), F.lit("")), F.lit("")).alias("generation_expression"),
+        *present(columns, COLUMN_DETAILS))
 
 
 def table_statistics(classes: DataFrame, namespaces: DataFrame, index_scans: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
@@ -221,7 +234,7 @@ def table_statistics(classes: DataFrame, namespaces: DataFrame, index_scans: Dat
     kept = ~F.col("schemaname").isin("pg_catalog", "information_schema") & ~F.startswith("schemaname", F.lit("pg_toast"))
     return (lookup(classes.filter(relkind_filter(F.col("relkind"), statistics=True)), schemas, [*keys, "relnamespace"], "inner")
             .filter(kept).join(scans, [*keys, "oid"], "left")
-            .select(*keys, F.col("oid").alias("relid"), "schemaname", "relname", "seq_scan", "idx_scan"))
+            .select(*keys, F.col("oid").alias("relid"), "schemaname", "relname", "seq_scan", "idx_scan", *present(classes, STATISTICS_DETAILS)))
 
 
 def engine_merge(support: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
@@ -261,6 +274,11 @@ def open_sections(rows: DataFrame, failures: DataFrame, collected: DataFrame, se
     return good.join(counts, [*keys, "section"], "left").withColumn("rows", F.coalesce("_rows", F.lit(0))).drop("_rows")
 
 
+def published_rows(rows: DataFrame, failures: DataFrame, keys: Sequence[str] = ("server_id", "database")) -> DataFrame:
+    """The rows of all sections that did not fail; a section that failed in one database stays in the others."""
+    return rows.join(failures.select(*keys, "section").distinct(), [*keys, "section"], "left_anti")
+
+
 def ordered_catalogue(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows in catalogue order for the sink: ranges of the order go to one file each, sorted inside."""
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -296,6 +296,20 @@ def open_sections(t: Tables):
     return catalog.open_sections(rows, failures, rows, catalog.POSTGRES_SECTIONS)
 
 
+@query("published_rows", f"""WITH rows AS (SELECT o_custkey % 50 AS server_id, 'db' || CAST(o_orderkey % 4 AS VARCHAR) AS database,
+  ({b.sql_list(catalog.POSTGRES_SECTIONS)})[CAST(o_custkey % 5 AS INTEGER) + 1] AS section, o_orderkey AS line FROM orders),
+failures AS (SELECT c_custkey % 50 AS server_id, 'db' || CAST(c_nationkey % 4 AS VARCHAR) AS database, ({b.sql_list(catalog.POSTGRES_SECTIONS)})[CAST(c_custkey % 6 AS INTEGER) + 1] AS section FROM customer)
+SELECT server_id, database, section, line FROM rows WHERE (server_id, database, section) NOT IN (SELECT (server_id, database, section) FROM failures)""")
+def published_rows(t: Tables):
+    sections = F.array(*[F.lit(s) for s in catalog.POSTGRES_SECTIONS])
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("server_id"), F.concat(F.lit("db"), (F.col("o_orderkey") % 4).cast("string")).alias("database"),
+                           sections[(F.col("o_custkey") % 5).cast("int")].alias("section"), F.col("o_orderkey").alias("line"))
+    failures = t.customer.select(
+        (F.col("c_custkey") % 50).alias("server_id"), F.concat(F.lit("db"), (F.col("c_nationkey") % 4).cast("string")).alias("database"),
+        sections[(F.col("c_custkey") % 6).cast("int")].alias("section"))
+    return catalog.published_rows(rows, failures)
+
+
 @query("ordered_catalogues", f"WITH {b.TABLE_CATALOG} SELECT server_id, table_schema, table_name, table_type FROM catalog ORDER BY ALL")
 def ordered_catalogues(t: Tables):
     return catalog.ordered_catalogue(b.table_catalog(t).select("server_id", "table_schema", "table_name", "table_type"),
