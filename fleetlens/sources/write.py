@@ -16,6 +16,10 @@ TOPOLOGY_COLUMNS = ["db_instance_identifier", "db_instance_class", "engine", "en
 REDACTED = "***"
 
 
+# Fixed value: the error of a failed batch of which nothing safe is known.
+UNKNOWN_ERROR = "aws-api-error"
+
+
 def route(mode: Column, kind: Column) -> Column:
     """SNK1: the destination of a report by mode and type; null when there is none."""
     def words(table: dict[str, str]) -> Column:
@@ -72,8 +76,12 @@ def topology_fields(topology: DataFrame) -> DataFrame:
 def write_apply_result(outcomes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
     """SNK3: one JSON result per server with explicit empty lists and without any parameter value.
 
-    A list has at most one entry per parameter that the provider knows, or per batch of them.
+    A list has at most one entry per parameter that the provider knows, or per batch of them. Where the outcomes have an
+    ``error``, the failed batch carries it, made safe before; where they have a ``group_name``, each side names its group.
     """
+    def of(scope: str, column: str) -> Column:
+        return F.max(F.when(F.col("scope") == scope, F.col(column)))
+
     def names(scope: str, outcome: str) -> Column:
         return F.array_sort(F.collect_list(F.when((F.col("scope") == scope) & (F.col("outcome") == outcome), F.col("name"))))
 
@@ -83,7 +91,9 @@ def write_apply_result(outcomes: DataFrame, keys: Sequence[str] = ("server_id",)
 
     def side(scope: str) -> Column:
         failed = names(scope, "failed")
-        batch = F.when(F.size(failed) > 0, F.array(F.struct(failed.alias("parameters"), F.lit("aws-api-error").alias("error"))))
+        error = F.coalesce(of(scope, "error"), F.lit(UNKNOWN_ERROR)) if "error" in outcomes.columns else F.lit(UNKNOWN_ERROR)
+        batch = F.when(F.size(failed) > 0, F.array(F.struct(failed.alias("parameters"), error.alias("error"))))
         empty = F.array().cast("array<struct<parameters:array<string>,error:string>>")
-        return F.struct(names(scope, "applied").alias("applied"), skipped(scope).alias("skipped"), F.coalesce(batch, empty).alias("failed"))
+        group = [of(scope, "group_name").alias("group")] if "group_name" in outcomes.columns else []
+        return F.struct(*group, names(scope, "applied").alias("applied"), skipped(scope).alias("skipped"), F.coalesce(batch, empty).alias("failed"))
     return outcomes.groupBy(*keys).agg(F.to_json(F.struct(side("instance").alias("instance"), side("cluster").alias("cluster"))).alias("result"))

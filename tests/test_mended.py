@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import rollups, security
 from fleetlens.plans import change, config
-from fleetlens.sources import read
+from fleetlens.sources import read, write
 
 
 def test_a_cluster_without_metadata_is_no_target(spark):
@@ -76,3 +76,13 @@ def test_snapshots_do_not_add_up(spark):
                                   "server_id int, collected_at int, dbid int, queryid bigint, toplevel boolean, calls bigint, total_exec_time double")
     names = spark.createDataFrame([(1, day, 7, f"d{day}") for day in (1, 2)], "server_id int, collected_at int, oid int, datname string")
     assert sorted((r.collected_at, r.datname, r.calls) for r in rollups.statement_rollup(stats, names).collect()) == [(1, "d1", 2), (2, "d2", 2)]
+
+
+def test_the_apply_result_names_group_and_error(spark):
+    import json
+
+    rows = [(1, "instance", "a", "applied", None, None, "g1"), (1, "instance", "b", "failed", None, "aws-api:Throttling", "g1"), (1, "cluster", "c", "skipped", "absent", None, None)]
+    df = spark.createDataFrame(rows, "server_id int, scope string, name string, outcome string, reason string, error string, group_name string")
+    got = json.loads(write.write_apply_result(df).first().result)
+    assert got == {"instance": {"group": "g1", "applied": ["a"], "skipped": [], "failed": [{"parameters": ["b"], "error": "aws-api:Throttling"}]},
+                   "cluster": {"applied": [], "skipped": [{"name": "c", "reason": "absent"}], "failed": []}}
