@@ -25,6 +25,9 @@ SAMPLE = 40_000
 """Most labelled rows that the text model is fitted on; their whole texts are read."""
 
 BINS = 1 << 15
+
+SLICE = 2 * 1024 * 1024
+"""Text that a task looks at in one piece; its trigrams take some thirty times as much."""
 NONE = "und"
 
 OVERLAP = 1 / 3
@@ -72,12 +75,12 @@ def fit(labelled: DataFrame, languages: list[str], sample: int = SAMPLE) -> np.n
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BINS), np.int64)
-        for part in slices(batches, "text"):
-            names = np.array(part.column("lang").to_pylist())
+        number = {name: n for n, name in enumerate(languages)}
+        for part in slices(batches, "text", SLICE):
+            names = np.array([number[name] for name in part.column("lang").to_pylist()], np.int64)
             bins, ends = trigrams(texts(part.column("text")))
-            owner = np.repeat(names, np.diff(ends))
-            for number, name in enumerate(languages):
-                counts[number] += np.bincount(bins[owner == name], minlength=BINS)
+            bins += np.repeat(names * BINS, np.diff(ends))
+            counts += np.bincount(bins, minlength=counts.size).reshape(counts.shape)
         language, which = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(which, pa.int32()), pa.array(counts[language, which])], ["language", "bin", "n"])
 
@@ -93,7 +96,7 @@ def with_likelihoods(df: DataFrame, body: str, table: np.ndarray) -> DataFrame:
     """Replace the column ``body`` by ``likelihoods``: the text's weighted log likelihood under each language and, last, ``und``."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, body, 4 * 1024 * 1024):
+        for part in slices(batches, body, SLICE):
             bins, ends = trigrams(texts(part.column(body)))
             sums = np.zeros((part.num_rows, len(table) + 1))
             for number, row in enumerate(table):
@@ -171,7 +174,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """``page_id`` with the text outside the markup, the declared language, the address's language part, host and domain."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "html", 4 * 1024 * 1024):
+        for part in slices(batches, "html", SLICE):
             bodies, declared = [], []
             for html in part.column("html").to_pylist():
                 found = DECLARED.search(html or "")

@@ -27,7 +27,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿŒœ¡¿«»‘’“”–—…€]*")
 # Fixed value: the vocabulary's own rule for cutting a word.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 """Encoded words that a task keeps between batches; it only saves work."""
 
 

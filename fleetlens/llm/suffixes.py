@@ -35,7 +35,11 @@ HOT = 1000
 CUT = 16
 """Neighbouring strings of a hot segment that stay together."""
 
-SLICE = 4 * 1024 * 1024
+MORE_TASKS = 4
+
+SLICE = 2 * 1024 * 1024
+"""Text that a task looks at in one piece; its sums and hashes take some sixty times as much."""
+
 PLACE_BITS = 28
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -45,7 +49,7 @@ def byte_values() -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     base, inverse = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
@@ -55,7 +59,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the gram at every place, from sums over all bytes before it."""
-    up, down = powers(1 << max(12, int(len(data)).bit_length()))
+    up, down = powers(max(len(data), SLICE))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(byte_values()[data] * up[:len(data)], out=sums[1:])
     return mixed((sums[GRAM:] - sums[:-GRAM]) * down[:len(data) - GRAM + 1])
@@ -345,16 +349,21 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     carried = F.struct(F.lit(0).alias("none"), *carry).alias("carried")
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried)
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    rows = gram_rows(docs).repartition("gram")
+    # The count and the join read the same shuffle, for which both must need the same columns.
+    rows = gram_rows(docs).filter("gram IS NOT NULL").repartition("gram")
     several = rows.groupBy("gram").agg(
-        F.min("mark").alias("a"), F.max("mark").alias("b"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("held")).filter(
-        "a <> b OR twice").select("gram", (F.col("held") > HOT).alias("very"))
+        F.min("mark").alias("a"), F.max("mark").alias("b"), F.max("twice").alias("inside"), F.count(F.lit(1)).alias("held")).filter(
+        "a <> b OR inside").select("gram", (F.col("held") > HOT).alias("very"))
     grams = rows.join(several, "gram").groupBy("mark").agg(
-        F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("very"), F.col("gram"))).alias("hot")).checkpoint()
+        F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("very"), F.col("gram"))).alias("hot"),
+        F.max("twice").alias("twice")).checkpoint()
     kinds = docs.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(0))).alias("first_id"))
     # Of equal texts one is looked at. Both joins with the texts read the same shuffle.
-    chosen = docs.join(grams.join(kinds, "mark"), "mark").filter(F.coalesce("doc_id", F.lit(0)) == F.col("first_id"))
-    met = segment_rows(chosen.select("doc_id", "carried", "mark", "text", "grams", "hot")).repartition("key")
+    chosen = docs.join(grams.join(kinds, "mark"), "mark").filter(
+        F.coalesce("doc_id", F.lit(0)) - F.col("first_id") == 0)  # not as a further key of the join
+    # A task holds all its segments, so they get more tasks than a shuffle usually has.
+    tasks = MORE_TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = segment_rows(chosen.select("doc_id", "carried", "mark", "text", "grams", "hot")).repartition(tasks, "key")
     runs = met.mapInArrow(repeated_runs, "mark bigint, low bigint, high bigint").groupBy("mark").agg(
         F.collect_list(F.struct("low", "high")).alias("runs"))
     known = docs.join(kinds.select("mark", "copies").join(runs, "mark", "left"), "mark").select("doc_id", "carried", "text", "runs", "copies")
