@@ -18,29 +18,50 @@ SIZE = 16
 HIDDEN = 32
 CLASSES = 64
 STEPS = 700
+"""Steps that a model takes on one run of ids, or before it meets the whole corpus."""
+
 BATCH = 128
 RATE = 0.01
 
 
-def neighbour_classes(ids: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """A class for every id of the vocabulary: the most frequent ids are classes of their own, the others are grouped by their neighbours."""
-    counts = np.bincount(ids, minlength=size)
-    common = np.argsort(-counts, kind="stable")[:512]
-    seen = np.flatnonzero(counts)
-    place = np.full(size, 512)
+COMMON = 512
+"""Most frequent ids that count as neighbours of their own; all others are one neighbour."""
+
+SIDES = 2 * (COMMON + 1)
+"""Neighbours before and behind an id."""
+
+
+def neighbour_places(counts: np.ndarray) -> np.ndarray:
+    """The place of every id among the neighbours."""
+    common = np.argsort(-counts, kind="stable")[:COMMON]
+    place = np.full(len(counts), COMMON)
     place[common] = np.arange(len(common))
-    row = np.full(size, len(seen))
-    row[seen] = np.arange(len(seen))
-    around = np.zeros((len(seen), 2 * 513), np.float32)
-    np.add.at(around, (row[ids[1:]], place[ids[:-1]]), 1)
-    np.add.at(around, (row[ids[:-1]], 513 + place[ids[1:]]), 1)
-    around = np.sqrt(around / np.maximum(1, around.sum(axis=1, keepdims=True)))
-    around = around @ rng.normal(size=(around.shape[1], 48)).astype(np.float32)
+    return place
+
+
+def neighbour_keys(before: np.ndarray, behind: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``id * SIDES + neighbour`` for both ids of each pair."""
+    return np.concatenate([behind * SIDES + place[before], before * SIDES + COMMON + 1 + place[behind]])
+
+
+def projection(rng: np.random.Generator) -> np.ndarray:
+    return rng.normal(size=(SIDES, 48)).astype(np.float32)
+
+
+def projected(around: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Points of ids from how often each neighbour stands beside them."""
+    return np.sqrt(around / np.maximum(1, around.sum(axis=1, keepdims=True))).astype(np.float32) @ by
+
+
+def grouped_classes(counts: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """A class for every id: the most frequent ids are classes of their own, the others are grouped by their points (one per id with a count)."""
+    seen = np.flatnonzero(counts)
+    common = np.argsort(-counts, kind="stable")[:COMMON]
     alone = CLASSES // 2
     groups = CLASSES - alone
     weight = counts[seen].astype(np.float64)
     rest = np.flatnonzero(~np.isin(seen, common[:alone]))
-    out = np.full(size, CLASSES - 1)
+    out = np.full(len(counts), CLASSES - 1)
     out[common[:alone]] = np.arange(min(alone, len(common[:alone])))
     if len(rest):
         points, weight = around[rest], weight[rest]
@@ -55,6 +76,18 @@ def neighbour_classes(ids: np.ndarray, size: int, rng: np.random.Generator) -> n
     return out.astype(np.int16)
 
 
+def neighbour_classes(ids: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Classes of the ids of one long run."""
+    counts = np.bincount(ids, minlength=size)
+    seen = np.flatnonzero(counts)
+    row = np.full(size, len(seen))
+    row[seen] = np.arange(len(seen))
+    keys = neighbour_keys(ids[:-1], ids[1:], neighbour_places(counts))
+    around = np.zeros((len(seen), SIDES), np.float32)
+    np.add.at(around, (row[keys // SIDES], keys % SIDES), 1)
+    return grouped_classes(counts, projected(around, projection(rng)))
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of these many ids to score, each window's text, its first place in the text and its first scored place.
 
@@ -127,27 +160,13 @@ class Model:
         return float(loss), g
 
     def train(self, ids: np.ndarray, steps: int, rng: np.random.Generator) -> None:
-        """Adam over random windows of a long run of ids; ids that a step has not met are left alone."""
-        first = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        second = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        """Adam over random windows of a long run of ids."""
         if len(ids) <= WINDOW:
             return
-        places = np.arange(WINDOW)
+        adam, places = Adam(self), np.arange(WINDOW + 1)
         for step in range(1, steps + 1):
             at = rng.integers(0, len(ids) - WINDOW, BATCH)[:, None] + places
-            _, g = self.gradients(ids[at], self.classes[ids[at + 1]].astype(np.int64))
-            rate = RATE * min(1, step / 50) * (1 - 0.9 * step / steps)
-            for name, weight in self.weights.items():
-                if name == "ids":
-                    rows, values = g["ids"]
-                    used, where = np.unique(rows, return_inverse=True)
-                    total = np.zeros((len(used), SIZE), np.float32)
-                    np.add.at(total, where, values)
-                else:
-                    used, total = slice(None), g[name]
-                first[name][used] = 0.9 * first[name][used] + 0.1 * total
-                second[name][used] = 0.98 * second[name][used] + 0.02 * total * total
-                weight[used] -= rate * (first[name][used] / (1 - 0.9 ** step)) / (np.sqrt(second[name][used] / (1 - 0.98 ** step)) + 1e-8)
+            adam.step(ids[at], RATE * min(1, step / 50) * (1 - 0.9 * step / steps))
 
     def scores(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of the id behind each place of a batch of windows: ``forward`` with fewer passes over memory."""
@@ -194,22 +213,55 @@ class Model:
         return out
 
 
-def fitted(ids: np.ndarray, size: int, steps: int = STEPS, seed: int = 7) -> Model:
-    """A model trained on one long run of ids."""
-    rng = np.random.default_rng(seed)
-    classes = neighbour_classes(ids, size, rng) if len(ids) > 1 else np.zeros(size, np.int16)
-    one = np.bincount(ids, minlength=size) + 0.01
+class Adam:
+    """Steps of a model's weights; ids that a step has not met are left alone."""
+
+    def __init__(self, model: Model):
+        self.model, self.steps = model, 0
+        self.first = {k: np.zeros_like(v) for k, v in model.weights.items()}
+        self.second = {k: np.zeros_like(v) for k, v in model.weights.items()}
+
+    def step(self, windows: np.ndarray, rate: float) -> None:
+        """One step over windows of ``WINDOW`` ids and the one behind them."""
+        self.steps += 1
+        first, second = self.first, self.second
+        _, g = self.model.gradients(windows[:, :-1], self.model.classes[windows[:, 1:]].astype(np.int64))
+        for name, weight in self.model.weights.items():
+            if name == "ids":
+                rows, values = g["ids"]
+                used, where = np.unique(rows, return_inverse=True)
+                total = np.zeros((len(used), SIZE), np.float32)
+                np.add.at(total, where, values)
+            else:
+                used, total = slice(None), g[name]
+            first[name][used] = 0.9 * first[name][used] + 0.1 * total
+            second[name][used] = 0.98 * second[name][used] + 0.02 * total * total
+            weight[used] -= rate * (first[name][used] / (1 - 0.9 ** self.steps)) / (np.sqrt(second[name][used] / (1 - 0.98 ** self.steps)) + 1e-8)
+
+
+def from_counts(counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, rng: np.random.Generator) -> Model:
+    """A model with the tables of these counts of ids and of ids behind classes; its weights are not trained yet."""
+    size = len(counts)
+    one = counts + 0.01
     members = np.zeros(CLASSES)
     np.add.at(members, classes, one)
     general = one / members[classes]
-    pairs = np.zeros((CLASSES, size), np.float32)
-    if len(ids) > 1:
-        np.add.at(pairs, (classes[ids[:-1]], ids[1:]), 1)
     held = np.zeros((CLASSES, CLASSES))
     np.add.at(held.T, classes, pairs.T)
     weight = 8.0
     inside = np.log((pairs + weight * general[None, :]) / (held[:, classes] + weight)).astype(np.float32)
     model = Model(size, classes, inside, rng)
     model.weights["out_bias"][members == 0] = -50  # a class without ids takes no probability
+    return model
+
+
+def fitted(ids: np.ndarray, size: int, steps: int = STEPS, seed: int = 7) -> Model:
+    """A model trained on one long run of ids."""
+    rng = np.random.default_rng(seed)
+    classes = neighbour_classes(ids, size, rng) if len(ids) > 1 else np.zeros(size, np.int16)
+    pairs = np.zeros((CLASSES, size), np.float32)
+    if len(ids) > 1:
+        np.add.at(pairs, (classes[ids[:-1]], ids[1:]), 1)
+    model = from_counts(np.bincount(ids, minlength=size), classes, pairs, rng)
     model.train(ids, steps, rng)
     return model

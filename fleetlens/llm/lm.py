@@ -1,15 +1,16 @@
 """Scoring of texts by a language model: causal self-attention over subword ids, beside corpus counts of whole words.
 
-The attention model is fitted on a bounded sample of the training texts; the counts are of all of them. Each word's
-probability is the mean of what both say, so the counts help with words the sample lacks and the attention with words the
-corpus lacks and with what the text is about. Texts are split into blocks where they are read; each distinct word of a block
+Both are of all training texts. The attention model's tables are grouped sums; its weights start from windows out of every
+block and are then trained on every window of the corpus, in rounds whose tasks train beside each other and are averaged. Each
+word's probability is the mean of what both say, so the counts help with rare words and the attention with words the corpus
+lacks and with what the text is about. Texts are split into blocks where they are read; each distinct word of a block
 gets its corpus count by a join, and the block scores its texts in overlapping windows that score each id once.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +20,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from . import attention
 from .arrowio import slices, texts
-from .attention import Model, fitted
+from .attention import BATCH, CLASSES, SIDES, SIZE, STEPS, WINDOW, Adam, Model
 from .bpe import Block, block_list, block_places
 from .subwords import word_vocabulary
 
-SAMPLE_BYTES = 6 * 1024 * 1024
-"""Text that the attention model is fitted on, about; texts over an eighth of it are not chosen for the sample."""
-
 BLOCK_BYTES = 16 * 1024 * 1024
 
 ATTENTION = 0.5
 """Weight of the attention model in a word's probability."""
 
+ROUNDS = 4
+"""Rounds of training over the corpus; each takes its share of every task's blocks, and every block is in one."""
+
+REFINE = 0.002
+"""Rate of the first round; it falls from round to round."""
+
 SMOOTH = 0.1
 CHUNK = 400_000
 """Words scored in one go."""
@@ -48,26 +53,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(10)) == 0
 
 
-def fitted_model(docs: DataFrame, vocabulary: str) -> Model:
-    """The attention model, fitted in one task on a bounded sample of the training texts, each begun and ended by the special ids."""
-    rows = docs.filter(~F.col("held")).select("text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    every = max(1, -(-int(size) // SAMPLE_BYTES))
-    chosen = rows.filter((F.octet_length("text") <= SAMPLE_BYTES // 8) & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_vocabulary(vocabulary)
-        start, end = (words.library.token_to_id(t) for t in (START, END))
-        found = [x.as_py() for part in slices(batches, "text") for x in words.encode(lowered(part.column("text")))]
-        found.sort()  # the order must not depend on which task ends first
-        parts = [np.concatenate([[start], np.frombuffer(found[i], words.type), [end]]) for i in np.random.default_rng(1).permutation(len(found))]
-        model = fitted(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), words.size)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    found = chosen.repartition(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(found[0].model) if found else fitted(np.zeros(0, np.int64), word_vocabulary(vocabulary).size)
-
-
 def split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of lower-cased texts with their flags."""
 
@@ -102,10 +87,240 @@ def training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                      pa.array(counts[some], pa.int64())], ["block", "word", "n"])
 
 
+def flat_ids(places: np.ndarray, words_of: np.ndarray, packed: list[bytes], kind: np.dtype, ends: tuple[int, int]):
+    """The ids of texts in one run, each text begun and ended by the special ids; where each begins, how many ids its words have, and each word's."""
+    start, end = ends
+    sizes = np.fromiter((len(p) for p in packed), np.int64, len(packed)) // kind.itemsize
+    ids, offsets = np.frombuffer(b"".join(packed), kind), np.cumsum(sizes) - sizes
+    per_word = sizes[places]
+    before = np.concatenate([[0], np.cumsum(per_word)])
+    edges = np.concatenate([[0], np.cumsum(words_of)])
+    lengths = before[edges[1:]] - before[edges[:-1]]
+    starts = np.cumsum(lengths + 2) - lengths - 2
+    flat = np.empty(int((lengths + 2).sum()), np.int64)
+    text = np.repeat(np.arange(len(words_of)), lengths)
+    source = np.arange(before[-1]) - np.repeat(before[:-1], per_word) + np.repeat(offsets[places], per_word)
+    flat[np.arange(before[-1]) + 2 * text + 1] = ids[source]
+    flat[starts], flat[starts + lengths + 1] = start, end
+    return flat, starts, lengths, per_word, before
+
+
+def chunks(docs: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First and last text, and first and last word, of pieces of a block of about ``CHUNK`` words."""
+    bounds = np.concatenate([[0], np.cumsum(docs)])
+    first = 0
+    while first < len(docs):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK, side="right")) - 1)
+        yield first, last, int(bounds[first]), int(bounds[last])
+        first = last
+
+
+def special_ids(library) -> tuple[int, int]:
+    return library.library.token_to_id(START), library.library.token_to_id(END)
+
+
+def training_runs(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of all training texts of the blocks, in runs, with where the texts begin."""
+    library = word_vocabulary(vocabulary)
+    ends = special_ids(library)
+    for batch in batches:
+        for block in batch.to_pylist():
+            packed = library.packed(block_list(block["words"]))
+            docs, kept = np.array(block["sizes"], np.int64), ~np.array(block["held"], bool)
+            places = block_places(block["places"]).astype(np.int64)[np.repeat(kept, docs)]
+            docs = docs[kept]
+            for first, last, low, high in chunks(docs):
+                yield flat_ids(places[low:high], docs[first:last], packed, library.type, ends)[:2]
+
+
+def tallied(runs: Iterator[tuple[np.ndarray, np.ndarray]], keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """How often each key of the pairs of neighbouring ids of a text occurs in a task."""
+    kept, counts, fresh, many = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, numbers = np.concatenate([kept, *(k for k, _ in fresh)]), np.concatenate([counts, *(n for _, n in fresh)])
+        order = np.argsort(keys, kind="stable")
+        keys, numbers = keys[order], numbers[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(numbers, first) if len(first) else numbers
+
+    for flat, starts in runs:
+        pair = np.ones(len(flat), bool)
+        pair[starts] = False
+        behind = np.flatnonzero(pair)
+        fresh.append(np.unique(keys_of(flat[behind - 1], flat[behind]), return_counts=True))
+        many += len(fresh[-1][0])
+        if many > 1_000_000 + len(kept):
+            kept, counts = merged()
+            fresh, many = [], 0
+    kept, counts = merged()
+    for at in range(0, len(kept), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(kept[at:at + 50_000]), pa.array(counts[at:at + 50_000])], ["key", "n"])
+
+
+def id_counts(words: DataFrame, vocabulary: str, ends: int) -> np.ndarray:
+    """How often each id occurs in all training texts, from the counts of their words."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = word_vocabulary(vocabulary)
+        total = np.zeros(library.size, np.int64)
+        for batch in batches:
+            packed = library.packed(batch.column("word").to_pylist())
+            sizes = np.fromiter((len(p) for p in packed), np.int64, len(packed)) // library.type.itemsize
+            np.add.at(total, np.frombuffer(b"".join(packed), library.type), np.repeat(batch.column("c").to_numpy(), sizes))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["key", "n"])
+
+    library = word_vocabulary(vocabulary)
+    out = np.zeros(library.size, np.int64)
+    found = words.select("word", "c").mapInArrow(made, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    out[list(special_ids(library))] += ends
+    return out
+
+
+def id_points(blocks: DataFrame, vocabulary: str, counts: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The point of each id with a count, from its neighbours in all training texts."""
+    place = attention.neighbour_places(counts)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tallied(training_runs(batches, vocabulary), lambda before, behind: attention.neighbour_keys(before, behind, place))
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                sides = part.column("sides")
+                around = np.zeros((part.num_rows, SIDES), np.float32)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(sides).to_numpy())
+                pairs = sides.flatten()
+                around[row, pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+                found = attention.projected(around, by)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([p.tobytes() for p in found], pa.binary())], ["id", "point"])
+
+    rows = blocks.mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    each = rows.groupBy(F.floor(F.col("key") / SIDES).cast("bigint").alias("id")).agg(
+        F.collect_list(F.struct((F.col("key") % SIDES).alias("side"), "n")).alias("sides"))
+    found = each.mapInArrow(points, "id bigint, point binary").toArrow()
+    out = np.zeros((len(counts), by.shape[1]), np.float32)
+    if found.num_rows:
+        out[found.column("id").to_numpy()] = np.frombuffer(b"".join(found.column("point").to_pylist()), np.float32).reshape(-1, by.shape[1])
+    return out[np.flatnonzero(counts)]
+
+
+def class_pairs(blocks: DataFrame, vocabulary: str, classes: np.ndarray) -> np.ndarray:
+    """How often each id stands behind each class in all training texts."""
+    size = len(classes)
+    wide = classes.astype(np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tallied(training_runs(batches, vocabulary), lambda before, behind: wide[before] * size + behind)
+
+    found = blocks.mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES * size, np.float32)
+    out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(CLASSES, size)
+
+
+def opening_run(blocks: DataFrame, vocabulary: str, many: int) -> np.ndarray:
+    """Windows evenly out of every block, as one run of ids for the steps before the corpus is met."""
+    each = -(-STEPS * BATCH // max(1, many))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                runs = [flat for flat, _ in training_runs(iter([batch.slice(at, 1)]), vocabulary)]
+                run = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+                cuts = max(1, len(run) // WINDOW)
+                if cuts > each:
+                    run = run[(np.linspace(0, cuts - 1, each).astype(np.int64)[:, None] * WINDOW + np.arange(WINDOW)).ravel()]
+                yield pa.RecordBatch.from_arrays([batch.slice(at, 1).column("block"), pa.array([run.astype(np.int32).tobytes()], pa.binary())], ["block", "run"])
+
+    found = blocks.mapInArrow(made, "block bigint, run binary").collect()
+    runs = [np.frombuffer(r.run, np.int32) for r in sorted(found, key=lambda r: r.block)]
+    return np.concatenate([np.zeros(0, np.int32), *runs]).astype(np.int64)
+
+
+def train_task(batches: Iterator[pa.RecordBatch], vocabulary: str, model: Model, rate: float, groups: int) -> Iterator[pa.RecordBatch]:
+    """One pass of a task over all windows of its blocks: the changes of the weights, times how much the task saw.
+
+    Windows follow each other, so each id behind another is predicted once; the last of a task is filled up with its own ids.
+    """
+    old = {k: v.copy() for k, v in model.weights.items()}
+    mine = Model.__new__(Model)
+    mine.__dict__.update(model.__dict__, weights={k: v.copy() for k, v in model.weights.items()})
+    task = TaskContext.get().partitionId()
+    adam, rng, places = Adam(mine), np.random.default_rng(task), np.arange(WINDOW + 1)
+    met, seen, rest = np.zeros(len(model.classes), np.int64), 0, np.zeros(0, np.int64)
+
+    def step(windows: np.ndarray) -> None:
+        nonlocal seen
+        adam.step(windows, rate)
+        seen += len(windows)
+        np.add.at(met, windows[:, :-1].ravel(), 1)
+
+    for flat, _ in training_runs(batches, vocabulary):
+        run = np.concatenate([rest, flat])
+        many = (len(run) - 1) // WINDOW
+        order = rng.permutation(many) * WINDOW
+        for at in range(0, many, BATCH):
+            step(run[order[at:at + BATCH, None] + places])
+        rest = run[many * WINDOW:]
+    if len(rest) > 1:
+        step(np.resize(rest, WINDOW + 1)[None])
+    if seen:
+        change = {k: (mine.weights[k] - old[k]) * (met[:, None] if k == "ids" else seen) for k in old}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([task % groups], pa.int64()), pa.array([seen], pa.int64()), pa.array([met.tobytes()], pa.binary()),
+             pa.array([np.concatenate([change[k].ravel() for k in sorted(change)]).astype(np.float32).tobytes()], pa.binary())], ["part", "seen", "met", "change"])
+
+
+def summed_changes(rows: pa.Table) -> pa.Table:
+    seen, met, change = 0, 0, 0
+    for row in rows.to_batches(max_chunksize=1):
+        seen += row.column("seen")[0].as_py()
+        met = met + np.frombuffer(row.column("met")[0].as_buffer(), np.int64)
+        change = change + np.frombuffer(row.column("change")[0].as_buffer(), np.float32).astype(np.float64)
+    return pa.table({"seen": [seen], "met": pa.array([met.tobytes()], pa.binary()), "change": pa.array([change.astype(np.float32).tobytes()], pa.binary())})
+
+
+def train_round(blocks: DataFrame, vocabulary: str, model: Model, rate: float) -> None:
+    """Every task trains on all its windows from the same weights; they move by the mean change, an id's by that of the tasks that met it."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # bounded by the vocabulary
+    groups = max(1, math.isqrt(blocks.rdd.getNumPartitions()))
+    rows = blocks.mapInArrow(lambda batches: train_task(batches, vocabulary, shared.value, rate, groups), "part bigint, seen bigint, met binary, change binary")
+    found = rows.groupBy("part").applyInArrow(lambda table: summed_changes(table), "seen bigint, met binary, change binary").toArrow()
+    if not found.num_rows:
+        return
+    total = summed_changes(found).to_pylist()[0]
+    change, at = np.frombuffer(total["change"], np.float32), 0
+    for name in sorted(model.weights):
+        weight = model.weights[name]
+        share = np.maximum(1, np.frombuffer(total["met"], np.int64))[:, None] if name == "ids" else total["seen"]
+        model.weights[name] = (weight + change[at:at + weight.size].reshape(weight.shape) / share).astype(np.float32)
+        at += weight.size
+
+
+def trained_model(blocks: DataFrame, words: DataFrame, vocabulary: str, ends: int, seed: int = 7) -> Model:
+    """The attention model of all training texts: tables by grouped sums, weights by one pass over every window."""
+    rng = np.random.default_rng(seed)
+    number = F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    many, most = blocks.agg(F.count(F.lit(1)), F.max(number)).first()
+    counts = id_counts(words, vocabulary, ends)
+    classes = attention.grouped_classes(counts, id_points(blocks, vocabulary, counts, attention.projection(rng))) if counts.any() else np.zeros(len(counts), np.int16)
+    model = attention.from_counts(counts, classes, class_pairs(blocks, vocabulary, classes), rng)
+    model.train(opening_run(blocks, vocabulary, many), STEPS, rng)
+    rounds = min(ROUNDS, most + 1) if many else 0
+    for turn in range(rounds):
+        train_round(blocks.filter(number % rounds == turn), vocabulary, model, REFINE * (1 - turn / rounds))
+    return model
+
+
 def score_block(blocks: pa.Table, table: pa.Table, model: Model, vocabulary: str, total: int, kinds: int, ends: int) -> pa.Table:
     """Scores of the texts of a block, whose words come with their corpus counts."""
     library = word_vocabulary(vocabulary)
-    start, end = (library.library.token_to_id(t) for t in (START, END))
+    special = special_ids(library)
     log_base = lambda counts: np.log10((counts + SMOOTH) / (total + SMOOTH * (kinds + 1)))
     out: list[list] = [[], [], [], [], [], []]
     for block in blocks.to_pylist():
@@ -116,27 +331,11 @@ def score_block(blocks: pa.Table, table: pa.Table, model: Model, vocabulary: str
             counts = pc.fill_null(table.column("c").combine_chunks().take(at), 0).to_numpy().astype(np.int64)
         base = log_base(counts)
         packed = library.packed(words)
-        ids = np.frombuffer(b"".join(packed), library.type)
-        sizes = np.fromiter((len(p) for p in packed), np.int64, len(packed)) // library.type.itemsize
-        offsets = np.cumsum(sizes) - sizes
         places, docs = block_places(block["places"]).astype(np.int64), np.array(block["sizes"], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(docs)])
         end_base = float(log_base(np.array(ends)))
-        first = 0
-        while first < len(docs):
-            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK, side="right")) - 1)
-            mine, words_of = places[bounds[first]:bounds[last]], docs[first:last]
-            # Ids of each text: start, those of its words, end.
-            per_word = sizes[mine]
-            before = np.concatenate([[0], np.cumsum(per_word)])
-            edges = bounds[first:last + 1] - bounds[first]
-            lengths = before[edges[1:]] - before[edges[:-1]]
-            starts = np.cumsum(lengths + 2) - lengths - 2
-            flat = np.empty(int((lengths + 2).sum()), np.int64)
-            text = np.repeat(np.arange(len(words_of)), lengths)
-            source = np.arange(before[-1]) - np.repeat(before[:-1], per_word) + np.repeat(offsets[mine], per_word)
-            flat[np.arange(before[-1]) + 2 * text + 1] = ids[source]
-            flat[starts], flat[starts + lengths + 1] = start, end
+        for first, last, low, high in chunks(docs):
+            mine, words_of = places[low:high], docs[first:last]
+            flat, starts, lengths, per_word, before = flat_ids(mine, words_of, packed, library.type, special)
             scores = model.score(flat, starts, lengths + 1) / np.log(10)
             ending = starts - np.arange(len(starts)) + lengths
             inner = np.delete(scores, ending)
@@ -152,7 +351,6 @@ def score_block(blocks: pa.Table, table: pa.Table, model: Model, vocabulary: str
             for column, values in zip(out[2:], (words_of + 1, np.bincount(owner, known, len(words_of)).astype(np.int64),
                                                 np.bincount(owner, both, len(words_of)), np.bincount(owner, mixed, len(words_of)))):
                 column += values.tolist()
-            first = last
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -169,12 +367,12 @@ def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("held", held_out())
     ends = docs.filter(~F.col("held")).count()
-    model = spark.sparkContext.broadcast(fitted_model(docs, vocabulary))  # bounded by the vocabulary
     blocks = docs.mapInArrow(split_texts, f"{Block.KIND}, held array<boolean>").checkpoint()
     used = blocks.mapInArrow(training_counts, "block bigint, word string, n bigint")
     counts = used.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")).checkpoint()
     row = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     total, kinds = (row[0] or 0) + ends, row[1] + (ends > 0)
+    model = spark.sparkContext.broadcast(trained_model(blocks, counts.filter("c > 0"), vocabulary, ends))  # bounded by the vocabulary
     known = used.join(counts.filter("c > 0"), "word").select("block", "word", "c")
     scored = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         lambda left, right: score_block(left, right, model.value, vocabulary, total, kinds, ends),

@@ -40,6 +40,40 @@ def test_language_model_beats_its_counts_on_held_out_texts(spark, documents, odd
     assert lm.score_texts(odd.limit(0), words_path).collect() == []
 
 
+def test_attention_model_learns_from_every_training_text(spark, documents, words_path):
+    """The only training text is longer than the former sample took; tables and windows are counted by hand."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(held + 1, "zq xv " * 150_000), (held, "zq xv " * 50)], "doc_id bigint, text string")
+    row = lm.score_texts(docs, words_path).filter("held_out").first()
+    assert row.score > 0.6 * row.base_score  # a sure model has 100 words at log10(0.75) and the end
+
+    lm.shared_dir(spark)
+    docs = spark.createDataFrame(documents + ODD, "doc_id bigint, text string").withColumn("held", lm.held_out()).repartition(3)
+    blocks = docs.mapInArrow(lm.split_texts, f"{lm.Block.KIND}, held array<boolean>").checkpoint()
+    counts = blocks.mapInArrow(lm.training_counts, "block bigint, word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
+    library = lm.word_vocabulary(words_path)
+    start, end = lm.special_ids(library)
+    texts = [t for i, t in documents + ODD if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    ids = [[start, *np.frombuffer(x.as_py(), library.type).tolist(), end] for x in library.encode(lm.lowered(lm.pa.array(texts, lm.pa.string())))]
+    got = lm.id_counts(counts, words_path, len(texts))
+    assert (got == np.bincount(np.concatenate(ids), minlength=library.size)).all()
+    classes = (np.arange(library.size) % attention.CLASSES).astype(np.int16)
+    pairs = np.zeros((attention.CLASSES, library.size))
+    for one in ids:
+        np.add.at(pairs, (classes[one[:-1]], one[1:]), 1)
+    assert (lm.class_pairs(blocks, words_path, classes) == pairs).all()
+    place, by = attention.neighbour_places(got), attention.projection(np.random.default_rng(1))
+    around = np.zeros((library.size, attention.SIDES), np.float32)
+    for one in ids:
+        keys = attention.neighbour_keys(np.array(one[:-1]), np.array(one[1:]), place)
+        np.add.at(around, (keys // attention.SIDES, keys % attention.SIDES), 1)
+    assert np.allclose(lm.id_points(blocks, words_path, got, by), attention.projected(around[got > 0], by), atol=1e-4)
+    model = attention.from_counts(got, classes, pairs.astype(np.float32), np.random.default_rng(1))
+    tasks = blocks.mapInArrow(lambda batches: lm.train_task(batches, words_path, model, 0.001, 1), "part bigint, seen bigint, met binary, change binary").collect()
+    met = sum(np.frombuffer(r.met, np.int64) for r in tasks)
+    assert (met >= got - np.bincount([one[-1] for one in ids], minlength=library.size)).all()
+
+
 def test_windows_score_every_place_once():
     lengths = np.array([0, 1, 8, 9, 31, 32, 33, 56, 57, 500])
     text, first, scored = attention.windows(lengths)
