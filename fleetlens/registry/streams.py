@@ -14,9 +14,9 @@ DAY = 86400
 PARTS = 3
 
 
-def run(t: Tables, stream, mode: str = "append"):
+def run(t: Tables, stream, mode: str = "append", sink=None):
     path = landing.fresh_dir(t, "out")
-    state.run_to_end(stream, path, landing.fresh_dir(t, "checkpoint"), mode)
+    state.run_to_end(stream, path, landing.fresh_dir(t, "checkpoint"), mode, sink=sink)
     return t.spark.read.parquet(path)
 
 
@@ -47,8 +47,8 @@ def read_snapshot_stream(t: Tables):
     """SRC2 and ST1: the reports land twice and pass once."""
     documents = landing.report_documents(t)
     path = landing.landed(t, documents.unionByName(documents))
-    stream = state.dedupe_reports(read.read_snapshot_stream(t.spark, path).select("server_id", "report_type", "collected_at"), "4000 days")
-    return run(t, stream).withColumn("collected_at", F.unix_timestamp("collected_at"))
+    stream = read.read_snapshot_stream(t.spark, path).select("server_id", "report_type", "collected_at")
+    return run(t, stream, sink=state.report_sink).drop("part").withColumn("collected_at", F.unix_timestamp("collected_at"))
 
 
 @query("sample_text_state", f"""WITH {b.STATEMENT_EVENTS} SELECT server_id, schema_name, digest, arg_max(sql_text, (timer_start, event_id)) AS sql_text

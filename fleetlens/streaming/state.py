@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.hosts import LARGE_RAM_FACTOR, LARGE_TABLES, LARGE_TTL, ORDINARY_TTL
 from ..operators.skew import carry_last
@@ -24,12 +25,33 @@ STARTED = 3
 MAX_UNSIGNED = 2**64 - 1
 
 
-def dedupe_reports(reports: DataFrame, delay: str = "1 day") -> DataFrame:
-    """ST1: one row per server, report type and time, on a stream or a table."""
-    keys = ["server_id", "report_type", "collected_at"]
-    if reports.isStreaming:
-        return reports.withWatermark("collected_at", delay).dropDuplicatesWithinWatermark(keys)
-    return reports.dropDuplicates(keys)
+REPORT_KEYS = ["server_id", "report_type", "collected_at"]
+
+
+def dedupe_reports(reports: DataFrame) -> DataFrame:
+    """ST1: one row per server, report type and time. A stream that runs on goes through ``report_sink``, as its state here keeps every key."""
+    return reports.dropDuplicates(REPORT_KEYS)
+
+
+def report_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """ST1 on a stream: each batch's reports that no batch before it has stored, however late they are.
+
+    The stored rows are the state, read in the batch's range of time only. A repeated batch replaces its own folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = dedupe_reports(batch)
+        if number:
+            low, high = batch.agg(F.unix_micros(F.min("collected_at")), F.unix_micros(F.max("collected_at"))).first()
+            at = F.col("collected_at")
+            within = at.between(F.timestamp_micros(F.lit(low).cast("bigint")), F.timestamp_micros(F.lit(high).cast("bigint")))
+            stored = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("part", LongType())])).parquet(path)
+            stored = stored.filter((F.col("part") < number) & (within | at.isNull())).select(*[F.col(c).alias(f"_{c}") for c in REPORT_KEYS])
+            first, *rest = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REPORT_KEYS]
+            for same in rest:
+                first = first & same
+            fresh = fresh.join(stored, first, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/part={number}")
+    return write
 
 
 def sample_text_state(events: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
@@ -173,8 +195,9 @@ def newest(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
-    """Run a stream over everything that has landed. Running results are kept per batch, rows are appended.
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None,
+               sink: Callable[[str], Callable[[DataFrame, int], None]] | None = None) -> None:
+    """Run a stream over everything that has landed. Running results are kept per batch, rows are appended; ``sink`` writes batches its own way.
 
     ``partitions`` is the number of state partitions; it is fixed by the first run of a checkpoint, so it should fit
     the cluster and not the size of a batch. Without it the cluster's number of cores is used.
@@ -185,10 +208,10 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     spark.conf.set(name, str(partitions or spark.sparkContext.defaultParallelism))
     try:
         writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        if mode == "append":
+        if mode == "append" and not sink:
             running = writer.format("parquet").option("path", path).outputMode("append").start()
         else:
-            running = writer.outputMode(mode).foreachBatch(upsert_sink(path)).start()
+            running = writer.outputMode(mode).foreachBatch((sink or upsert_sink)(path)).start()
         running.awaitTermination()
     finally:
         spark.conf.set(name, before)

@@ -71,6 +71,25 @@ def test_running_results_survive_a_repeated_batch(spark, tmp_path):
     assert [tuple(r) for r in state.newest(spark.read.parquet(str(tmp_path)), ["k"]).collect()] == [(1, "b")]
 
 
+def test_late_reports_pass_once(spark, tmp_path):
+    """A server offline for days is not left out, and repeats go whether they come in one batch, later or without a time."""
+    from fleetlens.sources import read
+
+    def line(server, at):
+        return f'{{"server_id": {server}, "report_type": "Metrics", "collected_at": {at}, "document": "{{}}"}}'
+
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    new, late, none = '"2024-05-10T00:00:00Z"', '"2024-05-07T00:00:00Z"', "null"
+    for number, lines in enumerate([[(1, new), (1, new), (3, none)], [(2, late), (1, new), (2, late), (3, none)], [(2, late), (4, new)]]):
+        (source / f"{number}.json").write_text("\n".join(line(*x) for x in lines))
+        state.run_to_end(read.read_snapshot_stream(spark, str(source)), sink, str(tmp_path / "checkpoint"), sink=state.report_sink)
+    got = sorted((r["server_id"], str(r["collected_at"]), r["part"]) for r in spark.read.parquet(sink).collect())
+    assert got == [(1, "2024-05-10 00:00:00", 0), (2, "2024-05-07 00:00:00", 1), (3, "None", 0), (4, "2024-05-10 00:00:00", 2)]
+    state.report_sink(sink)(spark.read.parquet(sink).filter("part = 1").drop("part").localCheckpoint(), 1)
+    assert sorted(r["server_id"] for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4]
+
+
 def test_rates_skip_restarts(spark):
     counters = spark.createDataFrame([(1, "c", 0, 1, 10, 100, None), (1, "c", 10, 2, 30, 110, None), (1, "c", 20, 3, 40, 5, None), (1, "c", 30, 4, 60, 15, None), (1, "c", 40, 5, 70, 25, "r")],
                                      "server_id int, name string, at bigint, id int, value bigint, uptime bigint, reset_at string")
