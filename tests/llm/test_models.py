@@ -192,6 +192,17 @@ def test_pipeline(spark, documents):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in third}
 
 
+def test_another_text_of_a_removed_id_stays(spark):
+    import corpus_pipeline as pipeline
+
+    near = " ".join(f"w{i}" for i in range(80))
+    clean = " ".join(f"c{i}" for i in range(80))
+    rows = [(1, near, "en", "s", 1), (5, near + " more", "en", "s", 2), (5, clean, "en", "s", 3), (5, clean, "en", "s", 3), (5, None, "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = pipeline.one_of_each_group(spark, docs, SMALLEST).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, near), (5, clean), (5, None)], key=str)
+
+
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline as pipeline
 
