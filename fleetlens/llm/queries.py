@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, jaccard, langid, lm, packing, suffixes, tokenfiles, vectordup
+from . import ann, bpe, counts, fim, jaccard, langid, lm, packing, substrings, suffixes, tokenfiles, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,49 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_lm_score")
 def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_texts(table(spark, folder, "documents"), public_tokenizers.path(WORDS))
+
+
+@query("op11_substring_dedup", r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(range(len(words))) AS place, unnest(words) AS word, words FROM split
+), windows AS (
+  SELECT doc_id, place, word, CASE WHEN place + 35 <= len(words) THEN md5(array_to_string(words[place + 1:place + 35], ' ')) END AS passage FROM placed
+), counted AS (
+  SELECT doc_id, place, word, passage IS NOT NULL AND count(*) OVER (PARTITION BY passage) > 1 AS again FROM windows
+), covered AS (
+  SELECT doc_id, place, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+""")
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_passages(table(spark, folder, "documents"))
+    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["high"] - s["low"])
+    return found.select("doc_id", "n_words", size.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_fill_in_middle", r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || draw[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || draw[9:16])::BIGINT % (len(units) + 1) AS b,
+    ('0x' || draw[17:24])::BIGINT % 100 AS c, ('0x' || draw[25:32])::BIGINT % 100 AS d FROM split
+), cut AS (
+  SELECT doc_id, text, n, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 50 THEN 'plain' WHEN d < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM cut
+""")
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
