@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counts, fim, jaccard, langid, lm, packing, substrings, suffixes, tokenfiles, vectordup
+from . import ann, bpe, counts, fim, jaccard, langid, lm, packing, ranked, substrings, suffixes, tokenfiles, vectordup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,30 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, folder, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query("op13_ranked_search", r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), sizes AS (
+  SELECT doc_id, len(terms)::BIGINT AS n FROM lowered
+), corpus AS (
+  SELECT count(*) FILTER (n > 0) AS docs, sum(n)::BIGINT AS total FROM sizes
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), held AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM lowered) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, corpus GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN sizes USING (doc_id), corpus GROUP BY item_id, doc_id
+), ordered AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ordered WHERE place <= 50
+""")
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
