@@ -72,22 +72,23 @@ def rank_within(df: DataFrame, group: Sequence[str], value: str, tie: str, rank:
     return running_total(df, group, [F.col(value).desc(), F.col(tie).asc()], F.lit(1), rank)
 
 
-def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, bucket: Column,
-               out: str, include_current: bool = True) -> DataFrame:
-    """The latest non-null ``value`` of the group at or before each row, in ``order``.
+def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, include_current: bool = True) -> DataFrame:
+    """The latest non-null ``value`` of the group at or before each row (before it, without ``include_current``), in ``order``.
 
-    ``bucket`` must not decrease along ``order``. Rows are walked inside one bucket at a time, and only one summary
-    row per bucket is walked across buckets.
+    "The last of two" is associative, so rows are dealt by ranges of group and order as in ``running_total``: each partition is
+    walked on its own and gets the last value of those before it. A hot group spreads over as many partitions as its rows
+    need. Equal places in ``order`` lie in one partition.
     """
     group = list(group)
-    rows = df.withColumn("_value", value).withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if include_current else -1)
-    across = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (rows.groupBy(*group, "_bucket")
-               .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last"))
-               .select(*group, "_bucket", F.last("_last", ignorenulls=True).over(across).alias("_carried")))
-    return (rows.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-            .join(carried, [*group, "_bucket"])
+    ranged = pinned(df.withColumn("_value", value).repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    across = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per group and partition.
+    ends = ranged.groupBy(*group, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last"))
+    carried = ends.select(*[F.col(c).alias(f"_of_{c}") for c in (*group, "_part")], F.last("_last", ignorenulls=True).over(across).alias("_carried"))
+    same = F.lit(True)
+    for c in (*group, "_part"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return (ranged.withColumn("_local", F.last("_value", ignorenulls=True).over(inside)).join(carried, same)
             .withColumn(out, F.coalesce("_local", "_carried"))
-            .drop("_value", "_bucket", "_local", "_carried"))
+            .drop("_value", "_part", "_local", "_carried", *[f"_of_{c}" for c in (*group, "_part")]))

@@ -143,17 +143,39 @@ ROUTE = """CASE mode WHEN 'Configurations' THEN CASE kind WHEN 'Get' THEN 'db/co
   WHEN 'Task' THEN CASE kind WHEN 'Get' THEN 'tasks/get' WHEN 'Status' THEN 'tasks/status' END WHEN 'TaskByName' THEN 'tasks/by-name/' || kind END"""
 
 
-@query("route_reports", f"""WITH r AS (SELECT ({b.sql_list(MODES)})[CAST(o_orderkey % 6 AS INTEGER) + 1] AS mode, ({b.sql_list(KINDS)})[CAST(o_custkey % 7 AS INTEGER) + 1] AS kind, o_orderdate FROM orders)
-SELECT replace({ROUTE}, '/', '_') AS route, CAST(CAST(date_trunc('year', o_orderdate) AS DATE) AS VARCHAR) AS day, count(*) AS reports FROM r GROUP BY ALL""")
-def route_reports(t: Tables):
-    """Reports are written below their route and day (here the first day of the year) and read back."""
+ROUTED = f"""WITH r AS (SELECT ({b.sql_list(MODES)})[CAST(o_orderkey % 6 AS INTEGER) + 1] AS mode, ({b.sql_list(KINDS)})[CAST(o_custkey % 7 AS INTEGER) + 1] AS kind, o_orderdate FROM orders)
+SELECT replace({ROUTE}, '/', '_') AS route, CAST(CAST(date_trunc('year', o_orderdate) AS DATE) AS VARCHAR) AS day, count(*) AS reports FROM r GROUP BY ALL"""
+
+
+def routable(t: Tables):
     from .catalog import pick
 
-    reports = t.orders.select(F.col("o_custkey").alias("server_id"), F.date_trunc("YEAR", "o_orderdate").alias("collected_at"), pick(MODES, "o_orderkey").alias("mode"),
-                              pick(KINDS, "o_custkey").alias("report_type"))
+    return t.orders.select(F.col("o_custkey").alias("server_id"), F.date_trunc("YEAR", "o_orderdate").alias("collected_at"), pick(MODES, "o_orderkey").alias("mode"),
+                           pick(KINDS, "o_custkey").alias("report_type"))
+
+
+def routed_counts(t: Tables, path: str):
+    return t.spark.read.parquet(path).groupBy("route", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("reports"))
+
+
+@query("route_reports", ROUTED)
+def route_reports(t: Tables):
+    """Reports are written below their route and day (here the first day of the year) and read back."""
     path = landing.fresh_dir(t, "routed")
-    write.write_routed(reports, path)
-    return (t.spark.read.parquet(path).groupBy("route", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("reports")))
+    write.write_routed(routable(t), path)
+    return routed_counts(t, path)
+
+
+@query("route_reports_stream", ROUTED)
+def route_reports_stream(t: Tables):
+    """The same through the stream, in bounded batches."""
+    landed, path = landing.fresh_dir(t, "landed"), landing.fresh_dir(t, "routed")
+    reports = routable(t)
+    reports.write.parquet(landed)
+    files = t.spark.sparkContext.defaultParallelism
+    stream = t.spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", files).parquet(landed)
+    write.write_routed_stream(stream, path, landing.fresh_dir(t, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return routed_counts(t, path)
 
 
 @query("redact", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || ' pass=' || CAST(user_id AS VARCHAR) || '.* end' ELSE event_type || ' pass=*** end' END AS reason,

@@ -6,29 +6,29 @@ from pyspark.sql import functions as F
 
 from ..sources import read
 from ..streaming import state
+from ..streaming.store import Store
 from . import bindings as b
 from . import landing
 from .base import Tables, query
 
 DAY = 86400
 PARTS = 3
+YEARS = "yyyy"
 
 
-def run(t: Tables, stream, mode: str = "append", sink=None):
-    path = landing.fresh_dir(t, "out")
-    state.run_to_end(stream, path, landing.fresh_dir(t, "checkpoint"), mode, sink=sink)
-    return t.spark.read.parquet(path)
+def run_landing(t: Tables, rows, part, sink) -> None:
+    """Land the rows in a few parts, by the number in ``part``, and run the stream after each: a part is one batch, bounded by its number of files."""
+    source, checkpoint = landing.fresh_dir(t, "landed"), landing.fresh_dir(t, "checkpoint")
+    files = t.spark.sparkContext.defaultParallelism
+    for number in range(PARTS):
+        rows.filter(part == number).repartition(files).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
+        state.run_to_end(stream, checkpoint, sink)
 
 
-def run_landing(t: Tables, rows, at: str, build):
-    """Land the rows in a few parts in the order of time and run the stream after each; the running results."""
-    source, path, checkpoint = (landing.fresh_dir(t, name) for name in ("landed", "out", "checkpoint"))
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    step = (high - low) // PARTS + 1
-    for part in range(PARTS):
-        rows.filter(F.floor((F.col(at) - F.lit(low)) / F.lit(step)) == part).write.mode("append").parquet(source)
-        state.run_to_end(build(t.spark.readStream.schema(rows.schema).parquet(source)), path, checkpoint, "update")
-    return t.spark.read.parquet(path)
+def mixed(*columns):
+    """A part that says nothing about time, so that old rows come after new ones."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS))
 
 
 REPORTS = """SELECT o_custkey AS server_id, CASE o_orderstatus WHEN 'F' THEN 'Metrics' WHEN 'O' THEN 'Queries' ELSE 'Configurations' END AS report_type,
@@ -44,18 +44,53 @@ def dedupe_reports(t: Tables):
 
 @query("read_snapshot_stream", f"SELECT DISTINCT * FROM ({REPORTS})")
 def read_snapshot_stream(t: Tables):
-    """SRC2 and ST1: the reports land twice and pass once."""
+    """SRC2 and ST1: the reports land twice and are read by two streams, the second with a checkpoint of its own; each is stored once."""
     documents = landing.report_documents(t)
-    path = landing.landed(t, documents.unionByName(documents))
-    stream = read.read_snapshot_stream(t.spark, path).select("server_id", "report_type", "collected_at")
-    return run(t, stream, sink=state.report_sink).drop("part").withColumn("collected_at", F.unix_timestamp("collected_at"))
+    source = landing.landed(t, documents.unionByName(documents))
+    path, stream = landing.fresh_dir(t, "out"), None
+    for _ in range(2):
+        stream = read.read_snapshot_stream(t.spark, source, t.spark.sparkContext.defaultParallelism).select("server_id", "report_type", "collected_at")
+        state.run_to_end(stream, landing.fresh_dir(t, "checkpoint"), state.report_sink(path, YEARS))
+    stored = state.report_store(t.spark, path, stream.schema).read().drop("day")
+    return stored.withColumn("collected_at", F.unix_timestamp("collected_at"))
+
+
+@query("late_reports", f"""SELECT r.*, strftime(make_timestamp(collected_at * 1000000), '%Y') AS day FROM (SELECT DISTINCT * FROM ({REPORTS})) r""")
+def late_reports(t: Tables):
+    """ST1: batches that mix all times, so that late reports meet the stored keys of their own year."""
+    rows = landing.bronze(t).select("server_id", "report_type", "collected_at")
+    path = landing.fresh_dir(t, "out")
+    run_landing(t, rows.unionByName(rows), mixed("server_id", "report_type"), state.report_sink(path, YEARS))
+    return state.report_store(t.spark, path, rows.schema).read().withColumn("collected_at", F.unix_timestamp("collected_at"))
+
+
+NEWEST_TEXTS = f"""{b.STATEMENT_EVENTS}, newest AS (SELECT server_id, schema_name, digest, arg_max(sql_text, (timer_start, event_id)) AS sql_text, max(timer_start) AS seen
+FROM statement_events WHERE schema_name IS NOT NULL AND digest IS NOT NULL AND sql_text IS NOT NULL GROUP BY ALL)"""
+LIVE_TEXTS = f"""WITH {NEWEST_TEXTS} SELECT server_id, schema_name, digest, sql_text FROM (SELECT *, max(seen) OVER (PARTITION BY server_id) AS last_seen FROM newest)
+WHERE seen >= last_seen - {10 * DAY * 1000000}"""
+
+
+def texts(t: Tables, ttl=None):
+    """ST2: the statement events come in three batches that mix all times."""
+    path, events = landing.fresh_dir(t, "out"), b.statement_events(t)
+    run_landing(t, events, mixed("event_id"), state.sample_text_sink(path, ttl))
+    stored = Store(t.spark, path, state.sample_text_state(events).schema, lambda rows: state.newest_texts(rows, ttl)).read()
+    return stored.select(*state.TEXT_KEYS, "sql_text")
 
 
-@query("sample_text_state", f"""WITH {b.STATEMENT_EVENTS} SELECT server_id, schema_name, digest, arg_max(sql_text, (timer_start, event_id)) AS sql_text
-FROM statement_events WHERE schema_name IS NOT NULL AND digest IS NOT NULL AND sql_text IS NOT NULL GROUP BY ALL""")
+@query("sample_text_state", f"WITH {NEWEST_TEXTS} SELECT server_id, schema_name, digest, sql_text FROM newest")
 def sample_text_state(t: Tables):
-    keys = ["server_id", "schema_name", "digest"]
-    return state.newest(run_landing(t, b.statement_events(t), "timer_start", state.sample_text_state), keys).select(*keys, "sql_text")
+    return texts(t)
+
+
+@query("sample_text_ttl", LIVE_TEXTS)
+def sample_text_ttl(t: Tables):
+    return state.sample_text_state(b.statement_events(t), 10 * DAY * 1000000).select(*state.TEXT_KEYS, "sql_text")
+
+
+@query("sample_text_ttl_stream", LIVE_TEXTS)
+def sample_text_ttl_stream(t: Tables):
+    return texts(t, 10 * DAY * 1000000)
 
 
 def task_reports(t: Tables):
@@ -77,7 +112,9 @@ def task_state(t: Tables):
 
 @query("task_state_stream", TASKS)
 def task_state_stream(t: Tables):
-    return state.newest(run_landing(t, task_reports(t), "reported_at", state.task_state), ["task_id"])
+    path, reports = landing.fresh_dir(t, "out"), task_reports(t)
+    run_landing(t, reports, mixed("task_id", "reported_at"), state.running_sink(path, state.task_state))
+    return Store(t.spark, path, state.task_state(reports).schema, state.task_state).read()
 
 
 def snapshot_log(t: Tables):
@@ -94,11 +131,13 @@ LOG = """log AS (SELECT o_custkey % 50 AS server_id, CAST(epoch(o_orderdate) AS
 
 @query("snapshot_peek", f"""WITH {LOG} SELECT server_id, seen AS "at", id, ok, last_value(CASE WHEN ok THEN id END IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY seen, id) AS served FROM log""")
 def snapshot_peek(t: Tables):
-    month = F.floor(F.col("at") / (30 * DAY))
-    return state.snapshot_peek(snapshot_log(t), F.col("id"), month).select("server_id", "at", "id", "ok", "served")
+    return state.snapshot_peek(snapshot_log(t), F.col("id")).select("server_id", "at", "id", "ok", "served")
 
 
-@query("snapshot_state", f"""WITH RECURSIVE {LOG}, numbered AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY seen, id) AS n, tables > 10000 AND size > ram * 4 AS own FROM log),
+@query("snapshot_state", f"""WITH RECURSIVE {LOG}, parts AS (SELECT *, CASE WHEN id % 10 = 0 THEN {PARTS - 1} ELSE (seen - (SELECT min(seen) FROM log)) // ((SELECT max(seen) - min(seen) FROM log) // {PARTS} + 1) END AS part FROM log),
+ends AS (SELECT server_id AS server, max((seen, id)) AS place FROM parts WHERE part < {PARTS - 1} GROUP BY server_id),
+judged AS (SELECT parts.*, part = {PARTS - 1} AND coalesce((seen, id) <= place, false) AS late FROM parts LEFT JOIN ends ON server_id = server),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY seen, id) AS n, tables > 10000 AND size > ram * 4 AS own FROM judged WHERE NOT late),
 walk AS (SELECT server_id, n, seen, id, CASE WHEN ok THEN 'refreshed' ELSE 'error' END AS state, CASE WHEN ok THEN seen END AS taken_at, CASE WHEN ok THEN size END AS held, CASE WHEN ok THEN own END AS large FROM numbered WHERE n = 1
   UNION ALL SELECT l.server_id, l.n, l.seen, l.id,
     CASE WHEN w.taken_at IS NOT NULL AND l.seen < w.taken_at + CASE WHEN w.large THEN 604800 ELSE 42900 END AND (l.tables > 10000 AND w.held > l.ram * 4) = w.large THEN 'reused'
@@ -107,10 +146,18 @@ walk AS (SELECT server_id, n, seen, id, CASE WHEN ok THEN 'refreshed' ELSE 'erro
     CASE WHEN NOT (w.taken_at IS NOT NULL AND l.seen < w.taken_at + CASE WHEN w.large THEN 604800 ELSE 42900 END AND (l.tables > 10000 AND w.held > l.ram * 4) = w.large) AND l.ok THEN l.size ELSE w.held END,
     CASE WHEN NOT (w.taken_at IS NOT NULL AND l.seen < w.taken_at + CASE WHEN w.large THEN 604800 ELSE 42900 END AND (l.tables > 10000 AND w.held > l.ram * 4) = w.large) AND l.ok THEN l.own ELSE w.large END
   FROM walk w JOIN numbered l ON l.server_id = w.server_id AND l.n = w.n + 1)
-SELECT server_id, seen AS "at", id, state, taken_at, large FROM walk""")
+SELECT server_id, seen AS "at", id, state, taken_at, large FROM walk
+UNION ALL SELECT l.server_id, l.seen, l.id, 'late', h.taken_at, h.large FROM judged l LEFT JOIN (
+  SELECT w.server_id, arg_max(w.taken_at, w.n) FILTER (WHERE w.taken_at IS NOT NULL) AS taken_at, arg_max(w.large, w.n) FILTER (WHERE w.taken_at IS NOT NULL) AS large
+  FROM walk w JOIN parts p USING (server_id, id) WHERE p.part < {PARTS - 1} GROUP BY w.server_id) h USING (server_id) WHERE l.late""")
 def snapshot_state(t: Tables):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return run_landing(t, snapshot_log(t), "at", state.snapshot_state).drop("batch", "part")
+    """ST3: the calls come in the order of time in three batches, but for a tenth of them, which the last batch brings."""
+    log = snapshot_log(t)
+    low, high = log.agg(F.min("at"), F.max("at")).first()
+    part = F.when(F.col("id") % 10 == 0, PARTS - 1).otherwise(F.floor((F.col("at") - F.lit(low)) / F.lit((high - low) // PARTS + 1)))
+    path = landing.fresh_dir(t, "out")
+    run_landing(t, log, part, state.snapshot_sink(path))
+    return state.snapshot_calls(t.spark, path)
 
 
 @query("topology_state", """WITH d AS (SELECT user_id AS server_id, epoch_us(ts) AS seen, event_id, event_type NOT IN ('error', 'view') AS ok, event_type || CAST(event_id AS VARCHAR) AS topology FROM events),
@@ -119,7 +166,7 @@ SELECT server_id, event_id, topology_used, CASE WHEN ok THEN 'live' WHEN topolog
 def topology_state(t: Tables):
     discoveries = t.events.select(F.col("user_id").alias("server_id"), b.micros("ts").alias("at"), "event_id", (~F.col("event_type").isin("error", "view")).alias("ok"),
                                   F.concat("event_type", F.col("event_id").cast("string")).alias("topology"))
-    used = state.topology_state(discoveries, F.col("topology"), F.floor(F.col("at") / (DAY * 1000000)))
+    used = state.topology_state(discoveries, F.col("topology"))
     return used.select("server_id", "event_id", "topology_used", "source")
 
 
@@ -152,4 +199,4 @@ def counter_rate(t: Tables):
     event = F.col("event_id")
     counters = t.events.select(F.col("user_id").alias("server_id"), F.col("event_type").alias("name"), b.seconds("ts").alias("at"), event.alias("id"),
                                (event * 10 + F.floor("value")).alias("value"), (event % 1000).alias("uptime"), F.when(event > 5000, "r").alias("reset_at"))
-    return state.counter_rate(counters, F.floor(F.col("at") / DAY)).select("server_id", "name", "id", "rate")
+    return state.counter_rate(counters).select("server_id", "name", "id", "rate")

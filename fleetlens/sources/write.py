@@ -47,7 +47,11 @@ def write_routed(reports: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_routed_stream(reports: DataFrame, path: str, checkpoint: str):
-    """SNK1 as a stream: one file sink partitioned by route and day; its log makes replays harmless."""
+    """SNK1 as a stream: one file sink partitioned by route and day.
+
+    The sink's log names the files of finished batches, and readers of ``path`` see no others, so a batch that is killed and
+    repeated counts once.
+    """
     return (route_reports(reports).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .partitionBy("route", "day").outputMode("append"))
 

@@ -11,7 +11,7 @@ from fleetlens.registry import bindings as b
 from fleetlens.registry.base import Tables
 
 QUERIES = entry.queries()
-STREAMS = ("read_snapshots", "read_snapshot_stream", "sample_text_state", "task_state_stream", "snapshot_state", "route_reports")
+STREAMS = ("read_snapshots", "read_snapshot_stream", "late_reports", "sample_text_state", "sample_text_ttl_stream", "task_state_stream", "snapshot_state", "route_reports", "route_reports_stream")
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - set(STREAMS)))
