@@ -25,6 +25,9 @@ BLOCK_BYTES = 24 * 1024 * 1024
 
 RESULT_ROWS = 512
 
+BUNDLE_BYTES = 32 * 1024 * 1024
+"""Encoded words that a task holds before it sends them to their blocks."""
+
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Where each text's words begin among all words (and where the last ends), and the words."""
@@ -69,12 +72,11 @@ class Block:
         rank[order] = np.arange(len(order))
         names = list(self.number)
         places = rank[places]
-        planes = np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T).tobytes()
         words = " ".join([names[i] for i in order]).encode()
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([self.doc_ids], pa.list_(pa.int64())),
              pa.array([np.concatenate(self.sizes).astype(np.int32)], pa.list_(pa.int32())),
-             pa.array([zstandard.compress(words)], pa.binary()), pa.array([zstandard.compress(planes)], pa.binary())],
+             pa.array([zstandard.compress(words)], pa.binary()), pa.array([packed_numbers(places)], pa.binary())],
             ["block", "doc_ids", "sizes", "words", "places"])
 
 
@@ -113,6 +115,49 @@ def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      pa.array(np.arange(at, at + len(some)), pa.int32())], ["block", "word", "place"])
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Four-byte numbers, byte by byte apart, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded words of each block together, in the order of their places: in the shuffle to their blocks they take a third of the room."""
+    held: list[pa.RecordBatch] = []
+
+    def bundled() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        rows = rows.take(np.lexsort((rows.column("place").to_numpy(), rows.column("block").to_numpy()))).combine_chunks()
+        blocks, places = rows.column("block").to_numpy(), rows.column("place").to_numpy()
+        sizes = pc.binary_length(rows.column("ids")).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = b"".join(rows.column("ids").to_pylist())
+        edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            columns = [packed_numbers(np.diff(places[low:high], prepend=0)), packed_numbers(sizes[low:high]), zstandard.compress(data[ends[low]:ends[high]])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([blocks[low]], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["block", "places", "sizes", "ids"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) > BUNDLE_BYTES:
+            yield from bundled()
+    if held:
+        yield from bundled()
+
+
+def unbundled(rows: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Places and ids of a block's encoded words."""
+    places, sizes, data = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for row in rows.to_pylist():
+        places.append(np.cumsum(block_places(row["places"]), dtype=np.int64))
+        sizes.append(block_places(row["sizes"]).astype(np.int64))
+        data.append(zstandard.decompress(row["ids"]))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return np.concatenate(places), pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(data))])
+
+
 def joined(lists: np.ndarray, values: pa.Array, present: np.ndarray) -> pa.Array:
     """The present values of each list, joined by a space."""
     kept = np.concatenate([[0], np.cumsum(present)])
@@ -132,13 +177,13 @@ def decoded_words(packed: pa.Array, width: int, pieces: pa.Table) -> dict[str, p
 def put_back(blocks: pa.Table, table: pa.Table, width: int, pieces: pa.Table) -> pa.Table:
     """Ids and pieces of each text of a block from the block's encoded words."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
-    table = table.combine_chunks()
-    coded = decoded_words(table.column("ids").combine_chunks(), width, pieces) if table.num_rows else {}
+    at_places, ids = unbundled(table)
+    coded = decoded_words(ids, width, pieces) if len(ids) else {}
     out = []
     for block in blocks.to_pylist():
         lists, names = block_parts(block_list(block["words"]))
         row = np.full(len(names), -1)
-        row[table.column("place").to_numpy()] = np.arange(table.num_rows)
+        row[at_places] = np.arange(len(at_places))
         place = {name: int(at) for name, at in zip(names, row)}
         at = np.fromiter((place[p] for found in lists for p in found), np.int64)
         inner = np.concatenate([[0], np.cumsum([len(found) for found in lists], dtype=np.int64)])
@@ -184,6 +229,6 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     blocks = rows.mapInArrow(split_texts, Block.KIND).filter("block IS NOT NULL").repartition("block")
     used = blocks.mapInArrow(block_words, "block bigint, word string, place int").filter("word IS NOT NULL").repartition("word")
     table = encode_words(used.groupBy("word").agg(F.count("block").alias("blocks"), F.count("place").alias("places")), vocabulary)
-    encoded = used.join(table, "word").select("block", "place", "ids")
+    encoded = used.join(table, "word").select("block", "place", "ids").mapInArrow(bundles, "block bigint, places binary, sizes binary, ids binary")
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
         lambda left, right: put_back(left, right, width, pieces.value), "doc_id bigint, n_tokens bigint, ids string, decoded string")
