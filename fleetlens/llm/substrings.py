@@ -183,9 +183,10 @@ def remove_passages(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     carried = F.struct(F.lit(0).alias("none"), *carry).alias("carried")
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried)
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    # Counts shrink on the map side, and adaptive execution splits what a hot seed brings to a join.
+    # Counts shrink on the map side. They are written before they are joined, so that adaptive execution can split what a hot
+    # key brings from the other side.
     seeds = seed_rows(docs, False).groupBy("seed").agg(
-        F.count(F.lit(1)).alias("held"), (F.min("content") != F.max("content")).alias("differ")).filter("held > 1").select("seed", "differ")
+        F.count(F.lit(1)).alias("held"), (F.min("content") != F.max("content")).alias("differ")).filter("held > 1").select("seed", "differ").checkpoint()
     met = seed_rows(docs, True).join(seeds, "seed").checkpoint()
     contents = met.groupBy("content").agg(
         F.count(F.lit(1)).alias("copies"), F.max("differ").alias("differ"), F.min(F.struct("mark", "first", "windows", "anchor")).alias("one")).checkpoint()
@@ -193,13 +194,13 @@ def remove_passages(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         "mark", F.col("first").alias("low"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("high")).distinct()
     ids = docs.groupBy("mark").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("first_id"))
     lists = contents.filter("differ").select("one.*").groupBy("mark").agg(
-        F.collect_list(F.struct("first", "windows", "anchor")).alias("segments")).join(ids, "mark")
+        F.collect_list(F.struct("first", "windows", "anchor")).alias("segments")).join(ids, "mark").checkpoint()
     # Of equal texts one is looked at; of repeated rows each, which changes no answer.
     chosen = docs.join(lists, "mark").filter(F.coalesce("doc_id", F.lit(0)) - F.col("first_id") == 0)
     reached = reach_rows(chosen.select("doc_id", "carried", "mark", "text", "segments")).checkpoint()
     place = F.struct("mark", "window")
-    several = reached.groupBy("reach").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("reach")
+    several = reached.groupBy("reach").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("reach").checkpoint()
     grown = reached.join(several, "reach", "left_semi").select("mark", F.col("window").alias("low"), (F.col("window") + LENGTH).alias("high"))
-    runs = whole.unionByName(grown.distinct()).groupBy("mark").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    runs = whole.unionByName(grown.distinct()).groupBy("mark").agg(F.collect_list(F.struct("low", "high")).alias("runs")).checkpoint()
     schema = f"doc_id bigint, carried {docs.schema['carried'].dataType.simpleString()}, n_words bigint, spans array<struct<low:bigint,high:bigint>>, kept string"
     return docs.join(runs, "mark", "left").select("doc_id", "carried", "text", "runs").mapInArrow(without_runs, schema)
