@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import bound, scan
+
 # Tokens of the two SQL dialects as regular expressions.
 HIGH = r"\x{0080}-\x{10FFFF}"
 MYSQL_SPACE = r"[ \t\n\r\f\x0B]"
@@ -17,7 +19,7 @@ COMMENT_TEXT = r"[^*/]++|\*(?!/)|/(?!\*)"
 NESTED_1 = rf"/\*(?:{COMMENT_TEXT})*+\*/"
 NESTED_2 = rf"/\*(?:{COMMENT_TEXT}|{NESTED_1})*+\*/"
 NESTED_3 = rf"/\*(?:{COMMENT_TEXT}|{NESTED_2})*+\*/"
-ESCAPE_STRING = rf"(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'(?:[^'\\]++|\\.|'')*+(?:'|\z)"
+ESCAPE_STRING = rf"(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'(?:[^'\\]++|\\(?:.|\z)|'')*+(?:'|\z)"
 PLAIN_STRING = r"'[^']*+(?:'|\z)"
 WORD = rf"[A-Za-z_{HIGH}][A-Za-z0-9_${HIGH}]*+"
 WORD_END = rf"(?![A-Za-z0-9_${HIGH}])"
@@ -37,7 +39,6 @@ POSTGRES_SKIPPED_DATABASES = ("template0", "template1", "NULL")
 ONLINE_ALGORITHMS = ("INPLACE", "INSTANT", "NOCOPY")
 COPY_ALGORITHMS = ("COPY", "DEFAULT")
 SHARED_LOCKS = ("DEFAULT", "SHARED", "EXCLUSIVE")
-COPY_ONLY_OPERATIONS = ("ADD FULLTEXT", "ADD SPATIAL", "DROP PRIMARY KEY", "MODIFY COLUMN", "MODIFY ", "CHANGE COLUMN", "CHANGE ")
 
 # Words between the command and the name of its target, as the server's grammar has them.
 ALTER_OPTIONS = ("ONLINE", "IGNORE")
@@ -45,6 +46,10 @@ INDEX_KINDS = ("UNIQUE", "FULLTEXT", "SPATIAL")
 ALGORITHM_WORDS = ("DEFAULT", "INPLACE", "COPY", "INSTANT", "NOCOPY")
 LOCK_WORDS = ("DEFAULT", "NONE", "SHARED", "EXCLUSIVE")
 RENAMED_PARTS = ("COLUMN", "INDEX", "KEY")
+
+# Clauses of ALTER TABLE during which others may not write, as the server's manual on online changes has them.
+REDEFINING_VERBS = ("CHANGE", "MODIFY")
+BLOCKING_INDEXES = ("FULLTEXT", "SPATIAL")
 DDL_WORD = rf"[A-Za-z0-9_${HIGH}]++"
 DDL_TOKEN = rf"(?s){DDL_WORD}|`(?:[^`]|``)*+`|\"(?:[^\"]|\"\")*+\"|\S"
 
@@ -54,27 +59,102 @@ def mysql_leading_word(text: Column) -> Column:
     return F.lower(F.regexp_extract(text, rf"(?s)^(?:{MYSQL_SPACE}++|{LINE_COMMENT}|{FLAT_COMMENT})*+([A-Za-z]*)", 1))
 
 
-def postgres_leading_word(text: Column) -> Column:
-    """The first word after spaces and comments, which may nest three deep."""
+def _flat_leading_word(text: Column) -> Column:
     return F.lower(F.regexp_extract(text, rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED_3})*+([A-Za-z]*)", 1))
 
 
-def leading_unread(text: Column) -> Column:
-    """Whether a comment stands before the first word that is never closed or nests deeper than three."""
+def _leading_deep(text: Column) -> Column:
+    """Whether a comment that one regular expression cannot read stands before the first word."""
     return F.coalesce(text.rlike(rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED_3})*+/\*"), F.lit(False))
 
 
+def _walked_leading_word(walked: Column) -> Column:
+    return F.lower(F.regexp_extract(walked, rf"^{POSTGRES_SPACE}*+([A-Za-z]*)", 1))
+
+
+def postgres_leading_word(text: Column) -> Column:
+    """The first word after spaces and comments, which may nest; empty when there is none."""
+    return F.when(_leading_deep(text), _walked_leading_word(_walked(text))).otherwise(_flat_leading_word(text))
+
+
+def leading_unread(text: Column) -> Column:
+    """Whether a comment stands before the first word that is never closed."""
+    return F.when(_leading_deep(text), _walked(text).rlike(rf"^{POSTGRES_SPACE}*+/\* \z")).otherwise(False)
+
+
+# Fixed value: the smallest pieces of a text that may change how the rest is read.
+PIECE = (rf"(?s)(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'+|'+|\"+|[A-Za-z0-9_{HIGH}]+|[$\\\n*/-]|"
+         rf"[^A-Za-z0-9_{HIGH}$'\"\\\n*/-]+")
+
+
+def _walked(text: Column) -> Column:
+    """The text without comments, however deep they nest, read piece by piece with a counter of their depth.
+
+    A string is left as a single quote, else as in ``postgres_masked``.
+    """
+    known: dict = {}
+
+    def lit(value) -> Column:
+        if isinstance(value, Column):
+            return value
+        key = (type(value), value)
+        if key not in known:
+            known[key] = F.lit(value)
+        return known[key]
+
+    def state_of(mode, depth, tag, held, word, out) -> Column:
+        fields = {"mode": mode, "depth": depth, "tag": tag, "held": held, "word": word, "out": out}
+        return F.named_struct(*[lit(x) for pair in fields.items() for x in pair])
+
+    def step(state: Column, piece: Column) -> Column:
+        mode, depth, tag, held = state["mode"], state["depth"], state["tag"], state["held"]
+        first, both = F.substring(piece, 1, 1), F.concat(held, piece)
+        quotes = F.length(piece) - F.length(F.replace(piece, lit("'"), lit("")))
+        names, odd, odd_names = first == '"', quotes % 2 == 1, F.length(piece) % 2 == 1
+        word = piece.rlike(rf"^[A-Za-z0-9_{HIGH}]")
+        star, slash, dollar_sign, back = piece == "*", piece == "/", piece == "$", piece == "\\"
+
+        def to(mode, out="", keep="", level=depth, open_tag=tag, after=False) -> Column:
+            return state_of(mode, level, open_tag, keep, after, out)
+
+        code = (F.when(quotes > 0, to(F.when(~odd, "code").when(first == "'", "str").otherwise("estr"), F.concat(held, lit("'"))))
+                .when(names, to(F.when(odd_names, "name").otherwise("code"), F.concat(held, lit('" '))))
+                .when(star & (held == "/"), to("comment", level=1))
+                .when((piece == "-") & (held == "-"), to("line", " "))
+                .when(dollar_sign & held.startswith("$"), to("dollar", open_tag=both))
+                .when(slash | (piece == "-") | (dollar_sign & ~state["word"]), to("code", held, piece))
+                .when((held == "$") & piece.rlike(rf"^{TAG}$"), to("code", "", both))
+                .otherwise(to("code", both, after=word | dollar_sign)))
+        line = F.when(piece == "\n", to("code", piece)).otherwise(to("line"))
+        string = F.when(odd, to("code")).otherwise(to("str"))
+        # The character behind a backslash is part of the string, whatever it is.
+        escaped = (F.when((quotes - ((held == "\\") & (first == "'")).cast("int")) % 2 == 1, to("code"))
+                   .otherwise(to("estr", keep=F.when(back & (held == ""), piece).otherwise(""))))
+        name = F.when(names & odd_names, to("code")).otherwise(to("name"))
+        dollar = (F.when(dollar_sign & (both == tag), to("code", "'", after=True))
+                  .otherwise(to("dollar", keep=F.when(dollar_sign, piece).when((held == "$") & word, both).otherwise(""))))
+        closes = slash & (held == "*")
+        comment = (F.when(closes & (depth == 1), to("code", " ", level=0)).when(closes, to("comment", level=depth - 1))
+                   .when(star & (held == "/"), to("comment", level=depth + 1))
+                   .otherwise(to("comment", keep=F.when(slash | star, piece).otherwise(""))))
+        return (F.when(mode == "code", code).when(mode == "comment", comment).when(mode == "line", line).when(mode == "str", string)
+                .when(mode == "estr", escaped).when(mode == "name", name).otherwise(dollar))
+
+    done = scan(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), state_of("code", 0, "", "", False, ""), step)
+
+    def whole(found: Column) -> Column:
+        end = found["state"]
+        rest = F.when(end["mode"] == "comment", "/* ").when(end["mode"] == "dollar", "$ ").when(end["mode"] == "code", end["held"]).otherwise("")
+        return F.concat(F.array_join(found["outs"], ""), rest)
+    return bound(done, whole)
+
+
 def is_explainable(leading_word: Column) -> Column:
     """Whether a plan can be asked for."""
     return leading_word.isin(*EXPLAINABLE)
 
 
-def postgres_masked(text: Column) -> Column:
-    """The text without comments and strings; a quoted name is left as a single double quote.
-
-    Reading stops at a comment or dollar string that is never closed, or that nests deeper than three; its opening
-    stays in the result as a slash and star or a bare dollar sign at the end.
-    """
+def _flat_masked(text: Column) -> Column:
     tokens = "|".join([
         LINE_COMMENT, NESTED_3, r"(/\*).*+", ESCAPE_STRING, PLAIN_STRING, r'(")(?:[^"]|"")*+(?:"|\z)',
         rf"(?<![A-Za-z0-9_${HIGH}])(?:\$\$.*?\$\$|(\${TAG}\$).*?\3|(\$)(?:{TAG})?\$.*+)",
@@ -82,6 +162,21 @@ def postgres_masked(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?s)(?=[-/eEuU'\"$])(?:{tokens})", "$1$2$4 ")
 
 
+def _strings_blank(walked: Column) -> Column:
+    return F.replace(walked, F.lit("'"), F.lit(" "))
+
+
+def postgres_masked(text: Column) -> Column:
+    """The text without comments and strings; a quoted name is left as a single double quote.
+
+    Comments nest to any depth. Reading stops at a comment or dollar string that is never closed; its opening stays in the
+    result as a slash and star or a bare dollar sign at the end. One regular expression reads comments up to three deep; only
+    texts where it stops at a comment are walked piece by piece.
+    """
+    flat = _flat_masked(text)
+    return F.when(flat.endswith("/* "), _strings_blank(_walked(text))).otherwise(flat)
+
+
 def unread_tail(masked: Column) -> Column:
     """Whether masking had to stop before the end of the text."""
     return masked.contains("/*") | masked.rlike(r"\$ \z")
@@ -107,13 +202,16 @@ def is_data_modifying(masked: Column) -> Column:
 
 def statement_profile(corpus: DataFrame, text: str = "text") -> DataFrame:
     """Per statement its leading word and what it may do."""
-    return (corpus.withColumn("leading_word", postgres_leading_word(F.col(text)))
-            .withColumn("_masked", postgres_masked(F.col(text)))
+    # One walk serves both, for the texts that need it: a comment that stops the reading of the first word stops that of the text.
+    stopped = F.col("_flat").endswith("/* ")
+    return (corpus.withColumn("_flat", _flat_masked(F.col(text))).withColumn("_walked", F.when(stopped, _walked(F.col(text))))
+            .withColumn("leading_word", F.when(stopped & _leading_deep(F.col(text)), _walked_leading_word(F.col("_walked"))).otherwise(_flat_leading_word(F.col(text))))
+            .withColumn("_masked", F.when(stopped, _strings_blank(F.col("_walked"))).otherwise(F.col("_flat")))
             .withColumn("explainable", is_explainable(F.col("leading_word")))
             .withColumn("has_parameter", has_parameter(F.col("_masked")))
             .withColumn("data_modifying", is_data_modifying(F.col("_masked")))
             .withColumn("unread_tail", unread_tail(F.col("_masked")))
-            .drop("_masked"))
+            .drop("_masked", "_flat", "_walked"))
 
 
 def corpus_profile(corpus: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -136,16 +234,26 @@ def _bare_name(name: Column) -> Column:
 
 
 def _outer(tokens: Column) -> Column:
-    """The tokens outside of parentheses, however deep those nest, the depth at the end, and whether one closes too much."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("broken"), F.array().cast("array<string>").alias("kept"))
+    """The tokens outside of parentheses, however deep those nest, the depth at the end, and whether one closes too much.
+
+    Only the parentheses are walked; the places where the depth leaves and reaches zero cut the tokens into the slices that stay.
+    """
+    marks = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin("(", ")"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("broken"), F.array().cast("array<int>").alias("edges"))
 
-    def step(state: Column, token: Column) -> Column:
-        opens, closes = token == "(", token == ")"
-        depth = state["depth"] + opens.cast("int") - closes.cast("int")
-        inside = opens | closes | (state["depth"] > 0)
+    def step(state: Column, mark: Column) -> Column:
+        opens = mark["t"] == "("
+        depth = state["depth"] + F.when(opens, 1).otherwise(-1)
+        edge = (opens & (depth == 1)) | (~opens & (depth == 0))
         return F.struct(depth.alias("depth"), (state["broken"] | (depth < 0)).alias("broken"),
-                        F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(token))).alias("kept"))
-    return F.aggregate(tokens, start, step)
+                        F.when(edge, F.concat(state["edges"], F.array(mark["i"]))).otherwise(state["edges"]).alias("edges"))
+    walked = F.aggregate(marks, start, step)
+    # A slice begins behind every second edge and ends before the next.
+    edges = F.concat(F.array(F.lit(-1)), walked["edges"], F.array(F.size(tokens)))
+    starts = F.filter(F.transform(edges, lambda e, i: F.struct(e.alias("low"), F.get(edges, i + 1).alias("high"), i.alias("i"))),
+                      lambda x: (x["i"] % 2 == 0) & (x["high"] > x["low"] + 1))
+    kept = F.flatten(F.transform(starts, lambda x: F.slice(tokens, x["low"] + 2, x["high"] - x["low"] - 1)))
+    return F.struct(walked["depth"].alias("depth"), walked["broken"].alias("broken"), F.filter(kept, lambda t: ~t.isin("(", ")")).alias("kept"))
 
 
 def _target(tokens: str) -> Column:
@@ -221,10 +329,12 @@ def ddl_audit(statements: DataFrame, ddl: str = "ddl_statement", schema: str = "
     if lower_case_names is not None:
         same = same | (lower_case_names & (F.lower("ddl_schema") == F.lower(expected_schema))
                        & (F.lower("ddl_table") == F.lower(expected_table)))
-    upper = F.upper(sql)
-    copy_only = F.lit(False)
-    for operation in COPY_ONLY_OPERATIONS:
-        copy_only = copy_only | upper.contains(operation)
+    # A clause begins behind the target or a comma, and its first words say what it does.
+    clauses = F.filter(F.transform(F.col("_rest"), lambda t, i: F.struct(
+        F.when(i == 0, ",").otherwise(F.get("_rest", i - 1)).alias("before"), t.alias("verb"), F.coalesce(F.get("_rest", i + 1), F.lit("")).alias("what"))),
+        lambda x: x["before"] == ",")
+    blocks = F.exists(clauses, lambda x: x["verb"].isin(*REDEFINING_VERBS) | ((x["verb"] == "ADD") & x["what"].isin(*BLOCKING_INDEXES))
+                      | ((x["verb"] == "DROP") & (x["what"] == "PRIMARY")))
     is_alter = F.upper(F.try_element_at("_out", F.lit(1))) == "ALTER"
     follows = lambda first, test: F.exists(F.transform(F.col("_rest"), lambda t, i: F.struct(
         t.alias("t"), F.coalesce(F.get("_rest", i + 1), F.lit("")).alias("n"))), lambda x: (x["t"] == first) & test(x["n"]))
@@ -233,7 +343,7 @@ def ddl_audit(statements: DataFrame, ddl: str = "ddl_statement", schema: str = "
           .withColumn("executable_comment", comments.contains("/*"))
           .withColumn("backslash_quote", quotes.contains("'") | quotes.contains('"'))
           .withColumn("several_statements", F.array_contains(inner, ";"))
-          .withColumn("static_online", ~copy_only))
+          .withColumn("static_online", ~(is_alter & blocks)))
     reason = (F.when(~F.col("_valid"), "no-target")
               .when(~same, "target-mismatch")
               .when(is_alter & follows("RENAME", lambda n: ~n.isin(*RENAMED_PARTS)), "table-rename")
