@@ -109,6 +109,35 @@ def index_usage_attach(indexes: DataFrame, usage: DataFrame, resets: DataFrame,
             .withColumn("is_attached_partition", F.coalesce("_attached", F.lit(False))).drop("_attached"))
 
 
+def index_rows(indexes: DataFrame, classes: DataFrame, methods: DataFrame, attributes: DataFrame, collations: DataFrame, opclasses: DataFrame,
+               namespaces: DataFrame, usage: DataFrame, resets: DataFrame, inherits: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
+    """J4, J5, J6 and N19 together: one row per index of a user schema with all that is known of it.
+
+    What a server's version does not know has its fixed default; texts that are empty count as missing where a row may do
+    without them. Large sides meet on relations and indexes, small ones by server.
+    """
+    keys = list(keys)
+    version, empty = F.col("version"), F.lit("")
+    known = indexes.withColumn("key_count", since(version, KEY_COUNT, F.col("indnkeyatts"), F.col("indnatts"))).withColumn(
+        "nulls_not_distinct", since(version, NULLS_NOT_DISTINCT, F.col("indnullsnotdistinct"), F.lit(False)))
+    own = classes.select(*keys, F.col("oid").alias("indexrelid"), F.col("relname").alias("name"), "relkind", "relam")
+    table = _relations(classes, namespaces, keys, "indrelid", "table", "schema").filter(user_schema(F.col("schema")))
+    am = methods.select(*keys, F.col("oid").alias("relam"), F.col("amname").alias("access_method"))
+    rows = known.join(own, [*keys, "indexrelid"]).join(table, [*keys, "indrelid"])
+    rows = lookup(rows, am, [*keys, "relam"], "inner")
+    rows = index_usage_attach(rows, usage, resets, inherits, keys)
+    parts = index_keys(known, attributes, collations, opclasses, namespaces, keys)
+    rows = rows.join(parts, [*keys, "indexrelid"], "left")
+    last = since(version, LAST_SCAN, F.coalesce("last_idx_scan", empty), empty)
+    return rows.select(
+        *keys, "database", "schema", "table", "name", "access_method", "keys", "include_columns", F.coalesce("indpred", empty).alias("predicate"),
+        F.col("indexdef").alias("definition"), F.col("indisunique").alias("is_unique"), F.col("indisprimary").alias("is_primary"),
+        F.col("indisvalid").alias("is_valid"), F.col("indisready").alias("is_ready"), F.col("indisexclusion").alias("is_exclusion"),
+        "nulls_not_distinct", (F.col("relkind") == "I").alias("is_partitioned"), "is_attached_partition", F.col("indisclustered").alias("is_clustered"),
+        F.col("indisreplident").alias("is_replica_identity"), F.col("relkind").alias("relation_kind"), F.col("idx_scan").cast("bigint").alias("idx_scan"),
+        F.nullif(last, empty).alias("last_idx_scan"), F.nullif(F.coalesce("stats_reset", empty), empty).alias("stats_reset"))
+
+
 def _relations(classes: DataFrame, namespaces: DataFrame, keys: list[str], oid: str, relation: str, schema: str) -> DataFrame:
     names = namespaces.select(*keys, F.col("oid").alias("relnamespace"), F.col("nspname").alias(schema))
     return classes.join(names, [*keys, "relnamespace"]).select(*keys, F.col("oid").alias(oid), F.col("relname").alias(relation), schema)

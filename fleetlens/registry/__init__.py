@@ -7,7 +7,7 @@ import importlib
 from .base import ORACLES, QUERIES
 
 MODULES = ["normal", "filters", "rollups", "joins", "catalog", "ranking", "hosts", "security", "plans", "change",
-           "texts", "streams", "sources", "sets"]
+           "texts", "streams", "sources", "sections", "sets"]
 
 
 def load() -> tuple[dict, dict]:

@@ -116,6 +116,60 @@ def index_usage_attach(t: Tables):
     return catalog.index_usage_attach(t.orders.select(server, index), usage, resets, inherits)
 
 
+# Indexes and tables of a server are told apart by their ids.
+INDEX_IDS = 1 << 40
+FLAGS = ("unique", "primary", "valid", "ready", "exclusion", "clustered", "replident")
+
+
+@query("index_rows", f"""WITH {CATALOG}, versions AS (SELECT server_id, 90000 + server_id * 10000 AS version FROM servers),
+raw AS (SELECT o_custkey % 10 AS server_id, o_orderkey AS indexrelid, o_custkey AS indrelid, 1 + o_orderkey % 4 AS indnatts, least(1 + o_orderkey % 3, 1 + o_orderkey % 4) AS indnkeyatts,
+  o_orderkey % 100 AS tag, [o_custkey % 5 + 1, o_orderkey % 4, o_orderkey % 9 + 1, o_orderkey % 7 + 2] AS indkey, [o_custkey % 25, o_orderkey % 30, 0, (o_custkey + o_orderkey) % 25] AS indcollation,
+  [o_orderkey % 28, o_custkey % 25, o_orderkey % 3, o_orderkey % 5] AS indclass, [o_orderkey % 4, o_custkey % 4, 1, o_orderkey % 2] AS indoption, o_orderstatus, o_totalprice FROM orders),
+indexes AS (SELECT raw.*, version, CASE WHEN version >= 110000 THEN indnkeyatts ELSE indnatts END AS key_count FROM raw JOIN versions USING (server_id)),
+parts AS (SELECT i.*, p AS position, indkey[p] AS attnum, indcollation[p] AS coll, indclass[p] AS opc, indoption[p] AS option,
+  'def' || CAST(p AS VARCHAR) || '_' || CAST(tag AS VARCHAR) AS definition FROM indexes i, (SELECT unnest([1, 2, 3, 4]) AS p) WHERE p <= indnatts),
+joined AS (SELECT p.server_id, p.indexrelid, p.position, p.key_count, p.attnum, p.coll, p.option, p.definition, a.attname, a.attcollation,
+  CASE WHEN k.n_name IS NOT NULL THEN 'coll_' || lower(k.n_name) END AS collname, CASE WHEN o.n_name IS NOT NULL THEN 'op_' || lower(o.n_name) END AS opcname, coalesce(o.n_nationkey % 3 = 0, false) AS opcdefault
+  FROM parts p LEFT JOIN attributes a ON a.server_id = p.server_id AND a.attrelid = p.indrelid AND a.attnum = p.attnum
+  LEFT JOIN nation k ON k.n_nationkey = p.coll LEFT JOIN nation o ON o.n_nationkey = p.opc),
+keyed AS (SELECT server_id, indexrelid, coalesce(string_agg(concat_ws('|', position, coalesce(CASE WHEN attnum <> 0 THEN attname END, '-'), coalesce(CASE WHEN attnum = 0 THEN definition END, '-'),
+    coalesce(collname, '-'), coalesce(opcname, '-'), CASE WHEN coll = 0 THEN 'true' WHEN attnum <> 0 THEN coalesce(CAST(coll = attcollation AS VARCHAR), '-') ELSE 'false' END, opcdefault,
+    (option & 1) = 1, (option & 2) = 2), ';' ORDER BY position) FILTER (WHERE position <= key_count), '') AS keys,
+  coalesce(string_agg(attname, ',' ORDER BY position) FILTER (WHERE position > key_count AND attname IS NOT NULL), '') AS include_columns FROM joined GROUP BY server_id, indexrelid)
+SELECT i.server_id, 'db' || CAST(i.indrelid % 4 AS VARCHAR) AS database, n.nspname AS schema, c.relname AS "table", 'idx_' || CAST(i.indexrelid AS VARCHAR) AS name,
+  (['btree', 'hash', 'gin'])[CAST(i.indexrelid % 3 AS INTEGER) + 1] AS access_method, keys, include_columns, CASE WHEN i.indexrelid % 5 = 0 THEN 'c > ' || CAST(tag AS VARCHAR) ELSE '' END AS predicate,
+  'CREATE INDEX idx_' || CAST(i.indexrelid AS VARCHAR) AS definition, {", ".join(f"(i.indexrelid + {n}) % {n + 2} = 0 AS is_{flag}" for n, flag in enumerate(FLAGS))},
+  version >= 150000 AND i.indexrelid % 6 = 0 AS nulls_not_distinct, i.indexrelid % 8 = 0 AS is_partitioned, o_orderstatus = 'P' AS is_attached_partition,
+  CASE WHEN i.indexrelid % 8 = 0 THEN 'I' ELSE 'i' END AS relation_kind, CASE WHEN i.indexrelid % 3 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END AS idx_scan,
+  CASE WHEN version >= 160000 AND i.indexrelid % 3 <> 0 AND i.indexrelid % 4 <> 0 THEN 'scan ' || CAST(i.indexrelid AS VARCHAR) END AS last_idx_scan,
+  CASE WHEN i.server_id <> 7 THEN 'r' || CAST(i.server_id AS VARCHAR) END AS stats_reset
+FROM indexes i JOIN classes c ON c.server_id = i.server_id AND c.oid = i.indrelid JOIN namespaces n ON n.server_id = c.server_id AND n.oid = c.relnamespace
+JOIN keyed k ON k.server_id = i.server_id AND k.indexrelid = i.indexrelid
+WHERE n.nspname NOT IN ('information_schema', 'pg_catalog') AND n.nspname NOT LIKE 'pg_toast%' AND n.nspname NOT LIKE 'pg_temp_%'""")
+def index_rows(t: Tables):
+    """One row per index; usage that no index has, and servers of every version from 9 to 18, are among the input."""
+    order, server = F.col("o_orderkey"), (F.col("o_custkey") % 10).alias("server_id")
+    text = lambda prefix, column: F.concat(F.lit(prefix), column.cast("string"))
+    flags = [((order + n) % (n + 2) == 0).alias(f"indis{flag}") for n, flag in enumerate(FLAGS)]
+    own = t.orders.select(
+        server, order.alias("indexrelid"), (90000 + F.col("server_id") * 10000).alias("version"), (1 + order % 4).alias("indnatts"), F.least(1 + order % 3, 1 + order % 4).alias("indnkeyatts"),
+        (order % 6 == 0).alias("indnullsnotdistinct"), text("db", F.col("o_custkey") % 4).alias("database"), F.when(order % 5 == 0, text("c > ", order % 100)).alias("indpred"),
+        text("CREATE INDEX idx_", order).alias("indexdef"), *flags)
+    rows = indexes(t).drop("key_count").join(own, ["server_id", "indexrelid"])
+    relations = classes(t).select("server_id", "oid", "relname", "relnamespace", "relkind", F.lit(None).cast("bigint").alias("relam")).unionByName(t.orders.select(
+        server, order.alias("oid"), text("idx_", order).alias("relname"), F.lit(None).cast("bigint").alias("relnamespace"), F.when(order % 8 == 0, "I").otherwise("i").alias("relkind"),
+        (order % 3).alias("relam")).withColumn("oid", F.col("oid") + INDEX_IDS))
+    methods = t.region.select(servers().alias("server_id"), F.col("r_regionkey").cast("bigint").alias("oid"), pick(("btree", "hash", "gin"), "r_regionkey").alias("amname")).filter("oid < 3")
+    usage = t.orders.select(server, F.when(order % 3 != 0, order + INDEX_IDS).otherwise(-order).alias("indexrelid"), F.floor("o_totalprice").alias("idx_scan"),
+                            F.when(order % 4 != 0, text("scan ", order)).alias("last_idx_scan"))
+    resets = t.nation.select(servers().alias("server_id")).distinct().withColumn("stats_reset", F.when(F.col("server_id") != 7, text("r", F.col("server_id"))).otherwise(""))
+    inherits = t.orders.select(server, F.when(F.col("o_orderstatus") == "P", order + INDEX_IDS).otherwise(-order).alias("inhrelid"))
+    found = catalog.index_rows(rows.withColumn("indexrelid", F.col("indexrelid") + INDEX_IDS), relations, methods, attributes(t), *sorting(t), namespaces(t), usage, resets, inherits)
+    fields = ("position", "column_name", "expression", "collation", "opclass", "collation_is_default", "opclass_is_default", "descending", "nulls_first")
+    keys = F.transform("keys", lambda k: F.concat_ws("|", *[F.coalesce(k[f].cast("string"), F.lit("-")) for f in fields]))
+    return found.withColumns({"keys": F.array_join(keys, ";"), "include_columns": F.array_join("include_columns", ",")}).withColumnRenamed("is_replica_identity", "is_replident")
+
+
 def constraints(t: Tables):
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
     foreign = F.col("o_orderstatus") != "P"

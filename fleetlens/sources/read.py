@@ -60,10 +60,42 @@ def failed_sections(reports: DataFrame) -> DataFrame:
         "server_id", "collected_at", F.posexplode("_d.DB.FailedDatabaseSchema").alias("ordinal", "section"))
 
 
+def section_layouts(sections: DataFrame) -> DataFrame:
+    """SRC4a: the layout of each report's rows of a section, by the columns that any of them has.
+
+    Of indexes: ``full`` has expressions and visibility, ``ignoring`` says which ones are ignored, ``visibility`` lacks
+    expressions, ``legacy`` lacks both. Of columns: ``full`` has generation expressions, ``legacy`` has none.
+    """
+    has = lambda c: F.bool_or(F.map_contains_key("row", c))
+    found = sections.groupBy("server_id", "collected_at", "section").agg(
+        has("EXPRESSION").alias("_expression"), has("IS_VISIBLE").alias("_visible"), has("IGNORED").alias("_ignored"), has("GENERATION_EXPRESSION").alias("_generation"))
+    index = (F.when(F.col("_expression") & F.col("_visible"), "full").when(F.col("_ignored"), "ignoring")
+             .when(F.col("_visible"), "visibility").otherwise("legacy"))
+    layout = (F.when(F.col("section") == "information_schema_indexes", index)
+              .when((F.col("section") == "information_schema_columns") & ~F.col("_generation"), "legacy").otherwise("full"))
+    return found.select("server_id", "collected_at", "section", layout.alias("layout"))
+
+
 def mysql_section(sections: DataFrame, section: str) -> DataFrame:
-    """SRC4a: one section as a table; a column that the server's layout lacks is the marker text."""
-    values = [F.coalesce(F.col("row")[c], F.lit(NULL_MARKER)).alias(c) for c in schemas.SECTION_COLUMNS[section]]
-    return sections.filter(F.col("section") == section).select("server_id", "collected_at", *values)
+    """SRC4a: one section as a table, whatever the layouts of its servers.
+
+    A missing value is the marker text. An index counts as visible unless its layout says otherwise, and has an expression
+    only in the full layout; a column has a generation expression only in its full layout.
+    """
+    rows, row, layout = sections.filter(F.col("section") == section), F.col("row"), F.col("layout")
+    value = lambda c: F.coalesce(row[c], F.lit(NULL_MARKER))
+    rules = {}
+    if section == "information_schema_indexes":
+        ignored = F.upper(F.coalesce(row["IGNORED"], F.lit("NO"))) == "YES"
+        rules = {"EXPRESSION": F.when(layout == "full", value("EXPRESSION")).otherwise(NULL_MARKER),
+                 "IS_VISIBLE": F.when(layout == "ignoring", F.when(ignored, "NO").otherwise("YES"))
+                 .when(layout == "legacy", "YES").otherwise(F.coalesce(row["IS_VISIBLE"], F.lit("YES")))}
+    if section == "information_schema_columns":
+        rules = {"GENERATION_EXPRESSION": F.when(layout == "full", value("GENERATION_EXPRESSION")).otherwise(NULL_MARKER)}
+    if rules:
+        layouts = section_layouts(rows).select(F.col("server_id").alias("_server"), F.col("collected_at").alias("_at"), "layout")
+        rows = rows.join(layouts, F.col("server_id").eqNullSafe(F.col("_server")) & F.col("collected_at").eqNullSafe(F.col("_at")))
+    return rows.select("server_id", "collected_at", *[rules.get(c, value(c)).alias(c) for c in schemas.SECTION_COLUMNS[section]])
 
 
 def postgres_sections(sections: DataFrame, order: Sequence[str]) -> DataFrame:
