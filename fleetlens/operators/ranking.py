@@ -105,6 +105,62 @@ def failed_database_skip(attempts: DataFrame, rank: str, failed: Column, reason:
             .withColumn("explain_error", F.when(skipped, F.col("_text"))).drop("_at", "_text"))
 
 
+def _ranks_behind(field: str, tie: str) -> Column:
+    """Whether a row ranks behind ``_field`` and ``_tie`` in descending order of ``field``, where missing values come last."""
+    same = F.col(field).eqNullSafe(F.col("_field")) & (F.col(tie) > F.col("_tie"))
+    return F.coalesce(F.col(field) < F.col("_field"), F.col(field).isNull() & F.col("_field").isNotNull(), F.lit(False)) | same
+
+
+def _failing_pass(candidates: DataFrame, field: str, quota: int, keys: list[str], tie: str) -> DataFrame:
+    """The candidates that one ranking comes to, with ``outcome`` and ``explain_error``.
+
+    A database fails at its first failing candidate in rank order, for if the pass does not come that far, it comes to
+    nothing behind it either. Successes behind that place do not happen, so the rest is a plain quota.
+    """
+    order = [F.col(field).desc(), F.col(tie).asc()]
+    text = F.concat(F.lit("connection_failed: "), F.coalesce(F.nullif("_reason", F.lit("")), F.lit("connection failed")))
+    # Of a database's failing candidates the first is kept per slice before they meet.
+    first = (top_k(candidates.filter(F.col("_fails") & F.col("_known").isNull()).select(*keys, "_database", field, tie, text.alias("_text")), [*keys, "_database"], order, 1, "_rank", [tie])
+             .select(*keys, "_database", F.col(field).alias("_field"), F.col(tie).alias("_tie"), "_text"))
+    marked = lookup(candidates, first, [*keys, "_database"])
+    skipped = F.col("_known").isNotNull() | (F.col("_tie").isNotNull() & _ranks_behind(field, tie))
+    marked = marked.withColumn("_skipped", skipped).withColumn("_error", F.coalesce("_known", F.when(F.col("_skipped") | F.col("_fails"), F.col("_text")))).drop("_field", "_tie", "_text")
+    marked = pinned(marked)
+    met = plan_quota(marked, field, F.col("_success") & ~F.col("_fails") & ~F.col("_skipped"), quota, keys, tie)
+    outcome = (F.when(F.col("_skipped"), "skipped").when(F.col("_fails"), "connection-failed").when(F.col("_success"), "planned").otherwise("no-plan"))
+    return met.withColumn("outcome", outcome).withColumn("explain_error", F.col("_error"))
+
+
+def plan_outcomes(statements: DataFrame, eligible: Column, shared: Column, database: Column, success: Column, fails: Column, reason: Column,
+                  first: str = "total_exec_time_us", second: str = "mean_exec_time_us", quota: int = PLAN_QUOTA,
+                  keys: Sequence[str] = ("server_id",), tie: str = "queryid") -> DataFrame:
+    """F6/F7, W6, W3 and W4 end to end: what becomes of every eligible statement.
+
+    Statements that are not ``eligible`` are left out first. Those with the same ``shared`` key are one candidate with their
+    largest times and their smallest ``tie``; ``success``, ``fails`` (its database cannot be reached) and ``reason`` are read at
+    that statement. A pass by ``first`` comes to candidates until ``quota`` plans; once a database fails, its later candidates are
+    skipped with its reason and use up nothing. The pass by ``second`` goes over the rest and knows the databases that failed
+    before. Every statement has the ``attempt`` of its key, the ranking that came to it, its outcome and its error; without a
+    ranking the quotas were used up before.
+    """
+    keys = list(keys)
+    rows = statements.filter(eligible).select(
+        *keys, tie, first, second, shared.alias("_plan"), database.alias("_database"),
+        success.alias("_success"), fails.alias("_fails"), reason.alias("_reason"))
+    at = F.struct("_success", "_fails", "_reason")
+    groups = rows.groupBy(*keys, "_plan", "_database").agg(
+        F.min(tie).alias("attempt"), F.max(first).alias(first), F.max(second).alias(second), F.min_by(at, tie).alias("_at"))
+    members = rows.select(*keys, tie, "_plan", "_database").join(groups.select(*keys, "_plan", "_database", "attempt"), [*keys, "_plan", "_database"])
+    candidates = pinned(groups.select(*keys, "_database", F.col("attempt").alias(tie), first, second, "_at.*", F.lit(None).cast("string").alias("_known")))
+    one = pinned(_failing_pass(candidates, first, quota, keys, tie))
+    failed = one.filter("outcome = 'connection-failed'").select(*keys, "_database", F.col("explain_error").alias("_known")).distinct()
+    rest = lookup(candidates.join(one.select(*keys, tie), [*keys, tie], "left_anti").drop("_known"), failed, [*keys, "_database"])
+    two = _failing_pass(rest, second, quota, keys, tie)
+    result = lambda rows, ranking: rows.select(*keys, F.col(tie).alias("attempt"), F.lit(ranking).alias("ranking"), "outcome", "explain_error")
+    chosen = result(one, first).unionByName(result(two, second))
+    return members.drop("_plan", "_database").join(chosen, [*keys, "attempt"], "left")
+
+
 def batches(planned: DataFrame, keys: Sequence[str] = ("server_id",), size: int = BATCH_SIZE) -> DataFrame:
     """Planned parameters in name order, cut into batches per scope.
 

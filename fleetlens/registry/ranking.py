@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ranking, rollups
+from ..operators import filters, ranking, rollups
 from ..session import pinned
 from . import bindings as b
 from .base import Tables, query
+from .catalog import pick
 
 
 def statements(t: Tables):
@@ -94,6 +95,65 @@ def plan_candidates(t: Tables):
     return ranking.plan_candidates(statements(t), F.col("calls") > 20, success())
 
 
+def outcomes_sql(source: str, id_column: str) -> str:
+    """The two passes over ``source`` (server_id, id, db, one, two, plan_key, ok, fails, reason), walked by windows."""
+    def walk(name: str, rows: str, field: str) -> str:
+        return f"""{name}_ranked AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY {field} DESC, id) AS n FROM {rows}),
+{name}_first AS (SELECT server_id, db, min(n) AS stop, arg_min('connection_failed: ' || coalesce(nullif(reason, ''), 'connection failed'), n) AS text FROM {name}_ranked WHERE fails AND known IS NULL GROUP BY ALL),
+{name}_marked AS (SELECT r.*, known IS NOT NULL OR coalesce(n > stop, false) AS skipped, coalesce(known, CASE WHEN n >= stop THEN text END) AS error
+  FROM {name}_ranked r LEFT JOIN {name}_first f ON f.server_id = r.server_id AND f.db = r.db),
+{name} AS (SELECT *, CASE WHEN skipped THEN 'skipped' WHEN fails THEN 'connection-failed' WHEN ok THEN 'planned' ELSE 'no-plan' END AS outcome FROM (
+  SELECT *, coalesce(sum(CASE WHEN ok AND NOT fails AND NOT skipped THEN 1 ELSE 0 END) OVER (PARTITION BY server_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM {name}_marked) WHERE before < 100)"""
+    return f"""grouped AS (SELECT server_id, db, plan_key, min(id) AS id, max(one) AS one, max(two) AS two, arg_min(ok, id) AS ok, arg_min(fails, id) AS fails, arg_min(reason, id) AS reason,
+  CAST(NULL AS VARCHAR) AS known FROM {source} GROUP BY server_id, db, plan_key),
+{walk('pass1', 'grouped', 'one')},
+dead AS (SELECT DISTINCT server_id, db, error FROM pass1 WHERE outcome = 'connection-failed'),
+rest AS (SELECT g.* EXCLUDE (known), d.error AS known FROM grouped g LEFT JOIN dead d ON d.server_id = g.server_id AND d.db = g.db
+  WHERE NOT EXISTS (SELECT 1 FROM pass1 p WHERE p.server_id = g.server_id AND p.id = g.id)),
+{walk('pass2', 'rest', 'two')},
+chosen AS (SELECT server_id, id, 'total_exec_time_us' AS ranking, outcome, error FROM pass1 UNION ALL SELECT server_id, id, 'mean_exec_time_us', outcome, error FROM pass2)
+SELECT s.server_id, s.id AS {id_column}, g.id AS attempt, c.ranking, c.outcome, c.error AS explain_error FROM {source} s
+JOIN grouped g ON g.server_id = s.server_id AND g.db = s.db AND g.plan_key = s.plan_key LEFT JOIN chosen c ON c.server_id = g.server_id AND c.id = g.id"""
+
+
+@query("postgres_plan_outcomes", f"""WITH {b.STATEMENT_STATS}, eligible AS (SELECT server_id, queryid AS id, datname AS db, total_exec_time_us AS one, mean_exec_time_us AS two,
+  concat_ws('|', coalesce(unsigned_id, ''), query) AS plan_key, {SUCCESS} AS ok, right(queryid, 2) = '41' AS fails, CASE WHEN length(queryid) % 2 = 0 THEN 'no route to ' || datname ELSE '' END AS reason FROM statements
+  WHERE datname NOT IN ('template0', 'template1', 'NULL') AND regexp_matches(lower(query), '^\\s*(select|with)\\b') AND datname <> 'db3'),
+{outcomes_sql('eligible', 'queryid')}""")
+def postgres_plan_outcomes(t: Tables):
+    """F7 to W4 over all statements; all databases but one are allowed, and some cannot be reached."""
+    rows = statements(t)
+    others = F.when(F.col("datname") == "db3", "another").otherwise("")
+    eligible = filters.postgres_candidate_reason(F.col("datname"), F.col("query"), others, F.lit(False)).isNull()
+    shared = ranking.plan_key(F.col("datname"), F.col("pg_queryid"), F.sha2("query", 256))
+    reason = F.when(F.length("queryid") % 2 == 0, F.concat(F.lit("no route to "), F.col("datname"))).otherwise("")
+    return ranking.plan_outcomes(rows, eligible, shared, F.col("datname"), success(), F.right("queryid", F.lit(2)) == "41", reason)
+
+
+DIGEST_TEXTS = ("select a from t", "WITH x AS (SELECT 1) SELECT * FROM x", "select SQL_NO_CACHE * from t", "update t set a = 1", "select b from ...", "EXPLAIN FORMAT=JSON select 1", "", "/* c */ select c")
+DIGEST_SCHEMAS = ("app", "shop", "mysql", "crm", "erp")
+DIGESTS = f"""digests AS (SELECT l_suppkey % 20 AS server_id, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS id, ({b.sql_list(DIGEST_SCHEMAS)})[CAST(l_partkey % 5 AS INTEGER) + 1] AS db,
+  ({b.sql_list(DIGEST_TEXTS)})[CAST(l_orderkey % 8 AS INTEGER) + 1] AS q, CAST(floor(l_extendedprice) AS BIGINT) AS one, CAST(floor(l_extendedprice / l_quantity) AS BIGINT) AS two,
+  l_linenumber <> 2 AS ok, l_orderkey % 300 = 7 AS fails, CASE WHEN l_linenumber % 2 = 0 THEN 'down' ELSE '' END AS reason, CAST(epoch(l_shipdate) AS BIGINT) AS last_seen, l_linenumber = 6 AS resolved FROM lineitem)"""
+
+
+@query("mysql_plan_outcomes", f"""WITH {DIGESTS}, eligible AS (SELECT *, id AS plan_key FROM digests WHERE q <> '' AND NOT contains(q, 'SQL_NO_CACHE') AND NOT contains(q, 'EXPLAIN FORMAT=JSON') AND db <> 'mysql'
+  AND regexp_matches(lower(q), '^(/\\*.*?\\*/|\\s)*(select|with)\\b') AND NOT resolved AND q NOT LIKE '%...' AND last_seen >= CAST(epoch(TIMESTAMP '1995-01-01') AS BIGINT) - 604800),
+{outcomes_sql('eligible', 'digest')}""")
+def mysql_plan_outcomes(t: Tables):
+    """F6 to W3 over all digests of the other engine, of which none shares a plan."""
+    id_column = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    line = F.col("l_linenumber")
+    digests = t.lineitem.select(
+        (F.col("l_suppkey") % 20).alias("server_id"), id_column.alias("digest"), pick(DIGEST_SCHEMAS, "l_partkey").alias("schema_name"), pick(DIGEST_TEXTS, "l_orderkey").alias("query_text"),
+        F.floor("l_extendedprice").alias("total_exec_time_us"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).alias("mean_exec_time_us"), (line != 2).alias("ok"),
+        (F.col("l_orderkey") % 300 == 7).alias("fails"), F.when(line % 2 == 0, "down").otherwise("").alias("reason"), b.seconds("l_shipdate").alias("last_seen"),
+        F.when(line == 6, "{}").alias("explain"), F.lit(None).cast("string").alias("explain_error"))
+    eligible = filters.mysql_candidate_reason(digests, F.lit(""), b.seconds(F.lit("1995-01-01 00:00:00"))).isNull()
+    return ranking.plan_outcomes(digests, eligible, F.col("digest"), F.col("schema_name"), F.col("ok"), F.col("fails"), F.col("reason"), tie="digest")
+
+
 @query("attempt_dedupe", f"""WITH {b.STATEMENT_EVENTS} SELECT server_id, schema_name, digest, arg_min(event_id, (timer_start, event_id)) AS event_id,
   min(timer_start) AS timer_start FROM statement_events WHERE schema_name IS NOT NULL AND digest IS NOT NULL GROUP BY ALL""")
 def attempt_dedupe(t: Tables):
