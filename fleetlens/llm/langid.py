@@ -44,8 +44,61 @@ LETTERS = np.zeros(256, np.uint32)
 LETTERS[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 LETTERS[65:91] = range(97, 123)
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+MARKUP = re.compile(r"<|&#?\w++;")
+SILENT = re.compile(r"<(script|style)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
+HTML = re.compile(r"<html\b", re.I)
+LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]+)", re.I)
+
+
+def visible(html: str) -> str:
+    """The text of a page: comments, scripts, styles, tags and entities each become a space; what is never closed stays.
+
+    One way through the page, from mark to mark; an end that was once looked for in vain is not looked for again.
+    """
+    out, at, place, missing = [], 0, 0, set()
+
+    def end_of(kind: str, found: int) -> int:
+        if found < 0:
+            missing.add(kind)
+        return found
+
+    while mark := MARKUP.search(html, place):
+        low, end = mark.start(), mark.end()
+        if html[low] == "<":
+            end, silent = -1, SILENT.match(html, low)
+            if html.startswith("<!--", low) and "comment" not in missing:
+                found = end_of("comment", html.find("-->", low + 4))
+                end = found + 3 if found >= 0 else -1
+            elif silent and silent[1].lower() not in missing:
+                closing = CLOSING[silent[1].lower()].search(html, silent.end())
+                end = end_of(silent[1].lower(), closing.end() if closing else -1)
+            if end < 0 and "tag" not in missing:
+                found = end_of("tag", html.find(">", low + 1))
+                end = found + 1 if found >= 0 else -1
+            if end < 0:
+                place = low + 1
+                continue
+        out += [html[at:low], " "]
+        at = place = end
+    return "".join([*out, html[at:]])
+
+
+def declared_language(html: str) -> str | None:
+    """The language that the page's first ``html`` tag with one declares, in lower case.
+
+    A tag without one has none in the tags that begin inside it either, so every part of the page is looked at once.
+    """
+    place = 0
+    while tag := HTML.search(html, place):
+        end = html.find(">", tag.end())
+        found = LANG.search(html, tag.end(), end if end >= 0 else len(html))
+        if found:
+            return found[1].lower()
+        if end < 0:
+            return None
+        place = end
+    return None
 
 
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,9 +230,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
         for part in slices(batches, "html", SLICE):
             bodies, declared = [], []
             for html in part.column("html").to_pylist():
-                found = DECLARED.search(html or "")
-                declared.append(found[1].lower() if found else None)
-                bodies.append(HIDDEN.sub(" ", html or ""))
+                declared.append(declared_language(html or ""))
+                bodies.append(visible(html or ""))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(bodies, pa.string()), pa.array(declared, pa.string())],
                                              ["page_id", "url", "body", "declared"])
 

@@ -40,6 +40,12 @@ MORE_TASKS = 4
 SLICE = 2 * 1024 * 1024
 """Text that a task looks at in one piece; its sums and hashes take some sixty times as much."""
 
+PIECE = 64 * 1024
+"""Bytes of a run of segments that go as one."""
+
+BATCH_BYTES = 8 * 1024 * 1024
+"""Bytes of segments that are sent on together."""
+
 PLACE_BITS = 28
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -59,7 +65,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the gram at every place, from sums over all bytes before it."""
-    up, down = powers(max(len(data), SLICE))
+    up, down = powers(SLICE + LENGTH)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(byte_values()[data] * up[:len(data)], out=sums[1:])
     return mixed((sums[GRAM:] - sums[:-GRAM]) * down[:len(data) - GRAM + 1])
@@ -76,29 +82,37 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
 
 
-def segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All segments of the texts: text's row, first string, number of strings, anchor (places in the bytes), gram; and the bytes."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts one after the other, and where each begins and the last ends."""
     bounds = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)])
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[_first(column):][:bounds[-1]]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[_first(column):][:bounds[-1]], bounds
+
+
+def segments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The segments of the texts: text's row, first string, number of strings, anchor (places in the bytes), and gram.
+
+    The bytes are looked at in pieces that overlap by a string; a segment that goes on behind a piece is two.
+    """
+    for at in range(0, len(data) - LENGTH + 1, SLICE):
+        yield _segments(data[at:at + SLICE + LENGTH - 1], at, bounds)
+
+
+def _segments(data: np.ndarray, offset: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return empty, empty, empty, empty, empty, data
-    if len(data) >= 1 << PLACE_BITS:
-        raise ValueError(f"a text of {len(data)} bytes is too long")
     hashes = gram_hashes(data)
     # The place in the low bits makes the leftmost of equal grams the least.
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_least(hashes & ~low | np.arange(len(hashes), dtype=np.uint64), LENGTH - GRAM + 1)
     anchors = (least & low).astype(np.int64)
-    starts = np.arange(len(anchors))
+    starts = np.arange(len(anchors)) + offset
     row = np.searchsorted(bounds, starts, side="right") - 1
     inside = starts + LENGTH <= bounds[row + 1]
     starts, anchors, row = starts[inside], anchors[inside], row[inside]
     if not len(starts):
-        return empty, empty, empty, empty, empty, data
+        return empty, empty, empty, empty, empty
     new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])])
     at = np.flatnonzero(new)
-    return row[at], starts[at], np.diff(np.concatenate([at, [len(starts)]])), anchors[at], hashes[anchors[at]].view(np.int64), data
+    return row[at], starts[at], np.diff(np.concatenate([at, [len(starts)]])), anchors[at] + offset, hashes[anchors[at]].view(np.int64)
 
 
 def _first(column: pa.Array) -> int:
@@ -106,17 +120,29 @@ def _first(column: pa.Array) -> int:
     return int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
 
 
+def first_of_each(row: np.ndarray, grams: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct pairs of row and gram, and whether each pair is there twice or one of its own is marked so."""
+    order = np.lexsort((grams, row))
+    row, grams = row[order], grams[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])])) if len(row) else np.zeros(0, np.int64)
+    if not len(new):
+        return new, np.zeros(0, bool)
+    return order[new], (np.diff(np.append(new, len(row))) > 1) | np.logical_or.reduceat(twice[order], new)
+
+
 def gram_rows(docs: DataFrame) -> DataFrame:
     """``gram``, ``mark`` and whether the text has it at two anchors, once for each text."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
-            row, _, _, _, grams, _ = segments(texts(part.column("text")))
-            order = np.lexsort((grams, row))
-            row, grams = row[order], grams[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])]) if len(row) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            twice = np.diff(np.concatenate([at, [len(row)]])) > 1 if len(at) else np.zeros(0, bool)
+            rows, all_grams, several = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for row, _, _, _, grams in segments(*text_bytes(texts(part.column("text")))):
+                at, twice = first_of_each(row, grams, np.zeros(len(row), bool))
+                rows.append(row[at])
+                all_grams.append(grams[at])
+                several.append(twice)
+            row, grams = np.concatenate(rows), np.concatenate(all_grams)
+            at, twice = first_of_each(row, grams, np.concatenate(several))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grams[at], pa.int64()), part.column("mark").take(pa.array(row[at], pa.int64())), pa.array(twice, pa.bool_())],
                 ["gram", "mark", "twice"])
@@ -124,49 +150,84 @@ def gram_rows(docs: DataFrame) -> DataFrame:
     return docs.select("mark", "text").mapInArrow(found, "gram bigint, mark bigint, twice boolean")
 
 
+def runs_of(chosen: np.ndarray, start: np.ndarray, count: np.ndarray, gram: np.ndarray) -> list[tuple[int, int]]:
+    """First and last (and one) of the chosen segments that follow each other without a gap and have one gram."""
+    if not len(chosen):
+        return []
+    new = (chosen[1:] != chosen[:-1] + 1) | (gram[chosen[1:]] != gram[chosen[:-1]]) | (start[chosen[1:]] != start[chosen[:-1]] + count[chosen[:-1]])
+    edges = np.flatnonzero(np.concatenate([[True], new, [True]]))
+    return [(int(chosen[a]), int(chosen[b - 1]) + 1) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def period_of(data: np.ndarray, first: int, end: int, anchors: np.ndarray) -> int:
+    """The period of the bytes of a run, from the distance of its anchors; 0 if there is none."""
+    steps = np.diff(anchors)
+    if not len(steps) or (steps != steps[0]).any():
+        return 0
+    period = int(steps[0])
+    return period if np.array_equal(data[first + period:end], data[first:end - period]) else 0
+
+
 def segment_rows(docs: DataFrame) -> DataFrame:
-    """The segments of texts that come with the ``grams`` to look at: ``key`` to meet by, ``mark``, ``start`` and ``bytes``.
+    """The segments of texts that come with the ``grams`` to look at: ``key`` to meet by, ``mark``, ``start``, ``bytes`` and ``high``.
 
-    A segment of a hot gram is cut by the strings' distance to the anchor, and its key has what the strings of a cut share.
+    Neighbouring segments of one gram go as one run, so that texts which repeat themselves at short distances are not sent many times over; of
+    a run with a period only the strings of one period go, and ``high`` says up to where all repeat. A segment of a hot gram
+    is cut by the strings' distance to the anchor, and its key has what the strings of a cut share.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, out_marks, starts, pieces, highs, held = [], [], [], [], [], 0
+
+        def taken() -> pa.RecordBatch:
+            columns = [pa.array(keys, pa.int64()), pa.array(out_marks, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary()), pa.array(highs, pa.int64())]
+            for column in (keys, out_marks, starts, pieces, highs):
+                column.clear()
+            return pa.RecordBatch.from_arrays(columns, ["key", "mark", "start", "bytes", "high"])
+
         for part in slices(batches, "text", SLICE):
-            column = texts(part.column("text"))
-            row, start, count, anchor, gram, data = segments(column)
+            data, bounds = text_bytes(texts(part.column("text")))
             wanted, hot = part.column("grams"), part.column("hot")
-            bounds = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)])
-            marks = part.column("mark").to_numpy()
-            edges = np.searchsorted(row, np.arange(len(marks) + 1))
-            keys, out_marks, starts, pieces = [], [], [], []
-            raw = data.tobytes()
-            for text in range(len(marks)):
-                mine = slice(edges[text], edges[text + 1])
-                if mine.start == mine.stop:
-                    continue
-                chosen = mine.start + np.flatnonzero(np.isin(gram[mine], wanted[text].values.to_numpy()))
-                very = np.isin(gram[chosen], hot[text].values.to_numpy())
-                for at, split in zip(chosen.tolist(), very.tolist()):
-                    first, last, place = int(start[at]), int(start[at] + count[at]), int(anchor[at])
-                    cuts = [(first, last, int(gram[at]))]
-                    if split:
-                        cuts = []
-                        while first < last:
-                            group = (place - first) // CUT
-                            stop = min(last, place - group * CUT + 1)
-                            shared = raw[place - group * CUT:place - group * CUT - CUT + 1 + LENGTH]
-                            cuts.append((first, stop, xxhash.xxh3_64_intdigest(shared, seed=group) - (1 << 63)))
-                            first = stop
-                    for low, high, key in cuts:
-                        keys.append(key)
-                        out_marks.append(marks[text])
-                        starts.append(low - bounds[text])
-                        pieces.append(raw[low:high - 1 + LENGTH])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(out_marks, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())],
-                ["key", "mark", "start", "bytes"])
+            marks, raw = part.column("mark").to_numpy(), memoryview(data)
+            for row, start, count, anchor, gram in segments(data, bounds):
+                edges = np.searchsorted(row, np.arange(len(marks) + 1))
+                for text in np.flatnonzero(np.diff(edges)).tolist():
+                    mine = slice(edges[text], edges[text + 1])
+                    chosen = mine.start + np.flatnonzero(np.isin(gram[mine], wanted[text].values.to_numpy()))
+                    very = set(hot[text].values.to_pylist())
+                    for one, behind in runs_of(chosen, start, count, gram):
+                        first, last = int(start[one]), int(start[behind - 1] + count[behind - 1])
+                        period, high = period_of(data, first, last - 1 + LENGTH, anchor[one:behind]), None
+                        if period and last - first > period:
+                            high, last = last - 1 + LENGTH - int(bounds[text]), first + period
+                        if int(gram[one]) in very:
+                            cuts = [cut for at in range(one, behind) if start[at] < last
+                                    for cut in hot_cuts(raw, int(start[at]), min(last, int(start[at] + count[at])), int(anchor[at]))]
+                        else:
+                            cuts = [(low, min(low + PIECE, last), int(gram[one])) for low in range(first, last, PIECE)]
+                        for number, (low, stop, key) in enumerate(cuts):
+                            keys.append(key)
+                            out_marks.append(marks[text])
+                            starts.append(low - bounds[text])
+                            pieces.append(bytes(raw[low:stop - 1 + LENGTH]))
+                            highs.append(high if number == 0 else None)
+                            held += len(pieces[-1])
+                            if held > BATCH_BYTES:
+                                yield taken()
+                                held = 0
+        yield taken()
 
-    return docs.mapInArrow(found, "key bigint, mark bigint, start bigint, bytes binary")
+    return docs.mapInArrow(found, "key bigint, mark bigint, start bigint, bytes binary, high bigint")
+
+
+def hot_cuts(raw: memoryview, first: int, last: int, place: int) -> Iterator[tuple[int, int, int]]:
+    """First and last string, and key, of the cuts of a hot segment."""
+    while first < last:
+        group = (place - first) // CUT
+        stop = min(last, place - group * CUT + 1)
+        shared = raw[place - group * CUT:place - group * CUT - CUT + 1 + LENGTH]
+        yield first, stop, xxhash.xxh3_64_intdigest(shared, seed=group) - (1 << 63)
+        first = stop
 
 
 class Level:
@@ -284,7 +345,11 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         fresh = []
-        for mark, start, piece in zip(batch.column("mark").to_pylist(), batch.column("start").to_pylist(), batch.column("bytes").to_pylist()):
+        for mark, start, piece, high in zip(*(batch.column(c).to_pylist() for c in ("mark", "start", "bytes", "high"))):
+            if high is not None:
+                marks.append(mark)
+                lows.append(start)
+                highs.append(high)
             place = known.get(piece)
             if place is None:
                 known[piece] = len(kept) + len(fresh)
@@ -311,24 +376,30 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield taken()
 
 
+def joined_runs(lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of stretches that may overlap or touch."""
+    if not len(lows):
+        return []
+    order = np.argsort(lows, kind="stable")
+    lows, ends = lows[order], np.maximum.accumulate(highs[order])
+    new = np.flatnonzero(np.concatenate([[True], lows[1:] > ends[:-1]]))
+    return list(zip(lows[new].tolist(), ends[np.append(new[1:] - 1, len(ends) - 1)].tolist()))
+
+
 def without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's removed spans, as maximal runs, and the bytes that stay."""
     for part in slices(batches, "text", SLICE):
         spans, kept = [], []
         for text, runs, copies in zip(texts(part.column("text")), part.column("runs"), part.column("copies").to_pylist()):
-            raw = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b""
-            gone = np.zeros(len(raw) + 1, np.int32)
+            raw = memoryview(text.as_buffer() or b"")
+            found = []
             if copies > 1 and len(raw) >= LENGTH:
-                gone[0] += 1
-                gone[len(raw)] -= 1
+                found = [(0, len(raw))]
             elif runs.is_valid:
-                values = runs.values
-                np.add.at(gone, values.field("low").to_numpy(), 1)
-                np.add.at(gone, values.field("high").to_numpy(), -1)
-            out = np.cumsum(gone[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
-            spans.append([{"low": low, "high": high} for low, high in zip(edges[::2].tolist(), edges[1::2].tolist())])
-            kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
+                found = joined_runs(runs.values.field("low").to_numpy(), runs.values.field("high").to_numpy())
+            spans.append([{"low": low, "high": high} for low, high in found])
+            edges = [0, *(edge for span in found for edge in span), len(raw)]
+            kept.append(b"".join(raw[low:high] for low, high in zip(edges[::2], edges[1::2])))
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("carried"), pc.binary_length(texts(part.column("text"))).cast(pa.int64()),

@@ -136,6 +136,48 @@ def test_repeats_on_documents_and_odd_rows(spark, documents, odd):
     assert suffixes.remove_repeats(odd.limit(0)).collect() == []
 
 
+def removed_by_hand(docs):
+    raws = [(i, t.encode()) for i, t in docs]
+    held = collections.Counter(hash(raw[at:at + 200]) for _, raw in raws for at in range(len(raw) - 199))
+    out = {}
+    for i, raw in raws:
+        gone = np.zeros(len(raw) + 1, np.int64)
+        again = [at for at in range(len(raw) - 199) if held[hash(raw[at:at + 200])] > 1]
+        np.add.at(gone, again, 1)
+        np.add.at(gone, [at + 200 for at in again], -1)
+        out[i] = int((np.cumsum(gone[:-1]) > 0).sum())
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_repeats_in_long_and_periodic_texts(spark, monkeypatch, hot):
+    """Texts over several pieces, periods of many lengths, their phases in other texts, and breaks in a period."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SLICE", 30_000)
+    monkeypatch.setattr(suffixes, "PIECE", 500)
+    rng = random.Random(hot)
+    plain = "".join(rng.choice("abcdefgh") for _ in range(120_000))
+    rows = [(1, plain), (2, "own" * 20 + plain[29_900:30_300] + "tail" * 9), (3, "x" * 70_000), (4, "p" + "x" * 199), (5, "q" + "x" * 200 + "r"), (6, "ab" * 20_000), (7, "ba" * 150)]
+    for n, period in enumerate((3, 16, 64, 100, 136, 137, 138, 150, 199, 200, 201, 450)):
+        unit = "".join(rng.choice("klmnopqr") for _ in range(period))
+        rows += [(20 + 3 * n, unit * (1500 // period + 2)), (21 + 3 * n, unit[period // 2:] + unit * 2 + "!" + unit * 3), (22 + 3 * n, (unit * 4)[:199 + period])]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: sum(s.high - s.low for s in r.spans) for r in found} == removed_by_hand(rows)
+
+
+def test_a_periodic_text_is_sent_once(spark):
+    rows = spark.createDataFrame([(1, "y" * 3_000_000), (2, "yz" * 1_000_000), (3, "0123456789abcdef" * 100_000)], "doc_id bigint, text string")
+    docs = rows.withColumn("mark", F.col("doc_id")).withColumn("carried", F.lit(1))
+    grams = suffixes.gram_rows(docs).groupBy("mark").agg(F.collect_set("gram").alias("grams")).withColumn("hot", F.array().cast("array<bigint>"))
+    sent = suffixes.segment_rows(docs.join(grams, "mark").select("doc_id", "carried", "mark", "text", "grams", "hot")).agg(F.sum(F.length("bytes")).alias("n")).first().n
+    assert sent < 20_000
+    assert [sum(s.high - s.low for s in r.spans) for r in suffixes.remove_repeats(rows).orderBy("doc_id").collect()] == [3_000_000, 2_000_000, 1_600_000]
+
+
+def test_joined_runs():
+    assert suffixes.joined_runs(np.array([5, 0, 9, 30]), np.array([9, 3, 12, 31])) == [(0, 3), (5, 12), (30, 31)]
+
+
 def test_levels_merge_geometrically():
     rng = np.random.default_rng(1)
     family = suffixes.SuffixFamily()

@@ -2,7 +2,9 @@
 
 import collections
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -218,3 +220,27 @@ def test_pipeline_on_odd_rows(spark):
             sizes.append(len(found))
             docs = spark.createDataFrame(found, out.schema)
         assert sizes[:3] == ([8, 7, 7] if start is odd else [0, 0, 0])
+
+
+OLD_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", re.S | re.I)
+OLD_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+
+
+def test_pages_are_read_as_by_plain_patterns():
+    rng = random.Random(3)
+    bits = ["<", ">", "<!--", "-->", "<script", "</script", "</SCRIPT >", "<style>", "</style>", "<html", "lang", "=", "'", '"', " ", "fr", "en", "&amp;", "&#9;", "&x", ";", "a", "\n", "<scripts>", "<p>", "-"]
+    for _ in range(20_000):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert langid.visible(page) == OLD_HIDDEN.sub(" ", page), page
+        found = OLD_DECLARED.search(page)
+        assert langid.declared_language(page) == (found[1].lower() if found else None), page
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<html ", "<html lang", "<style x", "<", "&", "&a", "</script ", "<script></script", "lang   "])
+def test_hostile_pages_take_no_longer(piece):
+    page = piece * (5_000_000 // len(piece))
+    started = time.perf_counter()
+    langid.visible(page)
+    langid.declared_language(page)
+    langid.visible("<script>" + page)
+    assert time.perf_counter() - started < 30
