@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_query_id
 from ..session import pinned
+from .rollups import snapshot_keys, statement_rollup_full, with_texts
 from .skew import lookup, rank_within, top_k
 
 # Successful plans per ranking, and parameters per batch.
@@ -27,6 +28,18 @@ def top_k_statements(statements: DataFrame, field: str, k: int = PLAN_QUOTA, key
     return top_k(statements, keys, [F.col(field).desc(), F.col(tie).asc()], k, spread=[tie])
 
 
+def top_k_with_texts(stats: DataFrame, databases: DataFrame, field: str, k: int = PLAN_QUOTA, **options) -> DataFrame:
+    """T3 from the raw statistics: numbers are rolled up and ranked without texts, which are read for the winners alone.
+
+    ``options`` are those of the rollup.
+    """
+    rolled = statement_rollup_full(stats, databases, with_text=False, **options)
+    keys = snapshot_keys(stats, options.get("keys"))
+    # The winners are written once: their number is bounded by ``k`` per server, and both joins read them.
+    winners = pinned(top_k_statements(rolled, field, k, keys))
+    return with_texts(winners, stats, options.get("has_toplevel", True), keys)
+
+
 def plan_quota(candidates: DataFrame, field: str, success: Column, quota: int = PLAN_QUOTA,
                keys: Sequence[str] = ("server_id",), tie: str = "queryid") -> DataFrame:
     """The candidates attempted before ``quota`` successes, in rank order.

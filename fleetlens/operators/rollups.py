@@ -37,10 +37,34 @@ def statement_rollup(stats: DataFrame, databases: DataFrame, timing: str = "tota
 
 def statement_rollup_full(stats: DataFrame, databases: DataFrame, timing: str = "total_exec_time",
                           has_toplevel: bool = True, has_rows: bool = True,
-                          keys: Sequence[str] | None = None) -> DataFrame:
-    """A2: the rollup with the statement text and the number of rows; 0 rows where the server has no such counter."""
+                          keys: Sequence[str] | None = None, with_text: bool = True) -> DataFrame:
+    """A2: the rollup with the statement text and the number of rows; 0 rows where the server has no such counter.
+
+    ``with_text=False`` leaves the texts out of the aggregation, for jobs that need those of a few statements: ``with_texts``.
+    """
     rows = F.sum("rows") if has_rows else F.lit(0).cast("bigint")
-    return _rollup(stats, databases, timing, has_toplevel, keys, [F.min("query").alias("query"), rows.alias("rows")])
+    text = [F.min("query").alias("query")] if with_text else []
+    return _rollup(stats, databases, timing, has_toplevel, keys, [*text, rows.alias("rows")])
+
+
+def with_texts(statements: DataFrame, stats: DataFrame, has_toplevel: bool = True, keys: Sequence[str] | None = None) -> DataFrame:
+    """A2: the texts of some statements, read again for these only.
+
+    Where roles have different texts the smallest is taken; of equal ones one crosses the shuffle per task.
+    """
+    keys = snapshot_keys(stats, keys)
+    wanted = statements.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "dbid", "pg_queryid", "toplevel")])
+    level = F.col("toplevel") if has_toplevel else F.lit(None).cast("boolean")
+    rows = stats.select(*keys, "dbid", "queryid", level.alias("toplevel"), "query")
+    same = F.col("queryid") == F.col("_pg_queryid")
+    for c in (*keys, "dbid", "toplevel"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = rows.join(wanted, same, "left_semi").groupBy(*keys, "dbid", "queryid", "toplevel").agg(F.array_min(F.collect_set("query")).alias("query"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "dbid", "toplevel")], F.col("queryid").alias("_pg_queryid"), "query")
+    back = F.col("pg_queryid") == F.col("_pg_queryid")
+    for c in (*keys, "dbid", "toplevel"):
+        back = back & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return statements.join(found, back, "left").drop("_pg_queryid", *[f"_{c}" for c in (*keys, "dbid", "toplevel")])
 
 
 def _rollup(stats: DataFrame, databases: DataFrame, timing: str, has_toplevel: bool, keys: Sequence[str] | None,

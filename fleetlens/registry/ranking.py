@@ -27,9 +27,9 @@ def rank_statements(t: Tables):
   SELECT server_id, datname, queryid, pg_queryid, toplevel, query, calls, rows, total_exec_time_us, mean_exec_time_us,
     row_number() OVER (PARTITION BY server_id ORDER BY total_exec_time_us DESC, queryid) AS rank FROM statements) WHERE rank <= 100""")
 def top_k_statements(t: Tables):
-    return ranking.top_k_statements(statements(t), "total_exec_time_us").select(
-        "server_id", "datname", "queryid", "pg_queryid", "toplevel", "query", "calls", "rows", "total_exec_time_us",
-        "mean_exec_time_us", F.col("rank").cast("bigint").alias("rank"))
+    return ranking.top_k_with_texts(b.statement_stats(t), b.databases(t), "total_exec_time_us").select(
+        "server_id", "datname", "queryid", "pg_queryid", "toplevel", "query", F.col("calls").cast("bigint").alias("calls"), F.col("rows").cast("bigint").alias("rows"),
+        "total_exec_time_us", "mean_exec_time_us", F.col("rank").cast("bigint").alias("rank"))
 
 
 SUCCESS = "CAST(right(queryid, 1) AS INTEGER) % 3 = 0"

@@ -160,16 +160,30 @@ def snapshot_state(t: Tables):
     return state.snapshot_calls(t.spark, path)
 
 
-@query("topology_state", """WITH d AS (SELECT user_id AS server_id, epoch_us(ts) AS seen, event_id, event_type NOT IN ('error', 'view') AS ok, event_type || CAST(event_id AS VARCHAR) AS topology FROM events),
+TOPOLOGY = """WITH d AS (SELECT user_id AS server_id, epoch_us(ts) AS seen, event_id, event_type NOT IN ('error', 'view') AS ok, event_type || CAST(event_id AS VARCHAR) AS topology FROM events),
 u AS (SELECT *, last_value(CASE WHEN ok THEN topology END IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY seen, event_id) AS topology_used FROM d)
-SELECT server_id, event_id, topology_used, CASE WHEN ok THEN 'live' WHEN topology_used IS NOT NULL THEN 'cache' ELSE 'none' END AS source FROM u""")
+SELECT server_id, event_id, topology_used, CASE WHEN ok THEN 'live' WHEN topology_used IS NOT NULL THEN 'cache' ELSE 'none' END AS source FROM u"""
+
+
+def discoveries(t: Tables):
+    return t.events.select(F.col("user_id").alias("server_id"), b.micros("ts").alias("at"), "event_id", (~F.col("event_type").isin("error", "view")).alias("ok"),
+                           F.concat("event_type", F.col("event_id").cast("string")).alias("topology"))
+
+
+@query("topology_state", TOPOLOGY)
 def topology_state(t: Tables):
-    discoveries = t.events.select(F.col("user_id").alias("server_id"), b.micros("ts").alias("at"), "event_id", (~F.col("event_type").isin("error", "view")).alias("ok"),
-                                  F.concat("event_type", F.col("event_id").cast("string")).alias("topology"))
-    used = state.topology_state(discoveries, F.col("topology"))
+    used = state.topology_state(discoveries(t), F.col("topology"))
     return used.select("server_id", "event_id", "topology_used", "source")
 
 
+@query("topology_state_stream", TOPOLOGY)
+def topology_state_stream(t: Tables):
+    """The same from batches that mix all times, each of which corrects those before it."""
+    path = landing.fresh_dir(t, "out")
+    run_landing(t, discoveries(t), mixed("event_id"), state.topology_sink(path))
+    return state.topology_uses(t.spark, path).select("server_id", "event_id", "topology_used", "source")
+
+
 PERIODS = """buckets AS (SELECT server_id, report_type, seen // period * period AS period_start, count(*) AS reports FROM (
   SELECT user_id AS server_id, CASE event_id % 3 WHEN 0 THEN 'Metrics' WHEN 1 THEN 'Queries' ELSE 'Configurations' END AS report_type,
     CASE event_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 3600 ELSE 43200 END AS period, CAST(floor(epoch(ts)) AS BIGINT) AS seen FROM events) GROUP BY ALL)"""

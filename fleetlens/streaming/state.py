@@ -141,6 +141,71 @@ def topology_state(discoveries: DataFrame, topology: Column, keys: Sequence[str]
             .withColumn("source", F.when(F.col("ok"), "live").when(F.col("topology_used").isNotNull(), "cache").otherwise("none")))
 
 
+TOPOLOGY_SEEN = "server_id BIGINT, at BIGINT, event_id BIGINT, ok BOOLEAN, topology STRING"
+TOPOLOGY_GOOD = "server_id BIGINT, day STRING, place STRUCT<at: BIGINT, event_id: BIGINT>, topology STRING"
+TOPOLOGY_USED = "server_id BIGINT, at BIGINT, event_id BIGINT, topology_used STRING, source STRING, version BIGINT"
+
+
+def newest_good(rows: DataFrame) -> DataFrame:
+    """ST5: the newest good topology of each server and day; merging results gives that of all."""
+    return rows.groupBy("server_id", "day").agg(F.max("place").alias("place"), F.max_by("topology", "place").alias("topology"))
+
+
+def newest_use(rows: DataFrame) -> DataFrame:
+    """ST5: what each report used by its last correction."""
+    last = F.max_by(F.struct("topology_used", "source"), "version").alias("_last")
+    return rows.groupBy("server_id", "at", "event_id").agg(last, F.max("version").alias("version")).select("server_id", "at", "event_id", "_last.*", "version")
+
+
+def topology_stores(spark: SparkSession, path: str) -> tuple[Store, Store, Store]:
+    """ST5: all discoveries by day, the newest good one of each server and day, and what each report used."""
+    kind = lambda text: spark.createDataFrame([], text).schema
+    return (Store(spark, f"{path}/seen", kind(TOPOLOGY_SEEN), days=True), Store(spark, f"{path}/good", kind(TOPOLOGY_GOOD), newest_good),
+            Store(spark, f"{path}/used", kind(TOPOLOGY_USED), newest_use))
+
+
+def topology_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """ST5 on a stream: late discoveries correct what later reports used.
+
+    A batch is stored with the discoveries of its days. Its servers are then walked again from the first day the batch has of them, behind
+    the newest good topology of the days before, up to the first good discovery behind the batch's last: nothing behind that
+    one can change. A discovery is its server, time in microseconds and id; the last of repeated ones counts. Without a time it comes first.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run = current_run(spark)
+        seen, good, used = topology_stores(spark, path)
+        before = used.current()
+        if used.written(run, number, before):
+            return
+        place, key = F.struct("at", "event_id"), F.col("server_id").eqNullSafe(F.col("_server"))
+        day = F.coalesce(F.date_format(F.timestamp_micros("at"), DAYS), F.lit("0000"))
+        rows = pinned(batch.select("server_id", "at", "event_id", "ok", "topology").withColumn("day", day))
+        for store, new in ((seen, rows), (good, newest_good(rows.filter("ok").withColumn("place", place).select("server_id", "day", "place", "topology")))):
+            version = store.current()
+            if not store.written(run, number, version):
+                store.append(new, run, number, version)
+        touched = pinned(rows.groupBy(F.col("server_id").alias("_server")).agg(F.min("day").alias("_from"), F.max(place).alias("_last")))
+        first = touched.agg(F.min("_from")).first()[0] or "9999"
+        again = seen.rows([p for p in seen.current().parts if p.day >= first]).dropDuplicates(["server_id", "at", "event_id"])
+        again = again.join(touched, key).filter(F.col("day") >= F.col("_from"))
+        ends = again.filter(F.col("ok") & (place > F.col("_last"))).groupBy(F.col("server_id").alias("_of")).agg(F.min(place).alias("_until"))
+        again = again.join(ends, F.col("server_id").eqNullSafe(F.col("_of")), "left").filter(F.col("_until").isNull() | (place <= F.col("_until")))
+        held = good.read().join(touched, key).filter(F.col("day") < F.col("_from")).groupBy("server_id").agg(
+            F.max("place").alias("place"), F.max_by("topology", "place").alias("topology"))
+        start = held.select("server_id", "place.at", "place.event_id", F.lit(True).alias("ok"), "topology", F.lit(True).alias("held"))
+        all_rows = again.select("server_id", "at", "event_id", "ok", "topology", F.lit(False).alias("held")).unionByName(start)
+        found = topology_state(all_rows, F.col("topology")).filter(~F.col("held"))
+        result = found.select("server_id", "at", "event_id", "topology_used", "source", F.lit(before.number + 1).cast("bigint").alias("version"))
+        used.append(result, run, number, before)
+    return write
+
+
+def topology_uses(spark: SparkSession, path: str) -> DataFrame:
+    """ST5: the results that ``topology_sink`` has stored."""
+    return topology_stores(spark, path)[2].read().drop("version")
+
+
 def snapshot_peek(log: DataFrame, value: Column, keys: Sequence[str] = ("server_id",),
                   order: Sequence[str] = ("at", "id")) -> DataFrame:
     """ST3: the last complete snapshot at each moment, also after its expiry; failed refreshes leave it as it is."""

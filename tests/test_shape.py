@@ -11,7 +11,7 @@ from fleetlens.registry import bindings as b
 from fleetlens.registry.base import Tables
 
 QUERIES = entry.queries()
-STREAMS = ("read_snapshots", "read_snapshot_stream", "late_reports", "sample_text_state", "sample_text_ttl_stream", "task_state_stream", "snapshot_state", "route_reports", "route_reports_stream")
+STREAMS = ("read_snapshots", "read_snapshot_stream", "late_reports", "sample_text_state", "sample_text_ttl_stream", "task_state_stream", "snapshot_state", "route_reports", "route_reports_stream", "topology_state_stream")
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - set(STREAMS)))
@@ -48,3 +48,15 @@ def test_order_and_partitions_do_not_matter(spark, count):
     same(plain, shuffled)
     same(ranking.top_k_statements(plain, "mean_exec_time_us", 5), ranking.top_k_statements(shuffled, "mean_exec_time_us", 5))
     same(joins.latest_statement_text(b.statement_events(t)), joins.latest_statement_text(mixed(b.statement_events(t))))
+
+
+def test_texts_stay_out_of_the_ranking(spark):
+    """Texts are sorted nowhere: the statistics are ranked without them, and the winners' texts are read in the end."""
+    t = Tables(spark, FOLDER)
+    slim = rollups.statement_rollup_full(b.statement_stats(t), b.databases(t), with_text=False)
+    assert "min(query" not in slim._jdf.queryExecution().executedPlan().toString() and "query" not in slim.columns
+    found = QUERIES["top_k_statements"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "min(query" not in found and "ObjectHashAggregate" in found and "LeftSemi" in found
+    want = ranking.top_k_statements(rollups.statement_rollup_full(b.statement_stats(t), b.databases(t)), "mean_exec_time_us", 7)
+    got = ranking.top_k_with_texts(b.statement_stats(t), b.databases(t), "mean_exec_time_us", 7)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))

@@ -215,6 +215,22 @@ def test_texts_expire(spark, tmp_path, monkeypatch):
     assert len(want) < 40 and stored.rows(stored.current().parts).count() == len(want)
 
 
+def test_late_discoveries_correct_later_reports(spark, tmp_path):
+    """Batches in any order, each repeated, give what the whole table gives; a null server and a missing time are keys as any."""
+    generator = random.Random(12)
+    day = 86400 * 10**6
+    rows = [(generator.choice((1, 1, 2, None)), None if generator.random() < 0.03 else generator.randrange(6) * day + generator.randrange(50) * 10**6, i, generator.random() < 0.4, f"t{i}")
+            for i in range(150)]
+    schema = "server_id bigint, at bigint, event_id bigint, ok boolean, topology string"
+    want = state.topology_state(spark.createDataFrame(rows, schema), F.col("topology")).select("server_id", "at", "event_id", "topology_used", "source")
+    sink = state.topology_sink(str(tmp_path))
+    mixed = generator.sample(rows, len(rows))
+    for number in range(5):
+        for _ in range(2 if number == 3 else 1):
+            sink(spark.createDataFrame(mixed[number::5], schema), number)
+    assert sorted(map(str, state.topology_uses(spark, str(tmp_path)).collect())) == sorted(map(str, want.collect()))
+
+
 def test_the_routed_stream_counts_a_repeated_batch_once(spark, tmp_path):
     """Killed in the middle of the second batch, after its files were written, and run again."""
     from fleetlens.sources import write
