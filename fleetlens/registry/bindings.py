@@ -60,8 +60,8 @@ stats AS (
     l_orderkey % 1000 AS rows
   FROM lineitem),
 databases AS (
-  SELECT s_suppkey % 10 AS server_id, CAST(s_suppkey AS VARCHAR) AS oid, s_name AS datname
-  FROM supplier WHERE s_suppkey % 7 <> 0),
+  SELECT s_suppkey % 10 AS server_id, CAST(CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey ELSE -1 - s_suppkey END AS VARCHAR) AS oid, s_name AS datname
+  FROM supplier),
 unsigned AS (
   SELECT *, CAST(CASE WHEN CAST(queryid AS HUGEINT) < 0 THEN CAST(queryid AS HUGEINT) + 18446744073709551616
                       ELSE CAST(queryid AS HUGEINT) END AS VARCHAR) AS unsigned_id FROM stats),
@@ -83,9 +83,10 @@ statements AS (
 
 def databases(t: Tables) -> DataFrame:
     """Database names; some statements have none."""
-    return t.supplier.filter(F.col("s_suppkey") % 7 != 0).select(
-        (F.col("s_suppkey") % 10).alias("server_id"),
-        F.col("s_suppkey").cast("string").alias("oid"),
+    key = F.col("s_suppkey")
+    return t.supplier.select(
+        (key % 10).alias("server_id"),
+        F.when(key % 7 != 0, key).otherwise(-1 - key).cast("string").alias("oid"),
         F.col("s_name").alias("datname"),
     )
 

@@ -101,18 +101,19 @@ def index_keys(t: Tables):
     return result.select("server_id", "indexrelid", F.array_join(text, ";").alias("keys"), F.array_join("include_columns", ",").alias("include_columns"))
 
 
-@query("index_usage_attach", """WITH usage AS (SELECT o_custkey % 10 AS server_id, o_orderkey AS indexrelid, CAST(floor(o_totalprice) AS BIGINT) AS idx_scan,
-  CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS last_idx_scan FROM orders WHERE o_orderkey % 3 <> 0)
+@query("index_usage_attach", """WITH usage AS (SELECT o_custkey % 10 AS server_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey ELSE -1 - o_orderkey END AS indexrelid, CAST(floor(o_totalprice) AS BIGINT) AS idx_scan,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS last_idx_scan FROM orders)
 SELECT o_custkey % 10 AS server_id, o_orderkey AS indexrelid, coalesce(u.idx_scan, 0) AS idx_scan, u.last_idx_scan,
   CASE WHEN o_custkey % 10 <> 7 THEN 'r' || CAST(o_custkey % 10 AS VARCHAR) END AS stats_reset, o_orderstatus = 'P' AS is_attached_partition
 FROM orders LEFT JOIN usage u ON u.server_id = o_custkey % 10 AND u.indexrelid = o_orderkey""")
 def index_usage_attach(t: Tables):
     server = (F.col("o_custkey") % 10).alias("server_id")
     index = F.col("o_orderkey").alias("indexrelid")
-    usage = t.orders.filter(F.col("o_orderkey") % 3 != 0).select(server, index, F.floor("o_totalprice").alias("idx_scan"),
+    order = F.col("o_orderkey")
+    usage = t.orders.select(server, F.when(order % 3 != 0, order).otherwise(-1 - order).alias("indexrelid"), F.floor("o_totalprice").alias("idx_scan"),
                                                                 F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey").cast("string")).alias("last_idx_scan"))
-    resets = t.orders.select(server).distinct().filter("server_id <> 7").withColumn("stats_reset", F.concat(F.lit("r"), F.col("server_id").cast("string")))
-    inherits = t.orders.filter(F.col("o_orderstatus") == "P").select(server, F.col("o_orderkey").alias("inhrelid"))
+    resets = t.orders.select(server).distinct().withColumn("stats_reset", F.when(F.col("server_id") != 7, F.concat(F.lit("r"), F.col("server_id").cast("string"))))
+    inherits = t.orders.select(server, F.when(F.col("o_orderstatus") == "P", order).otherwise(-1 - order).alias("inhrelid"))
     return catalog.index_usage_attach(t.orders.select(server, index), usage, resets, inherits)
 
 
@@ -160,10 +161,10 @@ def index_rows(t: Tables):
         server, order.alias("oid"), text("idx_", order).alias("relname"), F.lit(None).cast("bigint").alias("relnamespace"), F.when(order % 8 == 0, "I").otherwise("i").alias("relkind"),
         (order % 3).alias("relam")).withColumn("oid", F.col("oid") + INDEX_IDS))
     methods = t.region.select(servers().alias("server_id"), F.col("r_regionkey").cast("bigint").alias("oid"), pick(("btree", "hash", "gin"), "r_regionkey").alias("amname")).filter("oid < 3")
-    usage = t.orders.select(server, F.when(order % 3 != 0, order + INDEX_IDS).otherwise(-order).alias("indexrelid"), F.floor("o_totalprice").alias("idx_scan"),
+    usage = t.orders.select(server, F.when(order % 3 != 0, order + INDEX_IDS).otherwise(-1 - order).alias("indexrelid"), F.floor("o_totalprice").alias("idx_scan"),
                             F.when(order % 4 != 0, text("scan ", order)).alias("last_idx_scan"))
     resets = t.nation.select(servers().alias("server_id")).distinct().withColumn("stats_reset", F.when(F.col("server_id") != 7, text("r", F.col("server_id"))).otherwise(""))
-    inherits = t.orders.select(server, F.when(F.col("o_orderstatus") == "P", order + INDEX_IDS).otherwise(-order).alias("inhrelid"))
+    inherits = t.orders.select(server, F.when(F.col("o_orderstatus") == "P", order + INDEX_IDS).otherwise(-1 - order).alias("inhrelid"))
     found = catalog.index_rows(rows.withColumn("indexrelid", F.col("indexrelid") + INDEX_IDS), relations, methods, attributes(t), *sorting(t), namespaces(t), usage, resets, inherits)
     fields = ("position", "column_name", "expression", "collation", "opclass", "collation_is_default", "opclass_is_default", "descending", "nulls_first")
     keys = F.transform("keys", lambda k: F.concat_ws("|", *[F.coalesce(k[f].cast("string"), F.lit("-")) for f in fields]))
@@ -221,9 +222,9 @@ def key_column_usage(t: Tables):
 seqs AS (SELECT p_partkey % 10 AS server_id, CASE p_partkey % 25 % 9 WHEN 4 THEN 'pg_catalog' WHEN 5 THEN 'pg_toast_' || CAST(p_partkey % 25 AS VARCHAR) ELSE 'nation_' || CAST(p_partkey % 26 AS VARCHAR) END AS schemaname,
   'seq_' || CAST(p_partkey AS VARCHAR) AS sequencename, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'NULL' ELSE CAST(p_size AS VARCHAR) END AS cache_size,
   CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS last_value FROM part),
-own AS (SELECT p_partkey % 10 AS server_id, 1000000 + p_partkey AS oid, 'seq_' || CAST(p_partkey AS VARCHAR) AS relname, CAST(p_partkey % 26 AS BIGINT) AS relnamespace FROM part WHERE p_partkey % 6 <> 0),
-deps AS (SELECT p_partkey % 10 AS server_id, 1000000 + p_partkey AS objid, p_partkey % 100 AS refobjid, p_partkey % 10 AS refobjsubid FROM part
-  WHERE p_partkey % 5 <> 0 AND (['a', 'i', 'n'])[CAST((p_partkey // 10) % 3 AS INTEGER) + 1] IN ('a', 'i'))
+own AS (SELECT p_partkey % 10 AS server_id, 1000000 + p_partkey AS oid, CASE WHEN p_partkey % 6 <> 0 THEN 'seq_' ELSE 'lost_' END || CAST(p_partkey AS VARCHAR) AS relname, CAST(p_partkey % 26 AS BIGINT) AS relnamespace FROM part),
+deps AS (SELECT p_partkey % 10 AS server_id, CASE WHEN p_partkey % 5 <> 0 THEN 1000000 + p_partkey ELSE -p_partkey END AS objid, p_partkey % 100 AS refobjid, p_partkey % 10 AS refobjsubid FROM part
+  WHERE (['a', 'i', 'n'])[CAST((p_partkey // 10) % 3 AS INTEGER) + 1] IN ('a', 'i'))
 SELECT s.server_id, s.schemaname, s.sequencename, nullif(nullif(s.cache_size, 'NULL'), '') AS cache_size, nullif(nullif(s.last_value, 'NULL'), '') AS last_value,
   tn.nspname AS owned_table_schema, c.relname AS owned_table_name, a.attname AS owned_column_name
 FROM seqs s LEFT JOIN (SELECT server_id, nspname, min(oid) AS oid FROM namespaces GROUP BY ALL) n ON n.server_id = s.server_id AND n.nspname = s.schemaname
@@ -240,10 +241,10 @@ def sequence_ownership(t: Tables):
     sequences = t.part.select((key % 10).alias("server_id"), schema.alias("schemaname"), name.alias("sequencename"),
                               F.when(key % 3 == 0, "NULL").otherwise(F.col("p_size").cast("string")).alias("cache_size"),
                               F.when(key % 4 == 0, "").otherwise(key.cast("string")).alias("last_value"))
-    own = t.part.filter(key % 6 != 0).select((key % 10).alias("server_id"), (key + 1000000).alias("oid"), name.alias("relname"),
-                                             (key % 26).alias("relnamespace"), F.lit("S").alias("relkind"), F.lit(0).cast("bigint").alias("seq_scan"))
-    dependencies = t.part.filter(key % 5 != 0).select(
-        (key % 10).alias("server_id"), (key + 1000000).alias("objid"), F.lit(0).alias("objsubid"), pick("ain", "p_partkey", 10).alias("deptype"),
+    own = t.part.select((key % 10).alias("server_id"), (key + 1000000).alias("oid"), F.when(key % 6 != 0, name).otherwise(F.concat(F.lit("lost_"), key.cast("string"))).alias("relname"),
+                        (key % 26).alias("relnamespace"), F.lit("S").alias("relkind"), F.lit(0).cast("bigint").alias("seq_scan"))
+    dependencies = t.part.select(
+        (key % 10).alias("server_id"), F.when(key % 5 != 0, key + 1000000).otherwise(-key).alias("objid"), F.lit(0).alias("objsubid"), pick("ain", "p_partkey", 10).alias("deptype"),
         (key % 100).alias("refobjid"), (key % 10).alias("refobjsubid"))
     everything = classes(t).unionByName(own)
     return catalog.sequence_ownership(sequences, namespaces(t), everything, dependencies, attributes(t))
@@ -283,30 +284,32 @@ def columns_section(t: Tables):
     return catalog.columns_section(columns)
 
 
-@query("table_statistics", f"""WITH {CATALOG}, scans AS (SELECT o_custkey % 10 AS server_id, o_custkey AS oid, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS idx_scan
-  FROM orders WHERE o_orderpriority <> '5-LOW' AND o_custkey % 3 <> 0 GROUP BY ALL)
+@query("table_statistics", f"""WITH {CATALOG}, scans AS (SELECT o_custkey % 10 AS server_id, CASE WHEN o_orderpriority <> '5-LOW' AND o_custkey % 3 <> 0 THEN o_custkey ELSE 1000000000 + o_orderkey END AS oid,
+  CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS idx_scan FROM orders GROUP BY ALL)
 SELECT c.server_id, c.oid AS relid, n.nspname AS schemaname, c.relname, c.seq_scan, s.idx_scan FROM classes c JOIN namespaces n ON n.server_id = c.server_id AND n.oid = c.relnamespace
 LEFT JOIN scans s ON s.server_id = c.server_id AND s.oid = c.oid WHERE c.relkind IN ('r', 't', 'm', 'p') AND n.nspname NOT IN ('pg_catalog', 'information_schema') AND n.nspname NOT LIKE 'pg_toast%'""")
 def table_statistics(t: Tables):
-    scans = t.orders.filter((F.col("o_orderpriority") != "5-LOW") & (F.col("o_custkey") % 3 != 0)).select(
-        (F.col("o_custkey") % 10).alias("server_id"), F.col("o_custkey").alias("indrelid"), F.floor("o_totalprice").alias("numscans"))
+    known = (F.col("o_orderpriority") != "5-LOW") & (F.col("o_custkey") % 3 != 0)
+    scans = t.orders.select(
+        (F.col("o_custkey") % 10).alias("server_id"), F.when(known, F.col("o_custkey")).otherwise(F.col("o_orderkey") + 1000000000).alias("indrelid"), F.floor("o_totalprice").alias("numscans"))
     return catalog.table_statistics(classes(t), namespaces(t), scans)
 
 
 ENGINE_MERGE = f"""{b.TABLE_CATALOG}, renamed AS (SELECT server_id, CASE engine WHEN 'SMALL' THEN 'MyISAM' ELSE engine END AS engine, data_length, index_length FROM catalog),
 sizes AS (SELECT server_id, engine, count(*) AS tables, CAST(coalesce(sum(data_length + index_length), 0) AS BIGINT) AS total_size, CAST(coalesce(sum(data_length), 0) AS BIGINT) AS data_size,
   CAST(coalesce(sum(index_length), 0) AS BIGINT) AS index_size FROM renamed WHERE engine IS NOT NULL GROUP BY ALL),
-support AS (SELECT DISTINCT p_partkey % 10 AS server_id, CASE WHEN p_size % 3 = 0 THEN 'MEMORY' WHEN p_type = 'SMALL' THEN 'MyISAM' ELSE p_type END AS engine,
-  CASE WHEN p_partkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS enabled FROM part WHERE p_type <> 'PROMO' AND (p_type <> 'SMALL' OR p_partkey % 10 < 6)),
+support AS (SELECT DISTINCT p_partkey % 10 AS server_id, CASE WHEN p_type = 'PROMO' OR (p_type = 'SMALL' AND p_partkey % 10 >= 6) THEN 'ARCHIVE' WHEN p_size % 3 = 0 THEN 'MEMORY' WHEN p_type = 'SMALL' THEN 'MyISAM' ELSE p_type END AS engine,
+  CASE WHEN p_partkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS enabled FROM part),
 merged AS (SELECT u.server_id, u.engine, u.enabled, coalesce(s.tables, 0) AS tables, coalesce(s.total_size, 0) AS total_size, coalesce(s.data_size, 0) AS data_size,
   coalesce(s.index_size, 0) AS index_size FROM support u LEFT JOIN sizes s ON s.server_id = u.server_id AND s.engine = u.engine)"""
 
 
 def merged_engines(t: Tables):
     renamed = b.table_catalog(t).withColumn("engine", F.when(F.col("engine") == "SMALL", "MyISAM").otherwise(F.col("engine")))
-    support = t.part.filter((F.col("p_type") != "PROMO") & ((F.col("p_type") != "SMALL") | (F.col("p_partkey") % 10 < 6))).select(
+    unused = (F.col("p_type") == "PROMO") | ((F.col("p_type") == "SMALL") & (F.col("p_partkey") % 10 >= 6))
+    support = t.part.select(
         (F.col("p_partkey") % 10).alias("server_id"),
-        F.when(F.col("p_size") % 3 == 0, "MEMORY").when(F.col("p_type") == "SMALL", "MyISAM").otherwise(F.col("p_type")).alias("engine"),
+        F.when(unused, "ARCHIVE").when(F.col("p_size") % 3 == 0, "MEMORY").when(F.col("p_type") == "SMALL", "MyISAM").otherwise(F.col("p_type")).alias("engine"),
         F.when(F.col("p_partkey") % 2 == 0, "YES").otherwise("NO").alias("enabled")).distinct()
     return catalog.engine_merge(support, rollups.engine_sizes(renamed))
 
@@ -321,22 +324,24 @@ def myisam_index_size(t: Tables):
     return catalog.myisam_index_size(merged_engines(t)).withColumn("myisam_index_size", F.col("myisam_index_size").cast("bigint"))
 
 
-@query("role_membership", """WITH grants AS (SELECT o_custkey AS member, (o_custkey * 3 + o_orderkey) % 100 AS roleid FROM orders WHERE o_orderkey % 3 = 0),
-listed AS (SELECT g.member, string_agg(r.c_name, ',' ORDER BY r.c_name) AS member_of FROM grants g JOIN customer r ON r.c_custkey = g.roleid GROUP BY g.member)
-SELECT c_custkey AS oid, c_name AS rolname, c_acctbal < 0 AS rolsuper, c_custkey % 2 = 0 AS rolcanlogin, coalesce(l.member_of, '') AS member_of
+@query("role_membership", """WITH grants AS (SELECT o_custkey AS member, o_custkey % 10 AS server_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey * 3 + o_orderkey) % 100 // 10 * 10 + o_custkey % 10 ELSE -1 - o_orderkey END AS roleid FROM orders),
+listed AS (SELECT g.member, string_agg(r.c_name, ',' ORDER BY r.c_name) AS member_of FROM grants g JOIN customer r ON r.c_custkey = g.roleid AND r.c_custkey % 10 = g.server_id GROUP BY g.member)
+SELECT c_custkey % 10 AS server_id, c_custkey AS oid, c_name AS rolname, c_acctbal < 0 AS rolsuper, c_custkey % 2 = 0 AS rolcanlogin, coalesce(l.member_of, '') AS member_of
 FROM customer LEFT JOIN listed l ON l.member = c_custkey""")
 def role_membership(t: Tables):
-    roles = t.customer.select(F.lit(1).alias("server_id"), F.col("c_custkey").alias("oid"), F.col("c_name").alias("rolname"), (F.col("c_acctbal") < 0).alias("rolsuper"),
+    cust, order = F.col("o_custkey"), F.col("o_orderkey")
+    roles = t.customer.select((F.col("c_custkey") % 10).alias("server_id"), F.col("c_custkey").alias("oid"), F.col("c_name").alias("rolname"), (F.col("c_acctbal") < 0).alias("rolsuper"),
                               (F.col("c_custkey") % 2 == 0).alias("rolcanlogin"))
-    grants = t.orders.filter(F.col("o_orderkey") % 3 == 0).select(
-        F.lit(1).alias("server_id"), F.col("o_custkey").alias("member"), ((F.col("o_custkey") * 3 + F.col("o_orderkey")) % 100).alias("roleid"))
-    return catalog.role_membership(roles, grants).drop("server_id")
+    role = F.floor((cust * 3 + order) % 100 / 10) * 10 + cust % 10
+    grants = t.orders.select((cust % 10).alias("server_id"), cust.alias("member"), F.when(order % 3 == 0, role).otherwise(-1 - order).alias("roleid"))
+    return catalog.role_membership(roles, grants)
 
 
 @query("open_sections", f"""WITH rows AS (SELECT o_custkey % 50 AS server_id, 'db' || CAST(o_orderkey % 4 AS VARCHAR) AS database,
   ({b.sql_list(catalog.POSTGRES_SECTIONS)})[CAST(o_custkey % 5 AS INTEGER) + 1] AS section FROM orders),
-failures AS (SELECT DISTINCT c_custkey % 50 AS server_id, 'db' || CAST(c_nationkey % 4 AS VARCHAR) AS database, ({b.sql_list(catalog.POSTGRES_SECTIONS)})[CAST(c_custkey % 6 AS INTEGER) + 1] AS section
-  FROM customer WHERE c_acctbal < 2000),
+failures AS (SELECT DISTINCT c_custkey % 50 AS server_id, 'db' || CAST(c_nationkey % 4 AS VARCHAR) AS database, CASE WHEN c_acctbal < 2000 THEN ({b.sql_list(catalog.POSTGRES_SECTIONS)})[CAST(c_custkey % 6 AS INTEGER) + 1] ELSE 'another' END AS section
+  FROM customer),
 expected AS (SELECT DISTINCT server_id, database, section FROM (SELECT server_id, database FROM rows) r, (SELECT unnest({b.sql_list(catalog.POSTGRES_SECTIONS)}) AS section))
 SELECT e.server_id, e.database, e.section, count(r.section) AS rows FROM expected e LEFT JOIN rows r USING (server_id, database, section)
 WHERE NOT EXISTS (SELECT 1 FROM failures f WHERE f.server_id = e.server_id AND f.database = e.database AND f.section = e.section) GROUP BY ALL""")
@@ -344,9 +349,9 @@ def open_sections(t: Tables):
     sections = F.array(*[F.lit(s) for s in catalog.POSTGRES_SECTIONS])
     rows = t.orders.select((F.col("o_custkey") % 50).alias("server_id"), F.concat(F.lit("db"), (F.col("o_orderkey") % 4).cast("string")).alias("database"),
                            sections[(F.col("o_custkey") % 5).cast("int")].alias("section"))
-    failures = t.customer.filter(F.col("c_acctbal") < 2000).select(
+    failures = t.customer.select(
         (F.col("c_custkey") % 50).alias("server_id"), F.concat(F.lit("db"), (F.col("c_nationkey") % 4).cast("string")).alias("database"),
-        sections[(F.col("c_custkey") % 6).cast("int")].alias("section"))
+        F.when(F.col("c_acctbal") < 2000, sections[(F.col("c_custkey") % 6).cast("int")]).otherwise("another").alias("section"))
     return catalog.open_sections(rows, failures, rows, catalog.POSTGRES_SECTIONS)
 
 

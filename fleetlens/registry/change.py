@@ -104,7 +104,8 @@ def requests(t: Tables):
         F.when(order % 41 == 0, "").otherwise(F.concat(F.lit("select "), order.cast("string"))).alias("query_text"),
         F.when(order % 5 == 0, "error: need_grant_permission").when(order % 5 == 1, "other").alias("explain_error"))
     known = t.orders.select((cust % 10).alias("server_id"), F.concat(F.lit("db"), (order % 11).cast("string")).alias("schema_name"))
-    broken = t.customer.filter(F.col("c_custkey") % 10 % 2 == 0).select((F.col("c_custkey") % 10).alias("server_id"), F.concat(F.lit("db"), (F.col("c_custkey") % 10).cast("string")).alias("schema_name"))
+    server = F.col("c_custkey") % 10
+    broken = t.customer.select(server.alias("server_id"), F.concat(F.when(server % 2 == 0, "db").otherwise("another"), server.cast("string")).alias("schema_name"))
     return change.explain_request_check(rows, known, broken)
 
 

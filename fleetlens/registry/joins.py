@@ -47,16 +47,16 @@ def digest_summary_fallback(t: Tables):
 
 TOPOLOGY = """
 requested AS (SELECT c_custkey AS instance_id FROM customer),
-instances AS (SELECT o_custkey AS instance_id, o_orderkey AS instance_order,
+instances AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE -1 - o_orderkey END AS instance_id, o_orderkey AS instance_order,
   CASE WHEN o_orderkey % 7 <> 0 THEN 'cl' || CAST(o_custkey % 40 AS VARCHAR) END AS cluster_id,
   CASE o_custkey % 3 WHEN 0 THEN 'aurora-mysql' WHEN 1 THEN 'Aurora' ELSE 'postgres' END AS engine,
   CASE WHEN o_orderkey % 4 = 0 THEN 'db.serverless' ELSE 'db.r5' END AS instance_class,
   'ig' || CAST(o_custkey % 5 AS VARCHAR) AS instance_group, CASE WHEN o_orderkey % 5 = 0 THEN 'applying' ELSE 'in-sync' END AS instance_group_status,
-  CASE WHEN o_orderkey % 6 = 0 THEN 'modifying' ELSE 'available' END AS instance_status FROM orders WHERE o_orderpriority = '1-URGENT'),
+  CASE WHEN o_orderkey % 6 = 0 THEN 'modifying' ELSE 'available' END AS instance_status FROM orders),
 clusters AS (SELECT 'cl' || CAST(n_nationkey % 22 AS VARCHAR) AS cluster_id, n_nationkey AS cluster_order,
   CASE WHEN n_nationkey % 2 = 0 THEN 'provisioned' ELSE 'serverless' END AS engine_mode, 'cg' || CAST(n_nationkey % 3 AS VARCHAR) AS cluster_group FROM nation),
-members AS (SELECT 'cl' || CAST(o_custkey % 40 AS VARCHAR) AS cluster_id, o_custkey AS instance_id, o_orderkey AS member_order, o_orderkey % 2 = 0 AS is_writer,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'pending-reboot' ELSE 'in-sync' END AS cluster_group_status FROM orders WHERE o_orderpriority = '2-HIGH'),
+members AS (SELECT 'cl' || CAST(o_custkey % 40 AS VARCHAR) AS cluster_id, CASE WHEN o_orderpriority = '2-HIGH' THEN o_custkey ELSE -1 - o_orderkey END AS instance_id, o_orderkey AS member_order, o_orderkey % 2 = 0 AS is_writer,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'pending-reboot' ELSE 'in-sync' END AS cluster_group_status FROM orders),
 i AS (SELECT instance_id, count(*) AS instance_count, arg_min(struct_pack(cluster_id := cluster_id, engine := engine, instance_class := instance_class,
   instance_group := instance_group, instance_group_status := instance_group_status, instance_status := instance_status), instance_order) AS r FROM instances GROUP BY 1),
 c AS (SELECT cluster_id, count(*) AS cluster_count, arg_min(struct_pack(engine_mode := engine_mode, cluster_group := cluster_group), cluster_order) AS r FROM clusters GROUP BY 1),
@@ -80,8 +80,10 @@ topology AS (SELECT instance_id, error, CASE WHEN error IS NULL THEN ir.engine E
 def topology(t: Tables):
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
     cluster = F.concat(F.lit("cl"), (cust % 40).cast("string"))
-    instances = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select(
-        cust.alias("instance_id"), order.alias("instance_order"), F.when(order % 7 != 0, cluster).alias("cluster_id"),
+    # Most instances and memberships are of no customer, so that those asked for are found once, twice or not at all.
+    own = lambda priority: F.when(F.col("o_orderpriority") == priority, cust).otherwise(-1 - order).alias("instance_id")
+    instances = t.orders.select(
+        own("1-URGENT"), order.alias("instance_order"), F.when(order % 7 != 0, cluster).alias("cluster_id"),
         F.when(cust % 3 == 0, "aurora-mysql").when(cust % 3 == 1, "Aurora").otherwise("postgres").alias("engine"),
         F.when(order % 4 == 0, "db.serverless").otherwise("db.r5").alias("instance_class"), F.concat(F.lit("ig"), (cust % 5).cast("string")).alias("instance_group"),
         F.when(order % 5 == 0, "applying").otherwise("in-sync").alias("instance_group_status"),
@@ -90,8 +92,8 @@ def topology(t: Tables):
     clusters = t.nation.select(F.concat(F.lit("cl"), (nation % 22).cast("string")).alias("cluster_id"), nation.alias("cluster_order"),
                                F.when(nation % 2 == 0, "provisioned").otherwise("serverless").alias("engine_mode"),
                                F.concat(F.lit("cg"), (nation % 3).cast("string")).alias("cluster_group"))
-    members = t.orders.filter(F.col("o_orderpriority") == "2-HIGH").select(
-        cluster.alias("cluster_id"), cust.alias("instance_id"), order.alias("member_order"), (order % 2 == 0).alias("is_writer"),
+    members = t.orders.select(
+        cluster.alias("cluster_id"), own("2-HIGH"), order.alias("member_order"), (order % 2 == 0).alias("is_writer"),
         F.when(order % 3 == 0, "pending-reboot").otherwise("in-sync").alias("cluster_group_status"))
     return joins.cluster_topology(t.customer.select(F.col("c_custkey").alias("instance_id")), instances, clusters, members)
 

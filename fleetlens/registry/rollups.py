@@ -176,14 +176,14 @@ def text_budget(t: Tables):
 @query("section_failures", """WITH failures AS (
   SELECT o_custkey % 50 AS server_id, 'db' || CAST(o_custkey % 7 AS VARCHAR) AS database,
     CASE WHEN o_orderkey % 5 = 0 THEN '__database_connection__' ELSE 'section_' || lower(substr(o_orderpriority, 3)) END AS section,
-    o_orderkey AS ordinal FROM orders WHERE o_orderstatus = 'F'),
+    o_orderkey AS ordinal FROM orders),
 named AS (
   SELECT server_id, CASE WHEN section = '__database_connection__' THEN database || ':' || section ELSE section END AS section, ordinal
   FROM failures),
 first AS (SELECT server_id, section, min(ordinal) AS ordinal FROM named GROUP BY server_id, section)
 SELECT server_id, string_agg(section, '|' ORDER BY ordinal, section) AS failed_sections FROM first GROUP BY server_id""")
 def section_failures(t: Tables):
-    failures = t.orders.filter(F.col("o_orderstatus") == "F").select(
+    failures = t.orders.select(
         (F.col("o_custkey") % 50).alias("server_id"),
         F.concat(F.lit("db"), (F.col("o_custkey") % 7).cast("string")).alias("database"),
         F.when(F.col("o_orderkey") % 5 == 0, rollups.CONNECTION_SECTION)

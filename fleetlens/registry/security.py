@@ -58,9 +58,9 @@ ADDRESSES = ("", "127.0.0.1/32", "10.0.0.0/8", "::1/128", "samehost", "0.0.0.0/0
 
 
 @query("pg_user_findings", f"""WITH roles AS (SELECT c_custkey % 40 AS server_id, 'Role' || CAST(c_custkey % 30 AS VARCHAR) AS rolname, c_acctbal < 3000 AS rolsuper, c_custkey % 2 = 0 AS rolcanlogin FROM customer),
-rules AS (SELECT o_custkey % 45 AS server_id, lower(trim(({b.sql_list(RULE_TYPES)})[CAST(o_orderkey % 5 AS INTEGER) + 1])) AS type,
+rules AS (SELECT o_custkey % 45 + CASE WHEN o_custkey % 45 % 4 = 0 THEN 100 ELSE 0 END AS server_id, lower(trim(({b.sql_list(RULE_TYPES)})[CAST(o_orderkey % 5 AS INTEGER) + 1])) AS type,
   lower(trim(({b.sql_list(ADDRESSES)})[CAST(o_custkey % 7 AS INTEGER) + 1])) AS address,
-  CASE WHEN o_orderkey % 300 = 7 THEN 'ALL' ELSE 'role' || CAST(o_orderkey % 60 AS VARCHAR) || ', Role' || CAST(o_custkey % 60 AS VARCHAR) END AS user_name FROM orders WHERE o_custkey % 45 % 4 <> 0),
+  CASE WHEN o_orderkey % 300 = 7 THEN 'ALL' ELSE 'role' || CAST(o_orderkey % 60 AS VARCHAR) || ', Role' || CAST(o_custkey % 60 AS VARCHAR) END AS user_name FROM orders),
 remote AS (SELECT DISTINCT server_id, lower(trim(user_name)) AS users FROM rules WHERE type IN ('host', 'hostssl', 'hostnossl') AND address NOT IN ('', '127.0.0.1/32', '::1/128', 'samehost')),
 names AS (SELECT DISTINCT server_id, trim(unnest(string_split(users, ','))) AS name FROM remote)
 SELECT r.server_id, CAST(r.rolsuper AND r.rolcanlogin AND (EXISTS (SELECT 1 FROM remote m WHERE m.server_id = r.server_id AND m.users IN ('', 'all'))
@@ -69,8 +69,9 @@ SELECT r.server_id, CAST(r.rolsuper AND r.rolcanlogin AND (EXISTS (SELECT 1 FROM
 def pg_user_findings(t: Tables):
     roles = t.customer.select((F.col("c_custkey") % 40).alias("server_id"), F.concat(F.lit("Role"), (F.col("c_custkey") % 30).cast("string")).alias("rolname"),
                               (F.col("c_acctbal") < 3000).alias("rolsuper"), (F.col("c_custkey") % 2 == 0).alias("rolcanlogin"))
-    rules = t.orders.filter(F.col("o_custkey") % 45 % 4 != 0).select(
-        (F.col("o_custkey") % 45).alias("server_id"), pick(RULE_TYPES, "o_orderkey").alias("type"), pick(ADDRESSES, "o_custkey").alias("address"),
+    # Some rules are of servers without roles, and some servers have roles without rules.
+    rules = t.orders.select(
+        (F.col("o_custkey") % 45 + F.when(F.col("o_custkey") % 45 % 4 == 0, 100).otherwise(0)).alias("server_id"), pick(RULE_TYPES, "o_orderkey").alias("type"), pick(ADDRESSES, "o_custkey").alias("address"),
         F.when(F.col("o_orderkey") % 300 == 7, "ALL").otherwise(F.concat(F.lit("role"), (F.col("o_orderkey") % 60).cast("string"), F.lit(", Role"),
                                                                           (F.col("o_custkey") % 60).cast("string"))).alias("user_name"))
     return security.pg_user_findings(roles, rules)

@@ -29,8 +29,14 @@ def test_scan_reads_needed_columns_only(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    frame = QUERIES["section_failures"](spark, FOLDER)
-    assert "EqualTo(o_orderstatus,F)" in frame._jdf.queryExecution().executedPlan().toString()
+    """A filter on the server passes below the rollup, the join with the names and the top-k, down to the scan."""
+    t = Tables(spark, FOLDER)
+    rolled = rollups.statement_rollup(b.statement_stats(t), b.databases(t))
+    for frame in (rolled, ranking.top_k_statements(rolled, "total_exec_time_us", 5)):
+        lines = frame.filter("server_id = 3")._jdf.queryExecution().executedPlan().toString().splitlines()
+        last = max(i for i, line in enumerate(lines) if "HashAggregate" in line)
+        above = [line for line in lines[:next(i for i, line in enumerate(lines) if "HashAggregate" in line)] if "Filter" in line]
+        assert any("Filter" in line and "l_suppkey" in line for line in lines[last:]) and not any("= 3" in line for line in above)
 
 
 @pytest.mark.parametrize("count", [1, 7])
