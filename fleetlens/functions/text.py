@@ -247,13 +247,17 @@ def _outer(tokens: Column) -> Column:
         edge = (opens & (depth == 1)) | (~opens & (depth == 0))
         return F.struct(depth.alias("depth"), (state["broken"] | (depth < 0)).alias("broken"),
                         F.when(edge, F.concat(state["edges"], F.array(mark["i"]))).otherwise(state["edges"]).alias("edges"))
-    walked = F.aggregate(marks, start, step)
-    # A slice begins behind every second edge and ends before the next.
-    edges = F.concat(F.array(F.lit(-1)), walked["edges"], F.array(F.size(tokens)))
-    starts = F.filter(F.transform(edges, lambda e, i: F.struct(e.alias("low"), F.get(edges, i + 1).alias("high"), i.alias("i"))),
-                      lambda x: (x["i"] % 2 == 0) & (x["high"] > x["low"] + 1))
-    kept = F.flatten(F.transform(starts, lambda x: F.slice(tokens, x["low"] + 2, x["high"] - x["low"] - 1)))
-    return F.struct(walked["depth"].alias("depth"), walked["broken"].alias("broken"), F.filter(kept, lambda t: ~t.isin("(", ")")).alias("kept"))
+
+    def slices(edges: Column) -> Column:
+        """A slice begins behind every second edge and ends before the next."""
+        ends = F.filter(F.transform(edges, lambda e, i: F.struct(e.alias("low"), F.get(edges, i + 1).alias("high"), i.alias("i"))),
+                        lambda x: (x["i"] % 2 == 0) & (x["high"] > x["low"] + 1))
+        return F.flatten(F.transform(ends, lambda x: F.slice(tokens, x["low"] + 2, x["high"] - x["low"] - 1)))
+
+    def whole(walked: Column) -> Column:
+        kept = bound(F.concat(F.array(F.lit(-1)), walked["edges"], F.array(F.size(tokens))), slices)
+        return F.struct(walked["depth"].alias("depth"), walked["broken"].alias("broken"), F.filter(kept, lambda t: ~t.isin("(", ")")).alias("kept"))
+    return bound(F.aggregate(marks, start, step), whole)
 
 
 def _target(tokens: str) -> Column:
