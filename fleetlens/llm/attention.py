@@ -23,6 +23,9 @@ STEPS = 700
 BATCH = 128
 RATE = 0.01
 
+FAR = 60
+"""Exponents up to which no maximum needs to be taken away first: one member of each sum not below ``-FAR`` keeps it above nought."""
+
 
 COMMON = 512
 """Most frequent ids that count as neighbours of their own; all others are one neighbour."""
@@ -113,6 +116,7 @@ class Model:
             "hidden": normal(SIZE, HIDDEN, scale=SIZE ** -0.5), "hidden_bias": np.zeros(HIDDEN, np.float32),
             "out": normal(HIDDEN, CLASSES, scale=HIDDEN ** -0.5), "out_bias": np.zeros(CLASSES, np.float32)}
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def forward(self, ids: np.ndarray) -> dict[str, np.ndarray]:
         """All steps for a batch of windows: ids (windows, WINDOW)."""
@@ -133,32 +137,61 @@ class Model:
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "u": u, "logits": logits}
 
     def gradients(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of the next ids' classes and its gradient."""
-        w, s = self.weights, self.forward(ids)
-        flat = target.size
-        p = np.exp(s["logits"])
-        p /= p.sum(axis=2, keepdims=True)
-        chosen = np.take_along_axis(p, target[:, :, None], axis=2)
-        loss = -np.log(np.maximum(chosen, 1e-12)).mean()
-        np.put_along_axis(p, target[:, :, None], chosen - 1, axis=2)
-        d = p / np.float32(flat)
-        both = lambda a, b: np.tensordot(a, b, axes=((0, 1), (0, 1)))
-        g = {"out": both(s["u"], d), "out_bias": d.sum(axis=(0, 1))}
-        du = (d @ w["out"].T) * (s["u"] > 0)
-        g |= {"hidden": both(s["h"], du), "hidden_bias": du.sum(axis=(0, 1))}
-        dh = du @ w["hidden"].T
-        g["o"] = both(s["mixed"], dh)
-        dm = dh @ w["o"].T
-        da = dm @ s["v"].transpose(0, 2, 1)
-        dv = s["a"].transpose(0, 2, 1) @ dm
-        da = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True)) * np.float32(SIZE ** -0.5)
-        dq, dk = da @ s["k"], da.transpose(0, 2, 1) @ s["q"]
-        g |= {"q": both(s["x"], dq), "k": both(s["x"], dk), "v": both(s["x"], dv)}
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g["places"] = dx.sum(axis=0)
-        g["ids"] = (ids.ravel(), dx.reshape(-1, SIZE))
+        """Mean loss of the next ids' classes and its gradient: ``forward`` and back, all places of all windows in one product where they can be."""
+        w, shape, flat = self.weights, (*ids.shape, SIZE), target.size
+        one, ones, row = np.ones(CLASSES, np.float32), np.ones(flat, np.float32), np.arange(flat)
+        scale = np.float32(SIZE ** -0.5)
+        into = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+        x = np.take(w["ids"], ids, axis=0)
+        x += w["places"]
+        x = x.reshape(-1, SIZE)
+        q, k, v = (part.reshape(shape) for part in np.split(x @ into, 3, axis=1))
+        a = q @ k.transpose(0, 2, 1)
+        self.soften(a)
+        mixed = a @ v
+        h = mixed.reshape(-1, SIZE) @ w["o"]
+        h += x
+        u = h @ w["hidden"]
+        u += w["hidden_bias"]
+        np.maximum(u, 0, out=u)
+        p = u @ w["out"]
+        p += w["out_bias"]
+        if p.max() > FAR or p[:, 0].min() < -FAR:
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        total, wanted = p @ one, target.ravel()
+        loss = -np.log(np.maximum(p[row, wanted] / total, 1e-12)).mean()
+        p *= (1 / (total * np.float32(flat)))[:, None]
+        p[row, wanted] -= np.float32(1 / flat)
+        g = {"out": u.T @ p, "out_bias": ones @ p}
+        du = p @ w["out"].T
+        du *= u > 0
+        g |= {"hidden": h.T @ du, "hidden_bias": ones @ du}
+        dx = du @ w["hidden"].T
+        g["o"] = mixed.reshape(-1, SIZE).T @ dx
+        dm = (dx @ w["o"].T).reshape(shape)
+        dv = a.transpose(0, 2, 1) @ dm
+        da = dm @ v.transpose(0, 2, 1)
+        da -= ((dm * mixed).reshape(-1, SIZE) @ one[:SIZE]).reshape(*ids.shape, 1)
+        da *= a
+        back = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * SIZE)
+        g["q"], g["k"], g["v"] = np.split(x.T @ back, 3, axis=1)
+        g["q"] = g["q"] * scale
+        dx += back @ into.T
+        g["places"] = dx.reshape(shape).sum(axis=0)
+        g["ids"] = (ids.ravel(), dx)
         return float(loss), g
 
+    def soften(self, a: np.ndarray) -> None:
+        """Turns products of queries and keys into the shares of the places up to each, in place."""
+        if a.max() > FAR or a.min() < -FAR:
+            a += self.mask
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a *= self.seen
+        total = a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)
+        a /= total.reshape(*a.shape[:2], 1)
+
     def train(self, ids: np.ndarray, steps: int, rng: np.random.Generator) -> None:
         """Adam over random windows of a long run of ids."""
         if len(ids) <= WINDOW:
@@ -170,31 +203,26 @@ class Model:
 
     def scores(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of the id behind each place of a batch of windows: ``forward`` with fewer passes over memory."""
-        w = self.weights
-        x = w["ids"][ids] + w["places"]
-        a = (x @ (w["q"] * np.float32(SIZE ** -0.5))) @ (x @ w["k"]).transpose(0, 2, 1)
-        if np.abs(a).max() > 60:
-            a += self.mask
-            a -= a.max(axis=2, keepdims=True)
-        else:
-            a += self.mask
-        np.exp(a, out=a)
-        total = a.sum(axis=2, keepdims=True)
-        mixed = a @ (x @ w["v"])
-        mixed /= total
-        x += mixed @ w["o"]
+        w, shape = self.weights, (*ids.shape, SIZE)
+        x = np.take(w["ids"], ids, axis=0)
+        x += w["places"]
+        x = x.reshape(-1, SIZE)
+        into = np.concatenate([w["q"] * np.float32(SIZE ** -0.5), w["k"], w["v"]], axis=1)
+        q, k, v = (part.reshape(shape) for part in np.split(x @ into, 3, axis=1))
+        a = q @ k.transpose(0, 2, 1)
+        self.soften(a)
+        x += (a @ v).reshape(-1, SIZE) @ w["o"]
         u = x @ w["hidden"]
         u += w["hidden_bias"]
         np.maximum(u, 0, out=u)
         logits = u @ w["out"]
         logits += w["out_bias"]
-        wanted = self.classes[target].astype(np.int64)
-        most = logits.max(axis=2) if np.abs(logits).max() > 60 else np.float32(0)
-        chosen = np.take_along_axis(logits, wanted[:, :, None], axis=2)[:, :, 0] - most
-        if np.ndim(most):
-            logits -= most[:, :, None]
+        if logits.max() > FAR or logits[:, 0].min() < -FAR:
+            logits -= logits.max(axis=1, keepdims=True)
+        wanted = self.classes[target]
+        chosen = logits[np.arange(target.size), wanted.ravel()].reshape(target.shape)
         np.exp(logits, out=logits)
-        return chosen - np.log(logits.sum(axis=2)) + self.inside[self.classes[ids], target]
+        return chosen - np.log(logits @ np.ones(CLASSES, np.float32)).reshape(target.shape) + self.inside[self.classes[ids], target]
 
     def score(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, batch: int = 256) -> np.ndarray:
         """Log probability of every id to score. Text ``t`` is ``flat[starts[t]:starts[t] + lengths[t] + 1]`` and begins with an id that is not scored."""
@@ -227,16 +255,18 @@ class Adam:
         first, second = self.first, self.second
         _, g = self.model.gradients(windows[:, :-1], self.model.classes[windows[:, 1:]].astype(np.int64))
         for name, weight in self.model.weights.items():
-            if name == "ids":
-                rows, values = g["ids"]
-                used, where = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(used), SIZE), np.float32)
-                np.add.at(total, where, values)
-            else:
-                used, total = slice(None), g[name]
-            first[name][used] = 0.9 * first[name][used] + 0.1 * total
-            second[name][used] = 0.98 * second[name][used] + 0.02 * total * total
-            weight[used] -= rate * (first[name][used] / (1 - 0.9 ** self.steps)) / (np.sqrt(second[name][used] / (1 - 0.98 ** self.steps)) + 1e-8)
+            used, total = summed(*g["ids"], len(weight)) if name == "ids" else (slice(None), g[name])
+            slow = first[name][used] = 0.9 * first[name][used] + 0.1 * total
+            square = second[name][used] = 0.98 * second[name][used] + 0.02 * total * total
+            weight[used] -= (rate / (1 - 0.9 ** self.steps)) * slow / (np.sqrt(square / (1 - 0.98 ** self.steps)) + 1e-8)
+
+
+def summed(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sum of each one's values."""
+    order = np.argsort(rows.astype(np.uint16) if size <= 1 << 16 else rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def from_counts(counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, rng: np.random.Generator) -> Model:

@@ -9,12 +9,12 @@ gets its corpus count by a join, and the block scores its texts in overlapping w
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from ..session import shared_dir
 from . import attention
 from .arrowio import slices, texts
 from .attention import BATCH, CLASSES, SIDES, SIZE, STEPS, WINDOW, Adam, Model
-from .bpe import Block, block_list, block_places
+from .bpe import Block, block_list, block_places, packed_numbers
 from .subwords import word_vocabulary
 
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -37,6 +37,9 @@ ROUNDS = 4
 REFINE = 0.002
 """Rate of the first round; it falls from round to round."""
 
+FAN_IN = 16
+"""Tasks' changes that are summed in one task."""
+
 SMOOTH = 0.1
 CHUNK = 400_000
 """Words scored in one go."""
@@ -72,6 +75,31 @@ def split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(block, held, number)
 
 
+def with_ids(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """Blocks with the subword ids of their words, so that no later pass encodes them again."""
+    library = word_vocabulary(vocabulary)
+    for batch in batches:
+        for at in range(batch.num_rows):
+            block = batch.slice(at, 1)
+            ids, sizes = encoded(block_list(block.column("words")[0].as_py()), library)
+            yield pa.RecordBatch.from_arrays(
+                [*block.columns, pa.array([zstandard.compress(ids.tobytes())], pa.binary()), pa.array([packed_numbers(sizes)], pa.binary())],
+                [*block.schema.names, "ids", "id_sizes"])
+
+
+def encoded(words: list[str], library) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words, one word after the other, and how many each has."""
+    packed = library.packed(words)
+    return np.frombuffer(b"".join(packed), library.type), np.fromiter((len(p) for p in packed), np.int64, len(packed)) // library.type.itemsize
+
+
+def block_ids(block: dict, library) -> tuple[np.ndarray, np.ndarray]:
+    """What ``encoded`` gives for a block's words; encoded now if the block does not have it yet."""
+    if "ids" not in block:
+        return encoded(block_list(block["words"]), library)
+    return np.frombuffer(zstandard.decompress(block["ids"]), library.type), block_places(block["id_sizes"]).astype(np.int64)
+
+
 def training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's distinct words and how often its training texts have them."""
     for batch in batches:
@@ -87,11 +115,10 @@ def training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                      pa.array(counts[some], pa.int64())], ["block", "word", "n"])
 
 
-def flat_ids(places: np.ndarray, words_of: np.ndarray, packed: list[bytes], kind: np.dtype, ends: tuple[int, int]):
+def flat_ids(places: np.ndarray, words_of: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ends: tuple[int, int]):
     """The ids of texts in one run, each text begun and ended by the special ids; where each begins, how many ids its words have, and each word's."""
     start, end = ends
-    sizes = np.fromiter((len(p) for p in packed), np.int64, len(packed)) // kind.itemsize
-    ids, offsets = np.frombuffer(b"".join(packed), kind), np.cumsum(sizes) - sizes
+    offsets = np.cumsum(sizes) - sizes
     per_word = sizes[places]
     before = np.concatenate([[0], np.cumsum(per_word)])
     edges = np.concatenate([[0], np.cumsum(words_of)])
@@ -125,12 +152,12 @@ def training_runs(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterato
     ends = special_ids(library)
     for batch in batches:
         for block in batch.to_pylist():
-            packed = library.packed(block_list(block["words"]))
+            ids, sizes = block_ids(block, library)
             docs, kept = np.array(block["sizes"], np.int64), ~np.array(block["held"], bool)
             places = block_places(block["places"]).astype(np.int64)[np.repeat(kept, docs)]
             docs = docs[kept]
             for first, last, low, high in chunks(docs):
-                yield flat_ids(places[low:high], docs[first:last], packed, library.type, ends)[:2]
+                yield flat_ids(places[low:high], docs[first:last], ids, sizes, ends)[:2]
 
 
 def tallied(runs: Iterator[tuple[np.ndarray, np.ndarray]], keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +192,8 @@ def id_counts(words: DataFrame, vocabulary: str, ends: int) -> np.ndarray:
         library = word_vocabulary(vocabulary)
         total = np.zeros(library.size, np.int64)
         for batch in batches:
-            packed = library.packed(batch.column("word").to_pylist())
-            sizes = np.fromiter((len(p) for p in packed), np.int64, len(packed)) // library.type.itemsize
-            np.add.at(total, np.frombuffer(b"".join(packed), library.type), np.repeat(batch.column("c").to_numpy(), sizes))
+            ids, sizes = encoded(batch.column("word").to_pylist(), library)
+            np.add.at(total, ids, np.repeat(batch.column("c").to_numpy(), sizes))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["key", "n"])
 
@@ -223,8 +249,9 @@ def class_pairs(blocks: DataFrame, vocabulary: str, classes: np.ndarray) -> np.n
 
 
 def opening_run(blocks: DataFrame, vocabulary: str, many: int) -> np.ndarray:
-    """Windows evenly out of every block, as one run of ids for the steps before the corpus is met."""
+    """About ``STEPS * BATCH`` windows evenly out of every block, as one run of ids for the steps before the corpus is met; of more blocks than that, one window each out of as many."""
     each = -(-STEPS * BATCH // max(1, many))
+    thin = max(1, many // (STEPS * BATCH))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +263,8 @@ def opening_run(blocks: DataFrame, vocabulary: str, many: int) -> np.ndarray:
                     run = run[(np.linspace(0, cuts - 1, each).astype(np.int64)[:, None] * WINDOW + np.arange(WINDOW)).ravel()]
                 yield pa.RecordBatch.from_arrays([batch.slice(at, 1).column("block"), pa.array([run.astype(np.int32).tobytes()], pa.binary())], ["block", "run"])
 
-    found = blocks.mapInArrow(made, "block bigint, run binary").collect()
+    chosen = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(thin)) == 0)
+    found = chosen.mapInArrow(made, "block bigint, run binary").collect()
     runs = [np.frombuffer(r.run, np.int32) for r in sorted(found, key=lambda r: r.block)]
     return np.concatenate([np.zeros(0, np.int32), *runs]).astype(np.int64)
 
@@ -257,7 +285,6 @@ def train_task(batches: Iterator[pa.RecordBatch], vocabulary: str, model: Model,
         nonlocal seen
         adam.step(windows, rate)
         seen += len(windows)
-        np.add.at(met, windows[:, :-1].ravel(), 1)
 
     for flat, _ in training_runs(batches, vocabulary):
         run = np.concatenate([rest, flat])
@@ -265,9 +292,12 @@ def train_task(batches: Iterator[pa.RecordBatch], vocabulary: str, model: Model,
         order = rng.permutation(many) * WINDOW
         for at in range(0, many, BATCH):
             step(run[order[at:at + BATCH, None] + places])
+        met += np.bincount(run[:many * WINDOW], minlength=len(met))
         rest = run[many * WINDOW:]
     if len(rest) > 1:
-        step(np.resize(rest, WINDOW + 1)[None])
+        last = np.resize(rest, WINDOW + 1)
+        step(last[None])
+        met += np.bincount(last[:-1], minlength=len(met))
     if seen:
         change = {k: (mine.weights[k] - old[k]) * (met[:, None] if k == "ids" else seen) for k in old}
         yield pa.RecordBatch.from_arrays(
@@ -275,25 +305,37 @@ def train_task(batches: Iterator[pa.RecordBatch], vocabulary: str, model: Model,
              pa.array([np.concatenate([change[k].ravel() for k in sorted(change)]).astype(np.float32).tobytes()], pa.binary())], ["part", "seen", "met", "change"])
 
 
-def summed_changes(rows: pa.Table) -> pa.Table:
+def summed_changes(part: int, rows: pa.Table) -> pa.Table:
     seen, met, change = 0, 0, 0
     for row in rows.to_batches(max_chunksize=1):
         seen += row.column("seen")[0].as_py()
         met = met + np.frombuffer(row.column("met")[0].as_buffer(), np.int64)
         change = change + np.frombuffer(row.column("change")[0].as_buffer(), np.float32).astype(np.float64)
-    return pa.table({"seen": [seen], "met": pa.array([met.tobytes()], pa.binary()), "change": pa.array([change.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"part": [part], "seen": [seen], "met": pa.array([met.tobytes()], pa.binary()),
+                     "change": pa.array([change.astype(np.float32).tobytes()], pa.binary())})
 
 
 def train_round(blocks: DataFrame, vocabulary: str, model: Model, rate: float) -> None:
-    """Every task trains on all its windows from the same weights; they move by the mean change, an id's by that of the tasks that met it."""
+    """Every task trains on all its windows from the same weights; they move by the mean change, an id's by that of the tasks that met it.
+
+    Changes are summed in a tree: no task, nor the driver, takes more than ``FAN_IN`` of them.
+    """
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the vocabulary
-    groups = max(1, math.isqrt(blocks.rdd.getNumPartitions()))
-    rows = blocks.mapInArrow(lambda batches: train_task(batches, vocabulary, shared.value, rate, groups), "part bigint, seen bigint, met binary, change binary")
-    found = rows.groupBy("part").applyInArrow(lambda table: summed_changes(table), "seen bigint, met binary, change binary").toArrow()
+    kind = "part bigint, seen bigint, met binary, change binary"
+    groups = max(1, -(-blocks.rdd.getNumPartitions() // FAN_IN))
+    width = groups
+    rows = blocks.mapInArrow(lambda batches: train_task(batches, vocabulary, shared.value, rate, width), kind)
+    while True:
+        rows = rows.groupBy("part").applyInArrow(lambda key, table: summed_changes(key[0].as_py(), table), kind)
+        if groups <= FAN_IN:
+            break
+        groups = -(-groups // FAN_IN)
+        rows = rows.withColumn("part", F.col("part") % groups)
+    found = rows.toArrow()
     if not found.num_rows:
         return
-    total = summed_changes(found).to_pylist()[0]
+    total = summed_changes(0, found).to_pylist()[0]
     change, at = np.frombuffer(total["change"], np.float32), 0
     for name in sorted(model.weights):
         weight = model.weights[name]
@@ -330,12 +372,12 @@ def score_block(blocks: pa.Table, table: pa.Table, model: Model, vocabulary: str
             at = pc.index_in(pa.array(words, pa.string()), value_set=table.column("word").combine_chunks())
             counts = pc.fill_null(table.column("c").combine_chunks().take(at), 0).to_numpy().astype(np.int64)
         base = log_base(counts)
-        packed = library.packed(words)
+        ids, sizes = block_ids(block, library)
         places, docs = block_places(block["places"]).astype(np.int64), np.array(block["sizes"], np.int64)
         end_base = float(log_base(np.array(ends)))
         for first, last, low, high in chunks(docs):
             mine, words_of = places[low:high], docs[first:last]
-            flat, starts, lengths, per_word, before = flat_ids(mine, words_of, packed, library.type, special)
+            flat, starts, lengths, per_word, before = flat_ids(mine, words_of, ids, sizes, special)
             scores = model.score(flat, starts, lengths + 1) / np.log(10)
             ending = starts - np.arange(len(starts)) + lengths
             inner = np.delete(scores, ending)
@@ -367,8 +409,9 @@ def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("held", held_out())
     ends = docs.filter(~F.col("held")).count()
-    blocks = docs.mapInArrow(split_texts, f"{Block.KIND}, held array<boolean>").checkpoint()
-    used = blocks.mapInArrow(training_counts, "block bigint, word string, n bigint")
+    kind = f"{Block.KIND}, held array<boolean>"
+    blocks = docs.mapInArrow(split_texts, kind).mapInArrow(lambda batches: with_ids(batches, vocabulary), f"{kind}, ids binary, id_sizes binary").checkpoint()
+    used = blocks.select("block", "sizes", "words", "places", "held").mapInArrow(training_counts, "block bigint, word string, n bigint")
     counts = used.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")).checkpoint()
     row = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     total, kinds = (row[0] or 0) + ends, row[1] + (ends > 0)
