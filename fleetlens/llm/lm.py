@@ -23,7 +23,7 @@ from ..session import shared_dir
 from . import attention
 from .arrowio import slices, texts
 from .attention import BATCH, CLASSES, SIDES, SIZE, STEPS, WINDOW, Adam, Model
-from .bpe import Block, block_list, block_places, packed_numbers
+from .bpe import Block, block_list, block_places, packed_numbers, words_of
 from .subwords import word_vocabulary
 
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -58,21 +58,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of lower-cased texts with their flags."""
-
-    def row(block: Block, held: list, number: int) -> pa.RecordBatch:
-        out = block.row(number)
-        return pa.RecordBatch.from_arrays([*out.columns, pa.array([held], pa.list_(pa.bool_()))], [*out.schema.names, "held"])
-
-    number, block, held = TaskContext.get().partitionId() << 32, Block(), []
+    number, parts, many = TaskContext.get().partitionId() << 32, [], 0
     for part in slices(batches, "text", BLOCK_BYTES // 4):
-        column = lowered(part.column("text"))
-        if block.held and block.held + column.nbytes > BLOCK_BYTES:
-            yield row(block, held, number)
-            number, block, held = number + 1, Block(), []
-        block.add(part.column("doc_id"), column)
-        held += part.column("held").to_pylist()
-    if block.doc_ids:
-        yield row(block, held, number)
+        if many and many + part.nbytes > BLOCK_BYTES:
+            yield text_block(number, parts)
+            number, parts, many = number + 1, [], 0
+        parts.append(part)
+        many += part.nbytes
+    if parts:
+        yield text_block(number, parts)
+
+
+def text_block(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The row of a block: its distinct words by falling frequency, once, and the places of its texts' words among them."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    offsets, found = words_of(lowered(table.column("text").combine_chunks()))
+    names, places = found.dictionary, found.indices.to_numpy()
+    filled = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+    counts = np.where(filled, np.bincount(places, minlength=len(names)), -1)  # splitting leaves empty words at the ends of texts
+    order = np.argsort(-counts, kind="stable")[: int(filled.sum())]
+    rank = np.full(len(names) + 1, -1, np.int32)
+    rank[order] = np.arange(len(order))
+    places = rank[places]
+    sizes = np.diff(np.concatenate([[0], np.cumsum(places >= 0)])[offsets - offsets[0]]).astype(np.int32)
+    words = " ".join(names.take(pa.array(order)).to_pylist()).encode()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+         pa.array([sizes], pa.list_(pa.int32())), pa.array([zstandard.compress(words)], pa.binary()),
+         pa.array([packed_numbers(places[places >= 0])], pa.binary()), pa.array([table.column("held").to_pylist()], pa.list_(pa.bool_()))],
+        ["block", "doc_ids", "sizes", "words", "places", "held"])
 
 
 def with_ids(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
@@ -87,6 +101,12 @@ def with_ids(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
                 [*block.schema.names, "ids", "id_sizes"])
 
 
+def word_array(packed: bytes) -> pa.Array:
+    """A block's words as a column."""
+    words = pa.array([zstandard.decompress(packed)], pa.binary()).cast(pa.string())
+    return pc.split_pattern(words, " ").flatten() if len(words[0].as_py()) else words.slice(0, 0)
+
+
 def encoded(words: list[str], library) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the words, one word after the other, and how many each has."""
     packed = library.packed(words)
@@ -104,15 +124,14 @@ def training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Each block's distinct words and how often its training texts have them."""
     for batch in batches:
         for block in batch.to_pylist():
-            words, places = block_list(block["words"]), block_places(block["places"])
+            words, places = word_array(block["words"]), block_places(block["places"])
             counted = np.repeat(~np.array(block["held"], bool), block["sizes"])
             counts = np.bincount(places[counted], minlength=len(words))
-            order = sorted(range(len(words)), key=words.__getitem__)
+            order = pc.array_sort_indices(words)  # sorted, they take less room in the shuffle
             for at in range(0, len(order), 50_000):
-                some = order[at:at + 50_000]
+                some = order.slice(at, 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block["block"]] * len(some), pa.int64()), pa.array([words[i] for i in some], pa.string()),
-                     pa.array(counts[some], pa.int64())], ["block", "word", "n"])
+                    [pa.array(np.full(len(some), block["block"], np.int64)), words.take(some), pa.array(counts[some.to_numpy()], pa.int64())], ["block", "word", "n"])
 
 
 def flat_ids(places: np.ndarray, words_of: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ends: tuple[int, int]):
@@ -366,10 +385,10 @@ def score_block(blocks: pa.Table, table: pa.Table, model: Model, vocabulary: str
     log_base = lambda counts: np.log10((counts + SMOOTH) / (total + SMOOTH * (kinds + 1)))
     out: list[list] = [[], [], [], [], [], []]
     for block in blocks.to_pylist():
-        words = block_list(block["words"])
+        words = word_array(block["words"])
         counts = np.zeros(len(words), np.int64)
         if table.num_rows:
-            at = pc.index_in(pa.array(words, pa.string()), value_set=table.column("word").combine_chunks())
+            at = pc.index_in(words, value_set=table.column("word").combine_chunks())
             counts = pc.fill_null(table.column("c").combine_chunks().take(at), 0).to_numpy().astype(np.int64)
         base = log_base(counts)
         ids, sizes = block_ids(block, library)
@@ -410,7 +429,7 @@ def score_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("held", held_out())
     ends = docs.filter(~F.col("held")).count()
     kind = f"{Block.KIND}, held array<boolean>"
-    blocks = docs.mapInArrow(split_texts, kind).mapInArrow(lambda batches: with_ids(batches, vocabulary), f"{kind}, ids binary, id_sizes binary").checkpoint()
+    blocks = docs.mapInArrow(lambda batches: with_ids(split_texts(batches), vocabulary), f"{kind}, ids binary, id_sizes binary").checkpoint()
     used = blocks.select("block", "sizes", "words", "places", "held").mapInArrow(training_counts, "block bigint, word string, n bigint")
     counts = used.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")).checkpoint()
     row = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
