@@ -168,6 +168,23 @@ def switch_text(value: Column) -> Column:
     return F.when(value.isNull(), "").when(value, "ON").otherwise("OFF")
 
 
+def config_text(value: Column) -> Column:
+    """A JSON value (a variant) as the text that a provider is sent.
+
+    A boolean is ON or OFF, a number has its digits without exponent or idle zeros, a text is trimmed, null is empty; any
+    other value stays JSON.
+    """
+    kind, text = F.schema_of_variant(value), F.to_json(value)
+    decimal = F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1")
+    return (F.when(value.isNull() | F.is_variant_null(value), "")
+            .when(kind == "BOOLEAN", switch_text(F.try_variant_get(value, "$", "boolean")))
+            .when(kind == "BIGINT", text)
+            .when(kind.startswith("DECIMAL"), F.regexp_replace(decimal, r"\.$", ""))
+            .when(kind.isin("DOUBLE", "FLOAT"), plain_number(F.try_variant_get(value, "$", "double")))
+            .when(kind == "STRING", trimmed(F.try_variant_get(value, "$", "string")))
+            .otherwise(text))
+
+
 def setting_value(setting: Column, raw: Column) -> Column:
     """The nested setting if there is one, else the value itself, trimmed."""
     return trimmed(F.coalesce(setting, raw))

@@ -194,7 +194,7 @@ def key_column_usage(constraints: DataFrame, classes: DataFrame, namespaces: Dat
 
 def sequence_ownership(sequences: DataFrame, namespaces: DataFrame, classes: DataFrame, dependencies: DataFrame,
                        attributes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:
-    """Sequences with the column that owns them; unknown parts are missing values."""
+    """Sequences with their bounds and the column that owns them; unknown parts are missing values, an unknown cycle is false."""
     keys = list(keys)
     schemas = namespaces.groupBy(*keys, F.col("nspname").alias("schemaname")).agg(F.min("oid").alias("_namespace"))
     own = classes.filter(F.col("relkind") == "S").select(
@@ -204,12 +204,15 @@ def sequence_ownership(sequences: DataFrame, namespaces: DataFrame, classes: Dat
     tables = classes.join(namespaces.select(*keys, F.col("oid").alias("relnamespace"), F.col("nspname").alias("owned_table_schema")),
                           [*keys, "relnamespace"], "left").select(
         *keys, F.col("oid").alias("_table"), F.col("relname").alias("owned_table_name"), "owned_table_schema")
-    columns = attributes.select(*keys, F.col("attrelid").alias("_table"), F.col("attnum").alias("_column"), F.col("attname").alias("owned_column_name"))
+    columns = attributes.select(*keys, F.col("attrelid").alias("_table"), F.col("attnum").alias("_column"), F.col("attname").alias("owned_column_name"),
+                                F.col("data_type").alias("owned_column_data_type"))
     joined = lookup(sequences.filter(user_schema(F.col("schemaname"))), schemas, [*keys, "schemaname"])
     joined = joined.join(own, [*keys, "_namespace", "sequencename"], "left").join(owners, [*keys, "_sequence"], "left")
     joined = joined.join(tables, [*keys, "_table"], "left").join(columns, [*keys, "_table", "_column"], "left")
-    values = ("cache_size", "last_value", "owned_table_schema", "owned_table_name", "owned_column_name")
-    return joined.select(*keys, "schemaname", "sequencename", *[from_null_marker(F.col(v)).alias(v) for v in values])
+    values = ("data_type", "start_value", "min_value", "max_value", "increment_by", "cache_size", "last_value",
+              "owned_table_schema", "owned_table_name", "owned_column_name", "owned_column_data_type")
+    return joined.select(*keys, "schemaname", "sequencename", *[from_null_marker(F.col(v)).alias(v) for v in values],
+                         F.coalesce(from_null_marker(F.col("cycle")), F.lit("false")).alias("cycle"))
 
 
 def tables_section(tables: DataFrame, namespaces: DataFrame, classes: DataFrame, keys: Sequence[str] = ("server_id",)) -> DataFrame:

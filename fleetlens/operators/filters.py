@@ -39,13 +39,13 @@ def not_managed_database(instance_type: Column, database: Column) -> Column:
 
 
 def active_sessions(sessions: DataFrame, now: Column, micros) -> DataFrame:
-    """sessions with a state, their address, wait event and ages in whole seconds."""
+    """sessions with a state, their address, program, kind, wait event and ages in whole seconds."""
     def age(start: str) -> Column:
         return F.round((micros(now) - micros(start)) / 1000000.0, 0).cast("bigint")
     address = F.concat(F.coalesce("client_addr", F.lit("local")),
                        F.coalesce(F.concat(F.lit(":"), F.col("client_port").cast("string")), F.lit("")))
     return sessions.filter(F.col("state").isNotNull()).select(
-        "server_id", "pid", "datname", "usename", address.alias("client_address"), "state",
+        "server_id", "pid", "datname", "usename", address.alias("client_address"), "application_name", "backend_type", "state",
         F.concat_ws(" ", "wait_event_type", "wait_event").alias("wait_event"),
         age("query_start").alias("query_time"), age("xact_start").alias("tx_time"), age("state_change").alias("state_time"), "query")
 

@@ -139,7 +139,10 @@ def merged_flags(recommendations: DataFrame, flags: DataFrame, live: DataFrame,
 
 
 def apply_plan_azure(recommendations: DataFrame, live: DataFrame, metadata: DataFrame, dynamic_only: bool = False) -> DataFrame:
-    """CP8: what happens to each recommendation, by the first rule that applies."""
+    """CP8: what happens to each recommendation, by the first rule that applies.
+
+    ``provider_name`` is the provider's spelling, ``stored`` its value, and ``sent`` the value of an update, trimmed.
+    """
     values = live.select("server_id", "name", F.col("value").alias("_live"))
     known = metadata.select("server_id", F.lower("name").alias("_key"), F.col("name").alias("_name"), F.col("value").alias("_stored"),
                             "read_only", "dynamic", "pending_restart")
@@ -155,15 +158,19 @@ def apply_plan_azure(recommendations: DataFrame, live: DataFrame, metadata: Data
               .otherwise("update"))
     restart = (F.col("action") == "pending-restart") | ((F.col("action") == "update") & ~F.col("dynamic"))
     return joined.withColumn("action", action).select(
-        "server_id", "name", "action", F.coalesce(restart, F.lit(False)).alias("restart"))
+        "server_id", "name", "action", F.coalesce(restart, F.lit(False)).alias("restart"), F.col("_name").alias("provider_name"),
+        F.col("_stored").alias("stored"), F.when(F.col("action") == "update", trimmed(F.col("value"))).alias("sent"))
 
 
 def azure_exit(plan: DataFrame, restarting: bool) -> DataFrame:
-    """CP8: exit code per server; a needed restart that is not made is reported."""
+    """CP8: exit code and task status per server, and how many names were passed over; a needed restart that is not made is a failure."""
     needed = F.bool_or("restart")
+    action = F.col("action")
     return plan.groupBy("server_id").agg(
-        F.count_if(F.col("action") == "update").alias("updates"), needed.alias("restart_required"),
-        F.when(needed & ~F.lit(restarting), RESTART).otherwise(0).alias("exit_code"))
+        F.count_if(action == "update").alias("updates"), F.count_if(action == "unknown").alias("unknown"),
+        F.count_if(action == "read-only").alias("read_only"), needed.alias("restart_required"),
+        F.when(needed & ~F.lit(restarting), RESTART).otherwise(0).alias("exit_code"),
+        F.when(needed & ~F.lit(restarting), 4).otherwise(1).alias("task_status"))
 
 
 def apply_plan_local(recommendations: DataFrame, current: DataFrame, servers: DataFrame) -> DataFrame:

@@ -221,12 +221,16 @@ def key_column_usage(t: Tables):
 @query("sequence_ownership", f"""WITH {CATALOG},
 seqs AS (SELECT p_partkey % 10 AS server_id, CASE p_partkey % 25 % 9 WHEN 4 THEN 'pg_catalog' WHEN 5 THEN 'pg_toast_' || CAST(p_partkey % 25 AS VARCHAR) ELSE 'nation_' || CAST(p_partkey % 26 AS VARCHAR) END AS schemaname,
   'seq_' || CAST(p_partkey AS VARCHAR) AS sequencename, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'NULL' ELSE CAST(p_size AS VARCHAR) END AS cache_size,
-  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS last_value FROM part),
+  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS last_value, CASE p_partkey % 3 WHEN 0 THEN 'smallint' WHEN 1 THEN 'bigint' ELSE 'NULL' END AS data_type,
+  CAST(p_size AS VARCHAR) AS start_value, CASE WHEN p_partkey % 7 <> 0 THEN '-' || CAST(p_partkey AS VARCHAR) END AS min_value, CAST(p_partkey * 1000 AS VARCHAR) AS max_value,
+  CASE WHEN p_partkey % 8 = 0 THEN 'NULL' ELSE '2' END AS increment_by, CASE p_partkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS cycle FROM part),
 own AS (SELECT p_partkey % 10 AS server_id, 1000000 + p_partkey AS oid, CASE WHEN p_partkey % 6 <> 0 THEN 'seq_' ELSE 'lost_' END || CAST(p_partkey AS VARCHAR) AS relname, CAST(p_partkey % 26 AS BIGINT) AS relnamespace FROM part),
 deps AS (SELECT p_partkey % 10 AS server_id, CASE WHEN p_partkey % 5 <> 0 THEN 1000000 + p_partkey ELSE -p_partkey END AS objid, p_partkey % 100 AS refobjid, p_partkey % 10 AS refobjsubid FROM part
   WHERE (['a', 'i', 'n'])[CAST((p_partkey // 10) % 3 AS INTEGER) + 1] IN ('a', 'i'))
 SELECT s.server_id, s.schemaname, s.sequencename, nullif(nullif(s.cache_size, 'NULL'), '') AS cache_size, nullif(nullif(s.last_value, 'NULL'), '') AS last_value,
-  tn.nspname AS owned_table_schema, c.relname AS owned_table_name, a.attname AS owned_column_name
+  tn.nspname AS owned_table_schema, c.relname AS owned_table_name, a.attname AS owned_column_name,
+  CASE WHEN a.attnum % 2 = 0 THEN 'bigint' WHEN a.attnum IS NOT NULL THEN 'integer' END AS owned_column_data_type, nullif(s.data_type, 'NULL') AS data_type, s.start_value, s.min_value, s.max_value,
+  nullif(s.increment_by, 'NULL') AS increment_by, coalesce(s.cycle, 'false') AS cycle
 FROM seqs s LEFT JOIN (SELECT server_id, nspname, min(oid) AS oid FROM namespaces GROUP BY ALL) n ON n.server_id = s.server_id AND n.nspname = s.schemaname
 LEFT JOIN own o ON o.server_id = s.server_id AND o.relnamespace = n.oid AND o.relname = s.sequencename
 LEFT JOIN deps d ON d.server_id = s.server_id AND d.objid = o.oid LEFT JOIN classes c ON c.server_id = s.server_id AND c.oid = d.refobjid
@@ -240,14 +244,19 @@ def sequence_ownership(t: Tables):
               .otherwise(F.concat(F.lit("nation_"), (key % 26).cast("string"))))
     sequences = t.part.select((key % 10).alias("server_id"), schema.alias("schemaname"), name.alias("sequencename"),
                               F.when(key % 3 == 0, "NULL").otherwise(F.col("p_size").cast("string")).alias("cache_size"),
-                              F.when(key % 4 == 0, "").otherwise(key.cast("string")).alias("last_value"))
+                              F.when(key % 4 == 0, "").otherwise(key.cast("string")).alias("last_value"),
+                              F.when(key % 3 == 0, "smallint").when(key % 3 == 1, "bigint").otherwise("NULL").alias("data_type"),
+                              F.col("p_size").cast("string").alias("start_value"), F.when(key % 7 != 0, F.concat(F.lit("-"), key.cast("string"))).alias("min_value"),
+                              (key * 1000).cast("string").alias("max_value"), F.when(key % 8 == 0, "NULL").otherwise("2").alias("increment_by"),
+                              F.when(key % 5 == 0, "true").when(key % 5 == 1, "false").alias("cycle"))
     own = t.part.select((key % 10).alias("server_id"), (key + 1000000).alias("oid"), F.when(key % 6 != 0, name).otherwise(F.concat(F.lit("lost_"), key.cast("string"))).alias("relname"),
                         (key % 26).alias("relnamespace"), F.lit("S").alias("relkind"), F.lit(0).cast("bigint").alias("seq_scan"))
     dependencies = t.part.select(
         (key % 10).alias("server_id"), F.when(key % 5 != 0, key + 1000000).otherwise(-key).alias("objid"), F.lit(0).alias("objsubid"), pick("ain", "p_partkey", 10).alias("deptype"),
         (key % 100).alias("refobjid"), (key % 10).alias("refobjsubid"))
     everything = classes(t).unionByName(own)
-    return catalog.sequence_ownership(sequences, namespaces(t), everything, dependencies, attributes(t))
+    columns = attributes(t).withColumn("data_type", F.when(F.col("attnum") % 2 == 0, "bigint").otherwise("integer"))
+    return catalog.sequence_ownership(sequences, namespaces(t), everything, dependencies, columns)
 
 
 @query("tables_section", f"""WITH {CATALOG}, tables AS (SELECT c.server_id, n.nspname AS table_schema, c.relname AS table_name, CASE c.relkind WHEN 'v' THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type,

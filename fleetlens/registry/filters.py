@@ -57,8 +57,9 @@ def managed_internal_db(t: Tables):
   CASE WHEN event_id % 3 <> 0 THEN '10.0.0.' || CAST(user_id AS VARCHAR) END AS client_addr, CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END AS client_port,
   CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'idle' WHEN 'error' THEN NULL ELSE 'idle in transaction' END AS state,
   CASE WHEN event_id % 5 <> 0 THEN 'Lock' END AS wt, CASE WHEN event_id % 7 <> 0 THEN 'tuple' END AS we, ts,
-  CASE WHEN event_id % 2 = 0 THEN ts END AS xact_start, props AS query FROM events)
-SELECT server_id, pid, datname, usename, coalesce(client_addr, 'local') || coalesce(':' || CAST(client_port AS VARCHAR), '') AS client_address, state,
+  CASE WHEN event_id % 2 = 0 THEN ts END AS xact_start, props AS query,
+  CASE WHEN event_id % 11 <> 0 THEN 'app' || CAST(user_id % 7 AS VARCHAR) ELSE '' END AS application_name, CASE WHEN event_id % 13 = 0 THEN 'walsender' ELSE 'client backend' END AS backend_type FROM events)
+SELECT server_id, pid, datname, usename, coalesce(client_addr, 'local') || coalesce(':' || CAST(client_port AS VARCHAR), '') AS client_address, application_name, backend_type, state,
   concat_ws(' ', wt, we) AS wait_event, CAST(round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1000000.0::DOUBLE, 0) AS BIGINT) AS query_time,
   CAST(round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(xact_start)) / 1000000.0::DOUBLE, 0) AS BIGINT) AS tx_time,
   CAST(round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 1000000.0::DOUBLE, 0) AS BIGINT) AS state_time, query FROM s WHERE state IS NOT NULL""")
@@ -71,7 +72,9 @@ def active_sessions(t: Tables):
         .otherwise("idle in transaction").alias("state"),
         F.when(event % 5 != 0, "Lock").alias("wait_event_type"), F.when(event % 7 != 0, "tuple").alias("wait_event"),
         F.col("ts").alias("query_start"), F.when(event % 2 == 0, F.col("ts")).alias("xact_start"), F.col("ts").alias("state_change"),
-        F.col("props").alias("query"))
+        F.col("props").alias("query"),
+        F.when(event % 11 != 0, F.concat(F.lit("app"), (F.col("user_id") % 7).cast("string"))).otherwise("").alias("application_name"),
+        F.when(event % 13 == 0, "walsender").otherwise("client backend").alias("backend_type"))
     return f.active_sessions(sessions, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), b.micros)
 
 

@@ -237,6 +237,18 @@ def values_equal(t: Tables):
         F.count(F.lit(1)).alias("rows"))
 
 
+@query("config_text", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'ON' ELSE 'OFF' END WHEN 2 THEN CAST(l_partkey AS VARCHAR) || '.0' WHEN 3 THEN ''
+  WHEN 4 THEN CAST(-l_suppkey AS VARCHAR) WHEN 5 THEN CAST(l_partkey AS VARCHAR) || '.25' WHEN 6 THEN CAST(l_suppkey * 1000 AS VARCHAR) ELSE CAST(l_suppkey AS VARCHAR) END AS text FROM lineitem""")
+def config_text(t: Tables):
+    """Values of JSON documents of every type; those of line 2 are texts, so their digits stay."""
+    line, part, supplier = F.col("l_linenumber"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    member = (F.when(line == 1, F.when(F.col("l_partkey") % 2 == 0, "true").otherwise("false")).when(line == 2, F.concat(F.lit('" '), part, F.lit('.0 "')))
+              .when(line == 3, "null").when(line == 4, F.concat(F.lit("-"), supplier)).when(line == 5, F.concat(part, F.lit(".250")))
+              .when(line == 6, F.concat(supplier, F.lit("e3"))).otherwise(F.concat(supplier, F.lit(".00"))))
+    document = F.from_json(F.concat(F.lit('{"value": '), member, F.lit("}")), "map<string,variant>")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", n.config_text(document["value"]).alias("text"))
+
+
 @query("setting_value", """SELECT event_id, trim(coalesce(json_extract_string(CASE WHEN event_id % 2 = 0 THEN
   '{"setting": " ' || CAST(user_id AS VARCHAR) || ' "}' ELSE props END, '$.setting'), CAST(event_id AS VARCHAR) || ' ')) AS setting,
   CASE WHEN event_type = 'error' THEN 'reset' ELSE CAST(user_id AS VARCHAR) END AS effective FROM events""")

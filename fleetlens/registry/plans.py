@@ -254,7 +254,8 @@ eq AS (SELECT *, lower(trim(coalesce(live, ''))) = lower(trim(value)) OR coalesc
 def azure_sql(dynamic_only: bool) -> str:
     return f"""{AZURE}, acted AS (SELECT *, CASE WHEN same_live THEN 'equal' WHEN known IS NULL THEN 'unknown' WHEN read_only THEN 'read-only' WHEN {'true' if dynamic_only else 'false'} AND NOT dynamic THEN 'needs-restart'
   WHEN same_stored AND pending THEN 'pending-restart' WHEN same_stored THEN 'stored' ELSE 'update' END AS action FROM eq),
-plan AS (SELECT server_id, name, action, coalesce(action = 'pending-restart' OR (action = 'update' AND NOT dynamic), false) AS restart FROM acted)"""
+plan AS (SELECT server_id, name, action, coalesce(action = 'pending-restart' OR (action = 'update' AND NOT dynamic), false) AS restart,
+  known AS provider_name, stored, CASE WHEN action = 'update' THEN trim(value) END AS sent FROM acted)"""
 
 
 def azure_plan(t: Tables, dynamic_only: bool = False):
@@ -275,8 +276,9 @@ def apply_plan_azure_dynamic(t: Tables):
     return azure_plan(t, True)
 
 
-@query("azure_exit", f"""WITH {azure_sql(False)} SELECT server_id, count(*) FILTER (WHERE action = 'update') AS updates, bool_or(restart) AS restart_required,
-  CASE WHEN bool_or(restart) THEN 10 ELSE 0 END AS exit_code FROM plan GROUP BY server_id""")
+@query("azure_exit", f"""WITH {azure_sql(False)} SELECT server_id, count(*) FILTER (WHERE action = 'update') AS updates, count(*) FILTER (WHERE action = 'unknown') AS unknown,
+  count(*) FILTER (WHERE action = 'read-only') AS read_only, bool_or(restart) AS restart_required,
+  CASE WHEN bool_or(restart) THEN 10 ELSE 0 END AS exit_code, CASE WHEN bool_or(restart) THEN 4 ELSE 1 END AS task_status FROM plan GROUP BY server_id""")
 def azure_exit(t: Tables):
     return config.azure_exit(azure_plan(t), restarting=False)
 

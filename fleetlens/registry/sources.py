@@ -110,15 +110,18 @@ def parse_recommendations(t: Tables):
 
 
 @query("parse_stage_log", """SELECT event_id, CAST(user_id AS INTEGER) AS task_id, CAST(event_id % 4 AS INTEGER) AS statement_index, event_type AS stage, CASE WHEN event_id % 3 = 0 THEN 'started' ELSE 'failed' END AS status,
-  CASE WHEN user_id % 5 = 0 THEN 'db.my t' ELSE 'db.t' END || CAST(user_id AS VARCHAR) AS "table", CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 END AS duration_ms, CASE WHEN event_id % 3 = 2 THEN 'disk "x" full' END AS reason
+  CASE WHEN user_id % 5 = 0 THEN 'db.my t' ELSE 'db.t' END || CAST(user_id AS VARCHAR) AS "table", CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 END AS duration_ms, CASE WHEN event_id % 3 = 2 THEN CASE event_id % 4 WHEN 0 THEN 'disk "x" full'
+  WHEN 1 THEN 'line' || chr(10) || 'tab' || chr(9) || 'C:\\new\\table' WHEN 2 THEN 'bell' || chr(7) || ' null' || chr(1) || ' join' || chr(8203) || 'er' ELSE 'wide ' || chr(917505) || 'é' END END AS reason
 FROM events WHERE event_id % 7 <> 0""")
 def parse_stage_log(t: Tables):
     event, user = F.col("event_id"), F.col("user_id").cast("string")
     name = F.concat(F.when(F.col("user_id") % 5 == 0, "db.my t").otherwise("db.t"), user)
+    reason = (F.when(event % 4 == 0, r'disk \"x\" full').when(event % 4 == 1, r"line\ntab\tC:\\new\\table")
+              .when(event % 4 == 2, r"bell\a null\x01 join\u200ber").otherwise(r"wide \U000e0001é"))
     line = F.concat(F.lit("2024-01-01 INFO Schema change check: task_id="), user, F.lit(" statement_index="), (event % 4).cast("string"), F.lit(" stage="), F.col("event_type"),
                     F.when(event % 3 == 0, F.concat(F.lit(" status=started table="), name))
                     .otherwise(F.concat(F.lit(" status=failed table="), name, F.lit(" duration_ms="), (event % 1000).cast("string"))),
-                    F.when(event % 3 == 2, ' reason="disk \\"x\\" full"').otherwise(""))
+                    F.when(event % 3 == 2, F.concat(F.lit(' reason="'), reason, F.lit('"'))).otherwise(""))
     lines = t.events.select("event_id", F.when(event % 7 == 0, "other line").otherwise(line).alias("value"))
     return read.parse_stage_log(lines)
 

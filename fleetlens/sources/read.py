@@ -137,6 +137,25 @@ def parse_recommendations(documents: DataFrame, column: str = "document") -> Dat
         F.explode_outer(values).alias("name", "value"))
 
 
+# What follows a backslash in a quoted reason, and what it stands for.
+ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+
+
+def unquoted(text: Column) -> Column:
+    """The text that a quoted one stands for, read once from left to right; a byte that is no character becomes U+FFFD."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\\]+|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|\\U[0-9a-f]{8}|\\."), 0)
+
+    def meant(piece: Column) -> Column:
+        letter, code = F.substring(piece, 2, 1), F.substring(piece, F.lit(3), F.lit(8))
+        character = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        letters = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+        return (F.when(~piece.startswith("\\"), piece)
+                .when((letter == "x") & (code >= "80"), "\ufffd")
+                .when(letter.isin("x", "u", "U") & (code != ""), character)
+                .otherwise(F.coalesce(letters[letter], letter)))
+    return F.array_join(F.transform(pieces, meant), "")
+
+
 def parse_stage_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """SRC8: stage log lines as rows; other lines are left out."""
     line = F.col(column)
@@ -151,7 +170,7 @@ def parse_stage_log(lines: DataFrame, column: str = "value") -> DataFrame:
         field("task_id").try_cast("int").alias("task_id"), field("statement_index").try_cast("int").alias("statement_index"),
         field("stage").alias("stage"), field("status").alias("status"), table.alias("table"),
         field("duration_ms").try_cast("bigint").alias("duration_ms"),
-        F.nullif(F.replace(F.replace(reason, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")), F.lit("")).alias("reason"))
+        F.nullif(unquoted(reason), F.lit("")).alias("reason"))
 
 
 def parse_event_log(lines: DataFrame, column: str = "value") -> DataFrame:

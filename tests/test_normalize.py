@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from fleetlens.functions import maps
 from fleetlens.functions import normalize as n
 from fleetlens.operators import hosts, rollups
+from fleetlens.plans import config
+from fleetlens.sources import read
 
 
 def one(spark, column):
@@ -104,3 +106,33 @@ def test_old_statement_layouts(spark):
     row = rollups.statement_rollup_full(stats, databases, "total_time", has_toplevel=False, has_rows=False).first()
     assert (row["datname"], row["calls"], row["rows"], row["query"], row["toplevel"]) == ("NULL", 5, 0, "select 1", None)
     assert row["total_exec_time_us"] == pytest.approx(300.0) and row["mean_exec_time_us"] == pytest.approx(60.0)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("true", "ON"), ("false", "OFF"), ("null", ""), ('"  On "', "On"), ('"true"', "true"), ('""', ""), ("100.0", "100"), ("100", "100"), ("-0.50", "-0.5"),
+    ("1e3", "1000"), ("2.5e-7", "0.00000025"), ("9223372036854775807", "9223372036854775807"), ("18446744073709551615", "18446744073709551615"),
+    ("0.10", "0.1"), ("10", "10"), ("[1,2]", "[1,2]")])
+def test_config_text(spark, text, want):
+    assert one(spark, n.config_text(F.parse_json(F.lit(text)))) == want
+    assert one(spark, n.config_text(F.try_parse_json(F.lit("no json")))) == ""
+
+
+@pytest.mark.parametrize("text,want", [
+    (r"plain", "plain"), (r'a\"b\\n', 'a"b\\n'), (r"\\\n", "\\\n"), (r"\a\b\f\r\t\v", "\a\b\f\r\t\v"), (r"\x00\x7f", "\x00\x7f"), (r"\xff", "�"),
+    (r"\u200b\U000e0001é", "\u200b\U000e0001é"), ("", ""), (r"100\\x41", r"100\x41")])
+def test_unquoted(spark, text, want):
+    assert one(spark, read.unquoted(F.lit(text))) == want
+
+
+def test_azure_plan_names_and_values(spark):
+    wanted = spark.createDataFrame([(1, "a_b", " 5 "), (1, "c", "x"), (1, "d", "7"), (2, "e", "1")], "server_id int, name string, value string")
+    live = spark.createDataFrame([(1, "a_b", "4"), (1, "d", "7.0")], "server_id int, name string, value string")
+    known = spark.createDataFrame([(1, "A_B", "4", False, False, False), (2, "E", "0", True, True, False)],
+                                  "server_id int, name string, value string, read_only boolean, dynamic boolean, pending_restart boolean")
+    plan = config.apply_plan_azure(wanted, live, known)
+    got = {(r.server_id, r.name): (r.action, r.restart, r.provider_name, r.stored, r.sent) for r in plan.collect()}
+    assert got == {(1, "a_b"): ("update", True, "A_B", "4", "5"), (1, "c"): ("unknown", False, None, None, None),
+                   (1, "d"): ("equal", False, None, None, None), (2, "e"): ("read-only", False, "E", "0", None)}
+    ends = {r.server_id: (r.updates, r.unknown, r.read_only, r.exit_code, r.task_status) for r in config.azure_exit(plan, restarting=False).collect()}
+    assert ends == {1: (1, 1, 0, 10, 4), 2: (0, 0, 1, 0, 1)}
+    assert {r.task_status for r in config.azure_exit(plan, restarting=True).collect()} == {1}
