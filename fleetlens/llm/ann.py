@@ -29,8 +29,9 @@ QUERY_ROWS = 256
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows, the same whatever rows stand beside them."""
-    return (a * b).sum(axis=1)
+    """Inner products of paired rows, the same whatever rows stand beside them; sums that overflow to both sides rank last."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num((a * b).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
 
 
 def best(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
@@ -40,17 +41,22 @@ def best(queries: pa.Table, base: pa.Table, k: int) -> pa.Table:
         width = int(queries.column("width")[0].as_py())
         ids, vectors = base.column("vec_id").to_numpy(), matrix(base.column("embedding").combine_chunks(), width)
         asked, points = queries.column("vec_id").to_numpy(), matrix(queries.column("embedding").combine_chunks(), width)
+        with np.errstate(over="ignore"):
+            longest = np.sqrt((vectors * vectors).sum(axis=1)).max()
         for at in range(0, len(asked), QUERY_ROWS):
-            part = asked[at:at + QUERY_ROWS]
-            scores = points[at:at + QUERY_ROWS] @ vectors.T
-            scores[part[:, None] == ids[None, :]] = -np.inf
-            if len(ids) > k:
-                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            else:
-                least = np.full(len(part), -np.inf)
-            slack = 1e-9 * np.maximum(1, np.abs(least, where=np.isfinite(least), out=np.zeros(len(part))))
+            part, mine = asked[at:at + QUERY_ROWS], points[at:at + QUERY_ROWS]
+            other = part[:, None] != ids[None, :]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.where(other, mine @ vectors.T, -np.inf)
+                # How far a product may be off, by the lengths; where that is no number, all products are taken again.
+                slack = 1e-15 * width * np.sqrt((mine * mine).sum(axis=1)) * longest
+                sure = np.isfinite(slack) & np.isfinite(np.where(other, scores, 0)).all(axis=1)
+                if len(ids) > k:
+                    least = np.where(sure, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] - slack, -np.inf)
+                else:
+                    least = np.full(len(part), -np.inf)
             for row in range(len(part)):
-                near = np.flatnonzero((scores[row] >= least[row] - slack[row]) & np.isfinite(scores[row]))
+                near = np.flatnonzero(other[row] & ((scores[row] >= least[row]) | ~sure[row]))
                 true = exact(vectors[near], points[at + row][None, :])
                 for place in np.lexsort((ids[near], -true))[:k]:
                     out.append((part[row], ids[near[place]], true[place]))
@@ -96,13 +102,13 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, tables: int = TABLES, p
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` (inner product in doubles) of the ``k`` nearest vectors found.
 
     Both sides have ``vec_id`` and ``embedding``; other columns are not read. Rows with a null id, and vectors that are null,
-    empty, zero or hold a null or non-finite component, take no part; vectors of another width are no candidates; rows that
-    repeat an id count once. A query does not find its own id. Ties go to the smaller id. A query that found fewer than ``k``
+    empty, zero or hold a null or non-finite component, take no part; vectors of another width are no candidates; of rows that
+    repeat an id the smallest vector counts, once. Products too large for a double are infinite. A query does not find its own id. Ties go to the smaller id. A query that found fewer than ``k``
     looks into all cells, so it gets all candidates if there are fewer than ``k``. Empty tables give no row.
     """
     shared_dir(base.sparkSession)
     base, queries = (x.select(F.col("vec_id").cast("bigint"), "embedding").filter(F.col("vec_id").isNotNull() & takes_part())
-                     .dropDuplicates(["vec_id"]) for x in (base, queries))
+                     .groupBy("vec_id").agg(F.min("embedding").alias("embedding")) for x in (base, queries))
     first = ranked(looked_up(base, queries, k, tables, probes), k).checkpoint()
     enough = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = queries.join(enough, "vec_id", "left_anti").checkpoint()

@@ -27,6 +27,11 @@ def signs(seed: int, width: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2, (ROUNDS, width)).astype(np.float32) * 2 - 1
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The rows, each times the power of two that brings its largest component near one: directions stay exactly, and products stay finite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def rotated(vectors: np.ndarray, seed: int) -> np.ndarray:
     """The vectors, padded with zeros to a power of two, under the pseudo-rotation of this seed (up to a factor)."""
     rows, size = vectors.shape
@@ -40,7 +45,7 @@ def rotated(vectors: np.ndarray, seed: int) -> np.ndarray:
 
 def nearest_axes(vectors: np.ndarray, seed: int, probes: int) -> np.ndarray:
     """Numbers of the ``probes`` nearest signed axes, nearest first: axis ``i`` is ``i``, its opposite ``i`` plus the width."""
-    x = rotated(vectors, seed)
+    x = rotated(scaled(vectors), seed)
     both = np.concatenate([x, -x], axis=1)
     if probes == 1:
         return np.argmax(both, axis=1)[:, None]

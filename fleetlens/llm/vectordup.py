@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .components import connected_components
-from .crosspolytope import matrix
+from .crosspolytope import matrix, scaled
 from .vectors import takes_part, with_cells
 
 COSINE = 0.93
@@ -31,6 +31,7 @@ BLOCK = 512
 
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows with a cosine of at least ``least``; close calls are decided by a sum that does not depend on the block."""
+    a, b = scaled(a), scaled(b)
     norms_a, norms_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     cosine = (a @ b.T) / norms_a[:, None] / norms_b[None, :]
     left, right = np.nonzero(cosine >= least - 1e-9)

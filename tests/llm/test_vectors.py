@@ -105,3 +105,21 @@ def test_near_vectors_of_odd_rows(spark, odd_vectors):
     assert vectordup.near_duplicate_vectors(odd_vectors.limit(0)).collect() == []
     rows = queries.QUERIES["op9_near_vectors"](spark, SMALLEST).collect()
     assert len(rows) == spark.read.parquet(f"{SMALLEST}/embeddings.parquet").count()
+
+
+def test_vectors_of_any_length(spark):
+    """Lengths beyond what squares or single precision hold; an id with two vectors; products that overflow, to one side and to both."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 16))
+    lengths = [1e200, 1e-200, 1.0, 1e-310]
+    rows = [(i, (x[i // 2] * lengths[(i + i // 2) % 4]).tolist(), 1) for i in range(120)]
+    got = vectordup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert all(r.n_links >= 1 and r.component_id <= r.vec_id // 2 * 2 for r in got)
+
+    base = [(1, [1e200, 1.0]), (2, [2e200, 0.0]), (3, [1e200, -1e200]), (4, [-1e200, 0.0]), (5, [1.0, 1.0]), (5, [0.5, 0.5]), (20, [1e200, 1e200])]
+    df = spark.createDataFrame(base, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id = 20"), 20).orderBy("rank").collect()
+    inf = float("inf")
+    assert [(r.vec_id, r.score) for r in got] == [(1, inf), (2, inf), (5, 1e200), (3, -inf), (4, -inf)]
+    got = ann.nearest(df, df.filter("vec_id = 20"), 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, inf), (2, inf)]
