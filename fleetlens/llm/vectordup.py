@@ -7,8 +7,11 @@ the number of links needs no table of pairs, and a pair of blocks returns no mor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,9 @@ PROBES = 2
 """Tables, hashes per table and nearest axes per hash. At the threshold itself a pair shares no cell with a chance of 1.2e-4
 (64 components), at a cosine of 0.96 of 2e-6."""
 
+PAIR = ("label", "width", "table", "cell", "low", "high")
+"""What tells one pair of blocks from another."""
+
 BLOCK = 512
 """Classes of a cell that one side of a comparison holds."""
 
@@ -42,21 +48,51 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return left[keep], right[keep]
 
 
-def compare(key: tuple, rows: pa.Table, least: float, per_table: int) -> pa.Table:
-    """Counted links per class (``b`` null) and links that hang the classes together (``links`` null)."""
-    width, table, cell, low, high = (k.as_py() for k in key[1:6])
-    marks, own = rows.column("mark").to_numpy(), rows.column("own").to_numpy()
-    weight = rows.column("copies").to_numpy()
-    vectors = matrix(rows.column("embedding").combine_chunks(), width)
-    cells = np.asarray(rows.column("cells").combine_chunks().flatten().to_numpy()).reshape(len(marks), -1)
+def compared(batches: Iterator[pa.RecordBatch], least: float, per_table: int) -> Iterator[pa.RecordBatch]:
+    """Links of all pairs of blocks of a task, whose rows come one pair after the other; a pair may begin in one batch and end in the next."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
+        if rows.num_rows:
+            *whole, last = blocks(rows.to_batches()[0])
+            yield from found_links(whole, least, per_table)
+            rest = [last]
+    yield from found_links(rest, least, per_table)
+
+
+def blocks(rows: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The rows cut where any column of ``PAIR`` changes."""
+    n = rows.num_rows
+    change = np.zeros(n - 1, bool)
+    for name in PAIR:
+        column = rows.column(name)
+        change |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    edges = np.concatenate([[0], np.flatnonzero(change) + 1, [n]]).tolist()
+    return [rows.slice(start, end - start) for start, end in zip(edges, edges[1:])]
+
+
+def found_links(pairs: list[pa.RecordBatch], least: float, per_table: int) -> Iterator[pa.RecordBatch]:
+    found = [links for links in (compare(rows, least, per_table) for rows in pairs) if links is not None]
+    if found:
+        yield from pa.concat_tables(found).combine_chunks().to_batches()
+
+
+def compare(rows: pa.RecordBatch, least: float, per_table: int) -> pa.Table | None:
+    """Counted links per class (``b`` null) and links that hang the classes together (``links`` null), of one pair of blocks."""
+    width, table, cell, low, high = (rows.column(name)[0].as_py() for name in PAIR[1:])
+    own, vectors = rows.column("own").to_numpy(), matrix(rows.column("embedding"), width)
     if low == high:
-        left = right = np.arange(len(marks))
+        left = right = np.arange(len(own))
     else:
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
     x, y = linked(vectors[left], vectors[right], least)
     x, y = left[x], right[y]
     if low == high:
         x, y = x[x < y], y[x < y]
+    if not len(x):
+        return None
+    marks, weight = rows.column("mark").to_numpy(), rows.column("copies").to_numpy()
+    cells = np.asarray(rows.column("cells").flatten().to_numpy()).reshape(len(marks), -1)
     fresh = np.ones(len(x), bool)
     for at in range(table + 1):
         mine, other = cells[x, at * per_table:(at + 1) * per_table], cells[y, at * per_table:(at + 1) * per_table]
@@ -109,8 +145,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE) -> DataFra
     paired = placed.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("mark"), "cuts")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("low", F.least("own", "other")).withColumn(
         "high", F.greatest("own", "other")).drop("other", "cuts")
-    found = paired.groupBy(*key, "low", "high").applyInArrow(
-        lambda k, t: compare(k, t, least, per_table), "a bigint, b bigint, links bigint").checkpoint()
+    # Most cells are small: a task walks through many of them, each bounded by two blocks.
+    found = paired.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(
+        lambda batches: compared(batches, least, per_table), "a bigint, b bigint, links bigint").checkpoint()
     parts = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("mark")).agg(F.sum("links").alias("links"))
     kinds = hashed.select("mark", "first_id", "copies")
