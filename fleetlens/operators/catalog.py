@@ -1,7 +1,7 @@
 """Schema catalogues: versioned columns, indexes, constraints, sequences, sections.
 
-Joins by relation, column or index meet large tables on fine keys: they are plain joins, whose skewed partitions Spark
-splits at run time. Joins by schema, collation or server meet small tables on coarse keys: they are salted lookups.
+Joins by relation, column or index meet large tables on fine keys: both sides are sorted and never broadcast, and Spark splits
+skewed partitions at run time. Joins by schema, collation or server meet small tables on coarse keys: they are lookups.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import ACTION_WORDS, MATCH_WORDS, code_word, from_null_marker, since
 from .filters import relkind_filter, user_schema
-from .skew import lookup
+from .skew import lookup, meet
 
 # Server versions from which a column exists, required columns, sections in their order.
 IDENTITY, KEY_COUNT, GENERATED, NULLS_NOT_DISTINCT, LAST_SCAN = 100000, 110000, 120000, 150000, 160000
@@ -77,7 +77,7 @@ def index_keys(indexes: DataFrame, attributes: DataFrame, collations: DataFrame,
     sorting = sorting.select(*keys, F.col("oid").alias("indcollation"), "collname", F.col("schema").alias("collschema"))
     classes = _short(opclasses, namespaces, keys, "opcname", "opcnamespace", "opcdefault")
     classes = classes.select(*keys, F.col("oid").alias("indclass"), "opcname", F.col("schema").alias("opcschema"), "opcdefault")
-    joined = lookup(lookup(parts.join(columns, [*keys, "indrelid", "indkey"], "left"), sorting, [*keys, "indcollation"]),
+    joined = lookup(lookup(meet(parts, columns, [*keys, "indrelid", "indkey"], "left"), sorting, [*keys, "indcollation"]),
                     classes, [*keys, "indclass"])
     expression = F.col("indkey") == 0
     option = F.coalesce("indoption", F.lit(0))

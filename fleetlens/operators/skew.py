@@ -28,6 +28,16 @@ def lookup(facts: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "le
     return facts.join(keyed, list(on), how)
 
 
+def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the fleet, on fine keys.
+
+    Both sides are sorted by the key. Spark's estimate of a side is that of the files it is read from: it knows nothing of rows that
+    an ``explode`` adds, nor of the width of texts, and would broadcast millions of rows by it. The partition of a hot key is
+    split at run time.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", spread: Sequence[str] = ()) -> DataFrame:
     """The first ``k`` rows of every group with their rank, cut per slice before the groups meet in one task.
 
