@@ -103,7 +103,7 @@ def index_usage_attach(indexes: DataFrame, usage: DataFrame, resets: DataFrame,
     keys = list(keys)
     attached = inherits.select(*keys, F.col("inhrelid").alias("indexrelid"), F.lit(True).alias("_attached")).distinct()
     scans = usage.select(*keys, "indexrelid", "idx_scan", "last_idx_scan")
-    joined = indexes.join(scans, [*keys, "indexrelid"], "left").join(attached, [*keys, "indexrelid"], "left")
+    joined = meet(meet(indexes, scans, [*keys, "indexrelid"], "left"), attached, [*keys, "indexrelid"], "left")
     return (lookup(joined, resets.select(*keys, "stats_reset"), keys)
             .withColumn("idx_scan", F.coalesce("idx_scan", F.lit(0)))
             .withColumn("is_attached_partition", F.coalesce("_attached", F.lit(False))).drop("_attached"))
@@ -123,11 +123,11 @@ def index_rows(indexes: DataFrame, classes: DataFrame, methods: DataFrame, attri
     own = classes.select(*keys, F.col("oid").alias("indexrelid"), F.col("relname").alias("name"), "relkind", "relam")
     table = _relations(classes, namespaces, keys, "indrelid", "table", "schema").filter(user_schema(F.col("schema")))
     am = methods.select(*keys, F.col("oid").alias("relam"), F.col("amname").alias("access_method"))
-    rows = known.join(own, [*keys, "indexrelid"]).join(table, [*keys, "indrelid"])
+    rows = meet(meet(known, own, [*keys, "indexrelid"]), table, [*keys, "indrelid"])
     rows = lookup(rows, am, [*keys, "relam"], "inner")
     rows = index_usage_attach(rows, usage, resets, inherits, keys)
     parts = index_keys(known, attributes, collations, opclasses, namespaces, keys)
-    rows = rows.join(parts, [*keys, "indexrelid"], "left")
+    rows = meet(rows, parts, [*keys, "indexrelid"], "left")
     last = since(version, LAST_SCAN, F.coalesce("last_idx_scan", empty), empty)
     return rows.select(
         *keys, "database", "schema", "table", "name", "access_method", "keys", "include_columns", F.coalesce("indpred", empty).alias("predicate"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog, rollups
+from ..operators.skew import meet
 from . import bindings as b
 from .base import Tables, query
 
@@ -156,7 +157,7 @@ def index_rows(t: Tables):
         server, order.alias("indexrelid"), (90000 + F.col("server_id") * 10000).alias("version"), (1 + order % 4).alias("indnatts"), F.least(1 + order % 3, 1 + order % 4).alias("indnkeyatts"),
         (order % 6 == 0).alias("indnullsnotdistinct"), text("db", F.col("o_custkey") % 4).alias("database"), F.when(order % 5 == 0, text("c > ", order % 100)).alias("indpred"),
         text("CREATE INDEX idx_", order).alias("indexdef"), *flags)
-    rows = indexes(t).drop("key_count").join(own, ["server_id", "indexrelid"])
+    rows = meet(indexes(t).drop("key_count"), own, ["server_id", "indexrelid"])
     relations = classes(t).select("server_id", "oid", "relname", "relnamespace", "relkind", F.lit(None).cast("bigint").alias("relam")).unionByName(t.orders.select(
         server, order.alias("oid"), text("idx_", order).alias("relname"), F.lit(None).cast("bigint").alias("relnamespace"), F.when(order % 8 == 0, "I").otherwise("i").alias("relkind"),
         (order % 3).alias("relam")).withColumn("oid", F.col("oid") + INDEX_IDS))

@@ -39,3 +39,15 @@ def test_index_keys_sorts_the_columns(spark):
     found = catalog.index_keys(indexes(spark), attributes(spark), *sorting(spark))
     assert sorted_joins(found) == 1
     assert {r.indexrelid: ([k.column_name for k in r["keys"]], r.include_columns) for r in found.collect()} == {10: (["c2"], ["c9"]), 11: ([None], [])}
+
+
+def test_index_rows_sorts_all_large_sides(spark):
+    base = indexes(spark).drop("key_count").withColumns({
+        "version": F.lit(170000), "indnatts": F.size("indkey").cast("bigint"), "indnkeyatts": F.lit(1).cast("bigint"), "indnullsnotdistinct": F.lit(False), "database": F.lit("db"), "indpred": F.lit(None).cast("string"),
+        "indexdef": F.lit("d"), **{f"indis{f}": F.lit(False) for f in ("unique", "primary", "valid", "ready", "exclusion", "clustered", "replident")}})
+    classes = table(spark, "server_id long, oid long, relname string, relnamespace long, relkind string, relam long",
+                    (1, 1, "t1", 5, "r", None), (1, 2, "t2", 5, "r", None), (1, 10, "i10", 5, "i", 7), (1, 11, "i11", 5, "i", 7))
+    methods, usage = table(spark, "server_id long, oid long, amname string", (1, 7, "btree")), table(spark, "server_id long, indexrelid long, idx_scan long, last_idx_scan string", (1, 10, 3, "x"))
+    found = catalog.index_rows(base, classes, methods, attributes(spark), *sorting(spark), usage, table(spark, "server_id long, stats_reset string", (1, "r")), table(spark, "server_id long, inhrelid long", (1, 11)))
+    assert sorted_joins(found) == 6
+    assert sorted((r.name, r.table, r.idx_scan, r.is_attached_partition, r.include_columns) for r in found.collect()) == [("i10", "t1", 3, False, ["c9"]), ("i11", "t2", 0, True, [])]
