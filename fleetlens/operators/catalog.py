@@ -207,8 +207,8 @@ def sequence_ownership(sequences: DataFrame, namespaces: DataFrame, classes: Dat
     columns = attributes.select(*keys, F.col("attrelid").alias("_table"), F.col("attnum").alias("_column"), F.col("attname").alias("owned_column_name"),
                                 F.col("data_type").alias("owned_column_data_type"))
     joined = lookup(sequences.filter(user_schema(F.col("schemaname"))), schemas, [*keys, "schemaname"])
-    joined = joined.join(own, [*keys, "_namespace", "sequencename"], "left").join(owners, [*keys, "_sequence"], "left")
-    joined = joined.join(tables, [*keys, "_table"], "left").join(columns, [*keys, "_table", "_column"], "left")
+    joined = meet(meet(joined, own, [*keys, "_namespace", "sequencename"], "left"), owners, [*keys, "_sequence"], "left")
+    joined = meet(meet(joined, tables, [*keys, "_table"], "left"), columns, [*keys, "_table", "_column"], "left")
     values = ("data_type", "start_value", "min_value", "max_value", "increment_by", "cache_size", "last_value",
               "owned_table_schema", "owned_table_name", "owned_column_name", "owned_column_data_type")
     return joined.select(*keys, "schemaname", "sequencename", *[from_null_marker(F.col(v)).alias(v) for v in values],

@@ -51,3 +51,13 @@ def test_index_rows_sorts_all_large_sides(spark):
     found = catalog.index_rows(base, classes, methods, attributes(spark), *sorting(spark), usage, table(spark, "server_id long, stats_reset string", (1, "r")), table(spark, "server_id long, inhrelid long", (1, 11)))
     assert sorted_joins(found) == 6
     assert sorted((r.name, r.table, r.idx_scan, r.is_attached_partition, r.include_columns) for r in found.collect()) == [("i10", "t1", 3, False, ["c9"]), ("i11", "t2", 0, True, [])]
+
+
+def test_sequence_ownership_sorts_all_large_sides(spark):
+    texts = ("data_type", "start_value", "min_value", "max_value", "increment_by", "cache_size", "last_value", "cycle")
+    sequences = table(spark, "server_id long, schemaname string, sequencename string", (1, "app", "s"), (1, "app", "alone")).withColumns({c: F.lit("1") for c in texts})
+    classes = table(spark, "server_id long, oid long, relname string, relnamespace long, relkind string", (1, 20, "s", 5, "S"), (1, 2, "t2", 5, "r"))
+    dependencies = table(spark, "server_id long, objid long, objsubid int, deptype string, refobjid long, refobjsubid long", (1, 20, 0, "a", 2, 3))
+    found = catalog.sequence_ownership(sequences, sorting(spark)[2], classes, dependencies, attributes(spark))
+    assert sorted_joins(found) == 4
+    assert sorted((r.sequencename, r.owned_table_name, r.owned_column_name) for r in found.collect()) == [("alone", None, None), ("s", "t2", "c3")]
