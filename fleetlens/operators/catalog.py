@@ -158,8 +158,8 @@ def referential_constraints(constraints: DataFrame, classes: DataFrame, namespac
     parent = _relations(classes, namespaces, keys, "confrelid", "referenced_table_name", "unique_constraint_schema")
     index_names = classes.select(*keys, F.col("oid").alias("conindid"), F.col("relname").alias("_index"))
     foreign = constraints.filter(F.col("contype") == "f")
-    joined = foreign.join(child, [*keys, "conrelid"]).join(parent, [*keys, "confrelid"])
-    joined = joined.join(index_names, [*keys, "conindid"], "left").join(_unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"], "left")
+    joined = meet(meet(foreign, child, [*keys, "conrelid"]), parent, [*keys, "confrelid"])
+    joined = meet(meet(joined, index_names, [*keys, "conindid"], "left"), _unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"], "left")
     return joined.filter(user_schema(F.col("constraint_schema"))).select(
         *keys, "constraint_schema", F.col("conname").alias("constraint_name"), "unique_constraint_schema",
         F.coalesce("unique_name", "_index", F.lit("NULL")).alias("unique_constraint_name"),
@@ -175,8 +175,8 @@ def key_column_usage(constraints: DataFrame, classes: DataFrame, namespaces: Dat
     child = _relations(classes, namespaces, keys, "conrelid", "table_name", "constraint_schema")
     parent = _relations(classes, namespaces, keys, "confrelid", "referenced_table_name", "referenced_table_schema")
     foreign = constraints.filter(F.col("contype") == "f")
-    joined = foreign.join(child, [*keys, "conrelid"]).join(parent, [*keys, "confrelid"])
-    joined = joined.join(_unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"], "left")
+    joined = meet(meet(foreign, child, [*keys, "conrelid"]), parent, [*keys, "confrelid"])
+    joined = meet(joined, _unique_constraints(constraints, keys), [*keys, "conindid", "confrelid"], "left")
     parts = (joined.filter(user_schema(F.col("constraint_schema")))
              .withColumn("_parts", F.arrays_zip("conkey", "confkey"))
              .select("*", F.posexplode("_parts").alias("_place", "_part"))
@@ -185,7 +185,7 @@ def key_column_usage(constraints: DataFrame, classes: DataFrame, namespaces: Dat
     own = attributes.select(*keys, F.col("attrelid").alias("conrelid"), F.col("attnum").alias("_child"), F.col("attname").alias("column_name"))
     other = attributes.select(*keys, F.col("attrelid").alias("confrelid"), F.col("attnum").alias("_parent"), F.col("attname").alias("referenced_column_name"))
     place = F.nullif(F.expr("array_position(unique_key, _parent)"), F.lit(0))
-    return (parts.join(own, [*keys, "conrelid", "_child"]).join(other, [*keys, "confrelid", "_parent"])
+    return (meet(meet(parts, own, [*keys, "conrelid", "_child"]), other, [*keys, "confrelid", "_parent"])
             .select(*keys, "constraint_schema", F.col("conname").alias("constraint_name"), "table_name", "column_name",
                     F.col("ordinal_position").cast("string").alias("ordinal_position"),
                     F.coalesce(place, F.col("ordinal_position")).cast("string").alias("position_in_unique_constraint"),

@@ -61,3 +61,12 @@ def test_sequence_ownership_sorts_all_large_sides(spark):
     found = catalog.sequence_ownership(sequences, sorting(spark)[2], classes, dependencies, attributes(spark))
     assert sorted_joins(found) == 4
     assert sorted((r.sequencename, r.owned_table_name, r.owned_column_name) for r in found.collect()) == [("alone", None, None), ("s", "t2", "c3")]
+
+
+def test_foreign_keys_sort_all_large_sides(spark):
+    constraints = table(spark, "server_id long, oid long, conname string, contype string, conrelid long, confrelid long, conindid long, conkey array<long>, confkey array<long>, confmatchtype string, confupdtype string, confdeltype string",
+                        (1, 30, "fk", "f", 1, 2, 40, [4], [6], "s", "a", "a"), (1, 31, "pk", "p", 2, None, 40, [5, 6], None, None, None, None))
+    classes = table(spark, "server_id long, oid long, relname string, relnamespace long", (1, 1, "t1", 5), (1, 2, "t2", 5))
+    found = catalog.key_column_usage(constraints, classes, sorting(spark)[2], attributes(spark))
+    assert sorted_joins(found) == 5 and sorted_joins(catalog.referential_constraints(constraints, classes, sorting(spark)[2])) == 4
+    assert [(r.column_name, r.referenced_column_name, r.position_in_unique_constraint) for r in found.collect()] == [("c4", "c6", "2")]
