@@ -70,3 +70,8 @@ def test_foreign_keys_sort_all_large_sides(spark):
     found = catalog.key_column_usage(constraints, classes, sorting(spark)[2], attributes(spark))
     assert sorted_joins(found) == 5 and sorted_joins(catalog.referential_constraints(constraints, classes, sorting(spark)[2])) == 4
     assert [(r.column_name, r.referenced_column_name, r.position_in_unique_constraint) for r in found.collect()] == [("c4", "c6", "2")]
+
+
+def test_included_columns_alone_sort_the_columns(spark):
+    found = catalog.index_keys(indexes(spark), attributes(spark), *sorting(spark)).select("indexrelid", "include_columns")
+    assert sorted_joins(found) == 1 and sorted(map(tuple, found.collect())) == [(10, ["c9"]), (11, [])]
