@@ -16,9 +16,10 @@ POSTGRES_SPACE = r"[ \t\n\r\f]"
 LINE_COMMENT = r"--[^\n]*+"
 FLAT_COMMENT = r"/\*.*?\*/"
 COMMENT_TEXT = r"[^*/]++|\*(?!/)|/(?!\*)"
-NESTED_1 = rf"/\*(?:{COMMENT_TEXT})*+\*/"
-NESTED_2 = rf"/\*(?:{COMMENT_TEXT}|{NESTED_1})*+\*/"
-NESTED_3 = rf"/\*(?:{COMMENT_TEXT}|{NESTED_2})*+\*/"
+COMMENT_DEPTH = 64
+NESTED = rf"/\*(?:{COMMENT_TEXT})*+\*/"
+for _ in range(COMMENT_DEPTH - 1):
+    NESTED = rf"/\*(?:{COMMENT_TEXT}|{NESTED})*+\*/"
 ESCAPE_STRING = rf"(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'(?:[^'\\]++|\\(?:.|\z)|'')*+(?:'|\z)"
 PLAIN_STRING = r"'[^']*+(?:'|\z)"
 WORD = rf"[A-Za-z_{HIGH}][A-Za-z0-9_${HIGH}]*+"
@@ -60,12 +61,12 @@ def mysql_leading_word(text: Column) -> Column:
 
 
 def _flat_leading_word(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED_3})*+([A-Za-z]*)", 1))
+    return F.lower(F.regexp_extract(text, rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED})*+([A-Za-z]*)", 1))
 
 
 def _leading_deep(text: Column) -> Column:
     """Whether a comment that one regular expression cannot read stands before the first word."""
-    return F.coalesce(text.rlike(rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED_3})*+/\*"), F.lit(False))
+    return F.coalesce(text.rlike(rf"(?s)^(?:{POSTGRES_SPACE}++|{LINE_COMMENT}|{NESTED})*+/\*"), F.lit(False))
 
 
 def _walked_leading_word(walked: Column) -> Column:
@@ -82,9 +83,10 @@ def leading_unread(text: Column) -> Column:
     return F.when(_leading_deep(text), _walked(text).rlike(rf"^{POSTGRES_SPACE}*+/\* \z")).otherwise(False)
 
 
-# Fixed value: the smallest pieces of a text that may change how the rest is read.
-PIECE = (rf"(?s)(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'+|'+|\"+|[A-Za-z0-9_{HIGH}]+|[$\\\n*/-]|"
-         rf"[^A-Za-z0-9_{HIGH}$'\"\\\n*/-]+")
+# Fixed value: the pieces of a text that may change how the rest is read, and the runs between them.
+ESCAPE_START = rf"(?<![A-Za-z0-9_${HIGH}])(?:[eE]|[uU]&)'"
+PIECE = (rf"(?s){ESCAPE_START}'*+|'+|\"+|[$\\\n*/-]|"
+         rf"(?:(?!{ESCAPE_START})[A-Za-z0-9_{HIGH}]++|[^A-Za-z0-9_{HIGH}$'\"\\\n*/-]++)++")
 
 
 def _walked(text: Column) -> Column:
@@ -111,7 +113,7 @@ def _walked(text: Column) -> Column:
         first, both = F.substring(piece, 1, 1), F.concat(held, piece)
         quotes = F.length(piece) - F.length(F.replace(piece, lit("'"), lit("")))
         names, odd, odd_names = first == '"', quotes % 2 == 1, F.length(piece) % 2 == 1
-        word = piece.rlike(rf"^[A-Za-z0-9_{HIGH}]")
+        ends_word = piece.rlike(rf"[A-Za-z0-9_{HIGH}]\z")
         star, slash, dollar_sign, back = piece == "*", piece == "/", piece == "$", piece == "\\"
 
         def to(mode, out="", keep="", level=depth, open_tag=tag, after=False) -> Column:
@@ -123,8 +125,8 @@ def _walked(text: Column) -> Column:
                 .when((piece == "-") & (held == "-"), to("line", " "))
                 .when(dollar_sign & held.startswith("$"), to("dollar", open_tag=both))
                 .when(slash | (piece == "-") | (dollar_sign & ~state["word"]), to("code", held, piece))
-                .when((held == "$") & piece.rlike(rf"^{TAG}$"), to("code", "", both))
-                .otherwise(to("code", both, after=word | dollar_sign)))
+                .when((held == "$") & piece.rlike(rf"^{TAG}\z"), to("code", "", both))
+                .otherwise(to("code", both, after=ends_word | dollar_sign)))
         line = F.when(piece == "\n", to("code", piece)).otherwise(to("line"))
         string = F.when(odd, to("code")).otherwise(to("str"))
         # The character behind a backslash is part of the string, whatever it is.
@@ -132,12 +134,12 @@ def _walked(text: Column) -> Column:
                    .otherwise(to("estr", keep=F.when(back & (held == ""), piece).otherwise(""))))
         name = F.when(names & odd_names, to("code")).otherwise(to("name"))
         dollar = (F.when(dollar_sign & (both == tag), to("code", "'", after=True))
-                  .otherwise(to("dollar", keep=F.when(dollar_sign, piece).when((held == "$") & word, both).otherwise(""))))
+                  .otherwise(to("dollar", keep=F.when(dollar_sign, piece).when((held == "$") & piece.rlike(rf"^{TAG}\z"), both).otherwise(""))))
         closes = slash & (held == "*")
         comment = (F.when(closes & (depth == 1), to("code", " ", level=0)).when(closes, to("comment", level=depth - 1))
                    .when(star & (held == "/"), to("comment", level=depth + 1))
                    .otherwise(to("comment", keep=F.when(slash | star, piece).otherwise(""))))
-        return (F.when(mode == "code", code).when(mode == "comment", comment).when(mode == "line", line).when(mode == "str", string)
+        return (F.when(mode == "comment", comment).when(mode == "code", code).when(mode == "line", line).when(mode == "str", string)
                 .when(mode == "estr", escaped).when(mode == "name", name).otherwise(dollar))
 
     done = scan(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), state_of("code", 0, "", "", False, ""), step)
@@ -156,7 +158,7 @@ def is_explainable(leading_word: Column) -> Column:
 
 def _flat_masked(text: Column) -> Column:
     tokens = "|".join([
-        LINE_COMMENT, NESTED_3, r"(/\*).*+", ESCAPE_STRING, PLAIN_STRING, r'(")(?:[^"]|"")*+(?:"|\z)',
+        LINE_COMMENT, NESTED, r"(/\*).*+", ESCAPE_STRING, PLAIN_STRING, r'(")(?:[^"]|"")*+(?:"|\z)',
         rf"(?<![A-Za-z0-9_${HIGH}])(?:\$\$.*?\$\$|(\${TAG}\$).*?\3|(\$)(?:{TAG})?\$.*+)",
     ])
     return F.regexp_replace(text, rf"(?s)(?=[-/eEuU'\"$])(?:{tokens})", "$1$2$4 ")
@@ -170,8 +172,8 @@ def postgres_masked(text: Column) -> Column:
     """The text without comments and strings; a quoted name is left as a single double quote.
 
     Comments nest to any depth. Reading stops at a comment or dollar string that is never closed; its opening stays in the
-    result as a slash and star or a bare dollar sign at the end. One regular expression reads comments up to three deep; only
-    texts where it stops at a comment are walked piece by piece.
+    result as a slash and star or a bare dollar sign at the end. One regular expression reads comments up to ``COMMENT_DEPTH``
+    deep; only texts where it stops at a comment are walked piece by piece.
     """
     flat = _flat_masked(text)
     return F.when(flat.endswith("/* "), _strings_blank(_walked(text))).otherwise(flat)

@@ -187,3 +187,12 @@ def test_names_may_differ_in_case(spark):
     df = spark.createDataFrame([("ALTER TABLE SHOP.Stock FORCE", "shop", "shop", "stock")], "ddl_statement string, schema_name string, target_schema string, target_table string")
     assert tx.ddl_audit(df).first()["reason"] == "target-mismatch"
     assert tx.ddl_audit(df, lower_case_names=F.lit(True)).first()["reason"] is None
+
+
+def test_deep_comments_are_read_by_one_expression(spark):
+    """Only texts with an unclosed comment or one deeper than the expression reads are walked; runs without marks are one piece."""
+    text = "/* it's " * 50 + "*/ " * 50 + "select $1"
+    df = spark.createDataFrame([(text, "/* a, b c; d " * 65 + "*/" * 65 + " with n as (delete from t) select 1")], "t string, u string")
+    row = df.select(tx._flat_masked(F.col("t")).alias("m"), tx.postgres_leading_word(F.col("u")).alias("word"), tx.is_data_modifying(tx.postgres_masked(F.col("u"))).alias("modifying"),
+                    F.size(F.regexp_extract_all(F.lit("one, two (three) four E'a b' $1"), F.lit(tx.PIECE), F.lit(0))).alias("pieces")).first()
+    assert tuple(row) == ("  select $1", "with", True, 7)
