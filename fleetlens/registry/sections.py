@@ -13,9 +13,9 @@ LAYOUTS = ("full", "ignoring", "visibility", "legacy")
 ROWS = 2
 
 
-def column_value(name: str, place: int):
+def column_value(name: str, place: int, j):
     """The value of a column in row ``j`` of an order's section: missing in every fifth row, else the column's name and a number."""
-    seed = F.col("o_orderkey") + F.col("j") + place
+    seed = F.col("o_orderkey") + j + place
     return F.when(seed % 5 != 0, F.concat(F.lit(f"{name.lower()}_"), (seed % (7 + place)).cast("string")))
 
 
@@ -24,31 +24,35 @@ def column_sql(name: str, place: int) -> str:
     return f"CASE WHEN {seed} % 5 <> 0 THEN '{name.lower()}_' || CAST({seed} % {7 + place} AS VARCHAR) ELSE 'NULL' END"
 
 
-def flag(place: int):
+def flag(place: int, j):
     """YES, NO, or missing."""
-    seed = (F.col("o_orderkey") + F.col("j") + place) % 3
+    seed = (F.col("o_orderkey") + j + place) % 3
     return F.when(seed == 0, "YES").when(seed == 1, "no")
 
 
 def section_reports(t: Tables, section: str):
     """A report per order with two rows of the section, in the layout of its server; a missing value is null or not there at all."""
     layout, columns = F.col("o_custkey") % 4, schemas.SECTION_COLUMNS[section]
-    fields = {c: column_value(c, i) for i, c in enumerate(columns)}
     absent: dict = {}
     if section == "information_schema_indexes":
-        fields |= {"IS_VISIBLE": flag(1), "IGNORED": flag(2)}
         absent = {"EXPRESSION": layout != 0, "IS_VISIBLE": layout.isin(1, 3), "IGNORED": layout != 1}
     if section == "information_schema_columns":
         absent = {"GENERATION_EXPRESSION": layout.isin(1, 3)}
     # Nulls of a column that the layout has: kept in some rows, left out of others.
     dropped = lambda c, v: absent.get(c, F.lit(False)) | (v.isNull() & ((F.col("o_orderkey") % 2 == 0) if c not in absent else F.lit(False)))
-    entries = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), v.alias("value"), dropped(c, v).alias("gone")) for c, v in fields.items()]), lambda x: ~x["gone"])
-    row = F.map_from_entries(F.transform(entries, lambda x: F.struct(x["key"], x["value"])))
-    rows = t.orders.withColumn("j", F.explode(F.array(*[F.lit(j).cast("bigint") for j in range(ROWS)])))
-    reports = rows.groupBy("o_orderkey", "o_custkey", "o_orderdate").agg(F.collect_list(row).alias("rows"))
-    sections = F.create_map(F.lit(section), F.col("rows"))
-    document = F.struct(F.struct(sections.alias("DatabaseSchema")).alias("DB"))
-    return reports.select(F.col("o_custkey").alias("server_id"), F.to_timestamp(landing.iso("o_orderdate")).alias("collected_at"), F.to_json(document).alias("document"))
+
+    def row(j):
+        """The row's text: names and values need no escapes."""
+        fields = {c: column_value(c, i, j) for i, c in enumerate(columns)}
+        if section == "information_schema_indexes":
+            fields |= {"IS_VISIBLE": flag(1, j), "IGNORED": flag(2, j)}
+        entries = [F.when(~dropped(c, v), F.concat(F.lit(f'"{c}":'), F.coalesce(F.concat(F.lit('"'), v, F.lit('"')), F.lit("null")))) for c, v in fields.items()]
+        return F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
+
+    rows = F.transform(F.array(*[F.lit(j).cast("bigint") for j in range(ROWS)]), row)
+    document = F.concat(F.lit(f'{{"DB":{{"DatabaseSchema":{{"{section}":['), F.array_join(rows, ","), F.lit("]}}}"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
+    return orders.select(F.col("o_custkey").alias("server_id"), F.to_timestamp(landing.iso("o_orderdate")).alias("collected_at"), document.alias("document"))
 
 
 def section_sql(section: str) -> str:

@@ -83,19 +83,22 @@ def mysql_section(sections: DataFrame, section: str) -> DataFrame:
     only in the full layout; a column has a generation expression only in its full layout.
     """
     rows, row, layout = sections.filter(F.col("section") == section), F.col("row"), F.col("layout")
-    value = lambda c: F.coalesce(row[c], F.lit(NULL_MARKER))
+    columns, raw = schemas.SECTION_COLUMNS[section], []
     rules = {}
+    value = lambda c: F.coalesce(F.col(c), F.lit(NULL_MARKER))
     if section == "information_schema_indexes":
-        ignored = F.upper(F.coalesce(row["IGNORED"], F.lit("NO"))) == "YES"
+        raw, ignored = ["IGNORED"], F.upper(F.coalesce("IGNORED", F.lit("NO"))) == "YES"
         rules = {"EXPRESSION": F.when(layout == "full", value("EXPRESSION")).otherwise(NULL_MARKER),
                  "IS_VISIBLE": F.when(layout == "ignoring", F.when(ignored, "NO").otherwise("YES"))
-                 .when(layout == "legacy", "YES").otherwise(F.coalesce(row["IS_VISIBLE"], F.lit("YES")))}
+                 .when(layout == "legacy", "YES").otherwise(F.coalesce("IS_VISIBLE", F.lit("YES")))}
     if section == "information_schema_columns":
         rules = {"GENERATION_EXPRESSION": F.when(layout == "full", value("GENERATION_EXPRESSION")).otherwise(NULL_MARKER)}
+    # Values meet their layout, not maps: the names of the columns need not cross the shuffle.
+    found = rows.select("server_id", "collected_at", *[row[c].alias(c) for c in (*columns, *raw)])
     if rules:
         layouts = section_layouts(rows).select(F.col("server_id").alias("_server"), F.col("collected_at").alias("_at"), "layout")
-        rows = rows.join(layouts, F.col("server_id").eqNullSafe(F.col("_server")) & F.col("collected_at").eqNullSafe(F.col("_at")))
-    return rows.select("server_id", "collected_at", *[rules.get(c, value(c)).alias(c) for c in schemas.SECTION_COLUMNS[section]])
+        found = found.join(layouts, F.col("server_id").eqNullSafe(F.col("_server")) & F.col("collected_at").eqNullSafe(F.col("_at")))
+    return found.select("server_id", "collected_at", *[rules.get(c, value(c)).alias(c) for c in columns])
 
 
 def postgres_sections(sections: DataFrame, order: Sequence[str]) -> DataFrame:

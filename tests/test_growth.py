@@ -5,6 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from fleetlens.operators import catalog
+from fleetlens.registry import sections
+from fleetlens.registry.base import Tables
+from fleetlens.sources import read
 
 
 def table(spark, columns, *rows):
@@ -75,3 +78,18 @@ def test_foreign_keys_sort_all_large_sides(spark):
 def test_included_columns_alone_sort_the_columns(spark):
     found = catalog.index_keys(indexes(spark), attributes(spark), *sorting(spark)).select("indexrelid", "include_columns")
     assert sorted_joins(found) == 1 and sorted(map(tuple, found.collect())) == [(10, ["c9"]), (11, [])]
+
+
+def test_section_rows_meet_their_layout_as_values(spark, tmp_path):
+    """The maps of a report's rows do not cross the shuffle, and neither do they on the way into a report."""
+    rows = spark.createDataFrame([(1, "information_schema_columns", {"TABLE_NAME": "t", "GENERATION_EXPRESSION": "a"}), (1, "information_schema_columns", {"TABLE_NAME": "u"}), (2, "information_schema_columns", {"TABLE_NAME": "v"})],
+                                 "server_id long, section string, row map<string,string>").withColumn("collected_at", F.lit(0).cast("timestamp"))
+    found = read.mysql_section(rows, "information_schema_columns")
+    plan = found._jdf.queryExecution().optimizedPlan()
+    join = next(p for p in (plan.children().head(), plan) if p.nodeName() == "Join")
+    assert "map" not in join.schema().simpleString()
+    assert {r.TABLE_NAME: r.GENERATION_EXPRESSION for r in found.collect()} == {"t": "a", "u": "NULL", "v": "NULL"}
+    spark.range(1, 4).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("2024-01-01").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    reports = sections.section_reports(Tables(spark, str(tmp_path)), "information_schema_columns")
+    assert reports.count() == 3
+    assert "collect_list" not in reports._jdf.queryExecution().optimizedPlan().toString()
