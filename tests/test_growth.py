@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from fleetlens.operators import catalog
-from fleetlens.registry import sections
+from fleetlens.registry import landing, sections
 from fleetlens.registry.base import Tables
 from fleetlens.sources import read
 
@@ -93,3 +93,14 @@ def test_section_rows_meet_their_layout_as_values(spark, tmp_path):
     reports = sections.section_reports(Tables(spark, str(tmp_path)), "information_schema_columns")
     assert reports.count() == 3
     assert "collect_list" not in reports._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_landed_reports_are_compressed_and_whole(spark):
+    reports = spark.range(50).select(F.col("id").alias("server_id"), F.lit("2026-01-01T00:00:00Z").alias("collected_at"), F.lit("Metrics").alias("report_type"),
+                                     F.struct(F.repeat(F.lit("x"), 5000).alias("text")).alias("document"))
+    path = landing.landed(Tables(spark, ""), reports)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = [f for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().startswith("part-")]
+    assert held and all(f.getPath().getName().endswith(".json.gz") for f in held) and sum(f.getLen() for f in held) < 50_000
+    found = read.read_snapshots(spark, path).collect()
+    assert sorted(r.server_id for r in found) == list(range(50)) and all(r.error is None and len(r.document) == 5011 for r in found)
