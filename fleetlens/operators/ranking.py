@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_query_id
-from ..session import pinned
+from ..session import pinned, stored
 from .rollups import snapshot_keys, statement_rollup_full, with_texts
-from .skew import lookup, rank_within, top_k
+from .skew import lookup, meet, rank_within, top_k
 
 # Successful plans per ranking, and parameters per batch.
 PLAN_QUOTA = 100
@@ -45,10 +45,11 @@ def plan_quota(candidates: DataFrame, field: str, success: Column, quota: int =
     """The candidates attempted before ``quota`` successes, in rank order.
 
     A candidate is attempted exactly when it does not rank behind the last success that fits the quota. That
-    success is found by a top-k over successes only, so no running sum walks a whole server.
+    success is found by a top-k over successes only, so no running sum walks a whole server. These places, at most one per
+    group, are written, so that Spark knows how few they are before it decides whether the candidates have to move.
     """
     order = [F.col(field).desc(), F.col(tie).asc()]
-    last = (top_k(candidates.filter(success).select(*keys, field, tie), keys, order, quota, "_rank", [tie])
+    last = stored(top_k(candidates.filter(success).select(*keys, field, tie), keys, order, quota, "_rank", [tie])
             .filter(F.col("_rank") == quota)
             .select(*keys, F.col(field).alias("_field"), F.col(tie).alias("_tie")))
     within = (F.col("_field").isNull() | (F.col(field) > F.col("_field"))
@@ -133,12 +134,12 @@ def _failing_pass(candidates: DataFrame, field: str, quota: int, keys: list[str]
     order = [F.col(field).desc(), F.col(tie).asc()]
     text = F.concat(F.lit("connection_failed: "), F.coalesce(F.nullif("_reason", F.lit("")), F.lit("connection failed")))
     # Of a database's failing candidates the first is kept per slice before they meet.
-    first = (top_k(candidates.filter(F.col("_fails") & F.col("_known").isNull()).select(*keys, "_database", field, tie, text.alias("_text")), [*keys, "_database"], order, 1, "_rank", [tie])
+    first = stored(top_k(candidates.filter(F.col("_fails") & F.col("_known").isNull()).select(*keys, "_database", field, tie, text.alias("_text")), [*keys, "_database"], order, 1, "_rank", [tie])
              .select(*keys, "_database", F.col(field).alias("_field"), F.col(tie).alias("_tie"), "_text"))
     marked = lookup(candidates, first, [*keys, "_database"])
     skipped = F.col("_known").isNotNull() | (F.col("_tie").isNotNull() & _ranks_behind(field, tie))
     marked = marked.withColumn("_skipped", skipped).withColumn("_error", F.coalesce("_known", F.when(F.col("_skipped") | F.col("_fails"), F.col("_text")))).drop("_field", "_tie", "_text")
-    marked = pinned(marked)
+    marked = stored(marked)
     met = plan_quota(marked, field, F.col("_success") & ~F.col("_fails") & ~F.col("_skipped"), quota, keys, tie)
     outcome = (F.when(F.col("_skipped"), "skipped").when(F.col("_fails"), "connection-failed").when(F.col("_success"), "planned").otherwise("no-plan"))
     return met.withColumn("outcome", outcome).withColumn("explain_error", F.col("_error"))
@@ -157,16 +158,16 @@ def plan_outcomes(statements: DataFrame, eligible: Column, shared: Column, datab
     ranking the quotas were used up before.
     """
     keys = list(keys)
-    rows = statements.filter(eligible).select(
+    # The statements, with their texts behind them, and the candidates are each made once; both are read again for the members.
+    rows = stored(statements.filter(eligible).select(
         *keys, tie, first, second, shared.alias("_plan"), database.alias("_database"),
-        success.alias("_success"), fails.alias("_fails"), reason.alias("_reason"))
-    at = F.struct("_success", "_fails", "_reason")
-    groups = rows.groupBy(*keys, "_plan", "_database").agg(
-        F.min(tie).alias("attempt"), F.max(first).alias(first), F.max(second).alias(second), F.min_by(at, tie).alias("_at"))
-    members = rows.select(*keys, tie, "_plan", "_database").join(groups.select(*keys, "_plan", "_database", "attempt"), [*keys, "_plan", "_database"])
-    candidates = pinned(groups.select(*keys, "_database", F.col("attempt").alias(tie), first, second, "_at.*", F.lit(None).cast("string").alias("_known")))
-    one = pinned(_failing_pass(candidates, first, quota, keys, tie))
-    failed = one.filter("outcome = 'connection-failed'").select(*keys, "_database", F.col("explain_error").alias("_known")).distinct()
+        success.alias("_success"), fails.alias("_fails"), reason.alias("_reason")))
+    at = F.when(F.col(tie).isNotNull(), F.struct(tie, "_success", "_fails", "_reason"))
+    groups = stored(rows.groupBy(*keys, "_plan", "_database").agg(F.max(first).alias(first), F.max(second).alias(second), F.min(at).alias("_at")))
+    members = meet(rows.select(*keys, tie, "_plan", "_database"), groups.select(*keys, "_plan", "_database", F.col(f"_at.{tie}").alias("attempt")), [*keys, "_plan", "_database"])
+    candidates = groups.select(*keys, "_database", "_at.*", first, second, F.lit(None).cast("string").alias("_known"))
+    one = stored(_failing_pass(candidates, first, quota, keys, tie))
+    failed = stored(one.filter("outcome = 'connection-failed'").select(*keys, "_database", F.col("explain_error").alias("_known")).distinct())
     rest = lookup(candidates.join(one.select(*keys, tie), [*keys, tie], "left_anti").drop("_known"), failed, [*keys, "_database"])
     two = _failing_pass(rest, second, quota, keys, tie)
     result = lambda rows, ranking: rows.select(*keys, F.col(tie).alias("attempt"), F.lit(ranking).alias("ranking"), "outcome", "explain_error")

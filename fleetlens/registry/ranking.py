@@ -126,7 +126,7 @@ def postgres_plan_outcomes(t: Tables):
     rows = statements(t)
     others = F.when(F.col("datname") == "db3", "another").otherwise("")
     eligible = filters.postgres_candidate_reason(F.col("datname"), F.col("query"), others, F.lit(False)).isNull()
-    shared = ranking.plan_key(F.col("datname"), F.col("pg_queryid"), F.sha2("query", 256))
+    shared = ranking.plan_key(F.col("datname"), F.col("pg_queryid"), F.unhex(F.sha2("query", 256)))
     reason = F.when(F.length("queryid") % 2 == 0, F.concat(F.lit("no route to "), F.col("datname"))).otherwise("")
     return ranking.plan_outcomes(rows, eligible, shared, F.col("datname"), success(), F.right("queryid", F.lit(2)) == "41", reason)
 

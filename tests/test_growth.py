@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators import catalog
+from fleetlens.operators import catalog, ranking
 from fleetlens.registry import landing, sections
 from fleetlens.registry.base import Tables
 from fleetlens.sources import read
@@ -104,3 +104,22 @@ def test_landed_reports_are_compressed_and_whole(spark):
     assert held and all(f.getPath().getName().endswith(".json.gz") for f in held) and sum(f.getLen() for f in held) < 50_000
     found = read.read_snapshots(spark, path).collect()
     assert sorted(r.server_id for r in found) == list(range(50)) and all(r.error is None and len(r.document) == 5011 for r in found)
+
+
+def test_quota_places_do_not_move_the_candidates(spark):
+    """Candidates stay where they are: how few places there are is known when they are joined."""
+    rows = spark.range(300_000).select((F.col("id") % 3).alias("server_id"), F.lpad(F.col("id").cast("string"), 60, "0").alias("queryid"), (F.col("id") % 1000).cast("double").alias("time"))
+    found = ranking.plan_quota(rows, "time", F.col("queryid").endswith("7"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert found.groupBy("server_id").count().count() == 3 and found.filter(F.col("queryid").endswith("7")).count() == 15
+
+
+def test_plan_outcomes_reads_the_statements_once(spark):
+    """Members and candidates come from what was stored; the smallest id of a plan decides, and missing keys have no members."""
+    rows = table(spark, "server_id long, queryid string, datname string, total_exec_time_us double, mean_exec_time_us double, plan string, ok boolean, why string",
+                 (1, "b", "d", 9.0, 1.0, "p", False, "x"), (1, "a", "d", 1.0, 2.0, "p", True, None), (1, None, "d", 5.0, 5.0, "p", False, None),
+                 (1, "c", None, 3.0, 3.0, "q", True, None), (1, "e", "d", 4.0, 4.0, None, True, None), (None, "f", "d", 4.0, 4.0, "p", True, None))
+    found = ranking.plan_outcomes(rows, F.lit(True), F.col("plan"), F.col("datname"), F.col("ok"), F.lit(False), F.col("why"))
+    assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.queryid, r.attempt, r.outcome) for r in found.collect()), key=str) == [("a", "a", "planned"), ("b", "a", "planned"), (None, "a", "planned")]
