@@ -138,8 +138,8 @@ def _failing_pass(candidates: DataFrame, field: str, quota: int, keys: list[str]
              .select(*keys, "_database", F.col(field).alias("_field"), F.col(tie).alias("_tie"), "_text"))
     marked = lookup(candidates, first, [*keys, "_database"])
     skipped = F.col("_known").isNotNull() | (F.col("_tie").isNotNull() & _ranks_behind(field, tie))
-    marked = marked.withColumn("_skipped", skipped).withColumn("_error", F.coalesce("_known", F.when(F.col("_skipped") | F.col("_fails"), F.col("_text")))).drop("_field", "_tie", "_text")
-    marked = stored(marked)
+    marked = marked.withColumn("_skipped", skipped).withColumn("_error", F.coalesce("_known", F.when(F.col("_skipped") | F.col("_fails"), F.col("_text"))))
+    marked = stored(marked.select(*keys, "_database", tie, field, "_success", "_fails", "_skipped", "_error"))
     met = plan_quota(marked, field, F.col("_success") & ~F.col("_fails") & ~F.col("_skipped"), quota, keys, tie)
     outcome = (F.when(F.col("_skipped"), "skipped").when(F.col("_fails"), "connection-failed").when(F.col("_success"), "planned").otherwise("no-plan"))
     return met.withColumn("outcome", outcome).withColumn("explain_error", F.col("_error"))
@@ -169,7 +169,7 @@ def plan_outcomes(statements: DataFrame, eligible: Column, shared: Column, datab
     one = stored(_failing_pass(candidates, first, quota, keys, tie))
     failed = stored(one.filter("outcome = 'connection-failed'").select(*keys, "_database", F.col("explain_error").alias("_known")).distinct())
     rest = lookup(candidates.join(one.select(*keys, tie), [*keys, tie], "left_anti").drop("_known"), failed, [*keys, "_database"])
-    two = _failing_pass(rest, second, quota, keys, tie)
+    two = stored(_failing_pass(rest, second, quota, keys, tie))
     result = lambda rows, ranking: rows.select(*keys, F.col(tie).alias("attempt"), F.lit(ranking).alias("ranking"), "outcome", "explain_error")
     chosen = result(one, first).unionByName(result(two, second))
     return members.drop("_plan", "_database").join(chosen, [*keys, "attempt"], "left")
