@@ -26,7 +26,7 @@ SAMPLE = 40_000
 
 BINS = 1 << 15
 
-SLICE = 2 * 1024 * 1024
+SLICE = 512 * 1024
 """Text that a task looks at in one piece; its trigrams take some thirty times as much."""
 NONE = "und"
 

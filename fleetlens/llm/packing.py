@@ -24,6 +24,9 @@ PIECE = 256
 FILL = 0.997
 """Share of the block's room that is given pieces before the run."""
 
+SLICE = 1024 * 1024
+"""Text that a task encodes in one piece."""
+
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
@@ -132,7 +135,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW) ->
         words = word_vocabulary(vocabulary)
         packer = Packer(TaskContext.get().partitionId(), window)
         end = np.array([end_id], words.type)
-        for part in slices(batches, "text", 4 * 1024 * 1024):
+        for part in slices(batches, "text", SLICE):
             for doc, ids in zip(part.column("doc_id").to_pylist(), words.encode(part.column("text"))):
                 packer.add(doc, np.concatenate([np.frombuffer(ids.as_buffer(), words.type), end]))
             yield packer.taken()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .arrowio import slices, texts
+from .arrowio import released, slices, texts
 from .shingles import mixed
 
 LENGTH = 200
@@ -35,9 +35,9 @@ HOT = 1000
 CUT = 16
 """Neighbouring strings of a hot segment that stay together."""
 
-MORE_TASKS = 4
+MORE_TASKS = 8
 
-SLICE = 2 * 1024 * 1024
+SLICE = 512 * 1024
 """Text that a task looks at in one piece; its sums and hashes take some sixty times as much."""
 
 PIECE = 64 * 1024
@@ -374,6 +374,8 @@ def repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lows.append(start + low)
             highs.append(start + high - 1 + LENGTH)
     yield taken()
+    del family, known, whole, kept
+    released()
 
 
 def joined_runs(lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int]]:
