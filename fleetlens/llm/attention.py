@@ -183,12 +183,13 @@ class Model:
         return float(loss), g
 
     def soften(self, a: np.ndarray) -> None:
-        """Turns products of queries and keys into the shares of the places up to each, in place."""
+        """Turns products of queries and keys into the shares of the places up to each, in place; the queries may be those of the last places alone."""
+        first = WINDOW - a.shape[1]
         if a.max() > FAR or a.min() < -FAR:
-            a += self.mask
+            a += self.mask[first:]
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a *= self.seen
+        a *= self.seen[first:]
         total = a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)
         a /= total.reshape(*a.shape[:2], 1)
 
@@ -201,14 +202,19 @@ class Model:
             at = rng.integers(0, len(ids) - WINDOW, BATCH)[:, None] + places
             adam.step(ids[at], RATE * min(1, step / 50) * (1 - 0.9 * step / steps))
 
-    def scores(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probability of the id behind each place of a batch of windows: ``forward`` with fewer passes over memory."""
+    def scores(self, ids: np.ndarray, target: np.ndarray, first: int = 0) -> np.ndarray:
+        """Log probability of the id behind each place from ``first`` on of a batch of windows: ``forward`` with fewer passes over memory.
+
+        The places before ``first`` are looked at by the others, but what comes behind them is not worked out.
+        """
         w, shape = self.weights, (*ids.shape, SIZE)
         x = np.take(w["ids"], ids, axis=0)
         x += w["places"]
-        x = x.reshape(-1, SIZE)
-        into = np.concatenate([w["q"] * np.float32(SIZE ** -0.5), w["k"], w["v"]], axis=1)
-        q, k, v = (part.reshape(shape) for part in np.split(x @ into, 3, axis=1))
+        into = np.concatenate([w["k"], w["v"]], axis=1)
+        k, v = (part.reshape(shape) for part in np.split(x.reshape(-1, SIZE) @ into, 2, axis=1))
+        x = np.ascontiguousarray(x[:, first:]).reshape(-1, SIZE)
+        ids, target = ids[:, first:], target[:, first:]
+        q = (x @ (w["q"] * np.float32(SIZE ** -0.5))).reshape(*ids.shape, SIZE)
         a = q @ k.transpose(0, 2, 1)
         self.soften(a)
         x += (a @ v).reshape(-1, SIZE) @ w["o"]
@@ -228,16 +234,18 @@ class Model:
         """Log probability of every id to score. Text ``t`` is ``flat[starts[t]:starts[t] + lengths[t] + 1]`` and begins with an id that is not scored."""
         out = np.zeros(int(lengths.sum()), np.float32)
         before = np.cumsum(lengths) - lengths
-        text, first, scored = windows(lengths)
+        text, first, _ = windows(lengths)
         places = np.arange(WINDOW)
-        for at in range(0, len(text), batch):
-            t, f, s = text[at:at + batch], first[at:at + batch], scored[at:at + batch]
-            place = f[:, None] + places
-            inside = place < lengths[t][:, None]
-            at_id = starts[t][:, None] + np.minimum(place, lengths[t][:, None] - 1)
-            found = self.scores(flat[at_id], flat[at_id + 1])
-            keep = inside & (place >= s[:, None])
-            out[(before[t][:, None] + place)[keep]] = found[keep]
+        for context, alike in ((0, np.flatnonzero(first == 0)), (CONTEXT, np.flatnonzero(first))):
+            for at in range(0, len(alike), batch):
+                some = alike[at:at + batch]
+                t = text[some]
+                place = first[some][:, None] + places
+                at_id = starts[t][:, None] + np.minimum(place, lengths[t][:, None] - 1)
+                found = self.scores(flat[at_id], flat[at_id + 1], context)
+                place = place[:, context:]
+                keep = place < lengths[t][:, None]
+                out[(before[t][:, None] + place)[keep]] = found[keep]
         return out
 
 

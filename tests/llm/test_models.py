@@ -101,6 +101,30 @@ def test_scores_are_causal_and_sum_to_one(model):
     assert np.allclose(model.scores(ids, ids)[0, :20], model.scores(changed, ids)[0, :20], atol=1e-5)
 
 
+def test_context_places_are_not_scored_again(model, monkeypatch):
+    rng = np.random.default_rng(8)
+    ids, target = rng.integers(0, 60, (2, 3, attention.WINDOW))
+    whole = model.scores(ids, target)
+    assert np.allclose(model.scores(ids, target, attention.CONTEXT), whole[:, attention.CONTEXT:], atol=1e-5)
+    worked, scores = [], attention.Model.scores
+
+    def counted(self, *args):
+        worked.append(scores(self, *args))
+        return worked[-1]
+
+    monkeypatch.setattr(attention.Model, "scores", counted)
+    lengths, step = np.array([0, 200, 1, 32, 33]), attention.WINDOW - attention.CONTEXT
+    flat, starts = rng.integers(0, 60, int((lengths + 1).sum())), np.cumsum(lengths + 1) - lengths - 1
+    found = np.split(model.score(flat, starts, lengths), np.cumsum(lengths)[:-1])
+    assert sum(w.size for w in worked) == 4 * attention.WINDOW + (7 + 1) * step
+    for start, length, got in zip(starts, lengths, found):
+        for at in range(length):
+            first = 0 if at < attention.WINDOW else (at - attention.CONTEXT) // step * step
+            window = np.resize(flat[start + first:start + at + 1], attention.WINDOW)
+            want = model.scores(window[None], np.full((1, attention.WINDOW), flat[start + at + 1]))[0, at - first]
+            assert abs(got[at] - want) < 1e-4
+
+
 def test_gradients(model):
     rng = np.random.default_rng(7)
     ids = rng.integers(0, 60, (2, attention.WINDOW))
