@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import weakref
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,46 @@ def test_jaccard_of_odd_rows(spark, odd):
     assert jaccard.near_duplicates(odd.limit(0)).collect() == []
 
 
+def groups_with_quotations(seed, groups=12, copies=4):
+    """Near copies of long texts; the first ones of any two groups have a passage of six words in common."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    quoted = {(a, b): [word() for _ in range(6)] for a in range(groups) for b in range(a)}
+    rows = []
+    for group in range(groups):
+        words = [word() for _ in range(500)]
+        for copy in range(copies):
+            mine = list(words)
+            mine[rng.randrange(len(mine))] = word()
+            rows.append((len(rows), " ".join(mine + [w for pair, q in quoted.items() if group in pair and copy == 0 for w in q])))
+    return rows
+
+
+def test_jaccard_sends_no_text_to_blocks_it_quotes(spark, monkeypatch):
+    sent, whole = [], jaccard.full_sets
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "full_sets", lambda docs: sent.append(docs.agg(F.sum(F.size("visits"))).first()[0]) or whole(docs))
+    rows = groups_with_quotations(2)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter(tuple(r) for r in got) == components_by_hand(rows)
+    assert sent == [len(rows)]
+
+
+def test_jaccard_frees_its_shuffles(spark):
+    def shuffles():
+        places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for place in places for f in Path(place.getPath()).rglob("shuffle_*.data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(key, None)
+    found = jaccard.near_duplicates(spark.createDataFrame(near_copies(7), "doc_id bigint, text string"))
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert found.count() == 240 and spark.conf.get(key, None) == setting
+
+
 def test_search_probes_long_lists():
     base = np.arange(100, dtype=np.uint64)
     sets = [np.sort(np.concatenate([base[:90], np.arange(1000 + 20 * i, 1010 + 20 * i, dtype=np.uint64)])) for i in range(6)]
