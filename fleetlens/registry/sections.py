@@ -13,10 +13,10 @@ LAYOUTS = ("full", "ignoring", "visibility", "legacy")
 ROWS = 2
 
 
-def column_value(name: str, place: int, j):
-    """The value of a column in row ``j`` of an order's section: missing in every fifth row, else the column's name and a number."""
-    seed = F.col("o_orderkey") + j + place
-    return F.when(seed % 5 != 0, F.concat(F.lit(f"{name.lower()}_"), (seed % (7 + place)).cast("string")))
+def column_value(name: str, place: int, j: int):
+    """Whether a column has a value in row ``j`` of an order's section, as it has not in every fifth row, and the value: the column's name and a number."""
+    seed = F.col("o_orderkey") + (j + place)
+    return seed % 5 != 0, F.concat(F.lit(f"{name.lower()}_"), (seed % (7 + place)).cast("string"))
 
 
 def column_sql(name: str, place: int) -> str:
@@ -24,10 +24,10 @@ def column_sql(name: str, place: int) -> str:
     return f"CASE WHEN {seed} % 5 <> 0 THEN '{name.lower()}_' || CAST({seed} % {7 + place} AS VARCHAR) ELSE 'NULL' END"
 
 
-def flag(place: int, j):
+def flag(place: int, j: int):
     """YES, NO, or missing."""
-    seed = (F.col("o_orderkey") + j + place) % 3
-    return F.when(seed == 0, "YES").when(seed == 1, "no")
+    seed = (F.col("o_orderkey") + (j + place)) % 3
+    return seed.isin(0, 1), F.when(seed == 0, "YES").otherwise("no")
 
 
 def section_reports(t: Tables, section: str):
@@ -38,19 +38,22 @@ def section_reports(t: Tables, section: str):
         absent = {"EXPRESSION": layout != 0, "IS_VISIBLE": layout.isin(1, 3), "IGNORED": layout != 1}
     if section == "information_schema_columns":
         absent = {"GENERATION_EXPRESSION": layout.isin(1, 3)}
-    # Nulls of a column that the layout has: kept in some rows, left out of others.
-    dropped = lambda c, v: absent.get(c, F.lit(False)) | (v.isNull() & ((F.col("o_orderkey") % 2 == 0) if c not in absent else F.lit(False)))
 
-    def row(j):
-        """The row's text: names and values need no escapes."""
+    def entry(c: str, present, value):
+        """The text of a field. Nulls of a column that the layout has: kept in some rows, left out of others."""
+        written = F.concat(F.lit(f'"{c}":"'), value, F.lit('"'))
+        if c in absent:
+            return F.when(~absent[c] & present, written).when(~absent[c], f'"{c}":null')
+        return F.when(present, written).when(F.col("o_orderkey") % 2 != 0, f'"{c}":null')
+
+    def row(j: int):
+        """The row's text: names and values need no escapes. Rows are written out, as a function of an array's elements is not compiled."""
         fields = {c: column_value(c, i, j) for i, c in enumerate(columns)}
         if section == "information_schema_indexes":
             fields |= {"IS_VISIBLE": flag(1, j), "IGNORED": flag(2, j)}
-        entries = [F.when(~dropped(c, v), F.concat(F.lit(f'"{c}":'), F.coalesce(F.concat(F.lit('"'), v, F.lit('"')), F.lit("null")))) for c, v in fields.items()]
-        return F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
+        return F.concat(F.lit("{"), F.concat_ws(",", *[entry(c, *v) for c, v in fields.items()]), F.lit("}"))
 
-    rows = F.transform(F.array(*[F.lit(j).cast("bigint") for j in range(ROWS)]), row)
-    document = F.concat(F.lit(f'{{"DB":{{"DatabaseSchema":{{"{section}":['), F.array_join(rows, ","), F.lit("]}}}"))
+    document = F.concat(F.lit(f'{{"DB":{{"DatabaseSchema":{{"{section}":['), F.concat_ws(",", *[row(j) for j in range(ROWS)]), F.lit("]}}}"))
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
     return orders.select(F.col("o_custkey").alias("server_id"), F.to_timestamp(landing.iso("o_orderdate")).alias("collected_at"), document.alias("document"))
 
