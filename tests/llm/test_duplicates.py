@@ -114,19 +114,25 @@ def test_jaccard_sends_no_text_to_blocks_it_quotes(spark, monkeypatch):
     assert sent == [len(rows)]
 
 
-def test_jaccard_frees_its_shuffles(spark):
+@pytest.mark.parametrize("stage", [False, True])
+def test_jaccard_frees_its_shuffles(spark, stage):
+    import corpus_pipeline
+
     def shuffles():
         places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
         return {f.name for place in places for f in Path(place.getPath()).rglob("shuffle_*.data")}
 
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, setting = shuffles(), spark.conf.get(key, None)
-    found = jaccard.near_duplicates(spark.createDataFrame(near_copies(7), "doc_id bigint, text string"))
+    rows = [(*row, "en", "a", 1) for row in near_copies(7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = corpus_pipeline.one_of_each_group(spark, docs, "") if stage else jaccard.near_duplicates(docs)
     until = time.time() + 20
     while shuffles() - before and time.time() < until:
         time.sleep(0.2)
     assert shuffles() <= before
-    assert found.count() == 240 and spark.conf.get(key, None) == setting
+    kept = len({least for _, _, least in components_by_hand([row[:2] for row in rows])})
+    assert found.count() == (kept if stage else len(rows)) and spark.conf.get(key, None) == setting
 
 
 def test_search_probes_long_lists():
